@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import mixing
 from tidemark.llm.common import table
 
 
@@ -27,6 +28,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lines import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.simhash import simhash_components
 
@@ -36,6 +43,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.radix import radix_dedup
 
@@ -44,9 +57,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_best_fit_packing, op7_simhash, op9_exact_dedup)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled"
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_warc, op2_best_fit_packing, op6_line_dedup, op7_simhash, op8_license_scan, op9_exact_dedup, op10_mixing)
+}
 
 ORACLE_SQL = {
+    "op10_mixing": mixing.oracle_sql(),
     "op1_warc": """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
