@@ -28,6 +28,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.lines import line_dedup
 
@@ -67,8 +79,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_best_fit_packing, op6_line_dedup, op7_simhash, op8_license_scan, op9_exact_dedup, op10_mixing)
-}
+    for f in (
+        op1_warc, op2_best_fit_packing, op3_quality, op4_toxicity, op6_line_dedup, op7_simhash,
+        op8_license_scan, op9_exact_dedup, op10_mixing,
+    )
+}
 
 ORACLE_SQL = {
     "op10_mixing": mixing.oracle_sql(),
