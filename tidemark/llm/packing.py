@@ -13,13 +13,26 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, ship
 
-#: Distinct words that a Python worker remembers with their ids.
-WORD_CACHE = 400_000
+#: Distinct words that a Python worker remembers with their ids, as written and in lower case.
+WORD_CACHE = 500_000
+#: Counts of up to this many (task, length) pairs are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 _ODD = re.compile("[\x1c-\x1f\x85]")
-_words: dict[str, np.ndarray] = {}
+_words: dict[str, bytes] = {}
+_cores: dict[str, bytes] = {}
 _loaded: dict[str, object] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTER = _byte_letters()
+
+
 def _tokenizer(path: str):
     if path not in _loaded:
         import os
@@ -29,35 +42,63 @@ def _tokenizer(path: str):
 
         _loaded.clear()
         _words.clear()
+        _cores.clear()
         _loaded[path] = Tokenizer.from_file(path)
     return _loaded[path]
 
 
-def encode_texts(texts: list[str], path: str, by_word: bool = True) -> list[np.ndarray]:
-    """Token ids (uint32) of each whole text, without special tokens.
+def _pack_ids(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+def _merge(tokenizer, low: str) -> bytes:
+    """Ids of one lower-case run, straight from the vocabulary's merges."""
+    ids = _cores.get(low)
+    if ids is None:
+        spelled = low if low.isascii() else "".join(_LETTER[b] for b in low.encode())
+        ids = _pack_ids([t.id for t in tokenizer.model.tokenize(spelled)])
+        if len(_cores) < WORD_CACHE:
+            _cores[low] = ids
+    return ids
+
+
+def _encode_word(tokenizer, word: str) -> bytes:
+    """Ids of a word between white space: letters with full stops or commas
+    after them need no more than the merges; all else takes the whole way."""
+    core = word.rstrip(".,")
+    low = core.lower()
+    if low.isalpha() and core.isalpha() and len(low) == len(core) and max(low) < "\u0250":
+        out = _merge(tokenizer, low)
+        if len(core) < len(word):
+            out += _merge(tokenizer, word[len(core) :])
+    else:
+        out = _pack_ids(tokenizer.encode(word, add_special_tokens=False).ids)
+    if len(_words) < WORD_CACHE:
+        _words[word] = out
+    return out
+
+
+def encode_texts(texts: list[str], path: str, by_word: bool = True) -> list[bytes]:
+    """Token ids (little-endian unsigned 32-bit) of each whole text, without special tokens.
 
-    ``by_word`` is for vocabularies that drop white space, where no token
-    spans it: each distinct word is encoded once and remembered.  Texts with
+    ``by_word`` is for lower-case vocabularies that drop white space, where no
+    token spans it: each word is encoded once and remembered.  Texts with
     control characters that Python and the tokenizer split differently are
     encoded whole.
     """
     tokenizer = _tokenizer(path)
     if not by_word:
-        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [_pack_ids(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     out = []
     for text in texts:
         if _ODD.search(text):
-            out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+            out.append(_pack_ids(tokenizer.encode(text, add_special_tokens=False).ids))
             continue
         words = text.split()
-        new = list({w for w in words if w not in _words})
-        if new:
-            if len(_words) + len(new) > WORD_CACHE:
-                _words.clear()
-                new = list(set(words))
-            for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                _words[w] = np.array(e.ids, np.uint32).tobytes()
-        out.append(np.frombuffer(b"".join([_words[w] for w in words]), np.uint32))
+        parts = list(map(_words.get, words))
+        if None in parts:
+            parts = [_encode_word(tokenizer, w) if p is None else p for w, p in zip(words, parts, strict=True)]
+        out.append(b"".join(parts))
     return out
 
 
@@ -79,7 +120,7 @@ def tokenize(docs: DataFrame, path: str, length: int, end_id: int, doc_id: str,
                 some, rows = batch.iloc[low : low + 256], []
                 texts = [t or "" for t in some.text]
                 for doc, ids in zip(some.doc_id, encode_texts(texts, path, by_word), strict=True):
-                    raw = ids.astype("<u4").tobytes() + int(end_id).to_bytes(4, "little")
+                    raw = ids + int(end_id).to_bytes(4, "little")
                     for piece in range(-(-len(raw) // (4 * length))):
                         own = raw[4 * length * piece : 4 * length * (piece + 1)]
                         n = len(own) // 4
@@ -211,36 +252,28 @@ def pack(
     a task's own counter plus the counts of the tasks before it, so no length
     is gathered anywhere, however common.
     """
-    spark = docs.sparkSession
     pieces = cut(tokenize(docs, tokenizer, length, end_id, doc_id, text, by_word))
-    sizes = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
+    sizes = cut(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     counts = np.zeros(length + 1, np.int64)
     for row in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``length`` rows
         counts[row.length] = row.n
     plan, _, _ = plan_sequences(counts, length, rounds)
     order = np.lexsort((plan[:, 1], plan[:, 0]))
     lengths, firsts, sequence, offset = plan[order].T
-    base = sizes.select(
-        "part", "length", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before")
-    )
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ends = np.searchsorted(lengths, np.arange(length + 2))
-        for batch in batches:
-            n, rank = batch.length.to_numpy(), batch["rank"].to_numpy()
-            at = np.empty(len(n), np.int64)
-            for own in np.unique(n):
-                mine, a, b = n == own, ends[own], ends[own + 1]
-                at[mine] = a + np.searchsorted(firsts[a:b], rank[mine], side="right") - 1
-            out = batch.drop(columns="rank")
-            out["sequence_id"], out["offset"] = sequence[at] + rank - firsts[at], offset[at]
-            yield out
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    ranked = pieces.join(base, ["part", "length"]).select(
-        F.col("doc_id").cast("string").alias("doc_id"), "piece", "start", "length", "ids",
-        (F.col("rank") + F.col("before")).alias("rank"),
-    )
-    return ranked.mapInPandas(
-        place, "doc_id string, piece int, start long, length long, ids binary, sequence_id long, offset long"
-    ).withColumn("doc_id", F.col("doc_id").cast(kind))
+    ends = np.searchsorted(lengths, np.arange(length + 2))
+    before = F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")
+    base = sizes.select("part", "length", before.alias("before"))
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length_: pd.Series, rank_: pd.Series) -> pd.DataFrame:
+        n, rank = length_.to_numpy(), rank_.to_numpy()
+        at = np.empty(len(n), np.int64)
+        for own in np.unique(n):
+            mine, a, b = n == own, ends[own], ends[own + 1]
+            at[mine] = a + np.searchsorted(firsts[a:b], rank[mine], side="right") - 1
+        return pd.DataFrame({"sequence_id": sequence[at] + rank - firsts[at], "offset": offset[at]})
+
+    few = F.broadcast(base) if sizes.count() <= BROADCAST_ROWS else base
+    ranked = pieces.join(few, ["part", "length"])
+    placed = ranked.withColumn("_at", place("length", F.col("rank") + F.col("before")))
+    return placed.select("doc_id", "piece", "start", "length", "ids", "_at.sequence_id", "_at.offset")

@@ -40,6 +40,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.graph import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.lines import line_dedup
 
@@ -80,7 +86,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_warc, op2_best_fit_packing, op3_quality, op4_toxicity, op6_line_dedup, op7_simhash,
+        op1_warc, op2_best_fit_packing, op3_quality, op4_toxicity, op5_near_vectors, op6_line_dedup, op7_simhash,
         op8_license_scan, op9_exact_dedup, op10_mixing,
     )
 }
