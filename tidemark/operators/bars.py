@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators.books import book_stats
 from tidemark.operators.state import KEY
 
 BAR = (*KEY, "interval")
@@ -202,21 +203,23 @@ def failed_high(bars: DataFrame, recent: int = 10) -> DataFrame:
 
 
 def exchange_disagreement(ticks: DataFrame) -> DataFrame:
-    mids = ticks.withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
+    mids = ticks.withColumn("mid", (F.col("bid") + F.col("ask")) / 2).where("mid > 0")
     out = mids.groupBy("market", "symbol").agg(F.max("mid").alias("hi"), F.min("mid").alias("lo"), F.avg("mid").alias("m"), F.count("*").alias("venues"))
     return out.where("venues >= 2").select("market", "symbol", "venues", ((F.col("hi") - F.col("lo")) / F.col("m") * 10_000).alias("disagreement_bps"))
 
 
 def regimes(f: DataFrame) -> DataFrame:
     """Labels; the first rule that matches wins."""
-    b, fr, oi, sp, dp = (F.col(c) for c in ("basis_bps", "funding_rate", "open_interest", "spread_bps", "depth_notional"))
+    b, rate, oi, spread, score = (F.col(c) for c in ("basis_bps", "funding_rate", "open_interest", "spread_bps", "liquidity_score"))
+    with_oi = F.when(oi.isNotNull(), "_with_oi").otherwise("")
     return f.withColumns(
         {
-            "basis_regime": F.when(b.isNull(), "unknown").when(b > 25, "perp_premium").when(b < -25, "perp_discount").otherwise("neutral"),
-            "funding_regime": F.when(fr.isNull() | oi.isNull(), "unknown").when((fr > 3e-4) & (oi > 0), "crowded_longs").when((fr < -3e-4) & (oi > 0), "crowded_shorts").otherwise("balanced"),
-            "liquidity_regime": F.when(sp > 30, "wide_spread").when(dp > 1_000_000, "deep").when(dp > 100_000, "normal").when(dp.isNotNull(), "thin").otherwise("unknown"),
+            "basis_regime": F.when(b.isNull(), "unknown").when(b > 25, "perp_premium").when(b < -25, "perp_discount").otherwise("flat"),
+            "funding_regime": F.when(rate > 3e-4, F.concat(F.lit("positive_funding"), with_oi)).when(rate < -3e-4, F.concat(F.lit("negative_funding"), with_oi))
+            .when(rate.isNotNull(), "neutral_funding").when(oi.isNotNull(), "oi_only").otherwise("unknown"),
+            "liquidity_regime": F.when(spread > 30, "wide_spread").when(score > 1_000_000, "deep").when(score > 100_000, "normal").when(score.isNotNull(), "thin").otherwise("unknown"),
         }
-    )
+    )
 
 
 def research_features(bars, ticks, funding, oi, books, basis, benchmark: str = "BTCUSDT", k: int = 10) -> DataFrame:
@@ -231,7 +234,7 @@ def research_features(bars, ticks, funding, oi, books, basis, benchmark: str = "
     ret = F.when(F.col("a") > 0, (F.col("z") - F.col("a")) / F.col("a") * 100).alias("return_pct")
     mid = (F.col("bid") + F.col("ask")) / 2
     spread = ticks.select(*KEY, ((F.col("ask") - F.col("bid")) / mid * 10_000).alias("spread_bps"))
-    depth = books.select(*KEY, (S.book_sum(F.col("bids"), k, False) + S.book_sum(F.col("asks"), k, False)).alias("depth_notional"))
+    depth = book_stats(books, k).select(*KEY, "depth_notional", "liquidity_score")
     out = (
         ends.select(*BAR, "bars", ret, "volume")
         .join(realized_vol(bars).drop("n_returns"), list(BAR), "left").join(close_zscore(bars), list(BAR), "left")
@@ -247,7 +250,8 @@ def research_features(bars, ticks, funding, oi, books, basis, benchmark: str = "
 
 def market_regime(features: DataFrame) -> DataFrame:
     m = features.agg(
-        F.count("*").alias("n_rows"), F.median("disagreement_bps").alias("disagreement_bps"), F.median("realized_vol").alias("realized_vol"), F.median("funding_rate").alias("funding_rate")
+        F.count("*").alias("n_rows"), F.median("disagreement_bps").alias("disagreement_bps"), F.median("realized_vol").alias("realized_vol"), F.median("funding_rate").alias("funding_rate"),
+        F.median("basis_bps").alias("basis_bps"), F.median("liquidity_score").alias("liquidity_score"),
     )
     label = F.when(F.col("disagreement_bps") > 20, "fragmented").when(F.col("realized_vol") > 0.08, "high_volatility").when(F.abs("funding_rate") > 5e-4, "leveraged").otherwise("normal")
     return m.withColumn("regime", label)
