@@ -13,8 +13,14 @@ BUCKETS = 1 << 16
 BROADCAST_ROWS = 1_000_000
 
 
-def _words(line):
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), r"\s+"), ""))
+#: Lines of up to this many words have one 64-bit map of their words; longer ones share them out over two.
+ONE_MAP = 80
+
+
+def _hashes(line):
+    """64-bit hashes of the distinct lower-case words of a line."""
+    words = F.array_remove(F.split(F.lower(line), r"\s+"), "")
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -32,14 +38,16 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     n_lines and n_removed are added.  A null text counts as empty.  Rows that
     repeat both id and text get the same result.  An empty table gives no rows.
 
-    The join: words are ordered by the size of their counts over all lines; a line's
-    rarest ``n - ceil(0.8 n) + 1`` words are its prefix, and similar lines
-    share a prefix word.  Prefix rows carry length, position and a bitmap of
-    the words.  A first semi-join keeps prefix rows that have another line
-    within the length, positional and bitmap filters; a second one, over what
-    is left, verifies the exact Jaccard similarity.  Both are semi-joins, so a
-    group of many similar lines gives a row per line and word, never a row per
-    pair.
+    The join: words are ordered by the size of their counts over all lines; a
+    line's rarest ``n - ceil(0.8 n) + 1`` words are its prefix, and similar
+    lines share a prefix word.  Prefix rows carry length, position and a bitmap
+    of the words.  A semi-join keeps the prefix rows that have another line
+    within the length, positional and bitmap filters.  Of what is left, every
+    line is compared with the earliest line of each of its words, one pair per
+    line and word; a second semi-join over the words of the lines that no such
+    pair settles finds any other earlier match.  Jaccard is verified on 64-bit
+    hashes of the words.  No step gives a row per pair of a group of many
+    similar lines.
     """
     base = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn(
         "_hash", F.xxhash64("_text")
@@ -56,27 +64,29 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     copies = marks.join(firsts, ["h1", "h2"]).where(spot != F.col("first")).select("_id", "_hash", "_line")
 
     # the order of rarity
-    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS))
-    seen = base.select(F.explode(F.split(F.lower("_text"), r"\s+")).alias("w")).groupBy(bucket(F.col("w")).alias("b")).count()
-    classes = bytearray(b"A" * BUCKETS)  # a letter per bucket: the logarithm of its count
+    low = F.lit(BUCKETS - 1)
+    seen = base.select(F.explode(F.split(F.lower("_text"), r"\s+")).alias("w"))
+    seen = seen.groupBy(F.xxhash64("w").bitwiseAND(low).alias("b")).count()
+    classes = ["0"] * BUCKETS  # the logarithm of each bucket's count
     for r in seen.collect():  # at most BUCKETS rows
-        classes[r["b"]] = 65 + int(r["count"]).bit_length()
+        classes[r["b"]] = str(int(r["count"]).bit_length())
+    rarity = F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")  # a constant, folded once
     mask = (1 << 43) - 1
 
-    def key(w):
-        rarity = F.ascii(F.substring(F.lit(bytes(classes)), bucket(w).cast("int") + 1, 1).cast("string"))
-        return F.shiftleft(rarity.cast("long"), 43).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(mask)))
+    def key(h):
+        own = F.coalesce(F.get(rarity, h.bitwiseAND(low).cast("int")), F.lit(0).cast("tinyint"))
+        return F.shiftleft(own.cast("long"), 43).bitwiseOR(h.bitwiseAND(F.lit(mask)))
 
     # prefix rows
     keyed = (
-        lines.select(one.alias("h"), _words(F.col("line")).alias("words"))
-        .select("h", F.size("words").alias("n"), F.sort_array(F.transform("words", key)).alias("keys"))
+        lines.select(one.alias("h"), _hashes(F.col("line")).alias("hashes"))
+        .select("h", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", key)).alias("keys"))
     )
-    bit = lambda k: f"shiftleft(1L, cast({k} & 63 as int))"
+    bit = "shiftleft(1L, cast(k & 63 as int))"
     signed = keyed.select(
         "h", "n", F.slice("keys", 1, F.expr(f"n - cast(({num} * n + {den} - 1) div {den} as int) + 1")).alias("prefix"),
-        F.expr(f"aggregate(keys, 0L, (a, k) -> a | if(k & 64 = 0, {bit('k')}, 0L))").alias("s1"),
-        F.expr(f"aggregate(keys, 0L, (a, k) -> a | if(k & 64 = 0, 0L, {bit('k')}))").alias("s2"),
+        F.expr(f"if(n <= {ONE_MAP}, aggregate(keys, 0L, (a, k) -> a | {bit}), aggregate(keys, 0L, (a, k) -> if(k & 64 = 0, a | {bit}, a)))").alias("s1"),
+        F.expr(f"if(n <= {ONE_MAP}, 0L, aggregate(keys, 0L, (a, k) -> if(k & 64 = 0, a, a | {bit})))").alias("s2"),
     )
     rows = (
         signed.select("h", "n", "s1", "s2", F.posexplode("prefix").alias("p", "k"))
@@ -89,23 +99,33 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     near = F.expr(
         f"x.k = y.k and x.h <> y.h and least({nx}, {ny}) * {den} >= greatest({nx}, {ny}) * {num}"
         f" and (1 + least({nx} - {px} - 1, {ny} - {py} - 1)) * {whole} >= {num} * ({nx} + {ny})"
-        f" and (bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2)) * {whole} <= {den - num} * ({nx} + {ny})"
+        f" and (({nx} <= {ONE_MAP}) <> ({ny} <= {ONE_MAP})"
+        f" or (bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2)) * {whole} <= {den - num} * ({nx} + {ny}))"
     )
     found = cut(rows.alias("x").join(rows.alias("y"), near, "left_semi").select("k", "h"))
 
     # verification, over the first line of each text that is left
     wanted = found.select(F.col("h").alias("h0")).distinct()
-    again = (
+    again = cut(
         lines.withColumn("h", one).join(_small(wanted, wanted.count()), F.col("h") == F.col("h0"), "left_semi")
         .groupBy("h", "line").agg(F.min(spot).alias("spot"))
-        .select("h", "spot", _words(F.col("line")).alias("words"))
+        .select("spot", "h", _hashes(F.col("line")).alias("words"))
     )
-    ready = cut(found.join(again, "h").select("k", "spot", "words"))
-    similar = F.expr(
-        f"x.k = y.k and y.spot < x.spot and size(array_intersect(x.words, y.words)) * {whole}"
-        f" >= {num} * (size(x.words) + size(y.words))"
-    )
-    later = ready.alias("x").join(ready.alias("y"), similar, "left_semi").select("spot.*")
+    alike = lambda x, y: f"size(array_intersect({x}, {y})) * {whole} >= {num} * (size({x}) + size({y}))"
+    ready = cut(found.join(again.select("h", "spot"), "h").select("k", "spot"))
+    hubs = ready.groupBy("k").agg(F.min("spot").alias("hub"))
+    placed = ready.join(hubs, "k")
+    words = lambda name: again.select(F.col("spot").alias(name), F.col("words").alias(f"{name}_words"))
+    pairs = placed.where("hub < spot").select("spot", "hub").distinct()
+    sure = cut(
+        pairs.join(words("spot"), "spot").join(words("hub"), "hub").where(alike("spot_words", "hub_words")).select("spot").distinct()
+    )
+    open_ = cut(placed.where("hub < spot").join(sure, "spot", "left_anti").select("k", "spot"))
+    partners = ready.join(open_.select("k").distinct(), "k", "left_semi")
+    x = open_.join(words("spot"), "spot").alias("x")
+    y = partners.join(words("spot"), "spot").alias("y")
+    similar = F.expr(f"x.k = y.k and y.spot < x.spot and {alike('x.spot_words', 'y.spot_words')}")
+    later = sure.union(x.join(y, similar, "left_semi").select("spot")).select("spot.*")
 
     # removal
     gone = cut(
