@@ -84,11 +84,9 @@ def aggregator_key(symbol: Column, market: Column) -> Column:
 def split_symbol(symbol: Column, quotes: list[str] = LISTING_QUOTES) -> Column:
     """struct(base, quote) by the first quote that ends the symbol; no match gives the base only."""
     s = canonical_spot(symbol)
-    base, quote = s, F.lit(None).cast("string")
-    for q in reversed(quotes):
-        hit = s.endswith(q) & (F.length(s) > len(q))
-        base = F.when(hit, F.substring(s, F.lit(1), F.length(s) - len(q))).otherwise(base)
-        quote = F.when(hit, F.lit(q)).otherwise(quote)
+    ends = F.array_compact(F.array(*[F.when(s.endswith(q) & (F.length(s) > len(q)), F.lit(q)) for q in quotes]))
+    quote = F.try_element_at(ends, F.lit(1))
+    base = F.substring(s, F.lit(1), F.length(s) - F.coalesce(F.length(quote), F.lit(0)))
     return F.struct(base.alias("base"), quote.alias("quote"))
 
 
