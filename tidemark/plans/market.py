@@ -36,7 +36,7 @@ register("latest_ticks", lambda s, d: tick_columns(ticks(s, d)), f"SELECT {TICK}
 register("quotes", lambda s, d: tick_columns(state.quotes_view(ticks(s, d), ["BTCUSDT", "ETHUSDT"], ["binance", "okx"])), f"SELECT {TICK} FROM lt WHERE NOT stale AND symbol IN ('BTCUSDT','ETHUSDT') AND exchange IN ('binance','okx')")
 register("snapshot", lambda s, d: tick_columns(state.filter_market(ticks(s, d), ["BTCUSDT"])), f"SELECT {TICK} FROM lt WHERE symbol = 'BTCUSDT'")
 register("prune_snapshots", lambda s, d: tick_columns(state.prune_snapshots(ticks(s, d), now(s, d), TTL)), f"SELECT {TICK} FROM lt WHERE latency_ms <= 3600000")
-register("stream_filter", lambda s, d: tick_columns(state.stream_filter(ticks(s, d), ["SOLUSDT"], market="perp")), f"SELECT {TICK} FROM lt WHERE NOT stale AND symbol = 'SOLUSDT' AND market = 'perp'")
+register("filter_ticks", lambda s, d: tick_columns(state.stream_filter(ticks(s, d), ["SOLUSDT"], market="perp")), f"SELECT {TICK} FROM lt WHERE NOT stale AND symbol = 'SOLUSDT' AND market = 'perp'")
 _last = "QUALIFY row_number() OVER (PARTITION BY {} ORDER BY ts_ms DESC, event_id DESC) = 1"
 _LATEST = {
     "funding": (("exchange", "symbol"), "next_funding_time_ms, mark_price, index_price, ts_ms", 8),

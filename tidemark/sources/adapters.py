@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+def read(spark: SparkSession, d: str | DataFrame, name: str) -> DataFrame:
+    """A table of the folder ``d``; a stream of that table may be given in its place."""
+    return d if isinstance(d, DataFrame) else spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def _pick(names: list[str], index: str):
@@ -18,7 +19,7 @@ EXCHANGES = ["binance", "okx", "bybit"]
 SYMBOLS = ["BTCUSDT", "ETHUSDT", "SOLUSDT", "XRPUSDT", "DOGEUSDT"]
 
 
-def ev(spark: SparkSession, d: str) -> DataFrame:
+def ev(spark: SparkSession, d: str | DataFrame) -> DataFrame:
     return read(spark, d, "events").select(
         "event_id", "user_id", "event_type", "value",
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
@@ -209,3 +210,9 @@ now AS (SELECT max(ts_ms) AS t FROM ev),
 lt AS (SELECT *, t - ts_ms AS latency_ms, t - ts_ms > 7200000 AS stale FROM quotes, now QUALIFY row_number() OVER (PARTITION BY exchange, market, symbol ORDER BY ts_ms DESC, event_id DESC) = 1),
 lb AS (SELECT * FROM lv QUALIFY dense_rank() OVER (PARTITION BY exchange, market, symbol ORDER BY ts_ms DESC, event_id DESC) = 1),
 """
+
+
+def event_stream(spark: SparkSession, d: str, files_per_trigger: int = 1) -> DataFrame:
+    """The events table as a file stream, with the batch table's schema."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{d}/events.parque[t]")
