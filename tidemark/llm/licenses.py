@@ -125,3 +125,37 @@ def license_scan(
         F.array_join(F.array_sort(F.array_union(base, own)), ",").alias("labels"),
         F.when(F.size(places) > 0, 1.0).otherwise(best).alias("score"),
     )
+
+
+def oracle_sql(templates=TEMPLATES, anchors: int = 3, least: float = 0.6) -> str:
+    """The same scan in SQL, over unnested word places."""
+    upper = "".join(map(chr, range(65, 91)))
+    rows = ", ".join(
+        f"('{label}', {notice.split()}, {phrase.split()}, {next(i for i in range(len(notice.split())) if notice.split()[i : i + len(phrase.split())] == phrase.split())})"
+        for label, notice, phrase in templates
+    )
+    stands = {label: " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(phrase.split())) for phrase, label in BASE_PHRASES.items()}
+    lists = ", ".join(f"list_filter(range(1, len(w) + 1), lambda i: coalesce({cond}, false)) AS p_{label}" for label, cond in stands.items())
+    every = "list_concat(" + "list_concat(p_mit, p_apache), p_gpl)"
+    base = ", ".join(f"CASE WHEN len(p_{x}) > 0 THEN '{x}' END" for x in BASE_PHRASES.values())
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+  list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT * FROM (VALUES {rows}) v(label, notice, phrase, key)),
+u AS (SELECT r, i, w[i + 1] AS x FROM (SELECT r, w, unnest(range(len(w))) AS i FROM d)),
+df AS (SELECT x, count(DISTINCT r) AS n FROM u WHERE x IN (SELECT unnest(notice) FROM t) GROUP BY x),
+idf AS (SELECT x, coalesce(n, 0) AS n FROM (SELECT DISTINCT unnest(notice) AS x FROM t) LEFT JOIN df USING (x)),
+rare AS (SELECT label, x FROM (SELECT DISTINCT label, unnest(notice) AS x FROM t) JOIN idf USING (x) QUALIFY row_number() OVER (PARTITION BY label ORDER BY n, x) <= {anchors}),
+posting AS (SELECT label, x, q FROM (SELECT label, unnest(range(len(notice))) AS q, notice FROM t) JOIN rare USING (label) WHERE notice[q + 1] = x),
+start AS (SELECT DISTINCT r, label, i - q AS s FROM u JOIN posting USING (x)),
+share AS (SELECT r, label, max(list_sum(list_transform(range(len(notice)), lambda q: CASE WHEN s + q >= 0 AND w[s + q + 1] = notice[q + 1] THEN 1 ELSE 0 END)) / len(notice)) AS best
+  FROM start JOIN t USING (label) JOIN d USING (r)
+  WHERE s + key >= 0 AND list_sum(list_transform(range(len(phrase)), lambda j: CASE WHEN w[s + key + j + 1] = phrase[j + 1] THEN 1 ELSE 0 END)) = len(phrase) GROUP BY ALL),
+own AS (SELECT r, list(label) AS labels, max(best) AS best FROM share WHERE best >= {least}::DOUBLE GROUP BY r),
+b AS (SELECT r, doc_id, len(w) AS n_words, {lists} FROM d),
+c AS (SELECT *, {every} AS every, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM b)
+SELECT doc_id, n_words, len(every) AS n_base, list_min(every) - 1 AS first_word, list_max(every) - 1 AS last_word,
+  array_to_string(list_sort(base), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') AS labels,
+  CASE WHEN len(every) > 0 THEN 1 ELSE coalesce(best, 0) END::DOUBLE AS score
+FROM c LEFT JOIN own USING (r)"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing
+from tidemark.llm import licenses, mixing
 from tidemark.llm.common import table
 
 
@@ -92,6 +92,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op8_license_scan": licenses.oracle_sql(),
     "op10_mixing": mixing.oracle_sql(),
     "op1_warc": """
 WITH p AS (
