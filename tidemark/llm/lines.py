@@ -13,14 +13,20 @@ BUCKETS = 1 << 16
 BROADCAST_ROWS = 1_000_000
 
 
-#: Lines of up to this many words have one 64-bit map of their words; longer ones share them out over two.
-ONE_MAP = 80
+#: Lines of up to these many words have a bitmap of 64 or 128 bits of their words; longer ones of 256 bits.
+ONE_MAP, TWO_MAPS = 48, 112
+
+
+def _split(line):
+    """Lower-case parts between white space; single spaces, the usual case, need no pattern."""
+    low = F.lower(line)
+    other = low.contains("\t") | low.contains("\r") | low.contains("\x0b") | low.contains("\x0c")
+    return F.when(other, F.split(low, r"\s")).otherwise(F.split(low, " "))
 
 
 def _hashes(line):
     """64-bit hashes of the distinct lower-case words of a line."""
-    words = F.array_remove(F.split(F.lower(line), r"\s+"), "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(F.array_remove(_split(line), ""), lambda w: F.xxhash64(w)))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -38,7 +44,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     n_lines and n_removed are added.  A null text counts as empty.  Rows that
     repeat both id and text get the same result.  An empty table gives no rows.
 
-    The join: words are ordered by the size of their counts over all lines; a
+    Copies of a whole line go first.  The join: words are ordered by the size of their counts over all lines; a
     line's rarest ``n - ceil(0.8 n) + 1`` words are its prefix, and similar
     lines share a prefix word.  Prefix rows carry length, position and a bitmap
     of the words.  A semi-join keeps the prefix rows that have another line
@@ -63,9 +69,19 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     firsts = marks.groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = marks.join(firsts, ["h1", "h2"]).where(spot != F.col("first")).select("_id", "_hash", "_line")
 
+    by_doc = cut(copies.groupBy("_id", "_hash").agg(F.collect_list("_line").alias("_gone")))
+    few = _small(by_doc.withColumnsRenamed({"_id": "_id2", "_hash": "_hash2"}), by_doc.count())
+    apart = base.withColumn("_parts", F.split("_text", "\n")).join(few, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left")
+    every = F.sequence(F.lit(0), F.size("_parts") - 1)
+    left = F.when(F.col("_gone").isNull(), every).otherwise(F.array_except(every, "_gone"))
+    lines = (
+        apart.select("_id", "_hash", "_parts", F.explode(left).alias("_line"))
+        .select("_id", "_hash", "_line", F.get("_parts", F.col("_line")).alias("line")).where(F.col("line").rlike(r"\S"))
+    )
+
     # the order of rarity
     low = F.lit(BUCKETS - 1)
-    seen = base.select(F.explode(F.split(F.lower("_text"), r"\s+")).alias("w"))
+    seen = base.select(F.explode(F.split(F.lower(F.replace("_text", F.lit("\n"), F.lit(" "))), " ")).alias("w"))
     seen = seen.groupBy(F.xxhash64("w").bitwiseAND(low).alias("b")).count()
     classes = ["0"] * BUCKETS  # the logarithm of each bucket's count
     for r in seen.collect():  # at most BUCKETS rows
@@ -83,24 +99,24 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
         .select("h", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", key)).alias("keys"))
     )
     bit = "shiftleft(1L, cast(k & 63 as int))"
+    part = lambda mask, at: f"aggregate(keys, 0L, (a, k) -> if(k & {mask} = {at}, a | {bit}, a))"
     signed = keyed.select(
         "h", "n", F.slice("keys", 1, F.expr(f"n - cast(({num} * n + {den} - 1) div {den} as int) + 1")).alias("prefix"),
-        F.expr(f"if(n <= {ONE_MAP}, aggregate(keys, 0L, (a, k) -> a | {bit}), aggregate(keys, 0L, (a, k) -> if(k & 64 = 0, a | {bit}, a)))").alias("s1"),
-        F.expr(f"if(n <= {ONE_MAP}, 0L, aggregate(keys, 0L, (a, k) -> if(k & 64 = 0, a, a | {bit})))").alias("s2"),
-    )
-    rows = (
-        signed.select("h", "n", "s1", "s2", F.posexplode("prefix").alias("p", "k"))
-        .select("k", "h", "s1", "s2", F.expr("shiftleft(cast(n as long), 32) | p").alias("np"))
-        .repartition("k").distinct()
+        F.expr(f"case when n <= {ONE_MAP} then aggregate(keys, 0L, (a, k) -> a | {bit}) when n <= {TWO_MAPS} then {part(64, 0)} else {part(192, 0)} end").alias("s1"),
+        F.expr(f"case when n <= {ONE_MAP} then 0L when n <= {TWO_MAPS} then {part(64, 64)} else {part(192, 64)} end").alias("s2"),
+        F.expr(f"if(n <= {TWO_MAPS}, 0L, {part(192, 128)})").alias("s3"), F.expr(f"if(n <= {TWO_MAPS}, 0L, {part(192, 192)})").alias("s4"),
     )
+    rows = signed.select("h", "n", "s1", "s2", "s3", "s4", F.posexplode("prefix").alias("p", "k")).select(
+        "k", "h", "s1", "s2", "s3", "s4", F.expr("shiftleft(cast(n as long), 32) | p").alias("np")
+    )
     n, p = "cast(shiftrightunsigned({0}.np, 32) as long)", "({0}.np & 4294967295)"
     nx, ny, px, py = n.format("x"), n.format("y"), p.format("x"), p.format("y")
     whole = num + den  # J >= num/den  <=>  overlap * whole >= num * (|x| + |y|)
     near = F.expr(
         f"x.k = y.k and x.h <> y.h and least({nx}, {ny}) * {den} >= greatest({nx}, {ny}) * {num}"
         f" and (1 + least({nx} - {px} - 1, {ny} - {py} - 1)) * {whole} >= {num} * ({nx} + {ny})"
-        f" and (({nx} <= {ONE_MAP}) <> ({ny} <= {ONE_MAP})"
-        f" or (bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2)) * {whole} <= {den - num} * ({nx} + {ny}))"
+        f" and (({nx} <= {ONE_MAP}) <> ({ny} <= {ONE_MAP}) or ({nx} <= {TWO_MAPS}) <> ({ny} <= {TWO_MAPS})"
+        f" or (bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2) + bit_count(x.s3 ^ y.s3) + bit_count(x.s4 ^ y.s4)) * {whole} <= {den - num} * ({nx} + {ny}))"
     )
     found = cut(rows.alias("x").join(rows.alias("y"), near, "left_semi").select("k", "h"))
 
@@ -129,7 +145,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
 
     # removal
     gone = cut(
-        copies.union(later).distinct().groupBy("_id", "_hash").agg(F.collect_list("_line").alias("_gone"))
+        by_doc.select("_id", "_hash", F.explode("_gone").alias("_line")).union(later).distinct().groupBy("_id", "_hash").agg(F.collect_list("_line").alias("_gone"))
     )
     few = _small(gone.withColumnsRenamed({"_id": "_id2", "_hash": "_hash2"}), gone.count())
     parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
