@@ -124,8 +124,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     wanted = found.select(F.col("h").alias("h0")).distinct()
     again = cut(
         lines.withColumn("h", one).join(_small(wanted, wanted.count()), F.col("h") == F.col("h0"), "left_semi")
-        .groupBy("h", "line").agg(F.min(spot).alias("spot"))
-        .select("spot", "h", _hashes(F.col("line")).alias("words"))
+        .select(spot.alias("spot"), "h", _hashes(F.col("line")).alias("words"))
     )
     alike = lambda x, y: f"size(array_intersect({x}, {y})) * {whole} >= {num} * (size({x}) + size({y}))"
     ready = cut(found.join(again.select("h", "spot"), "h").select("k", "spot"))
