@@ -115,8 +115,10 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     near = F.expr(
         f"x.k = y.k and x.h <> y.h and least({nx}, {ny}) * {den} >= greatest({nx}, {ny}) * {num}"
         f" and (1 + least({nx} - {px} - 1, {ny} - {py} - 1)) * {whole} >= {num} * ({nx} + {ny})"
-        f" and (({nx} <= {ONE_MAP}) <> ({ny} <= {ONE_MAP}) or ({nx} <= {TWO_MAPS}) <> ({ny} <= {TWO_MAPS})"
-        f" or (bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2) + bit_count(x.s3 ^ y.s3) + bit_count(x.s4 ^ y.s4)) * {whole} <= {den - num} * ({nx} + {ny}))"
+        # maps of lines on two sides of a bound are folded to the form that both have
+        f" and case when {nx} > {TWO_MAPS} and {ny} > {TWO_MAPS} then bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2) + bit_count(x.s3 ^ y.s3) + bit_count(x.s4 ^ y.s4)"
+        f" when {nx} > {ONE_MAP} and {ny} > {ONE_MAP} then bit_count((x.s1 | x.s3) ^ (y.s1 | y.s3)) + bit_count((x.s2 | x.s4) ^ (y.s2 | y.s4))"
+        f" else bit_count((x.s1 | x.s2 | x.s3 | x.s4) ^ (y.s1 | y.s2 | y.s3 | y.s4)) end * {whole} <= {den - num} * ({nx} + {ny})"
     )
     found = cut(rows.alias("x").join(rows.alias("y"), near, "left_semi").select("k", "h"))
 
