@@ -50,11 +50,12 @@ def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
     rounds: int = ROUNDS, alpha: float = ALPHA, seed: int = SEED,
 ) -> DataFrame:
-    """``docs`` with topic, tokens, probability and sampled added.
+    """``docs`` with topic, tokens, weight, probability and sampled added.
 
     tokens is a quarter of the characters, rounded up, at least 1.  A cell's
-    probability is its raked weight over its tokens, divided by the largest
-    such ratio, so expected tokens meet the targets in proportion.  The draw
+    weight is its raked tokens over its own; its probability is that weight,
+    at most 1.  So cells with more than their target are thinned to it, and
+    cells with less are kept whole, as nothing is drawn twice.  The draw
     of a document depends on its id and ``seed`` alone: repeated ids share it,
     and a rerun or a lost executor changes nothing.  Null sources and
     languages form cells of their own, a null text counts as empty, null ids
@@ -71,8 +72,8 @@ def mix(
     )
     cells = cut(rows.groupBy(*_KEYS).agg(F.sum("_tokens").alias("tokens")))
     ratios = cut(rake(cells, rounds, alpha))
-    top, n = ratios.agg(F.max("ratio"), F.count("*")).first()
-    p = ratios.select(*_KEYS, (F.col("ratio") / F.lit(top)).alias("_p"))
+    n = ratios.count()
+    p = ratios.select(*_KEYS, F.col("ratio").alias("_w"), F.least("ratio", F.lit(1.0)).alias("_p"))
     drawn = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10)
     return (
         rows.join(F.broadcast(p) if n <= BROADCAST_CELLS else p, list(_KEYS))
@@ -80,11 +81,12 @@ def mix(
             {
                 "topic": F.col("_topic"),
                 "tokens": F.col("_tokens"),
+                "weight": F.col("_w"),
                 "probability": F.col("_p"),
                 "sampled": drawn.cast("double") / F.lit(4294967296.0) < F.col("_p"),
             }
         )
-        .drop(*_KEYS, "_tokens", "_p")
+        .drop(*_KEYS, "_tokens", "_w", "_p")
     )
 
 
@@ -110,7 +112,7 @@ cells AS (SELECT k0, k1, k2, CAST(sum(tokens) AS DOUBLE) AS t FROM rows GROUP BY
         steps.append(f"s{i + 1} AS MATERIALIZED (SELECT k0, k1, k2, t, g0, g1, g2, w * g{k} / sum(w) OVER (PARTITION BY k{k}) AS w FROM s{i})")
     last = f"s{rounds * 3}"
     return head + ",\n".join(steps) + f"""
-SELECT doc_id, k2 AS topic, tokens, round(w / t / (SELECT max(w / t) FROM {last}), 6) AS probability,
+SELECT doc_id, k2 AS topic, tokens, round(least(w / t, 1), 6) AS probability,
   CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{seed}'), 1, 8)) AS BIGINT) / 4294967296.0
-    < w / t / (SELECT max(w / t) FROM {last}) AS sampled
+    < least(w / t, 1) AS sampled
 FROM rows JOIN {last} USING (k0, k1, k2)"""
