@@ -17,17 +17,24 @@ from tidemark.llm.components import connected_components
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of the text's word shingles, repeats counted; 0 without words."""
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """64-bit hashes of the text's word shingles in order, repeats kept; a shorter text is one shingle."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII case and ASCII space only
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
     data = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = ends[words - 1 :] if len(tokens) >= words else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(data[a:b], seed) for a, b in zip(starts.tolist(), last.tolist(), strict=False)], dtype="<u8")
+    return np.array([digest(data[a:b], seed) for a, b in zip(starts.tolist(), last.tolist(), strict=False)], dtype="<u8")
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """The 64-bit SimHash of the text's word shingles, repeats counted; 0 without words."""
+    h = shingle_hashes(text, words, seed)
+    if not len(h):
+        return 0
     by_byte = h.view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(by_byte[:, j], minlength=256) @ _BITS for j in range(8)])
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
