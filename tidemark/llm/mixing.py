@@ -24,11 +24,14 @@ def topic(text):
     )
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA) -> DataFrame:
+def rake(cells: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """Fit the cells' token weights to the marginals' targets.
 
     The target share of a source, language or topic is its observed share to
     the power ``alpha``, brought to sum 1: large ones give way to small ones.
+    ``targets`` can hold tables (value, share) for some of "source", "lang" and
+    "topic" instead; values that no row has are left out before shares are
+    brought to sum 1, and values that the table does not name get nothing.
     A round scales the cells to each marginal in turn.  Only cells are
     shuffled here, never documents.
     """
@@ -36,11 +39,16 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA) -> DataFr
     total = F.lit(cells.agg(F.sum("tokens")).first()[0] or 0).cast("double")
     for k in _KEYS:
         shares = cells.groupBy(k).agg(F.pow(F.sum("tokens").cast("double"), F.lit(alpha)).alias("_raw"))
+        given = (targets or {}).get(k[1:])
+        if given is not None:
+            of = given.groupBy(F.coalesce(F.col("value").cast("string"), F.lit("~")).alias(k)).agg(F.sum(F.col("share").cast("double")).alias("_raw"))
+            shares = cells.select(k).distinct().join(of, k, "left").select(k, F.coalesce("_raw", F.lit(0.0)).alias("_raw"))
         norm = F.lit(shares.agg(F.sum("_raw")).first()[0])
         fitted = fitted.join(shares.select(k, (total * F.col("_raw") / norm).alias(f"target{k}")), k)
     for i in range(rounds):
         for k in _KEYS:
-            fitted = fitted.withColumn("w", F.col("w") * F.col(f"target{k}") / F.sum("w").over(W.partitionBy(k)))
+            held = F.sum("w").over(W.partitionBy(k))
+            fitted = fitted.withColumn("w", F.when(held > 0, F.col("w") * F.col(f"target{k}") / held).otherwise(0.0))
         if i % 5 == 4:
             fitted = cut(fitted)
     return fitted.withColumn("ratio", F.col("w") / F.col("tokens")).select(*_KEYS, "ratio")
@@ -49,13 +57,19 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA) -> DataFr
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
     rounds: int = ROUNDS, alpha: float = ALPHA, seed: int = SEED,
+    targets: dict[str, DataFrame] | None = None, topics: str | None = None,
 ) -> DataFrame:
-    """``docs`` with topic, tokens, weight, probability and sampled added.
+    """``docs`` with topic, tokens, weight, probability, sampled and copies added.
 
     tokens is a quarter of the characters, rounded up, at least 1.  A cell's
-    weight is its raked tokens over its own; its probability is that weight,
-    at most 1.  So cells with more than their target are thinned to it, and
-    cells with less are kept whole, as nothing is drawn twice.  The draw
+    weight is its raked tokens over its own.  A document is drawn ``copies``
+    times: the whole part of its weight, and once more with the rest as
+    probability.  So expected tokens, with copies, meet the targets.  sampled
+    says whether there is any copy, probability how likely that is (the
+    weight, at most 1); rows with sampled, each taken once, are thinned in
+    cells over their target and miss the targets of cells under it.
+    ``targets`` are given shares (see :func:`rake`), ``topics`` names a column
+    of topics, else they follow the surface form.  The draw
     of a document depends on its id and ``seed`` alone: repeated ids share it,
     and a rerun or a lost executor changes nothing.  Null sources and
     languages form cells of their own, a null text counts as empty, null ids
@@ -66,15 +80,16 @@ def mix(
         {
             "_source": F.coalesce(F.col(source).cast("string"), F.lit("~")),
             "_lang": F.coalesce(F.col(lang).cast("string"), F.lit("~")),
-            "_topic": topic(full),
+            "_topic": F.coalesce(F.col(topics).cast("string"), F.lit("~")) if topics else topic(full),
             "_tokens": F.greatest(F.ceil(F.length(full) / 4), F.lit(1)).cast("long"),
         }
     )
     cells = cut(rows.groupBy(*_KEYS).agg(F.sum("_tokens").alias("tokens")))
-    ratios = cut(rake(cells, rounds, alpha))
+    ratios = cut(rake(cells, rounds, alpha, targets))
     n = ratios.count()
     p = ratios.select(*_KEYS, F.col("ratio").alias("_w"), F.least("ratio", F.lit(1.0)).alias("_p"))
     drawn = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10)
+    draw = drawn.cast("double") / F.lit(4294967296.0)
     return (
         rows.join(F.broadcast(p) if n <= BROADCAST_CELLS else p, list(_KEYS))
         .withColumns(
@@ -83,7 +98,8 @@ def mix(
                 "tokens": F.col("_tokens"),
                 "weight": F.col("_w"),
                 "probability": F.col("_p"),
-                "sampled": drawn.cast("double") / F.lit(4294967296.0) < F.col("_p"),
+                "sampled": draw < F.col("_p"),
+                "copies": (F.floor("_w") + (draw < F.col("_w") - F.floor("_w")).cast("long")).cast("long"),
             }
         )
         .drop(*_KEYS, "_tokens", "_w", "_p")
