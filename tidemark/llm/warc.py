@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -17,7 +18,7 @@ from tidemark.llm.common import cut, shared_dir, ship
 
 RECORDS = (
     "archive string, position long, length long, status string, reason string, record_type string,"
-    " record_id string, page_id long, refers_to long, payload_length long, payload_digest string, payload binary"
+    " record_id string, page_id long, refers_to long, payload_length long, payload_digest string, payload binary, inner_position long, inner_length long"
 )
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -169,44 +170,120 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
         "payload_length": number(head.get("x-payload-length")) if head["warc-type"] == "revisit" else len(payload),
         "payload_digest": digest,
         "payload": payload,
+        "block": block,
+        "digests": (head.get("warc-block-digest", ""), head.get("warc-payload-digest", "")),
     }, last + 4
 
 
-def _member(data: bytes, at: int) -> tuple[list[dict], int]:
-    """All records of what starts at ``at``: a gzip member or a plain record."""
-    if data[at : at + 2] != b"\x1f\x8b":
-        record, after = parse_record(data, at)
-        return [record], after
-    gz, out, place = zlib.decompressobj(31), [], at
+def _verified(record: dict, digests: tuple[str, ...]) -> bool:
+    """Whether one of the header's ``digests`` proves the block or payload of ``record``."""
+    for want, body in zip(digests, (record["block"], record["payload"]), strict=True):
+        kind, _, value = want.partition(":")
+        if kind == "sha256" and hashlib.sha256(body).hexdigest() == value:
+            return True
+        if kind == "sha1" and value.upper() in (hashlib.sha1(body).hexdigest().upper(), base64.b32encode(hashlib.sha1(body).digest()).decode()):
+            return True
+    return False
+
+
+def _records(raw: bytes, damaged: bool) -> list[dict]:
+    """Rows of the records in ``raw`` and of the gaps between them, with their inner places.
+
+    After a failed check the search goes on at the next version line.  In
+    ``damaged`` data only records whose digest proves them count.
+    """
+    at, gap, why, out = 0, None, "", []
+    while at < len(raw):
+        try:
+            record, after = parse_record(raw, at)
+            if damaged and not _verified(record, record["digests"]):
+                raise ValueError("no digest proves the record")
+        except ValueError as e:
+            if gap is None:
+                gap, why = at, str(e)
+            m = _VERSION.search(raw, at + 1)
+            at = m.start() if m else len(raw)
+            continue
+        if gap is not None:
+            out.append({"status": "gap", "reason": why, "inner_position": gap, "inner_length": at - gap})
+            gap = None
+        out.append(record | {"status": "ok", "reason": None, "inner_position": at, "inner_length": after - at})
+        at = after
+    if gap is not None:
+        out.append({"status": "gap", "reason": why, "inner_position": gap, "inner_length": len(raw) - gap})
+    return out
+
+
+def _inflate(data: bytes, at: int, want: int | None = None) -> tuple[bytes, int, str | None]:
+    """What the gzip member at ``at`` holds, the place after it, and the error that ended it.
+
+    On an error the bytes of the last step are fed one by one, so all that
+    decompresses before it is kept.  With ``want`` it stops at the byte that
+    completes so much output.
+    """
+    gz, out, size, place = zlib.decompressobj(31), [], 0, at
     while not gz.eof:
         if place >= len(data):
-            raise ValueError("gzip member is cut short")
+            return b"".join(out), len(data), "gzip member is cut short"
+        before = gz.copy()
         try:
-            out.append(gz.decompress(data[place : place + 65536]))
-        except zlib.error as e:
-            raise ValueError(f"gzip: {e}") from None
+            part = gz.decompress(data[place : place + 65536])
+            slow = want is not None and size + len(part) >= want
+        except zlib.error:
+            slow = True
+        if slow:
+            gz = before
+            for i in range(place, min(place + 65536, len(data))):
+                try:
+                    part = gz.decompress(data[i : i + 1])
+                except zlib.error as e:
+                    return b"".join(out), i, f"gzip: {e}"
+                out.append(part)
+                size += len(part)
+                if gz.eof or want is not None and size >= want:
+                    return b"".join(out), i + 1, None
+            place += 65536
+            continue
+        out.append(part)
+        size += len(part)
         place += 65536
-    after = min(place, len(data)) - len(gz.unused_data)
-    raw, inner, found = b"".join(out), 0, []
-    while inner < len(raw):
-        record, inner = parse_record(raw, inner)
-        found.append(record)
-    if not found:
-        raise ValueError("empty gzip member")
-    return found, after
+    return b"".join(out), min(place, len(data)) - len(gz.unused_data), None
+
+
+def _member(data: bytes, at: int) -> tuple[list[dict], int, str | None]:
+    """The rows of what starts at ``at``, a gzip member or a plain record, the
+    place after it, and the error if it is damaged; the place is then the one
+    after its last good record.  ValueError if no record passes."""
+    if data[at : at + 2] != b"\x1f\x8b":
+        record, after = parse_record(data, at)
+        return [record | {"status": "ok", "reason": None}], after, None
+    raw, after, error = _inflate(data, at)
+    rows = _records(raw, error is not None and error.startswith("gzip:"))
+    good = [r for r in rows if r["status"] == "ok"]
+    if not good:
+        raise ValueError(error or (rows[0]["reason"] if rows else "empty gzip member"))
+    if error:
+        end = good[-1]["inner_position"] + good[-1]["inner_length"]
+        after = _inflate(data, at, end)[1]
+        rows = [r for r in rows if r["inner_position"] < end]
+    return rows, after, error
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Every record that passes its checks, and a row for each byte gap between them.
 
     When a check fails, the search goes on from the next byte for a gzip magic
-    or a version line at which a whole record passes; what was skipped is one
-    quarantined gap with the first reason.  An empty file gives nothing.
+    or a version line at which a record passes; what was skipped is one
+    quarantined gap with the first reason.  Inside a gzip member the same
+    search runs over the decompressed bytes, as far as they decompress:
+    its rows have the member's position and length, and their own place in
+    inner_position and inner_length.  A damaged member ends at its last good
+    record, and what follows is a gap.  An empty file gives nothing.
     """
     at, gap, why = 0, None, ""
     while at < len(data):
         try:
-            found, after = _member(data, at)
+            found, after, error = _member(data, at)
         except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
@@ -216,9 +293,15 @@ def salvage(data: bytes) -> Iterator[dict]:
         if gap is not None:
             yield {"position": gap, "length": at - gap, "status": "gap", "reason": why}
             gap = None
-        for record in found:
-            yield record | {"position": at, "length": after - at, "status": "ok", "reason": None}
+        for row in found:
+            yield {k: v for k, v in row.items() if k not in ("block", "digests")} | {"position": at, "length": after - at}
         at = after
+        if error and at < len(data):
+            gap, why = at, error
+            m = _START.search(data, at)
+            at = m.start() if m else len(data)
+            if at == gap:
+                gap = None
     if gap is not None:
         yield {"position": gap, "length": len(data) - gap, "status": "gap", "reason": why}
 
@@ -251,7 +334,7 @@ def read_archives(spark: SparkSession, folder: str, names: str = "*.warc*") -> D
 
 def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
     out = pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype="object") for c in columns})
-    for c in ("position", "length", "page_id", "refers_to", "payload_length"):
+    for c in ("position", "length", "page_id", "refers_to", "payload_length", "inner_position", "inner_length"):
         out[c] = out[c].astype("Int64")
     return out
 
