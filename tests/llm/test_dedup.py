@@ -64,8 +64,30 @@ def test_line_dedup(spark):
     got = line_dedup(spark.createDataFrame(rows, DOCS)).select("doc_id", "text", "n_lines", "n_removed").collect()
     assert key(map(tuple, got)) == key(line_oracle(rows))
     assert line_dedup(spark.createDataFrame([], DOCS)).count() == 0
-    extra = spark.createDataFrame([(1, "a b", "x", 3)], "doc_id long, text string, line string, _n int")
-    assert line_dedup(extra).select("text", "line", "_n").first() == ("a b", "x", 3)
+    extra = spark.createDataFrame([(1, "a b\na b", "x", 3, 4, "p", 9)], "doc_id long, text string, line string, _n int, _id2 int, _parts string, n_lines int")
+    out = line_dedup(extra)
+    assert out.columns == ["doc_id", "text", "line", "_n", "_id2", "_parts", "n_lines", "n_removed"]
+    assert out.first() == (1, "a b", "x", 3, 4, "p", 2, 1)
+
+
+def test_line_dedup_long_lines(spark):
+    from tidemark.llm.lines import line_dedup
+
+    rnd = random.Random(8)
+    rows = []
+    for i in range(60):
+        size = rnd.choice([30, 47, 49, 60, 110, 113, 130, 300])
+        words = [f"u{rnd.randrange(4000)}" for _ in range(size)]
+        rows.append((3 * i, " ".join(words), "en", "s", 1))
+        for j in (1, 2):
+            edit = list(words)
+            for _ in range(int(size * rnd.choice([0.02, 0.09, 0.11, 0.12, 0.2]))):
+                edit[rnd.randrange(size)] = f"v{rnd.randrange(10**6)}"
+            edit += [f"t{k}" for k in range(rnd.choice([0, 0, 2, size // 6]))]
+            rows.append((3 * i + j, " ".join(edit), "en", "s", 1))
+    got = line_dedup(spark.createDataFrame(rows, DOCS)).select("doc_id", "text", "n_lines", "n_removed").collect()
+    want = line_oracle(rows)
+    assert key(map(tuple, got)) == key(want) and 30 < sum(r[3] for r in want) < 110
 
 
 def simhash_oracle(rows, words=4, distance=4):
