@@ -86,15 +86,81 @@ def test_toxicity(spark):
     assert toxicity(empty, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
-def test_decode_prefers_the_language():
-    from tidemark.llm.toxicity import _STATES, _classes, decode, restore_word
+def _model(text):
+    from tidemark.llm.toxicity import _STATES, _classes
 
-    c = _classes(" " + "the idiot and the moron met another idiot here " * 50)
+    c = _classes(" " + text + " ")
     counts = np.zeros((_STATES,) * 3)
     np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
-    model = -np.log((counts + 0.01) / (counts.sum(2, keepdims=True) + 0.5))
+    return -np.log((counts + 0.01) / (counts.sum(2, keepdims=True) + 0.5))
+
+
+def test_decode_prefers_the_language():
+    from tidemark.llm.toxicity import decode, restore, restore_word
+
+    model = _model("the idiot and the moron met another idiot here you are an idiot it is a day " * 50)
     assert decode("1d10t", model) == "idiot" and decode("m.0.r.0.n", model) == "moron" and decode("idiiiot", model) == "idiot"
     assert restore_word("worth,", model) == "worth" and restore_word("2024", model) == "2024" and restore_word("", model) == ""
+    # whole words of any length, spaces, line feeds, full stops and neighbours of one letter
+    assert "idiot" in restore_word("a-" * 40 + "1d10t" + "-a" * 40, model)
+    for text in ("id iot", "i\nd\ni\no\nt", "i d i o t.", "a i d i o t", "i d i o t a", "1 d 1 0 t", "x the i.d i.o t here", "y o u a r e a n i d i o t"):
+        assert "idiot" in restore(text, model), text
+    assert "you are an idiot".split() == decode("you_are_an_idiot", model).split()
+    assert restore("it is a day", model) == {"it", "is", "a", "day"}
+    long = "1d10t" * 20000
+    assert len(restore_word(long, model)) == 5 * 20000
+
+
+def test_decode_equals_enumeration():
+    from itertools import product
+
+    from tidemark.llm import toxicity as tx
+
+    model = _model("the idiot and the moron met another idiot here " * 20)
+
+    def costs(run):
+        choices = []
+        for s in run:
+            own = [("stay", s, 0.0), ("again", "", tx._REPEAT)] if s.isalpha() else [("swap", c, tx._SWAP) for c in tx.LEET.get(s, "")]
+            if not s.isalpha():
+                drop = tx._JOIN if s == " " else tx._DROP_DIGIT if s.isdigit() else tx._DROP_LEET if s in tx.LEET else tx._DROP
+                own += [("drop", "", drop)] + ([("gap", " ", 0.0 if s == " " else drop)] if not s.isdigit() else [])
+            choices.append([(s, *o) for o in own])
+        best = None
+        for path in product(*choices):
+            out, cost, ok, c1, c2 = "", 0.0, True, 0, 0
+            for s, kind, c, channel in path:
+                if kind == "again":
+                    ok &= out[-1:] == s
+                elif kind == "gap":
+                    ok &= out[-1:] not in ("", " ")
+                elif kind == "drop" and s == " " and out[-1:] == " ":
+                    channel = 0.0
+                cost += channel
+                if c:
+                    k = 0 if c == " " else int(tx._CLASS[ord(c)])
+                    cost += model[c1, c2, k]
+                    c1, c2, out = c2, k, out + c
+            if ok:
+                cost += 0.0 if out[-1:] == " " else model[c1, c2, 0]
+                if best is None or cost < best[0] - 1e-9:
+                    best = (cost, out)
+        return best
+
+    for run in ("1d10t", "id iot", "m.0ron", "a $t", "iidd", "t 1 e", "th@.e", ""):
+        best = costs(run)
+        assert tx.decode(run, model) == best[1], (run, best)
+
+
+def test_toxicity_without_matching_labels(spark):
+    from tidemark.llm.toxicity import drop_toxic, toxicity
+
+    docs = spark.createDataFrame([(1, "a b", 5), (1, "a b", 5), (None, None, 6)], "doc_id long, text string, _score int")
+    for labels in ([], [(7, 1, 1), (8, 1, 0)], [(1, 1, 1)], [(1, 1, 0), (9, 1, 1)]):
+        table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        got = toxicity(docs, table).collect()
+        assert len(got) == 3 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+        assert drop_toxic(docs, table).columns == docs.columns
 
 
 def test_quality(spark):

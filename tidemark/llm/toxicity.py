@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, ship
+from tidemark.llm.common import cut, fold, ship
 
-#: Fitting looks at no more than about this many labelled documents of each class.
+#: Fitting looks at no more than this many labelled documents of each class.
 FIT_TOXIC, FIT_CLEAN = 4000, 8000
 #: Features that the classifier may hold, and the evidence (G squared) that each must show.
 MAX_FEATURES, MIN_EVIDENCE = 2000, 25.0
@@ -25,12 +25,15 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y",
 }
-#: Channel costs: a sign for a letter, a dropped digit, a dropped sign of LEET, another dropped sign, a repeated letter.
-_SWAP, _DROP_DIGIT, _DROP_LEET, _DROP, _REPEAT = 1.5, 7.0, 4.0, 1.5, 1.0
+#: Channel costs: a sign for a letter, a dropped digit, a dropped sign of LEET, another dropped sign, a repeated letter, a dropped space.
+_SWAP, _DROP_DIGIT, _DROP_LEET, _DROP, _REPEAT, _JOIN = 1.5, 7.0, 4.0, 1.5, 1.0, 1.5
 _STATES = 48
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ._*-]{1,2}[^\W_]){3,}(?!\S)")
+#: Neighbouring words of up to these many signs are decoded together, with the spaces between them.
+SHORT = 3
+#: Words and runs of up to these many signs are remembered; a word of up to WHOLE letters is a feature as a whole.
+CACHED, WHOLE = 64, 32
 _EDGE = re.compile(r"^(?:([^\w\s])\1+|[^\w\s@$])+|(?:([^\w\s])\2+|[^\w\s@$])+$")
-_ODD = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]|(.)\1\1")
+_ODD = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]|(.)\1\1", re.S)
 
 
 def _class_table() -> np.ndarray:
@@ -78,90 +81,120 @@ def char_model(docs: DataFrame, text: str) -> np.ndarray:
     return -np.log((counts + 20 * low) / (counts.sum(2, keepdims=True) + 20))
 
 
-def decode(word: str, model: np.ndarray) -> str:
-    """The likeliest letters behind ``word``, by Viterbi over its character lattice.
+def decode(run: str, model: np.ndarray) -> str:
+    """The likeliest words behind ``run``, by Viterbi over its character lattice.
 
-    Each sign may stay (letters), stand for letters (LEET), or be dropped
-    (signs, digits, and letters that repeat the one before).  A path costs its
-    channel steps and the character model; states are the last two letters.
+    Each sign may stay (letters), stand for letters (LEET), be dropped (signs,
+    digits, and letters that repeat the one before) or end a word (signs).  A
+    space ends a word or is dropped.  A path costs its channel steps and the
+    character model; states are the last letter and the classes of the last two
+    characters, with 0 between words.  Time and memory grow with the length.
     """
-    paths = {("", 0, 0): (0.0, "")}
-    for sign in word:
+    paths = {("", 0, 0): (0.0, None)}
+    for sign in run:
         new: dict = {}
 
-        def put(state, cost, text, new=new):
+        def put(state, cost, trace, new=new):
             if state not in new or cost < new[state][0]:
-                new[state] = (cost, text)
-
-        for (last, a, b), (cost, text) in paths.items():
-            options = [(sign, 0.0)] if sign.isalpha() else [(c, _SWAP) for c in LEET.get(sign, "")]
-            for c, channel in options:
-                k = int(_CLASS[ord(c)]) if ord(c) < 1 << 16 else 0
-                put((c, b, k), cost + channel + model[a, b, k], text + c)
-            if not sign.isalpha():
-                put((last, a, b), cost + (_DROP_DIGIT if sign.isdigit() else _DROP_LEET if sign in LEET else _DROP), text)
-            elif sign == last:
-                put((last, a, b), cost + _REPEAT, text)
+                new[state] = (cost, trace)
+
+        letter, space = sign.isalpha(), sign.isspace()
+        options = [(sign, 0.0)] if letter else [(c, _SWAP) for c in LEET.get(sign, "")]
+        steps = [(c, channel, int(_CLASS[ord(c)]) if ord(c) < 1 << 16 else 0) for c, channel in options]
+        drop = None if letter else _JOIN if space else _DROP_DIGIT if sign.isdigit() else _DROP_LEET if sign in LEET else _DROP
+        for (last, a, b), (cost, trace) in paths.items():
+            for c, channel, k in steps:
+                put((c, b, k), cost + channel + model[a, b, k], (c, trace))
+            if letter:
+                if sign == last:
+                    put((last, a, b), cost + _REPEAT, trace)
+                continue
+            put((last, a, b), cost + (0.0 if space and last == " " else drop), trace)
+            if last not in (" ", "") and not sign.isdigit():
+                put((" ", b, 0), cost + (0.0 if space else drop) + model[a, b, 0], (" ", trace))
         paths = new
-    ends = ((cost + model[a, b, 0], text) for (_, a, b), (cost, text) in paths.items())
-    return min(ends)[1]
+    ends = ((cost + (model[a, b, 0] if last != " " else 0.0), n, trace) for n, ((last, a, b), (cost, trace)) in enumerate(paths.items()))
+    trace, out = min(ends, key=lambda e: e[:2])[2], []
+    while trace:
+        out.append(trace[0])
+        trace = trace[1]
+    return "".join(reversed(out))
 
 
 def restore_word(word: str, model: np.ndarray) -> str:
-    """Letters of one lower-case word; clean words come back without the signs around them."""
+    """What one lower-case word says; clean words come back without the signs around them."""
     core = _EDGE.sub("", word)
     if core.isalpha() and not _ODD.search(core):
         return core
     if not any(c.isalpha() for c in core):
         return core
-    return decode(core[:64], model) + core[64:]
-
-
-def restore(text: str | None, model: np.ndarray, cache: dict | None = None) -> list[str]:
-    """The restored words of a whole text, in order."""
+    return decode(core, model)
+
+
+def short_runs(words: list[str]) -> Iterator[str]:
+    """Runs of two or more neighbouring words of at most SHORT signs, joined by spaces."""
+    run: list[str] = []
+    for w in words:
+        if len(w) <= SHORT:
+            run.append(w)
+            continue
+        if len(run) > 1:
+            yield " ".join(run)
+        if run:
+            run = []
+    if len(run) > 1:
+        yield " ".join(run)
+
+
+def restore(text: str | None, model: np.ndarray, cache: dict | None = None) -> set[str]:
+    """The restored words of a whole text: of each word, and of each run of short words decoded with its spaces."""
     cache = {} if cache is None else cache
-    low = (text or "").lower()
-    words = low.split()
-    extra = []
-    if sum(len(w) == 1 for w in words) >= 4 or "_" in low or "*" in low:
-        extra = [re.sub(r"[\s._*-]", "", m.group()) for m in _SPACED.finditer(low)]
-    out = []
-    for w in [*words, *extra]:
-        if w not in cache:
-            if len(cache) >= WORD_CACHE:
-                cache.clear()
-            cache[w] = restore_word(w, model)
-        out.append(cache[w])
+    words = (text or "").lower().split()
+    out: set[str] = set()
+    for w in [*set(words), *set(short_runs(words))]:
+        own = cache.get(w)
+        if own is None:
+            own = tuple((decode(w, model) if " " in w else restore_word(w, model)).split())
+            if len(w) <= CACHED:
+                if len(cache) >= WORD_CACHE:
+                    cache.clear()
+                cache[w] = own
+        out.update(own)
     return out
 
 
 def _features(word: str) -> list[str]:
-    return [word[:24]] + [f"{word[:n]}*" for n in (4, 5, 6) if len(word) > n]
+    """The word, its first letters, and all its runs of five letters, which cover a word of any length."""
+    whole = [word] if len(word) <= WHOLE else []
+    return whole + [f"{word[:n]}*" for n in (4, 5, 6) if len(word) > n] + [f"~{word[i : i + 5]}" for i in range(1, len(word) - 4)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, where) -> dict:
     """Character model from all texts, and a classifier from a bounded sample of labelled rows."""
     ship(docs.sparkSession)
     model = char_model(docs, text)
-    known = labels.where(where & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
+    known = labels.where(where & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("y") == 1, FIT_TOXIC / max(1, sizes.get(1, 0))).otherwise(FIT_CLEAN / max(1, sizes.get(0, 0)))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_000)) < share * 1_000_000
-    sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known.where(drawn)), "doc_id")
+    base = log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 0.5)) if sizes else -3.0
+    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(n) for y, n in ((1, FIT_TOXIC), (0, FIT_CLEAN))]
+    ids = F.broadcast(drawn[0].union(drawn[1]))  # FIT_TOXIC + FIT_CLEAN rows at most
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sample = cut(texts.join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")))  # one text an id, if ids repeat
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
         for batch in batches:
             rows = []
             for t, y in zip(batch.text, batch.y, strict=True):
-                rows += [(f, y) for f in {f for w in set(restore(t, model, cache)) for f in _features(w)}]
+                rows += [(f, y) for f in {f for w in restore(t, model, cache) for f in _features(w)}]
             yield pd.DataFrame(rows, columns=["f", "y"])
 
-    pos, neg = min(sizes.get(1, 0), FIT_TOXIC), min(sizes.get(0, 0), FIT_CLEAN)
-    p, n = F.col("p"), F.col("n")
-    rate = pos / max(1, pos + neg)
+    found = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    pos, neg = found.get(1, 0), found.get(0, 0)
     if not pos or not neg:
-        return {"model": model, "weights": {}, "bias": log((pos + 0.5) / (neg + 0.5)) if pos + neg else -3.0}
+        return {"model": model, "weights": {}, "bias": base}
+    p, n = F.col("p"), F.col("n")
+    rate = pos / (pos + neg)
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     evidence = 2 * (part(p, (p + n) * rate) + part(n, (p + n) * (1 - rate)))
     found = (
@@ -176,10 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
         for batch in batches:
-            own = [sorted({at[f] for w in set(restore(t, model, cache)) for f in _features(w) if f in at}) for t in batch.text]
+            own = [sorted({at[f] for w in restore(t, model, cache) for f in _features(w) if f in at}) for t in batch.text]
             yield pd.DataFrame({"y": batch.y, "own": own})
 
-    rows = sample.mapInPandas(hits, "y int, own array<int>").collect()  # at most FIT_TOXIC + FIT_CLEAN rows, about
+    rows = sample.mapInPandas(hits, "y int, own array<int>").collect()  # at most FIT_TOXIC + FIT_CLEAN rows
     x = np.zeros((len(rows), len(names)), np.float32)
     for i, r in enumerate(rows):
         x[i, r.own] = 1
@@ -191,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
         w -= 2.0 * (x.T @ d / share_of + 0.01 * w)
         w = np.maximum(w, 0)
         b -= 0.5 * float(d.mean())
-    b += log((sizes[1] / sizes[0]) / (pos / neg))  # the classes' true shares, where the sample has others
+    b += log(((sizes[1] + 0.5) / (sizes[0] + 0.5)) / (pos / neg))  # the classes' true shares, where the sample has others
     return {"model": model, "weights": {f: float(v) for f, v in zip(names, w, strict=True) if v > 0.05}, "bias": b}
 
 
@@ -206,12 +239,14 @@ def scorer(fitted: dict):
             out = []
             for t in batch:
                 own: set = set()
-                for w in set(restore(t, model, cache)):
+                for w in restore(t, model, cache):
                     f = useful.get(w)
                     if f is None:
-                        if len(useful) >= WORD_CACHE:
-                            useful.clear()
-                        f = useful[w] = tuple(g for g in _features(w) if g in weights)
+                        f = tuple(g for g in _features(w) if g in weights)
+                        if len(w) <= CACHED:
+                            if len(useful) >= WORD_CACHE:
+                                useful.clear()
+                            useful[w] = f
                     if f:
                         own.update(f)
                 out.append(1 / (1 + np.exp(-(bias + sum(weights[g] for g in sorted(own))))))
@@ -228,8 +263,10 @@ def toxicity(
 
     Labels are learned only from rows outside the held-out fold; null labels
     and ids are not used.  Null and empty texts get the score of no evidence.
-    Repeated rows are scored each.  Without labels of both classes the score
-    is the base rate.  An empty table gives no rows.
+    Repeated rows are scored each; of texts that share a labelled id the
+    smallest is learned from.  Where labels or the labelled documents lack a
+    class, the score is the labels' base rate (without labels, a low constant).
+    An empty table gives no rows.
     """
     fitted = fit(docs, labels, doc_id, text, label, fold("doc_id", folds) != held_out)
     scored = docs.select(F.col(doc_id).alias("doc_id"), scorer(fitted)(F.col(text)).alias("score"))
@@ -244,4 +281,4 @@ def drop_toxic(
 ) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns; learned as in :func:`toxicity`."""
     fitted = fit(docs, labels, doc_id, text, label, fold("doc_id", folds) != held_out)
-    return docs.withColumn("_score", scorer(fitted)(F.col(text))).where(F.col("_score") < threshold).drop("_score")
+    return docs.where(scorer(fitted)(F.col(text)) < threshold)
