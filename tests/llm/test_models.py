@@ -184,4 +184,14 @@ def test_quality(spark):
     long = "abc DEF!! " * 40000
     a, b = net.pooled(net.tables(), [long, "x"], block=1000), net.pooled(net.tables(), ["x", long])
     assert np.allclose(a[0], b[1]) and np.allclose(a[1], b[0])
+    # against a convolution written out
+    text = "ab C! é12 x\n"
+    raw = text.encode() + b" " * (len(text.encode()) % 2)
+    filters = net.own + np.einsum("bk,jkf->jbf", __import__("tidemark.llm.quality", fromlist=["_KIND"])._KIND, net.shared)
+    direct = [[sum(filters[j, raw[at + j], f] for j in range(len(filters))) for f in range(filters.shape[2])] for at in range(0, len(raw) - len(filters) + 1, 2)]
+    pooled = net.pooled(net.tables(), [text])[0]
+    assert np.allclose(pooled, np.max(direct, axis=0), atol=1e-4) or np.allclose(pooled, np.tanh(np.max(direct, axis=0) + net.bias), atol=1e-4)
+    again = [(0, texts[0])] * 300 + rows[:20]
+    few = quality(spark.createDataFrame(again, "doc_id long, text string"), spark.createDataFrame(labels[:20] * 5, "doc_id long, quality int, toxic int")).collect()
+    assert len(few) == 320 and all(0 <= r.score <= 1 for r in few)
     assert quality(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0

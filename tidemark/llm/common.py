@@ -72,3 +72,18 @@ def text_or_empty(col: str = "text"):
 def fold(doc_id: str, parts: int):
     """crc32 of the id's text modulo ``parts``; a null id counts as fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts, F.lit(0)).cast("int")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, where, most: dict[int, int], seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, y, text) of at most ``most[y]`` labelled documents of each class, and the classes' sizes among the labels.
+
+    The rows with the smallest hashes of their ids are drawn, so the bound is a
+    hard one.  Of texts that share an id the smallest is taken; null ids and
+    labels other than 0 and 1 are left out; a null text counts as empty.
+    """
+    known = labels.where(where & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n) for y, n in most.items()]
+    ids = F.broadcast(drawn[0].union(drawn[1]))  # as many rows as ``most`` says
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return cut(texts.join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))), sizes

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, ship
+from tidemark.llm.common import fold, labelled_sample, ship
 
-#: Fitting uses about this many labelled documents of each class, of at most FIT_BYTES bytes each.
+#: Fitting uses at most this many labelled documents of each class, and of a longer text a window of FIT_BYTES characters.
 FIT_ROWS, FIT_BYTES = 1200, 32_768
 #: A filter sees three byte pairs; the next chunk begins one pair later, so chunks overlap by four bytes.
 PAIRS, FILTERS, EPOCHS, BATCH = 3, 16, 24, 48
@@ -129,15 +129,10 @@ class Net:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, where) -> Net:
     """A net from a bounded sample of labelled rows, trained on the driver."""
-    known = labels.where(where & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("y") == 1, FIT_ROWS / max(1, sizes.get(1, 0))).otherwise(FIT_ROWS / max(1, sizes.get(0, 0)))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000
-    rows = (
-        docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        .where(F.octet_length("text") <= FIT_BYTES)
-        .join(F.broadcast(known.where(drawn)), "doc_id").orderBy("doc_id").select("text", "y").collect()
-    )  # about 2 * FIT_ROWS rows of at most FIT_BYTES; fmt: skip
+    sample, _ = labelled_sample(docs, labels, doc_id, text, label, where, {1: FIT_ROWS, 0: FIT_ROWS}, 3)
+    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - FIT_BYTES, F.lit(0)) + 1).cast("int") + 1
+    window = F.substring("text", place, F.lit(FIT_BYTES)).alias("text")
+    rows = sample.orderBy("doc_id", "y").select(window, "y").collect()  # 2 * FIT_ROWS rows of FIT_BYTES characters at most
     net = Net()
     y = np.array([r.y for r in rows], np.float32)
     if len(rows) and 0 < y.sum() < len(y):

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, fold, ship
+from tidemark.llm.common import fold, labelled_sample, ship
 
 #: Fitting looks at no more than this many labelled documents of each class.
 FIT_TOXIC, FIT_CLEAN = 4000, 8000
@@ -173,13 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     """Character model from all texts, and a classifier from a bounded sample of labelled rows."""
     ship(docs.sparkSession)
     model = char_model(docs, text)
-    known = labels.where(where & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
-    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sample, sizes = labelled_sample(docs, labels, doc_id, text, label, where, {1: FIT_TOXIC, 0: FIT_CLEAN}, 4)
     base = log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 0.5)) if sizes else -3.0
-    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(n) for y, n in ((1, FIT_TOXIC), (0, FIT_CLEAN))]
-    ids = F.broadcast(drawn[0].union(drawn[1]))  # FIT_TOXIC + FIT_CLEAN rows at most
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = cut(texts.join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")))  # one text an id, if ids repeat
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
