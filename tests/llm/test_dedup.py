@@ -310,12 +310,58 @@ def test_packing(spark):
 
 def test_plan_is_near_the_bound():
     import numpy as np
-    from tidemark.llm.packing import plan_sequences
+    from tidemark.llm.packing import plan_sequences, solve_lp
 
     rnd = np.random.default_rng(0)
     sizes = np.minimum(2048, rnd.lognormal(6.3, 0.9, 30000).astype(int) + 1)
     counts = np.bincount(sizes, minlength=2049)
-    plan, n, bound = plan_sequences(counts, 2048)
-    assert bound - 1 <= n <= 1.01 * bound
+    plan, n, bound, by_lp = plan_sequences(counts, 2048)
+    assert bound - 1 <= n <= 1.002 * bound
+    assert by_lp - counts[2048] > 0.6 * (n - counts[2048])  # most sequences are whole patterns of an LP
+    cover, rest = np.zeros(2049), counts.copy()
+    rest[2048] = 0
+    amount, own = solve_lp(rest, 2048)
+    for pattern, x in amount.items():
+        assert sum(pattern) <= 2048
+        np.add.at(cover, list(pattern), x)
+    assert sum(amount.values()) == pytest.approx(own) and (cover >= 0.8 * rest).all()
+    # every piece has its own place, without overlap or gaps
+    for count in (counts, np.bincount([5, 5, 7, 2048, 1], minlength=2049), np.zeros(2049, int)):
+        plan, n, _, _ = plan_sequences(count, 2048)
+        filled = {}
+        for length in np.flatnonzero(count):
+            own = sorted(map(tuple, plan[plan[:, 0] == length]), key=lambda r: r[1])
+            for (_, first, seq, offset), after in zip(own, [r[1] for r in own[1:]] + [count[length]], strict=True):
+                for k in range(after - first):
+                    filled.setdefault(seq + k, []).append((offset, length))
+        assert len(filled) == n
+        for parts in filled.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 2048
     heavy = np.bincount(rnd.integers(700, 1100, 5000), minlength=2049)  # only two of these fit a sequence
     assert plan_sequences(heavy, 2048)[1] == 2500
+
+
+def test_knapsack_by_enumeration():
+    import numpy as np
+    from tidemark.llm.packing import knapsack, price_pattern
+
+    rnd = np.random.default_rng(1)
+    for _ in range(20):
+        used = np.sort(rnd.choice(np.arange(1, 15), 4, replace=False))
+        worth = rnd.random(4)
+        best = knapsack(used, worth, 20)
+
+        def most(space):
+            return max([0.0] + [w + most(space - u) for u, w in zip(used.tolist(), worth, strict=True) if u <= space])
+
+        assert best == pytest.approx([most(c) for c in range(21)])
+        value = dict(zip(used.tolist(), worth, strict=True))
+        for i, first in enumerate(used.tolist()):
+            for slack in (0.0, 0.1):
+                got = price_pattern(first, used, worth, best, np.ones(4), slack, iter(rnd.random, None))
+                assert got[0] == first and sum(got) <= 20
+                assert sum(map(value.get, got)) >= worth[i] + best[20 - first] - slack - 1e-9

@@ -15,6 +15,9 @@ from tidemark.llm.common import cut, ship
 
 #: Distinct words that a Python worker remembers with their ids, as written and in lower case.
 WORD_CACHE = 500_000
+#: Rounds of multiplicative weights and their step; how close to the best a pattern's worth is; how often the LP of the
+#: rest is solved, with half the rounds each time; patterns that leave more of the room free are not rounded to.
+ROUNDS, STEP, NEAR, PASSES, WASTE = 30, 0.2, 0.05, 3, 0.002
 #: Counts of up to this many (task, length) pairs are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 _ODD = re.compile("[\x1c-\x1f\x85]")
@@ -134,62 +137,89 @@ def tokenize(docs: DataFrame, path: str, length: int, end_id: int, doc_id: str,
     return pieces.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def best_pattern(value: np.ndarray, room: int) -> list[int]:
-    """Lengths (repeats allowed) that fit ``room`` with the greatest total value, by dynamic programming."""
-    best, took = np.zeros(room + 1), np.zeros(room + 1, np.int64)
+def knapsack(used: np.ndarray, worth: np.ndarray, room: int) -> np.ndarray:
+    """The greatest total worth of lengths ``used`` (repeats allowed) that fit each room up to ``room``."""
+    best = np.zeros(room + 1)
+    ends = np.searchsorted(used, np.arange(room + 1), side="right")
     for c in range(1, room + 1):
-        total = value[1 : c + 1] + best[c - 1 :: -1][:c]
-        i = int(np.argmax(total))
-        best[c], took[c] = (total[i], i + 1) if total[i] > best[c - 1] else (best[c - 1], 0)
-    out, c = [], room
-    while c > 0:
-        if took[c]:
-            out.append(int(took[c]))
-            c -= int(took[c])
-        else:
-            c -= 1
+        e = ends[c]
+        best[c] = max(best[c - 1], (worth[:e] + best[c - used[:e]]).max()) if e else best[c - 1]
+    return best
+
+
+def price_pattern(first: int, used: np.ndarray, worth: np.ndarray, best: np.ndarray, want: np.ndarray, slack: float, draws) -> list[int]:
+    """A pattern with ``first`` whose worth is within ``slack`` of the best such one.
+
+    It is read off the knapsack's table; of the lengths that keep to the slack
+    one is drawn by ``want``, so that equally good patterns share the demand.
+    """
+    out, space = [first], len(best) - 1 - first
+    while space >= used[0]:
+        e = int(np.searchsorted(used, space, side="right"))
+        loss = best[space] - worth[:e] - best[space - used[:e]]
+        open_ = np.cumsum(np.where(loss <= slack + 1e-12, want[:e], 0.0))
+        if open_[-1] <= 0:  # the best use leaves a place free
+            space -= 1
+            continue
+        i = int(np.searchsorted(open_, next(draws) * open_[-1], side="right"))
+        slack -= max(0.0, float(loss[i]))
+        out.append(int(used[i]))
+        space -= int(used[i])
     return out
 
 
-def solve_lp(counts: np.ndarray, room: int, rounds: int = 400, step: float = 0.15) -> tuple[dict[tuple, float], float]:
+def solve_lp(counts: np.ndarray, room: int, rounds: int = ROUNDS, step: float = STEP) -> tuple[dict[tuple, float], float]:
     """The configuration LP, min sum x_p with every length covered, by multiplicative weights.
 
-    Each round prices the lengths with the weights, finds the pattern of most
-    worth by a knapsack, and adds it until its most frequent length has been
-    covered by a share ``step`` more; lengths that are covered better lose
-    weight.  Returns the patterns' amounts, scaled down so that no length is
-    overfull on average, and the lower bound that the prices prove.
+    A length's price is its share of the room times its weight.  Each round
+    prices the patterns by a knapsack's dynamic program.  Its table gives
+    near-best patterns that hold any given length; they get the round's part of
+    the volume, dealt by the weighted demand of their lengths.  Lengths that
+    this covers better than others lose weight.  Returns the patterns' amounts,
+    scaled to the bound, and the lower bound that the prices prove.
     """
     used = np.flatnonzero(counts)
-    need, weight, covered = counts[used].astype(float), np.ones(len(used)), np.zeros(len(used))
-    amount, bound = {}, float(counts @ np.arange(len(counts))) / room
-    for _ in range(rounds if len(used) else 0):
-        value = np.zeros(room + 1)
-        value[used] = weight / need
-        pattern = best_pattern(value, room)
-        of, times = np.unique(pattern, return_counts=True)
-        at = np.searchsorted(used, of)
-        bound = max(bound, weight.sum() / float((value[of] * times).sum()))
-        add = float(np.min(need[at] / times)) * step
-        amount[tuple(pattern)] = amount.get(tuple(pattern), 0.0) + add
-        covered[at] += add * times / need[at]
-        weight[at] *= np.exp(-add * times / need[at] * 3.0)
+    if not len(used):
+        return {}, 0.0
+    need, size, weight = counts[used].astype(float), used / room, np.ones(len(used))
+    bound = float(need @ size)
+    rng = np.random.default_rng(0)
+    draws = iter(lambda: rng.random(), None)
+    amount: dict[tuple, float] = {}
+    covered = np.zeros(len(used))
+    for number in range(rounds):
+        worth = size * weight
+        best = knapsack(used, worth, room)
+        bound = max(bound, float(worth @ need / best[room]))
+        slack = worth + best[room - used] - (1 - NEAR) * best[room]
+        deal = np.where(slack >= 0, need * worth, 0.0)
+        deal /= deal.sum()
+        gain = np.zeros(len(used))
+        want = need * weight
+        for i in np.flatnonzero(slack >= 0):
+            pattern = price_pattern(int(used[i]), used, worth, best, want, slack[i], draws)
+            np.add.at(gain, np.searchsorted(used, pattern), deal[i])
+            pattern = tuple(sorted(pattern, reverse=True))
+            amount[pattern] = amount.get(pattern, 0.0) + deal[i]
+        covered += gain * (need @ size) / need
+        ahead = covered / (number + 1) - 1
+        weight = np.exp(-step * np.clip(ahead, -1, 4) * (number + 1) ** 0.5)
         weight /= weight.max()
-        if covered.min() >= 1.0 and len(amount) > 3 * len(used):
-            break
-    scale = max(1.0, float((need * covered) @ used) / max(1.0, float(need @ used)))
-    return {p: x / scale for p, x in amount.items()}, bound
+    scale = bound / sum(amount.values())
+    return {p: x * scale for p, x in amount.items()}, bound
 
 
-def plan_sequences(counts: np.ndarray, room: int, rounds: int = 400) -> tuple[np.ndarray, int, float]:
+def plan_sequences(counts: np.ndarray, room: int, rounds: int = ROUNDS) -> tuple[np.ndarray, int, float, int]:
     """Places for all lengths of a histogram: rows (length, first rank, first sequence, offset).
 
     From its first rank on, the pieces of that length go to successive
     sequences at that offset, until the next row of the length begins.  The
-    LP's patterns are used as many whole times as the LP says and the counts
-    allow; what is left goes best-fit into further sequences, pattern by
-    pattern over the histogram.  Also returns the number of sequences and the
-    LP's lower bound.
+    LP's amounts are rounded along their running sum, fullest patterns first,
+    so that the whole times add up to the amounts' sum; a pattern is used as
+    often as the counts still allow.  The LP of what is left is solved and
+    rounded again, and the rest goes best-fit, pattern by pattern.  Also
+    returns the number of sequences, the LP's lower bound, and how many of the
+    sequences are whole patterns of an LP.
     """
     left, given = counts.astype(np.int64).copy(), np.zeros(room + 1, np.int64)
     rows, sequences = [], 0
@@ -206,12 +236,22 @@ def plan_sequences(counts: np.ndarray, room: int, rounds: int = 400) -> tuple[np
 
     if left[room]:
         use((room,), int(left[room]))
-    amount, bound = solve_lp(left, room, rounds)
-    for pattern, x in sorted(amount.items(), key=lambda p: (-sum(p[0]), -p[1])):
-        of, many = np.unique(pattern, return_counts=True)
-        times = min(int(x), int(np.min(left[of] // many)))
-        if times:
-            use(pattern, times)
+    bound = None
+    for again in range(PASSES):
+        amount, own = solve_lp(left, room, max(1, rounds >> again))
+        bound = own if bound is None else bound
+        sum_, before = 0.0, sequences
+        for pattern, x in sorted(amount.items(), key=lambda p: (-sum(p[0]), -p[1], p[0])):
+            times = int(sum_ + x) - int(sum_)
+            sum_ += x
+            if times and sum(pattern) >= (1 - WASTE) * room:
+                of, many = np.unique(pattern, return_counts=True)
+                times = min(times, int(np.min(left[of] // many)))
+                if times:
+                    use(pattern, times)
+        if sequences == before:
+            break
+    by_lp = sequences
     while left.any():
         pattern, space = [], room
         spare = left.copy()
@@ -225,8 +265,7 @@ def plan_sequences(counts: np.ndarray, room: int, rounds: int = 400) -> tuple[np
             space -= n
         of, many = np.unique(pattern, return_counts=True)
         use(tuple(pattern), int(np.min(left[of] // many)))
-    total = int(counts[room]) + bound
-    return np.array(rows, np.int64).reshape(-1, 4), sequences, total
+    return np.array(rows, np.int64).reshape(-1, 4), sequences, int(counts[room]) + bound, by_lp
 
 
 def pack(
@@ -237,7 +276,7 @@ def pack(
     doc_id: str = "doc_id",
     text: str = "text",
     by_word: bool = True,
-    rounds: int = 400,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """Pack whole documents into as few sequences of ``length`` tokens as the LP finds.
 
@@ -257,7 +296,7 @@ def pack(
     counts = np.zeros(length + 1, np.int64)
     for row in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``length`` rows
         counts[row.length] = row.n
-    plan, _, _ = plan_sequences(counts, length, rounds)
+    plan, *_ = plan_sequences(counts, length, rounds)
     order = np.lexsort((plan[:, 1], plan[:, 0]))
     lengths, firsts, sequence, offset = plan[order].T
     ends = np.searchsorted(lengths, np.arange(length + 2))
