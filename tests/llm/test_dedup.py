@@ -259,11 +259,11 @@ def test_mixing(spark, alpha):
     rnd = random.Random(3)
     rows = [(i, "t" * rnd.randint(1, 400), rnd.choice(["en", "de", None]), rnd.choice(["a", "a", "a", "b", "c"]), 1) for i in range(600)]
     got = mix(spark.createDataFrame(rows, DOCS), alpha=alpha).collect()
-    assert len(got) == 600 and all(0 < r.probability <= 1 for r in got)
+    assert len(got) == 600 and all(r.weight > 0 for r in got)
     if alpha == 1.0:
-        assert all(abs(r.probability - 1) < 1e-9 for r in got)
+        assert all(abs(r.weight - 1) < 1e-9 and r.copies == 1 for r in got)
     else:
-        assert sum(r.sampled for r in got) > 300
+        assert sum(r.copies > 0 for r in got) > 300
         for col in ("source", "lang"):
             mass, seen = {}, {}
             for r in got:

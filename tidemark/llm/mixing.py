@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
-ROUNDS, ALPHA, SEED = 10, 0.7, 17
+#: Rounds between two tests of convergence, blocks of rounds at most, and the relative miss of a marginal that ends them.
+ROUNDS, BLOCKS, TOLERANCE = 10, 10, 1e-3
+ALPHA, SEED = 0.7, 17
 _KEYS = ("_source", "_lang", "_topic")
-#: Up to this many cells are broadcast; more are joined by a shuffle.
+#: Up to this many cells are broadcast and scaled by windows; more are joined by shuffles.
 BROADCAST_CELLS = 100_000
 
 
@@ -24,6 +26,11 @@ def topic(text):
     )
 
 
+def _key(column):
+    """A cell's key; null is apart from every value."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
+
+
 def rake(cells: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """Fit the cells' token weights to the marginals' targets.
 
@@ -32,85 +39,89 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA, targets:
     ``targets`` can hold tables (value, share) for some of "source", "lang" and
     "topic" instead; values that no row has are left out before shares are
     brought to sum 1, and values that the table does not name get nothing.
-    A round scales the cells to each marginal in turn.  Only cells are
-    shuffled here, never documents.
+    A round scales the cells to each marginal in turn.  After each ``rounds``
+    rounds the marginals are compared with the targets; fitting ends when all
+    are within TOLERANCE, or after BLOCKS blocks where the cells cannot meet
+    all targets (topics, scaled last, then hold).  Only cells are shuffled
+    here, never documents; up to BROADCAST_CELLS of them are scaled by windows,
+    more by aggregates and joins that no value's cells meet in one task for.
     """
     fitted = cells.withColumn("w", F.col("tokens").cast("double"))
-    total = F.lit(cells.agg(F.sum("tokens")).first()[0] or 0).cast("double")
+    number, all_tokens = cells.agg(F.count("*"), F.sum("tokens")).first()
+    total = F.lit(all_tokens or 0).cast("double")
     for k in _KEYS:
         shares = cells.groupBy(k).agg(F.pow(F.sum("tokens").cast("double"), F.lit(alpha)).alias("_raw"))
         given = (targets or {}).get(k[1:])
         if given is not None:
-            of = given.groupBy(F.coalesce(F.col("value").cast("string"), F.lit("~")).alias(k)).agg(F.sum(F.col("share").cast("double")).alias("_raw"))
+            of = given.groupBy(_key(F.col("value")).alias(k)).agg(F.sum(F.col("share").cast("double")).alias("_raw"))
             shares = cells.select(k).distinct().join(of, k, "left").select(k, F.coalesce("_raw", F.lit(0.0)).alias("_raw"))
         norm = F.lit(shares.agg(F.sum("_raw")).first()[0])
         fitted = fitted.join(shares.select(k, (total * F.col("_raw") / norm).alias(f"target{k}")), k)
-    for i in range(rounds):
-        for k in _KEYS:
-            held = F.sum("w").over(W.partitionBy(k))
-            fitted = fitted.withColumn("w", F.when(held > 0, F.col("w") * F.col(f"target{k}") / held).otherwise(0.0))
-        if i % 5 == 4:
-            fitted = cut(fitted)
+    for _ in range(BLOCKS if number else 0):
+        for i in range(rounds):
+            for k in _KEYS:
+                if number <= BROADCAST_CELLS:
+                    now = fitted.withColumn("_held", F.sum("w").over(W.partitionBy(k)))
+                else:
+                    now = fitted.join(cut(fitted.groupBy(k).agg(F.sum("w").alias("_held"))), k)
+                fitted = now.withColumn("w", F.when(F.col("_held") > 0, F.col("w") * F.col(f"target{k}") / F.col("_held")).otherwise(0.0)).drop("_held")
+            if i % 5 == 4 or i == rounds - 1 or number > BROADCAST_CELLS:
+                fitted = cut(fitted)
+        held = [fitted.groupBy(k).agg(F.sum("w").alias("w"), F.first(f"target{k}").alias("t")) for k in _KEYS]
+        miss = held[0].union(held[1]).union(held[2]).agg(F.max(F.abs(F.col("w") - F.col("t")) / F.greatest(F.col("t"), F.lit(1.0)))).first()[0]
+        if miss <= TOLERANCE:
+            break
     return fitted.withColumn("ratio", F.col("w") / F.col("tokens")).select(*_KEYS, "ratio")
 
 
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
     rounds: int = ROUNDS, alpha: float = ALPHA, seed: int = SEED,
-    targets: dict[str, DataFrame] | None = None, topics: str | None = None,
+    targets: dict[str, DataFrame] | None = None, topics: str = "topic", tokens: str | None = None,
 ) -> DataFrame:
-    """``docs`` with topic, tokens, weight, probability, sampled and copies added.
-
-    tokens is a quarter of the characters, rounded up, at least 1.  A cell's
-    weight is its raked tokens over its own.  A document is drawn ``copies``
-    times: the whole part of its weight, and once more with the rest as
-    probability.  So expected tokens, with copies, meet the targets.  sampled
-    says whether there is any copy, probability how likely that is (the
-    weight, at most 1); rows with sampled, each taken once, are thinned in
-    cells over their target and miss the targets of cells under it.
-    ``targets`` are given shares (see :func:`rake`), ``topics`` names a column
-    of topics, else they follow the surface form.  The draw
-    of a document depends on its id and ``seed`` alone: repeated ids share it,
-    and a rerun or a lost executor changes nothing.  Null sources and
-    languages form cells of their own, a null text counts as empty, null ids
-    draw as an empty id; an empty table gives no rows.
+    """``docs`` with topic, tokens, weight and copies added.
+
+    A cell's weight is its raked tokens over its own.  A document is drawn
+    ``copies`` times: the whole part of its weight, and once more with the rest
+    as probability.  So expected tokens, copies counted, meet the targets.
+    ``targets`` are given shares (see :func:`rake`).  Topics are the column
+    ``topics``, or follow the surface form in a table without it.  ``tokens``
+    names a column of token counts (null or less than 1 counts as 1), else they
+    are a quarter of the characters, rounded up, at least 1.  The draw of a
+    document depends on its id and ``seed`` alone: repeated ids share it, and a
+    rerun or a lost executor changes nothing.  Null sources, languages and
+    topics form cells of their own, a null text counts as empty, null ids draw
+    as an empty id; an empty table gives no rows.  Columns named tokens, weight
+    and copies are replaced; others of any name stay.
     """
     full = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns(
-        {
-            "_source": F.coalesce(F.col(source).cast("string"), F.lit("~")),
-            "_lang": F.coalesce(F.col(lang).cast("string"), F.lit("~")),
-            "_topic": F.coalesce(F.col(topics).cast("string"), F.lit("~")) if topics else topic(full),
-            "_tokens": F.greatest(F.ceil(F.length(full) / 4), F.lit(1)).cast("long"),
-        }
-    )
+    own_topic = F.col(topics).cast("string") if topics in docs.columns else topic(full)
+    counted = F.col(tokens) if tokens else F.ceil(F.length(full) / 4)
+    rows = docs.select(
+        F.struct("*").alias("_row"), _key(F.col(source)).alias("_source"), _key(F.col(lang)).alias("_lang"), _key(own_topic).alias("_topic"),
+        F.greatest(F.coalesce(counted.cast("long"), F.lit(1)), F.lit(1)).cast("long").alias("_tokens"), own_topic.alias("_own"),
+        F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"),
+    )
     cells = cut(rows.groupBy(*_KEYS).agg(F.sum("_tokens").alias("tokens")))
-    ratios = cut(rake(cells, rounds, alpha, targets))
-    n = ratios.count()
-    p = ratios.select(*_KEYS, F.col("ratio").alias("_w"), F.least("ratio", F.lit(1.0)).alias("_p"))
-    drawn = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10)
-    draw = drawn.cast("double") / F.lit(4294967296.0)
-    return (
-        rows.join(F.broadcast(p) if n <= BROADCAST_CELLS else p, list(_KEYS))
-        .withColumns(
-            {
-                "topic": F.col("_topic"),
-                "tokens": F.col("_tokens"),
-                "weight": F.col("_w"),
-                "probability": F.col("_p"),
-                "sampled": draw < F.col("_p"),
-                "copies": (F.floor("_w") + (draw < F.col("_w") - F.floor("_w")).cast("long")).cast("long"),
-            }
-        )
-        .drop(*_KEYS, "_tokens", "_w", "_p")
-    )
+    ratios = cut(rake(cells, rounds, alpha, targets).withColumnRenamed("ratio", "_w"))
+    drawn = F.conv(F.substring(F.md5(F.concat("_id", F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10)
+    more = drawn.cast("double") / F.lit(4294967296.0) < F.col("_w") - F.floor("_w")
+    joined = rows.join(F.broadcast(ratios) if ratios.count() <= BROADCAST_CELLS else ratios, list(_KEYS))
+    made = {"topic": F.col("_own"), "tokens": F.col("_tokens"), "weight": F.col("_w"), "copies": (F.floor("_w") + more.cast("long")).cast("long")}
+    own = {c: F.col("_row").getField(c) for c in docs.columns}
+    return joined.select(*[v.alias(c) for c, v in (own | made).items()])
+
+
+def drawn_rows(mixed: DataFrame) -> DataFrame:
+    """The rows of :func:`mix`, each as often as it was drawn."""
+    return mixed.withColumn("copies", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies")))))
 
 
 def oracle_sql(rounds: int = ROUNDS, alpha: float = ALPHA, seed: int = SEED) -> str:
     """The same in SQL, every scaling step written out."""
     head = f"""
 WITH rows AS (
-  SELECT doc_id, coalesce(source, '~') AS k0, coalesce(lang, '~') AS k1,
+  SELECT doc_id, coalesce('=' || source, '') AS k0, coalesce('=' || lang, '') AS k1,
     CASE WHEN contains(coalesce(text, ''), 'icense') OR contains(coalesce(text, ''), 'ights reserved') THEN 'legal'
       WHEN contains(coalesce(text, ''), ' | ') THEN 'table'
       WHEN contains(coalesce(text, ''), '$$$') OR contains(coalesce(text, ''), '!!') THEN 'markup' ELSE 'prose' END AS k2,
@@ -128,7 +139,7 @@ cells AS (SELECT k0, k1, k2, CAST(sum(tokens) AS DOUBLE) AS t FROM rows GROUP BY
         steps.append(f"s{i + 1} AS MATERIALIZED (SELECT k0, k1, k2, t, g0, g1, g2, w * g{k} / sum(w) OVER (PARTITION BY k{k}) AS w FROM s{i})")
     last = f"s{rounds * 3}"
     return head + ",\n".join(steps) + f"""
-SELECT doc_id, k2 AS topic, tokens, round(least(w / t, 1), 6) AS probability,
-  CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{seed}'), 1, 8)) AS BIGINT) / 4294967296.0
-    < least(w / t, 1) AS sampled
+SELECT doc_id, k2 AS topic, tokens, round(w / t, 6) AS weight,
+  CAST(floor(w / t) AS BIGINT) + CAST(CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{seed}'), 1, 8)) AS BIGINT) / 4294967296.0
+    < w / t - floor(w / t) AS BIGINT) AS copies
 FROM rows JOIN {last} USING (k0, k1, k2)"""

@@ -79,7 +79,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select(
-        "doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled"
+        "doc_id", "topic", "tokens", F.round("weight", 6).alias("weight"), "copies"
     )
 
 
