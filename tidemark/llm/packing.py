@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, ship
 
 #: Distinct words that a Python worker remembers with their ids, as written and in lower case.
-WORD_CACHE = 500_000
+WORD_CACHE = 150_000
 #: Rounds of multiplicative weights and their step; how close to the best a pattern's worth is; how often the LP of the
 #: rest is solved, with half the rounds each time; patterns that leave more of the room free are not rounded to.
 ROUNDS, STEP, NEAR, PASSES, WASTE = 30, 0.2, 0.05, 3, 0.002

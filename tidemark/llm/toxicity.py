@@ -18,7 +18,7 @@ FIT_TOXIC, FIT_CLEAN = 4000, 8000
 #: Features that the classifier may hold, and the evidence (G squared) that each must show.
 MAX_FEATURES, MIN_EVIDENCE = 2000, 25.0
 #: Restored words that a Python worker remembers.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 #: What a sign may stand for (fixed values).
 LEET = {
