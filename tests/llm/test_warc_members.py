@@ -63,3 +63,26 @@ def test_bad_crc_keeps_the_records():
     data = bytearray(gz(b"".join(records())))
     data[-6] ^= 255
     assert ids(bytes(data)) == list(range(8))
+
+
+def test_only_named_archives_count_and_references_resolve(spark, tmp_path):
+    from tidemark.llm.warc import mark_revisits, read_archives, read_manifest, write_archives
+
+    rows = [(i, f"page {i % 7} " * 40) for i in range(40)]
+    folder = f"file://{tmp_path}/warc"
+    marked = mark_revisits(spark.createDataFrame(rows, "page_id long, html string").repartition(3))
+    manifest = write_archives(marked, folder)
+    write_archives(marked.limit(5), folder)  # what another attempt left behind
+    got = read_manifest(manifest, folder).where("status = 'ok'").collect()
+    assert sorted(r.page_id for r in got) == list(range(40))
+    assert read_archives(spark, folder).where("status = 'ok'").count() == 45
+    ids = {r.page_id: r.record_id for r in got}
+    text = b""
+    import gzip
+
+    for file in (tmp_path / "warc").iterdir():
+        if file.name.endswith(".warc.gz"):
+            text += gzip.decompress(file.read_bytes())
+    for r in got:
+        if r.record_type == "revisit":
+            assert b"WARC-Refers-To: " + ids[r.refers_to].encode() + b"\r\n" in text

@@ -20,6 +20,8 @@ RECORDS = (
     "archive string, position long, length long, status string, reason string, record_type string,"
     " record_id string, page_id long, refers_to long, payload_length long, payload_digest string, payload binary, inner_position long, inner_length long"
 )
+#: Up to this many digests are broadcast.
+BROADCAST_ROWS = 1_000_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
@@ -31,20 +33,22 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     A null html is an empty payload.  Of equal payloads of at least
     ``min_bytes`` the smallest page_id is the response; rows that repeat that
     page_id are responses too, and so are all rows of a group whose ids are
-    all null.  The smallest id comes from a partial aggregate; only payloads
-    that occur more than once enter the join.
+    all null.  The smallest id comes from a partial aggregate.  Digests that
+    repeat are sent to all tasks if they are few, so payloads stay where they
+    are; beyond BROADCAST_ROWS they are joined by a shuffle.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("payload_digest", F.sha2("payload", 256))
-    first = (
+    first = cut(
         rows.where(F.octet_length("payload") >= min_bytes)
         .groupBy("payload_digest")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
         .where("n > 1")
         .drop("n")
     )
+    first = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.join(first, "payload_digest", "left").select(
         "page_id",
@@ -55,11 +59,15 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     )
 
 
+def record_id(page_id, digest: str, record_type: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}/{record_type}')}>"
+
+
 def encode_record(page_id, payload: bytes, digest: str, record_type: str, refers_to) -> bytes:
     block = _HTTP + (payload if record_type == "response" else b"")
     head = {
         "WARC-Type": record_type,
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}/{record_type}')}>",
+        "WARC-Record-ID": record_id(page_id, digest, record_type),
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}",
         "WARC-Payload-Digest": f"sha256:{digest}",
@@ -71,17 +79,18 @@ def encode_record(page_id, payload: bytes, digest: str, record_type: str, refers
         head["X-Page-ID"] = str(page_id)
     if record_type == "revisit":
         head["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        head["WARC-Refers-To"] = f"<urn:page:{refers_to}>"
+        head["WARC-Refers-To"] = record_id(refers_to, digest, "response")
+        head["X-Refers-To-Page"] = str(refers_to)
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
 def write_archives(rows: DataFrame, folder: str, archive_mb: int = 16, level: int = 3) -> DataFrame:
     """Write one gzip member per row of :func:`mark_revisits`; returns the manifest.
 
-    Each task writes its own archives, each closed at ``archive_mb``.  A file
-    gets its final name only when it is whole, and a retried task writes the
-    same name again, so a lost executor leaves no half archive.  An empty
-    table gives an empty manifest.
+    Each task writes its own archives, each closed at ``archive_mb``, under
+    names that no other attempt uses.  The manifest holds those of the attempts
+    that Spark committed, so what a lost executor or a second attempt leaves
+    behind is never read.  An empty table gives an empty manifest.
     """
     ship(rows.sparkSession)
 
@@ -95,13 +104,11 @@ def write_archives(rows: DataFrame, folder: str, archive_mb: int = 16, level: in
 
         def close():
             nonlocal held, size, number
-            name = f"{root}/part-{part:05d}-{number:04d}.warc.gz"
-            new = f"{root}/.{uuid.uuid4().hex}.tmp"
-            with store.open_output_stream(new) as out:
+            name = f"part-{part:05d}-{number:04d}-{uuid.uuid4().hex}.warc.gz"
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
                 for member in held:
                     out.write(member)
-            store.move(new, name)
-            done.append((name.rsplit("/", 1)[1], len(held), size))
+            done.append((name, len(held), size))
             held, size, number = [], 0, number + 1
 
         for batch in batches:
@@ -166,7 +173,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
         "record_type": head["warc-type"],
         "record_id": head["warc-record-id"],
         "page_id": number(head.get("x-page-id")),
-        "refers_to": number(head.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")),
+        "refers_to": number(head.get("x-refers-to-page")),
         "payload_length": number(head.get("x-payload-length")) if head["warc-type"] == "revisit" else len(payload),
         "payload_digest": digest,
         "payload": payload,
@@ -306,32 +313,55 @@ def salvage(data: bytes) -> Iterator[dict]:
         yield {"position": gap, "length": len(data) - gap, "status": "gap", "reason": why}
 
 
+def _rows(archives: Iterator[tuple[str, bytes]]) -> Iterator[pd.DataFrame]:
+    """Frames of ``RECORDS`` of about 8 MB from (name, bytes) of archives."""
+    columns = [c.split()[0] for c in RECORDS.split(",")]
+    for name, data in archives:
+        held, size = [], 0
+        for row in salvage(data):
+            held.append(row | {"archive": name})
+            size += len(row.get("payload") or b"")
+            if size > 8 << 20:
+                yield _frame(held, columns)
+                held, size = [], 0
+        if held:
+            yield _frame(held, columns)
+
+
 def read_archives(spark: SparkSession, folder: str, names: str = "*.warc*") -> DataFrame:
     """Rows of ``RECORDS`` from all archives in ``folder``, by any store Spark can read.
 
-    Archives are the unit of work: their size is bounded when they are
-    written (16 MB by default), so a task holds one at a time.
+    Archives are the unit of work: a task holds one at a time, so foreign ones
+    should be of bounded size, as crawls write them.
     """
     ship(spark)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in RECORDS.split(",")]
-        for batch in batches:
-            for path, data in zip(batch.path, batch.content, strict=True):
-                held, size = [], 0
-                for row in salvage(bytes(data)):
-                    held.append(row | {"archive": path.rsplit("/", 1)[1]})
-                    size += len(row.get("payload") or b"")
-                    if size > 8 << 20:
-                        yield _frame(held, columns)
-                        held, size = [], 0
-                if held:
-                    yield _frame(held, columns)
+        return _rows((path.rsplit("/", 1)[1], bytes(data)) for batch in batches for path, data in zip(batch.path, batch.content, strict=True))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder).select("path", "content")
     return files.mapInPandas(read, RECORDS)
 
 
+def read_manifest(manifest: DataFrame, folder: str) -> DataFrame:
+    """Rows of ``RECORDS`` from the archives that a manifest of :func:`write_archives` names, and from no other file."""
+    ship(manifest.sparkSession)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = pafs.FileSystem.from_uri(folder)
+
+        def archives():
+            for batch in batches:
+                for name in batch.archive:
+                    with store.open_input_stream(f"{root}/{name}", compression=None) as file:
+                        yield name, file.read()
+
+        return _rows(archives())
+
+    tasks = max(1, min(manifest.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism))
+    return manifest.select("archive").repartition(tasks, "archive").mapInPandas(read, RECORDS)
+
+
 def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
     out = pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype="object") for c in columns})
     for c in ("position", "length", "page_id", "refers_to", "payload_length", "inner_position", "inner_length"):
@@ -348,5 +378,4 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     folder = shared_dir(spark)
     store, root = pafs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    write_archives(mark_revisits(pages), folder)
-    return read_archives(spark, folder)
+    return read_manifest(write_archives(mark_revisits(pages), folder), folder)
