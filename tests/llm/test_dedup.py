@@ -248,7 +248,14 @@ def test_licenses(spark):
         assert 0 <= r.score <= 1
     for i, t in enumerate(TEMPLATES):
         assert t[0] in got[12 + i].labels.split(","), t
-    assert got[20].labels == "" and got[20].score == 0
+    n = 12 + len(TEMPLATES)
+    assert got[n].labels == "" and got[n].score == 0
+    # an edited notice without its rarest words, a template that starts before the text, and clashing names
+    grant = "Permission is hereby granted, free of charge, to xx xx obtaining a xx"
+    more = spark.createDataFrame([(1, grant, 1), (2, "mit license", 2), (3, "released under the mit license " * 300, 3)], "doc_id long, text string, words int")
+    own = {r.doc_id: r for r in license_scan(more).collect()}
+    assert own[1].labels == "mit-grant" and 0.6 <= own[1].score < 1
+    assert own[2].labels == "mit" and own[3].labels == "mit,mit-notice" and own[3].n_base == 300
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 

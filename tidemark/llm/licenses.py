@@ -23,6 +23,29 @@ TEMPLATES = (
     ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted"),
     ("bsd-grant", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    (
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software"
+        " to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"
+        " and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+        " the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "permission is hereby granted free of charge",
+    ),
+    (
+        "apache-2.0-header",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"
+        " you may obtain a copy of the license at http www apache org licenses license 2 0"
+        " unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"
+        " without warranties or conditions of any kind either express or implied"
+        " see the license for the specific language governing permissions and limitations under the license",
+        "licensed under the apache license version 2 0",
+    ),
+    (
+        "isc-text",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+        " provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and or distribute this software",
+    ),
 )
 
 
@@ -49,8 +72,14 @@ def _places(holds) -> Column:
     return F.filter(every, lambda i: F.coalesce(holds(at=i), F.lit(False)))
 
 
-def _less(places: Column, q: int) -> Column:
-    return F.transform(places, lambda i: i - q)
+def _starts(posting: list[tuple[str, int]]) -> Column:
+    """Places where a template can start: the postings of its words, brought to relative position and intersected."""
+    at = lambda w, q: F.transform(F.filter("hits", lambda x: x["w"] == w), lambda x: x["i"] - q)
+    lists = [at(w, q) for w, q in posting]
+    out = lists[0]
+    for other in lists[1:]:
+        out = F.array_intersect(out, other)
+    return out
 
 
 def _share(d: Column, notice: list[str], phrase: list[str], key: int) -> Column:
@@ -67,13 +96,14 @@ def license_scan(
     """One row per document with its licence words, base places, labels and score.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lowered.
-    IDF of every template word is counted over all documents; the index holds,
-    for each template, the places of its ``anchors`` rarest words.  A file's
-    licence words that are in the index are looked up; each occurrence gives a
-    relative position of the template in the file, and the positions that its
-    other words agree with are scored by the share of template words in place.
-    A label needs that share to reach ``least`` and its mandatory phrase to
-    stand at the aligned place.  Base phrases are searched word by word.
+    IDF of every template word is counted over all documents.  A file's words
+    that are among the ``anchors`` rarest of a template's mandatory phrase are
+    looked up once and posted with their places.  Each posting, less the
+    word's place in the template, is a set of places where the template can
+    start; the sets of its anchors are intersected.  As the whole phrase is
+    mandatory, no place that would pass is missed.  At what is left the phrase
+    is verified and the share of the template's words in place is the score.  A
+    label needs a share of ``least``.  Base phrases are searched word by word.
     score is the best share of an accepted template, and 1 where a base phrase stands.
 
     A null or empty text has no words, null places, empty labels and score 0.
@@ -92,7 +122,12 @@ def license_scan(
     )
     df = {r.w: r.n for r in seen.groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most one row per template word
     idf = {w: log((1 + df.get("", 0)) / (1 + df.get(w, 0))) for w in vocabulary}
-    rare = {t[0]: sorted(set(t[1]), key=lambda w: (-idf[w], w))[:anchors] for t in split}
+    rare = {label: sorted(set(phrase), key=lambda w: (-idf[w], w))[:anchors] for label, _, phrase in split}
+    posted = sorted({w for own in rare.values() for w in own})
+    first = sorted({own[0] for own in rare.values()})  # a file without any of these holds no template
+    some = F.arrays_overlap("words", F.array(*map(F.lit, first)))
+    pairs = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    rows = rows.withColumn("hits", F.when(some, F.filter(pairs, lambda x: F.array_contains(F.array(*map(F.lit, posted)), x["w"]))))
 
     none = F.array().cast("array<int>")
     for phrase, label in BASE_PHRASES.items():
@@ -101,13 +136,11 @@ def license_scan(
 
     shares = []
     for number, (label, notice, phrase) in enumerate(split):
-        posting = [(w, q) for q, w in enumerate(notice) if w in rare[label]]
-        starts = F.array_distinct(F.concat(*[_less(_places(partial(_stands, "words", phrase=[w])), q) for w, q in posting]))
         key = next(i for i in range(len(notice)) if notice[i : i + len(phrase)] == phrase)
-
+        posting = [(w, key + q) for q, w in enumerate(phrase) if w in rare[label]]
         share = partial(_share, notice=notice, phrase=phrase, key=key)
-        present = F.arrays_overlap("words", F.array(*map(F.lit, rare[label])))
-        best = F.when(present & F.array_contains("words", phrase[0]), F.array_max(F.transform(starts, lambda d: share(d))))
+        present = F.array_contains(F.col("hits")["w"], rare[label][0])
+        best = F.when(present, F.array_max(F.transform(_starts(posting), lambda d: share(d))))
         rows = rows.withColumn(f"_share{number}", F.coalesce(best, F.lit(0.0)))
         shares.append((label, f"_share{number}"))
 
@@ -127,8 +160,8 @@ def license_scan(
     )
 
 
-def oracle_sql(templates=TEMPLATES, anchors: int = 3, least: float = 0.6) -> str:
-    """The same scan in SQL, over unnested word places."""
+def oracle_sql(templates=TEMPLATES, least: float = 0.6) -> str:
+    """The same scan in SQL, over all places where a template's phrase begins."""
     upper = "".join(map(chr, range(65, 91)))
     rows = ", ".join(
         f"('{label}', {notice.split()}, {phrase.split()}, {next(i for i in range(len(notice.split())) if notice.split()[i : i + len(phrase.split())] == phrase.split())})"
@@ -143,11 +176,7 @@ WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
   list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 t AS (SELECT * FROM (VALUES {rows}) v(label, notice, phrase, key)),
 u AS (SELECT r, i, w[i + 1] AS x FROM (SELECT r, w, unnest(range(len(w))) AS i FROM d)),
-df AS (SELECT x, count(DISTINCT r) AS n FROM u WHERE x IN (SELECT unnest(notice) FROM t) GROUP BY x),
-idf AS (SELECT x, coalesce(n, 0) AS n FROM (SELECT DISTINCT unnest(notice) AS x FROM t) LEFT JOIN df USING (x)),
-rare AS (SELECT label, x FROM (SELECT DISTINCT label, unnest(notice) AS x FROM t) JOIN idf USING (x) QUALIFY row_number() OVER (PARTITION BY label ORDER BY n, x) <= {anchors}),
-posting AS (SELECT label, x, q FROM (SELECT label, unnest(range(len(notice))) AS q, notice FROM t) JOIN rare USING (label) WHERE notice[q + 1] = x),
-start AS (SELECT DISTINCT r, label, i - q AS s FROM u JOIN posting USING (x)),
+start AS (SELECT DISTINCT r, label, i - key AS s FROM u JOIN t ON x = phrase[1]),
 share AS (SELECT r, label, max(list_sum(list_transform(range(len(notice)), lambda q: CASE WHEN s + q >= 0 AND w[s + q + 1] = notice[q + 1] THEN 1 ELSE 0 END)) / len(notice)) AS best
   FROM start JOIN t USING (label) JOIN d USING (r)
   WHERE s + key >= 0 AND list_sum(list_transform(range(len(phrase)), lambda j: CASE WHEN w[s + key + j + 1] = phrase[j + 1] THEN 1 ELSE 0 END)) = len(phrase) GROUP BY ALL),
