@@ -19,9 +19,15 @@ def test_near_vectors(spark):
     graph_shard, graph.SHARD = graph.SHARD, 300
     try:
         df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
-        got = {r.vec_id: r for r in graph.near_vectors(df).collect()}
+        audits = []
+        got = {r.vec_id: r for r in graph.near_vectors(df, report=audits).collect()}
+        held, graph.LEAST_RECALL = graph.LEAST_RECALL, 2.0
+        wider = []
+        some = [(i, rows[i % 350][1] if i < 350 else [x + 0.01 for x in rows[i - 350][1]], 0) for i in range(450)]
+        graph.near_vectors(spark.createDataFrame(some, df.schema), report=wider).count()
     finally:
-        graph.SHARD = graph_shard
+        graph.SHARD, graph.LEAST_RECALL = graph_shard, held
+    assert [a[0] for a in wider] == list(graph.OVERLAPS) and audits[-1][1] >= 0.97 * audits[-1][2] > 0
     u = v.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     hit = (u @ u.T >= 0.93) & (np.array(label)[:, None] == np.array(label)[None])
@@ -30,6 +36,8 @@ def test_near_vectors(spark):
     links = np.array([got[i].n_links for i in range(n)])
     assert (links <= want).all()
     assert links.sum() >= 0.97 * want.sum(), (links.sum(), want.sum())
+    queries = [i for i in range(0, n, 20)]
+    assert links[queries].sum() >= 0.97 * want[queries].sum()
     part = list(range(n))
 
     def root(i):
@@ -47,6 +55,15 @@ def test_near_vectors(spark):
     assert graph.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_repeated_vector_ids(spark):
+    from tidemark.llm.graph import near_vectors
+
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.99, 0.1]
+    rows = [(1, x, 0), (1, y, 0), (2, x, 0), (5, z, 0), (7, [0.0, 0.0, 1.0], 0)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (5, 1, 1, False), (7, 0, 7, True)]
+
+
 def _texts(n, seed):
     rnd = random.Random(seed)
     syllables = ["an", "er", "tion", "th", "on", "es", "ing", "re"]

@@ -16,6 +16,8 @@ from tidemark.llm.components import connected_components
 SHARD, FIT_ROWS = 1500, 4000
 #: Out-degree after pruning, candidates before it, random long links among them, pruning slack, beam width.
 DEGREE, CANDIDATES, LONG, SLACK, BEAM = 20, 40, 8, 1.2, 24
+#: Shards that each vector goes to, in turn, until the audit finds enough of the links of its queries.
+OVERLAPS, LEAST_RECALL, AUDITED = (2, 4), 0.97, 2000
 #: Splitting rounds; centroids of up to this many shards travel with the tasks, more are joined.
 ROUNDS, CARRIED = 5, 1024
 
@@ -37,12 +39,12 @@ def _kmeans(v: np.ndarray, k: int, seed: int = 0, rounds: int = 8) -> np.ndarray
     return centers.astype(np.float32)
 
 
-def shards(points: DataFrame) -> DataFrame:
+def shards(points: DataFrame, overlap: int = OVERLAPS[0]) -> DataFrame:
     """Deal (node, size, label, vec) into overlapping shards of at most about SHARD members.
 
     A shard starts as a label and is split by centroids that are fitted on a
-    bounded sample of it (about FIT_ROWS members); every member goes to its two
-    nearest.  What is still too large after ROUNDS, a ball that no centroid
+    bounded sample of it (about FIT_ROWS members); every member goes to its
+    ``overlap`` nearest.  What is still too large after ROUNDS, a ball that no centroid
     splits, is dealt by hash so that each pair of its tiles becomes a shard:
     nothing is dropped, and no task gets more than a bounded number of rows.
     """
@@ -61,7 +63,7 @@ def shards(points: DataFrame) -> DataFrame:
         def centers(group: pd.DataFrame) -> pd.DataFrame:
             n = int(group.n.iloc[0])
             group = group.sort_values("node")
-            c = _kmeans(_unit(group.vec), int(np.clip(-(-3 * n // SHARD), 2, 64)))
+            c = _kmeans(_unit(group.vec), int(np.clip(-(-3 * overlap * n // (2 * SHARD)), 2 * overlap - 2, 32 * overlap)))
             return pd.DataFrame({"shard": [group.shard.iloc[0]], "centers": [c.tobytes()]})
 
         fitted = cut(rest.where(drawn).groupBy("shard").applyInPandas(centers, "shard string, centers binary"))
@@ -73,12 +75,12 @@ def shards(points: DataFrame) -> DataFrame:
                     raw = carried[shard] if carried is not None else own.centers.iloc[0]
                     v = _unit(own.vec)
                     c = np.frombuffer(raw, np.float32).reshape(-1, v.shape[1])
-                    near = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :2]
+                    near = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :overlap]
                     for j in range(near.shape[1]):
                         yield own[["node", "size", "label", "vec"]].assign(shard=[f"{shard}/{x}" for x in near[:, j]])
 
         source = rest.drop("n") if carried is not None else rest.drop("n").join(fitted, "shard")
-        schema = "node long, size long, label string, vec array<float>, shard string"
+        schema = f"node long, size long, label string, vec {points.schema['vec'].dataType.simpleString()}, shard string"
         split = source.withColumn("label", F.col("label").cast("string")).mapInPandas(deal, schema)
         state = cut(split.dropDuplicates(["node", "shard"]))
     if state is not None:
@@ -214,36 +216,39 @@ def _smallest(found: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
-    """One row per vector: (vec_id, n_links, component_id, kept).
+def audit(classes: DataFrame, told: DataFrame, least: float, most: int = AUDITED) -> tuple[int, int]:
+    """Links of a query set that were found, and all that there are by brute force.
 
-    ``vectors`` has (vec_id, embedding, label); other columns are ignored.
-    Only vectors of one non-null label are compared, by cosine in double
-    precision.  Null and zero vectors, vectors with null or non-finite
-    components, and vectors without a label or id link with nothing and are
-    their own component.  Equal vectors are one class, whose members all link
-    to each other; classes, not copies, enter the graph.  Vectors of another
-    length than their label's most common one are compared among themselves
-    (length is part of the label).  An empty table gives no rows.
-
-    The graph is built on overlapping shards; a node's lists from its shards
-    are united; greedy range-expanding searches run in every shard over the
-    united lists.  A pair that meets in several shards is counted in the first
-    of them only.  Rows that leave a shard are one per member: its verified
-    number of links and the smallest node it reaches there.
+    The queries are classes whose node is divisible by 20, at most ``most`` of
+    them (those with the smallest hashes), against every class of their label:
+    one pass over all rows, with the bounded query set in every task.
+    ``told`` has (node, links), members of other classes that the search found.
     """
-    ship(vectors.sparkSession)
-    good = F.expr(
-        "vec_id is not null and label is not null and embedding is not null and size(embedding) > 0"
-        " and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(embedding, x -> x <> 0)"
-    )
-    rows = vectors.select("vec_id", "embedding", F.col("label").cast("string").alias("label")).withColumn("good", F.coalesce(good, F.lit(False)))
-    # -0.0 becomes 0.0, so that equal vectors are equal arrays
-    rows = cut(rows.withColumn("vec", F.when(F.col("good"), F.transform("embedding", lambda x: x.cast("float") + F.lit(0.0).cast("float")))).drop("embedding"))
-    classes = cut(
-        rows.where("good").groupBy("label", "vec").agg(F.min("vec_id").cast("long").alias("node"), F.count("*").alias("size"))
-    )
-    dealt = shards(classes.select("node", "size", F.concat_ws("#", "label", F.size("vec")).alias("label"), "vec"))
+    drawn = classes.where(F.col("node") % 20 == 0).orderBy(F.xxhash64("node", F.lit(5)), "node").limit(most)
+    queries: dict[str, tuple] = {}
+    for r in drawn.collect():  # ``most`` rows
+        queries.setdefault(r.label, ([], []))
+        queries[r.label][0].append(r.node)
+        queries[r.label][1].append(np.array(r.vec, np.float64))
+    units = {k: (np.array(nodes), _unit(vecs)) for k, (nodes, vecs) in queries.items()}
+
+    def count(batches):
+        for batch in batches:
+            for label, own in batch.groupby("label"):
+                if label in units:
+                    nodes, u = units[label]
+                    hit = u @ _unit(own.vec).T >= least
+                    hit &= nodes[:, None] != own.node.to_numpy()[None]
+                    yield pd.DataFrame({"node": nodes, "all": hit @ own["size"].to_numpy()})
+
+    want = classes.select("node", "size", "label", "vec").mapInPandas(count, "node long, all long").groupBy("node").agg(F.sum("all").alias("all"))
+    row = want.join(told.groupBy("node").agg(F.sum("links").alias("links")), "node").agg(F.sum("links"), F.sum("all")).first()
+    return int(row[0] or 0), int(row[1] or 0)
+
+
+def _told(classes: DataFrame, overlap: int, least: float) -> DataFrame:
+    """(node, links, low) of every member of every shard: its links that count there, and the smallest node it reaches there."""
+    dealt = shards(classes, overlap)
     homes = dealt.groupBy("node").agg(F.sort_array(F.collect_set("shard")).alias("homes"))  # a few shards a node
 
     def adjacency(group: pd.DataFrame) -> pd.DataFrame:
@@ -279,13 +284,85 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
         count = (found & ~first) @ size
         return pd.DataFrame({"node": nodes, "links": count.astype(np.int64), "low": lows})
 
-    told = cut(ready.groupBy("shard").applyInPandas(links, "node long, links long, low long"))
+    return cut(ready.groupBy("shard").applyInPandas(links, "node long, links long, low long"))
+
+
+def audit(classes: DataFrame, told: DataFrame, least: float, most: int = AUDITED) -> tuple[int, int]:
+    """Links of a query set that were found, and all that there are by brute force.
+
+    The queries are classes whose smallest id is divisible by 20, at most
+    ``most`` of them (those with the smallest hashes), against every class of
+    their label: one pass over all rows, with the bounded query set in every task.
+    """
+    drawn = classes.where(F.col("first_id") % 20 == 0).orderBy(F.xxhash64("node", F.lit(5)), "node").limit(most)
+    queries: dict[str, tuple[list, list]] = {}
+    for r in drawn.select("node", "label", "vec").collect():  # ``most`` rows
+        nodes, vecs = queries.setdefault(r.label, ([], []))
+        nodes.append(r.node)
+        vecs.append(r.vec)
+    units = {label: (np.array(nodes), _unit(vecs)) for label, (nodes, vecs) in queries.items()}
+
+    def count(batches):
+        for batch in batches:
+            for label, own in batch.groupby("label"):
+                if label in units:
+                    nodes, u = units[label]
+                    hit = (u @ _unit(own.vec).T >= least) & (nodes[:, None] != own.node.to_numpy()[None])
+                    yield pd.DataFrame({"node": nodes, "every": hit @ own["size"].to_numpy()})
+
+    every = classes.select("node", "size", "label", "vec").mapInPandas(count, "node long, every long").groupBy("node").agg(F.sum("every").alias("every"))
+    found = every.join(told.groupBy("node").agg(F.sum("links").alias("links")), "node").agg(F.sum("links"), F.sum("every")).first()
+    return int(found[0] or 0), int(found[1] or 0)
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.93, report: list | None = None) -> DataFrame:
+    """One row per vector: (vec_id, n_links, component_id, kept).
+
+    ``vectors`` has (vec_id, embedding, label); other columns are ignored.
+    Only vectors of one non-null label are compared, by cosine in double
+    precision.  Null and zero vectors, vectors with null or non-finite
+    components, and vectors without a label or id link with nothing and are
+    their own component.  Equal vectors are one class, whose members all link
+    to each other; classes, not copies, enter the graph.  Vectors of another
+    length than their label's most common one are compared among themselves
+    (length is part of the label).  An empty table gives no rows.
+
+    The graph is built on overlapping shards; a node's lists from its shards
+    are united; greedy range-expanding searches run in every shard over the
+    united lists.  A pair that meets in several shards is counted in the first
+    of them only.  Rows that leave a shard are one per member: its verified
+    number of links and the smallest node it reaches there.  Then the links of a
+    query set are counted by brute force (:func:`audit`).  If fewer than
+    LEAST_RECALL of them were found, the graph is built again with every vector
+    in more shards, up to the last of OVERLAPS.  ``report``, a list, gets
+    (overlap, links found, links there are) of each audit.  Rows that repeat a
+    vec_id with different vectors are classes apart: each counts its own links,
+    and component_id is the smallest id that a class reaches.
+    """
+    ship(vectors.sparkSession)
+    good = F.expr(
+        "vec_id is not null and label is not null and embedding is not null and size(embedding) > 0"
+        " and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(embedding, x -> x <> 0)"
+    )
+    kind = "double" if vectors.schema["embedding"].dataType.simpleString() == "array<double>" else "float"
+    rows = vectors.select("vec_id", "embedding", F.col("label").cast("string").alias("label")).withColumn("good", F.coalesce(good, F.lit(False)))
+    # -0.0 becomes 0.0, so that equal vectors are equal arrays
+    rows = cut(rows.withColumn("vec", F.when(F.col("good"), F.transform("embedding", lambda x: x.cast(kind) + F.lit(0.0).cast(kind)))).drop("embedding"))
+    grouped = rows.where("good").groupBy("label", "vec").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("size"))
+    classes = cut(grouped.withColumn("node", F.monotonically_increasing_id()))
+    within = classes.withColumn("label", F.concat_ws("#", "label", F.size("vec")))
+    for overlap in OVERLAPS:
+        told = _told(within.select("node", "size", "label", "vec"), overlap, least)
+        found, there = audit(within, told, least)
+        if report is not None:
+            report.append((overlap, found, there))
+        if found >= LEAST_RECALL * there:
+            break
     parts = connected_components(told.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     totals = told.groupBy("node").agg(F.sum("links").alias("links"))
-    known = (
-        classes.join(totals, "node").join(parts, "node", "left")
-        .select("label", "vec", (F.col("links") + F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    )
+    named = classes.join(totals, "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    known = named.join(names, "component").select("label", "vec", (F.col("links") + F.col("size") - 1).alias("n_links"), "component_id")
     linked = rows.where("good").join(known, ["label", "vec"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
