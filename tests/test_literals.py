@@ -172,3 +172,27 @@ def test_signal_hold(spark):
 def test_lake_needs_a_filter(spark, tmp_path):
     with pytest.raises(ValueError):
         bars.lake_delete(spark, str(tmp_path))
+
+
+def test_symbol_texts(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import scalars as S
+
+    one = lambda f, *cols: tuple(spark.createDataFrame([cols], ", ".join(f"c{i} string" for i in range(len(cols)))).select(f(*[F.col(f"c{i}") for i in range(len(cols))]).alias("o")).first().o)
+    split = {"BTCFDUSD": ("BTC", "FDUSD"), "ABCXYZW": ("ABC", "XYZW"), "ABCDE": ("ABCDE", "USDT"), "USDT": ("", "USDT"), "SOLXRP": ("SOL", "XRP")}
+    for text, want in split.items():
+        assert one(S.venue_split, text) == want, text
+    product = {" tbtc-usdt ": ("BTC", "BTCUSDT", "USDT"), "btc": (None, None, "BTC"), "eth/brl": ("ETH", "ETHBRL", "BRL"), "": (None, None, None), "doge": ("DOGE", None, None)}
+    product["btc"] = ("BTC", None, None)
+    for text, want in product.items():
+        assert one(S.product_text, text) == want, text
+    assert "".join(one(S.pair_name, "xbt", "usd", "x")) == "BTCUSD"
+    assert "".join(one(S.pair_name, None, "usd", "eth-usdt-SWAP")) == "ETHUSDT"
+
+
+def test_lake_delete_wants_partitions(spark, tmp_path):
+    from tidemark.operators import bars
+
+    with pytest.raises(ValueError):
+        bars.lake_delete(spark, str(tmp_path), open="1")

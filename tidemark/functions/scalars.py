@@ -101,3 +101,41 @@ def book_sum(levels: Column, k: int, positive: bool = True) -> Column:
     if positive:
         top = F.filter(top, lambda x: (x.price > 0) & (x.qty > 0))
     return F.aggregate(top, F.lit(0.0), lambda a, x: a + x.price * x.qty)
+
+
+#: Quotes of venue symbols and of product texts, in the order in which they are tried (fixed values).
+VENUE_QUOTES = ["FDUSD", "USDT", "USDC", "BUSD", "TUSD", "USDP", "USDS", "USD", "EUR", "GBP", "TRY", "KRW", "JPY", "AUD", "CAD", "BTC", "ETH", "BNB", "SOL", "XRP"]
+PRODUCT_QUOTES = ["USDT", "USDC", "FDUSD", "USD", "TRY", "EUR", "BTC", "ETH", "BNB", "BRL", "KRW", "JPY", "GBP", "AUD", "CAD"]
+
+
+def _first_suffix(s: Column, quotes: list[str]) -> Column:
+    return F.coalesce(*[F.when(s.endswith(q), F.lit(q)) for q in quotes])
+
+
+def venue_split(symbol: Column) -> Column:
+    """struct(base, quote) of a canonical symbol: by a known quote, else the last four letters of six or more, else USDT."""
+    known = _first_suffix(symbol, VENUE_QUOTES)
+    size = F.length(symbol)
+    quote = F.coalesce(known, F.when(size >= 6, F.right(symbol, F.lit(4))), F.lit("USDT"))
+    base = F.when(known.isNotNull() | (size >= 6), F.left(symbol, size - F.length(quote))).otherwise(symbol)
+    return F.struct(base.alias("base"), quote.alias("quote"))
+
+
+def plain_symbol(raw: Column) -> Column:
+    """A symbol as typed, without white space around it, leading small t and separators, in capitals."""
+    return F.upper(F.translate(F.regexp_replace(F.trim(raw), "^t+", ""), "-/_:", ""))
+
+
+def product_text(raw: Column) -> Column:
+    """struct(base, symbol, quote) of a typed product: symbol and quote only where a known quote ends it; an empty text has none."""
+    clean = plain_symbol(raw)
+    quote = F.coalesce(*[F.when(clean.endswith(q) & (F.length(clean) > len(q)), F.lit(q)) for q in PRODUCT_QUOTES])
+    base = F.when(quote.isNotNull(), F.left(clean, F.length(clean) - F.length(quote))).when(clean != "", clean)
+    return F.struct(base.alias("base"), F.when(quote.isNotNull(), clean).alias("symbol"), quote.alias("quote"))
+
+
+def pair_name(base: Column, quote: Column, fallback: Column) -> Column:
+    """One name of a pair; XBT counts as BTC; without base or quote the fallback, less its contract suffix and separators."""
+    own = F.when(F.upper(base) == "XBT", "BTC").otherwise(F.upper(base))
+    bare = F.upper(F.translate(F.regexp_replace(fallback, "[-_](SWAP|PERP)", ""), "-_/:", ""))
+    return F.when(base.isNotNull() & quote.isNotNull(), F.concat(own, F.upper(quote))).otherwise(bare)

@@ -106,24 +106,34 @@ def manifest_query(manifest: DataFrame, limit: int = 200, **filters) -> DataFram
     return manifest.orderBy(F.desc("last_ts"), *BAR, "day").limit(limit)
 
 
+LAKE_PARTS = ["domain", "exchange", "market", "symbol", "interval", "candle_type", "day"]
+
+
 def lake_write(bars: DataFrame, root: str, candle_type: str = "spot") -> None:
     """Append bars to the Hive layout domain/exchange/market/symbol/interval/candle_type/day."""
     out = bars.withColumns({"domain": F.lit("klines"), "candle_type": F.lit(candle_type), "day": S.utc_day(F.col("open_time_ms"))})
     for c in ("exchange", "market", "symbol"):
         out = out.withColumn(c, S.path_value(F.col(c)))
-    parts = ["domain", "exchange", "market", "symbol", "interval", "candle_type", "day"]
-    out.repartition(*parts).sortWithinPartitions("open_time_ms").write.mode("append").partitionBy(*parts).parquet(root)
+    out.repartition(*LAKE_PARTS).sortWithinPartitions("open_time_ms").write.mode("append").partitionBy(*LAKE_PARTS).parquet(root)
 
 
 def lake_delete(spark, root: str, **filters) -> DataFrame:
-    """Delete the lake partitions that match; refuses to run without a filter; returns what went."""
+    """Delete the lake partitions that match; refuses to run without a filter; returns what went.
+
+    Filters name partition columns, so only matching folders are listed and
+    read, and of those only the file names.  A folder outside ``root`` is an error.
+    """
     filters = {k: v for k, v in filters.items() if v not in (None, "")}
-    if not filters:
-        raise ValueError("a filter is required")
-    lake = spark.read.parquet(root)
-    hit = lake.where(" and ".join(f"{k} = '{str(v).replace(chr(39), '')}'" for k, v in filters.items()))
+    if not filters or not set(filters) <= set(LAKE_PARTS):
+        raise ValueError(f"a filter on some of {', '.join(LAKE_PARTS)} is required")
+    hit = spark.read.parquet(root)
+    for k, v in filters.items():
+        hit = hit.where(F.col(k).cast("string") == F.lit(str(v)))
     found = hit.groupBy(F.regexp_replace(F.input_file_name(), "/[^/]+$", "").alias("path")).agg(F.countDistinct(F.input_file_name()).alias("files"), F.count("*").alias("rows"))
     gone = found.collect()  # one row per partition folder that goes
+    where = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).toUri().getPath().rstrip("/") + "/"
+    if any(not where(r.path).startswith(where(root)) for r in gone):
+        raise ValueError(f"a partition lies outside {root}")
     for r in gone:
         path = spark._jvm.org.apache.hadoop.fs.Path(r.path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

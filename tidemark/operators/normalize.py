@@ -175,8 +175,7 @@ def dead_letters(raw: DataFrame, needed: list[str]) -> DataFrame:
 
 def venue_symbols(symbols: DataFrame) -> DataFrame:
     """The canonical symbol in each venue's own form."""
-    s = S.split_symbol(F.col("symbol"), ["FDUSD", "USDT", "USDC", "USD", "BTC", "ETH", "EUR"])
-    out = symbols.withColumn("s", s).select("symbol", F.col("s.base").alias("b"), F.coalesce("s.quote", F.lit("")).alias("q"))
+    out = symbols.withColumn("s", S.venue_split(F.col("symbol"))).select("symbol", F.col("s.base").alias("b"), F.col("s.quote").alias("q"))
     b, q = F.col("b"), F.col("q")
     xb = F.when(b == "BTC", "XBT").otherwise(b)
     forms = {

@@ -127,6 +127,7 @@ def cross_market(ticks: DataFrame, require_both: bool = True) -> DataFrame:
 
 
 def market_cap(latest_signals: DataFrame, limit: int = 100) -> DataFrame:
-    """Rank by latest market cap, before the limit."""
-    rows = latest_signals.where("metric = 'market_cap' and value is not null")
-    return rows.select("source", "symbol", "value", F.row_number().over(W.orderBy(F.desc("value"), "source", "symbol")).alias("rank")).where(F.col("rank") <= limit)
+    """The largest latest market caps with their ranks; only the ``limit`` rows that stay are ranked in one place."""
+    order = [F.desc("value"), "source", "symbol"]
+    rows = latest_signals.where("metric = 'market_cap' and value is not null").orderBy(*order).limit(limit)
+    return rows.select("source", "symbol", "value", F.row_number().over(W.orderBy(*order)).alias("rank"))

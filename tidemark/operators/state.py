@@ -103,7 +103,7 @@ def transfers_view(df: DataFrame, source=None, chain=None, asset=None, min_amoun
 
 
 def instrument_id(symbol: Column, market: Column) -> Column:
-    s = S.split_symbol(symbol, ["USDT", "USDC", "USD", "BTC", "ETH"])
+    s = S.split_symbol(F.regexp_replace(F.trim(symbol), "^t+", ""), ["USDT", "USDC", "USD", "BTC", "ETH"])
     return F.concat_ws("-", s.base, s.quote, F.upper(market))
 
 

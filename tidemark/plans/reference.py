@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars as S
 from tidemark.operators import bars, books, contracts, coverage, flow, listings, normalize, scoring, state
 from tidemark.plans.market import _OFI, K, last, now, ticks
 from tidemark.plans.registry import D1, R, register, rounded
@@ -186,6 +187,26 @@ register("norm_transfers", lambda s, d: rounded(normalize.normalize_transfers(A.
 register("venue_symbols", lambda s, d: normalize.venue_symbols(ticks(s, d).select("symbol").distinct()), "WITH vs AS (SELECT DISTINCT symbol, substr(symbol,1,length(symbol)-4) AS b FROM lt), vx AS (SELECT *, CASE WHEN b='BTC' THEN 'XBT' ELSE b END AS x FROM vs) SELECT symbol, 'binance' AS venue, symbol AS venue_symbol FROM vx UNION ALL SELECT symbol, 'okx', b || '-USDT' FROM vx UNION ALL SELECT symbol, 'okx_swap', b || '-USDT-SWAP' FROM vx UNION ALL SELECT symbol, 'kraken', b || '/USDT' FROM vx UNION ALL SELECT symbol, 'gate', b || '_USDT' FROM vx UNION ALL SELECT symbol, 'bitfinex', 't' || b || 'USDT' FROM vx UNION ALL SELECT symbol, 'bitfinex_perp', 't' || b || 'F0:USTF0' FROM vx UNION ALL SELECT symbol, 'kucoin_perp', x || 'USDTM' FROM vx UNION ALL SELECT symbol, 'kraken_perp', 'PF_' || x || 'USD' FROM vx UNION ALL SELECT symbol, 'hyperliquid', b FROM vx")
 
 
+_SUFFIXES = ["FDUSD", "USDT", "-USDC", "BUSD", "TUSD", "USDP", "/USDS", "_USD", "EUR", "GBP", ":TRY", "KRW", "JPY", "AUD", "CAD", "BTC", "-ETH-SWAP", "BNB", "SOL", "XRP", "BRL", "ABCD", "", "_PERP"]
+
+
+def typed(s, d):
+    """Symbols as people type them, from the keys of the parts."""
+    key = F.col("p_partkey")
+    base = F.when(key % 7 == 0, "xbt").otherwise(F.substring(F.md5(key.cast("string").cast("binary")), 1, 3))
+    suffix = F.get(F.array(*map(F.lit, _SUFFIXES)), (key % len(_SUFFIXES)).cast("int"))
+    rows = s.read.parquet(f"{d}/part.parquet").select("p_partkey", base.alias("base"), suffix.alias("suffix"))
+    return rows.select("p_partkey", "base", "suffix", F.concat(F.when(key % 5 == 0, " t").otherwise(""), "base", "suffix").alias("raw"))
+
+
+_TYPED = "WITH ty AS (SELECT p_partkey, base, suffix, CASE WHEN p_partkey % 5 = 0 THEN ' t' ELSE '' END || base || suffix AS raw FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'xbt' ELSE substr(md5(p_partkey::VARCHAR),1,3) END AS base, " + str(_SUFFIXES) + f"[p_partkey % {len(_SUFFIXES)} + 1] AS suffix FROM part)), tc AS (SELECT *, upper(translate(regexp_replace(trim(raw), '^t+', ''), '-/_:', '')) AS c FROM ty) "
+_VENUE = "coalesce(" + ", ".join(f"CASE WHEN c LIKE '%{q}' THEN '{q}' END" for q in S.VENUE_QUOTES) + ")"
+_PRODUCT = "coalesce(" + ", ".join(f"CASE WHEN c LIKE '_%{q}' THEN '{q}' END" for q in S.PRODUCT_QUOTES) + ")"
+register("venue_split", lambda s, d: typed(s, d).withColumn("c", S.plain_symbol(F.col("raw"))).withColumn("s", S.venue_split(F.col("c"))).select("p_partkey", F.col("c").alias("symbol"), "s.base", "s.quote"), _TYPED + f", ts AS (SELECT *, {_VENUE} AS k FROM tc) SELECT p_partkey, c AS symbol, CASE WHEN k IS NOT NULL THEN left(c, length(c)-length(k)) WHEN length(c) >= 6 THEN left(c, length(c)-4) ELSE c END AS base, coalesce(k, CASE WHEN length(c) >= 6 THEN right(c, 4) END, 'USDT') AS quote FROM ts")
+register("product_text", lambda s, d: typed(s, d).withColumn("s", S.product_text(F.col("raw"))).select("p_partkey", "raw", "s.*"), _TYPED + f", ts AS (SELECT *, {_PRODUCT} AS k FROM tc) SELECT p_partkey, raw, CASE WHEN k IS NOT NULL THEN left(c, length(c)-length(k)) WHEN c <> '' THEN c END AS base, CASE WHEN k IS NOT NULL THEN c END AS symbol, k AS quote FROM ts")
+register("pair_names", lambda s, d: typed(s, d).select("p_partkey", S.pair_name(F.when(F.col("p_partkey") % 2 == 0, F.col("base")), F.when(F.col("p_partkey") % 3 > 0, F.lit("usdt")), F.concat("base", "suffix")).alias("pair")), _TYPED + "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 > 0 THEN CASE WHEN base = 'xbt' THEN 'BTC' ELSE upper(base) END || 'USDT' ELSE upper(translate(regexp_replace(base || suffix, '[-_](SWAP|PERP)', '', 'g'), '-_/:', '')) END AS pair FROM tc")
+
+
 def unified(s, d):
     q = A.quotes(s, d).select(F.lit("quote").alias("type"), "exchange", "market", "symbol", "ts_ms", F.to_json(F.struct("event_id")).alias("payload"))
     g = A.signals(s, d).select(F.lit("signal").alias("type"), F.col("source").alias("exchange"), F.lit(None).cast("string").alias("market"), "symbol", "ts_ms", F.to_json(F.struct("event_id")).alias("payload"))
