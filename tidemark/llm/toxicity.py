@@ -11,14 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, labelled_sample, ship
+from tidemark.llm.common import cut, fold, labelled_sample, ship
 
 #: Fitting looks at no more than this many labelled documents of each class.
 FIT_TOXIC, FIT_CLEAN = 4000, 8000
 #: Features that the classifier may hold, and the evidence (G squared) that each must show.
 MAX_FEATURES, MIN_EVIDENCE = 2000, 25.0
-#: Restored words that a Python worker remembers.
-WORD_CACHE = 200_000
+#: Restored words that a Python worker remembers, and features that it counts before it sends their counts on.
+WORD_CACHE, HELD = 100_000, 200_000
 
 #: What a sign may stand for (fixed values).
 LEET = {
@@ -176,25 +176,34 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     sample, sizes = labelled_sample(docs, labels, doc_id, text, label, where, {1: FIT_TOXIC, 0: FIT_CLEAN}, 4)
     base = log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 0.5)) if sizes else -3.0
 
-    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def said(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
         for batch in batches:
-            rows = []
-            for t, y in zip(batch.text, batch.y, strict=True):
-                rows += [(f, y) for f in {f for w in restore(t, model, cache) for f in _features(w)}]
-            yield pd.DataFrame(rows, columns=["f", "y"])
+            yield pd.DataFrame({"y": batch.y, "said": [" ".join(sorted(restore(t, model, cache))) for t in batch.text]})
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict = {}
+        frame = lambda: pd.DataFrame([(f, p, n) for f, (p, n) in counts.items()], columns=["f", "p", "n"])
+        for batch in batches:
+            for t, y in zip(batch.said, batch.y, strict=True):
+                for f in {f for w in t.split() for f in _features(w)}:
+                    counts.setdefault(f, [0, 0])[1 - y] += 1
+                if len(counts) >= HELD:
+                    yield frame()
+                    counts.clear()
+        yield frame()
 
     found = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = found.get(1, 0), found.get(0, 0)
     if not pos or not neg:
         return {"model": model, "weights": {}, "bias": base}
+    sample = cut(sample.mapInPandas(said, "y int, said string"))  # each text is restored once
     p, n = F.col("p"), F.col("n")
     rate = pos / (pos + neg)
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     evidence = 2 * (part(p, (p + n) * rate) + part(n, (p + n) * (1 - rate)))
     found = (
-        sample.mapInPandas(seen, "f string, y int").groupBy("f")
-        .agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+        sample.mapInPandas(seen, "f string, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
         .where((p > (p + n) * rate) & (evidence >= MIN_EVIDENCE))
         .orderBy(evidence.desc(), "f").limit(MAX_FEATURES).collect()
     )
@@ -202,9 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     at = {f: i for i, f in enumerate(names)}
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict = {}
         for batch in batches:
-            own = [sorted({at[f] for w in restore(t, model, cache) for f in _features(w) if f in at}) for t in batch.text]
+            own = [sorted({at[f] for w in t.split() for f in _features(w) if f in at}) for t in batch.said]
             yield pd.DataFrame({"y": batch.y, "own": own})
 
     rows = sample.mapInPandas(hits, "y int, own array<int>").collect()  # at most FIT_TOXIC + FIT_CLEAN rows
