@@ -83,11 +83,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.negatives import hard_negatives, quantised
+
+    vectors = quantised(table(spark, sf_dir, "embeddings"), relabel=7)
+    return hard_negatives(vectors, lambda vec_id: vec_id % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_best_fit_packing, op3_quality, op4_toxicity, op5_near_vectors, op6_line_dedup, op7_simhash,
-        op8_license_scan, op9_exact_dedup, op10_mixing,
+        op8_license_scan, op9_exact_dedup, op10_mixing, op11_hard_negatives,
     )
 }
 
@@ -106,4 +113,20 @@ FROM p LEFT JOIN f USING (payload_digest)""",
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other_id,
+    list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id, row_number() OVER w AS rank, n.other_id AS negative_id,
+  p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id)
+QUALIFY rank <= 5""",
 }
