@@ -90,6 +90,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors, lambda vec_id: vec_id % 100 == 0)
 
 
+def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.suffixes import suffix_tree_scores
+
+    return suffix_tree_scores(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.spelling import variants, words
 
@@ -100,7 +106,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_best_fit_packing, op3_quality, op4_toxicity, op5_near_vectors, op6_line_dedup, op7_simhash,
-        op8_license_scan, op9_exact_dedup, op10_mixing, op11_hard_negatives, op13_spelling,
+        op8_license_scan, op9_exact_dedup, op10_mixing, op11_hard_negatives, op12_suffix_tree, op13_spelling,
     )
 }
 
