@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators import scans
 from tidemark.operators.state import KEY
 
 
@@ -56,14 +56,13 @@ def weakest_ratio(latest_books: DataFrame) -> DataFrame:
     return out.groupBy("symbol").agg(F.min("r").alias("weakest_ratio"))
 
 
-def ofi(books: DataFrame) -> DataFrame:
+def ofi(books: DataFrame, width_ms: int = scans.WIDTH) -> DataFrame:
     """Best-level order-flow imbalance between consecutive perp books, in quote notional."""
-    w = W.partitionBy("exchange", "symbol").orderBy("ts_ms", "event_id")
     top = books.where("market = 'perp' and size(bids) > 0 and size(asks) > 0").select(
         "event_id", "exchange", "symbol", "ts_ms", F.col("bids")[0].price.alias("bp"), F.col("bids")[0].qty.alias("bq"),
         F.col("asks")[0].price.alias("ap"), F.col("asks")[0].qty.alias("aq"),
     )
-    prev = top.withColumns({f"p_{c}": F.lag(c).over(w) for c in ("bp", "bq", "ap", "aq")}).where("p_bp is not null")
+    prev = scans.neighbours(top, ("exchange", "symbol"), before={f"p_{c}": c for c in ("bp", "bq", "ap", "aq")}, width_ms=width_ms).where("p_bp is not null")
     bid = F.when(F.col("bp") > F.col("p_bp"), F.col("bq")).when(F.col("bp") < F.col("p_bp"), -F.col("p_bq")).otherwise(F.col("bq") - F.col("p_bq"))
     ask = F.when(F.col("ap") < F.col("p_ap"), F.col("aq")).when(F.col("ap") > F.col("p_ap"), -F.col("p_aq")).otherwise(F.col("aq") - F.col("p_aq"))
     mid = F.coalesce(S.mid_uncrossed(F.col("bp"), F.col("ap")), F.lit(1.0))

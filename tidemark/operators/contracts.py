@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import scans
+
 
 def parse_options(df: DataFrame) -> DataFrame:
     """Currency, expiry, strike and type of an instrument name (BASE-EXPIRY-STRIKE-C|P[-QUOTE])."""
@@ -85,13 +86,11 @@ def token_ids(m: DataFrame) -> DataFrame:
     return m.select(F.explode(F.from_json("clob_token_ids", "array<string>")).alias("token_id")).distinct()
 
 
-def prediction_state(events: DataFrame) -> DataFrame:
+def prediction_state(events: DataFrame, width_ms: int = scans.WIDTH) -> DataFrame:
     """Book state after every event: a ``book`` resets all, patches overwrite what they carry."""
-    w = W.partitionBy("asset_id").orderBy("ts_ms", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    epoch = events.withColumn("_e", F.count_if(F.col("event_type") == "book").over(w))
-    own = W.partitionBy("asset_id", "_e").orderBy("ts_ms", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    out = epoch.withColumns({c: F.last(c, ignorenulls=True).over(own) for c in ("best_bid", "best_ask", "bid_depth", "ask_depth")})
-    return out.withColumn("spread", F.col("best_ask") - F.col("best_bid")).drop("_e")
+    fields = {c: c for c in ("best_bid", "best_ask", "bid_depth", "ask_depth")}
+    out = scans.last_known(events, ("asset_id",), fields, F.col("event_type") == "book", width_ms=width_ms)
+    return out.withColumn("spread", F.col("best_ask") - F.col("best_bid"))
 
 
 def prediction_latest(events: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators import scans
 from tidemark.operators.state import KEY
 
 BUCKET = (*KEY, "window_ms", "bucket_start_ms")
@@ -141,9 +142,8 @@ def tick_rate(quotes: DataFrame, interval_ms: int = 1000) -> DataFrame:
     return out.select("market", "symbol", "exchange", "bucket_start_ms", F.round(F.col("n") / (interval_ms / 1000)).cast("long").alias("rate"))
 
 
-def oi_change(open_interest: DataFrame) -> DataFrame:
+def oi_change(open_interest: DataFrame, width_ms: int = scans.WIDTH) -> DataFrame:
     """Change against the last tick of the key, where that was positive."""
-    before = F.lag("open_interest").over(W.partitionBy("exchange", "symbol").orderBy("ts_ms", "event_id"))
-    out = open_interest.withColumn("prev", before).where("prev > 0")
+    out = scans.neighbours(open_interest, ("exchange", "symbol"), before={"prev": "open_interest"}, width_ms=width_ms).where("prev > 0")
     d = F.col("open_interest") - F.col("prev")
     return out.select("exchange", "symbol", "event_id", "ts_ms", "open_interest", d.alias("delta"), (d / F.col("prev") * 100).alias("change_pct"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators import scans
 from tidemark.operators.state import in_set
 
 
@@ -101,22 +102,22 @@ def watchlist(extremes: DataFrame) -> DataFrame:
     return extremes.select("symbol").distinct().orderBy("symbol")
 
 
-def typical_interval(points: DataFrame, keys=("exchange", "symbol")) -> DataFrame:
+def typical_interval(points: DataFrame, keys=("exchange", "symbol"), width_ms: int = scans.WIDTH) -> DataFrame:
     """The upper middle of the positive steps between points; 0 where there are none."""
-    step = F.col("ts_ms") - F.lag("ts_ms").over(W.partitionBy(*keys).orderBy("ts_ms", "event_id"))
-    steps = points.withColumn("d", step).groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("d") > 0, F.col("d")))).alias("ds"))
-    return steps.select(*keys, F.when(F.size("ds") > 0, F.element_at("ds", F.floor(F.size("ds") / 2).cast("int") + 1)).otherwise(0).cast("long").alias("interval_ms"))
+    steps = scans.neighbours(points.select(*keys, *scans.ORDER), keys, before={"prev": "ts_ms"}, width_ms=width_ms).withColumn("d", F.col("ts_ms") - F.col("prev"))
+    middle = scans.upper_middle(steps.where("d > 0"), keys, "d", "interval_ms")
+    return points.select(*keys).distinct().join(middle, list(keys), "left").select(*keys, F.coalesce("interval_ms", F.lit(0)).alias("interval_ms"))
 
 
-def funding_runs(points: DataFrame, threshold_pct: float = -0.2, min_run_hours: float = 0.0, keys=("exchange", "symbol")) -> DataFrame:
+def funding_runs(points: DataFrame, threshold_pct: float = -0.2, min_run_hours: float = 0.0, keys=("exchange", "symbol"), width_ms: int = scans.WIDTH) -> DataFrame:
     """Maximal runs of points at or under the threshold.
 
     A run ends at the next point; the last run of a key ends one step after
     its last point.
     """
-    w = W.partitionBy(*keys).orderBy("ts_ms", "event_id")
-    low = F.col("pct") <= threshold_pct
-    out = points.withColumns({"nxt": F.lead("ts_ms").over(w), "prv": F.lag("ts_ms").over(w), "run": F.count_if(~low).over(w.rowsBetween(W.unboundedPreceding, 0))})
+    low = F.coalesce(F.col("pct") <= threshold_pct, F.lit(False))
+    out = scans.neighbours(points, keys, before={"prv": "ts_ms"}, after={"nxt": "ts_ms"}, width_ms=width_ms)
+    out = scans.running_count(out, keys, ~low, "run", width_ms=width_ms)
     end = F.coalesce("nxt", F.col("ts_ms") + F.greatest(F.col("ts_ms") - F.col("prv"), F.lit(0)), F.col("ts_ms"))
     runs = out.where(low).groupBy(*keys, "run").agg(
         F.min("ts_ms").alias("start_ms"), F.max_by(end, F.struct("ts_ms", "event_id")).alias("end_ms"), F.count("*").alias("points"), F.min("pct").alias("min_pct"), F.max("pct").alias("max_pct")

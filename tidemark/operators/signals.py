@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators import scans
 
 
 def best_pair(legs: DataFrame, keys: tuple[str, ...], sell: str, buy: str) -> DataFrame:
@@ -82,14 +83,13 @@ def book_signal(prices, fees=None, mode="taker", slippage_bps=0.5, min_profit=1.
     return out.withColumn("eligible", (F.col("net") >= min_profit) & (F.col("net_bps") >= min_bps))
 
 
-def signal_state(signals: DataFrame, keys: tuple[str, ...], hold_ms: int = 500) -> DataFrame:
+def signal_state(signals: DataFrame, keys: tuple[str, ...], hold_ms: int = 500, order: tuple[str, ...] = ("ts_ms",), width_ms: int = scans.WIDTH) -> DataFrame:
     """FILTERED, HOLDING or TRIGGER for every report (ts_ms, eligible) of a key."""
-    w = W.partitionBy(*keys).orderBy("ts_ms").rowsBetween(W.unboundedPreceding, 0)
-    run = F.count_if(~F.col("eligible")).over(w)
-    start = F.min(F.when(F.col("eligible"), F.col("ts_ms"))).over(W.partitionBy(*keys, "_run"))
-    out = signals.withColumn("_run", run).withColumn("_start", start)
+    near = scans.neighbours(signals, keys, before={"_was": "eligible"}, order=order, width_ms=width_ms)
+    starts = near.withColumn("_at", F.when(F.col("eligible") & ~F.coalesce("_was", F.lit(False)), F.col("ts_ms")))
+    out = scans.last_known(starts, keys, {"_start": "_at"}, order=order, width_ms=width_ms)
     state = F.when(~F.col("eligible"), "FILTERED").when(F.col("ts_ms") - F.col("_start") >= hold_ms, "TRIGGER").otherwise("HOLDING")
-    return out.withColumn("state", state).drop("_run", "_start")
+    return out.withColumn("state", state).drop("_was", "_at", "_start")
 
 
 def fee_tier(volumes: DataFrame, tiers: DataFrame) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators import scans
 
 KEY = ("exchange", "market", "symbol")
 
@@ -160,12 +160,11 @@ def event_counts(*typed: tuple[str, DataFrame]) -> DataFrame:
     return out
 
 
-def asof_mid(events: DataFrame, quotes: DataFrame) -> DataFrame:
+def asof_mid(events: DataFrame, quotes: DataFrame, width_ms: int = scans.WIDTH) -> DataFrame:
     """Each event with the mid of the last quote of its key at or before it."""
     q = quotes.select(*KEY, "ts_ms", "event_id", S.mid_uncrossed(F.col("bid"), F.col("ask")).alias("mid"), F.lit(0).alias("kind"))
     e = events.select(*KEY, "ts_ms", "event_id", F.lit(None).cast("double").alias("mid"), F.lit(1).alias("kind"))
-    w = W.partitionBy(*KEY).orderBy("ts_ms", "event_id", "kind").rowsBetween(W.unboundedPreceding, 0)
-    both = q.unionByName(e).withColumn("asof_mid", F.last("mid", ignorenulls=True).over(w))
+    both = scans.last_known(q.unionByName(e), KEY, {"asof_mid": "mid"}, order=("ts_ms", "event_id", "kind"), width_ms=width_ms)
     return both.where("kind = 1").select(*KEY, "event_id", "asof_mid")
 
 
