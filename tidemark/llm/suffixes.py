@@ -10,10 +10,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tidemark.llm.common import cut, drop_cut, fold, shared_dir, ship
 
@@ -27,39 +27,64 @@ class Tree:
     gain: float = 10.0  # nats by which a context must predict better than its suffix, each occurrence left out in turn
     discount: float = 0.75  # taken off each count of a state and given to its suffix
     hot: int = 4_000_000  # contexts of more occurrences are split by the symbol that follows
-    chunk_tokens: int = 2_000_000  # tokens that a task encodes with one vocabulary
+    chunk_tokens: int = 1_000_000  # tokens that a task encodes with one vocabulary
 
     def sections(self, n: np.ndarray) -> np.ndarray:
         """Into how many sections a context of n occurrences is split."""
         return np.maximum(1, -(-n // self.hot))
 
 
+#: About so many words of all chunks are counted at once.
+PART_WORDS = 250_000
 #: The context in front of a text.
 _BEGIN = np.int64(-7046029254386353131)
 
 
+def _packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Runs of an array as binary values."""
+    ends = pa.py_buffer((starts * values.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, ends, pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column, and how many each value holds."""
+    one = column.combine_chunks()
+    one = pa.concat_arrays(one.chunks) if isinstance(one, pa.ChunkedArray) else one
+    ends = np.frombuffer(one.buffers()[1], np.int32)[one.offset : one.offset + len(one) + 1] if len(one) else np.zeros(1, np.int32)
+    data = np.frombuffer(one.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint8)
+    return data.view(kind), np.diff(ends) // np.dtype(kind).itemsize
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(sizes))
+
+
+_ENCODED = "chunk long, doc_id {}, held_out boolean, ids binary, hashes binary, learned binary"
+
+
 def _encode(chunk_tokens: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as numbers of a vocabulary of their chunk: rows of documents, then rows of words with their training counts."""
+    """Texts as numbers of a vocabulary of their chunk, a row each, and a row with the words' hashes and training counts."""
     part, number = TaskContext.get().partitionId(), 0
-    held: list[tuple[pa.Array, np.ndarray]] = []  # ids and folds of batches
+    held: list[tuple[pa.Array, np.ndarray]] = []  # ids and folds
     codes: list[np.ndarray] = []
     known: dict[bytes, int] = defaultdict()
     known.default_factory = known.__len__
 
-    def give() -> Iterator[pa.RecordBatch]:
-        chunk = (part << 24) + number
-        sizes = np.array([len(c) for c in codes])
-        out = np.concatenate([x for _, x in held])
-        flat = np.concatenate(codes)
-        ids = pa.concat_arrays([x for x, _ in held])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat))
-        none = lambda kind, n: pa.nulls(n, kind)
-        names = ["chunk", "doc_id", "held_out", "ids", "at", "word", "n"]
+    def give() -> pa.RecordBatch:
+        sizes, flat = np.array([len(c) for c in codes]), np.concatenate(codes)
+        ids, out = pa.concat_arrays([x for x, _ in held]), np.concatenate([x for _, x in held])
+        seen = np.bincount(flat[np.repeat(~out, sizes)], minlength=len(known)).astype(np.int64)
+        hashes = np.fromiter(map(xxh64_intdigest, known), np.uint64, len(known))
         n = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), ids, pa.array(out), lists, none(pa.int32(), n), none(pa.binary(), n), none(pa.int64(), n)], names=names)
-        seen = np.bincount(flat[np.repeat(~out, sizes)], minlength=len(known))
-        n = len(known)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), none(ids.type, n), none(pa.bool_(), n), none(lists.type, n), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(known), pa.binary()), pa.array(seen, pa.int64())], names=names)
+        whole = np.array([0, len(known)])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(n + 1, (part << 24) + number)), pa.concat_arrays([ids, pa.nulls(1, ids.type)]), pa.concat_arrays([pa.array(out), pa.nulls(1, pa.bool_())]),
+                pa.concat_arrays([_packed(flat, _starts(sizes)), pa.nulls(1, pa.binary())]), pa.concat_arrays([pa.nulls(n, pa.binary()), _packed(hashes, whole)]),
+                pa.concat_arrays([pa.nulls(n, pa.binary()), _packed(seen, whole)]),
+            ],
+            names=["chunk", "doc_id", "held_out", "ids", "hashes", "learned"],
+        )
 
     total = 0
     for batch in batches:
@@ -73,13 +98,63 @@ def _encode(chunk_tokens: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
                 held.append((batch.column(0).slice(start, row + 1 - start), batch.column(1).slice(start, row + 1 - start).to_numpy(zero_copy_only=False)))
                 start = row + 1
             if total >= chunk_tokens:
-                yield from give()
+                yield give()
                 held.clear()
                 codes.clear()
                 known.clear()
                 number, total = number + 1, 0
     if codes:
-        yield from give()
+        yield give()
+
+
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (hashes.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+
+
+def _by_part(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk's vocabulary cut by hash."""
+    for batch in batches:
+        for chunk, hashes, learned in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            h, n = np.frombuffer(hashes, np.int64), np.frombuffer(learned, np.int64)
+            part = _part(h, parts)
+            order = np.argsort(part, kind="stable")
+            sizes = np.bincount(part, minlength=parts)
+            starts = _starts(sizes)
+            out = pa.RecordBatch.from_arrays([pa.array(np.full(parts, chunk)), pa.array(np.arange(parts)), _packed(h[order], starts), _packed(n[order], starts)], names=["chunk", "part", "hashes", "learned"])
+            yield out.filter(pa.array(sizes > 0))
+
+
+def _totals(rows: pa.Table) -> pa.Table:
+    """Training counts over all chunks, in each chunk's order, and a row of sums of the part."""
+    h, sizes = _flat(rows.column("hashes"), np.int64)
+    words, at = np.unique(h, return_inverse=True)
+    c = np.bincount(at, weights=_flat(rows.column("learned"), np.int64)[0], minlength=len(words)).astype(np.int64)
+    n = len(rows)
+    sums = [c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()]
+    return pa.table({
+        "chunk": pa.array([*rows.column("chunk").to_pylist(), None], pa.int64()), "part": pa.array([*rows.column("part").to_pylist(), None], pa.int64()),
+        "totals": pa.concat_arrays([_packed(c[at], _starts(sizes)), pa.nulls(1, pa.binary())]),
+        **{k: pa.array([None] * n + [int(v)], pa.int64()) for k, v in zip(("n", "v", "once", "twice"), sums, strict=True)},
+    })
+
+
+def _whole_groups(work, keys: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``work`` on rows sorted by ``keys``; a group that a batch may cut in two waits for the next.
+
+    The groups of a batch are worked on together.
+    """
+    waiting: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+        values = [rows.column(k).to_numpy() for k in keys]
+        changes = np.nonzero(np.any([v[1:] != v[:-1] for v in values], axis=0))[0]
+        whole = changes[-1] + 1 if len(changes) else 0
+        if whole:
+            yield from work(rows.slice(0, whole)).to_batches()
+        waiting = rows.slice(whole)
+    if waiting is not None and len(waiting):
+        yield from work(waiting).to_batches()
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,25 +194,16 @@ def _questions(chunk: int, pairs: Pairs, learned: np.ndarray, parent: np.ndarray
     """A row for each context and section: its symbols here, their training counts and their probabilities under the suffix."""
     groups = pairs.group_of[-1]
     owner = np.repeat(np.arange(len(pairs.keys)), np.diff(pairs.group_of))
-    lists = lambda v: pa.ListArray.from_arrays(pa.array(pairs.starts, pa.int32()), pa.array(v))
     counts = np.bincount(pairs.at, weights=learned, minlength=len(pairs.key)).astype(np.int32)
     return pa.table({
         "chunk": np.full(groups, chunk), "key": pairs.keys[owner], "section": (np.arange(groups) - pairs.group_of[owner]).astype(np.int32), "n": pairs.key_n[owner],
-        "symbols": lists(pairs.symbol), "counts": lists(counts), "parents": lists(parent[pairs.first].astype(np.float32)),
+        "symbols": _packed(pairs.symbol, pairs.starts), "counts": _packed(counts, pairs.starts), "parents": _packed(parent[pairs.first].astype(np.float32), pairs.starts),
     })
 
 
-_QUESTION = "chunk long, key long, section int, n long, symbols array<long>, counts array<int>, parents array<float>"
-_ANSWER = "chunk long, key long, section int, counts array<int>, gain double, kinds long"
-_ANSWERED = pa.schema({"chunk": pa.int64(), "key": pa.int64(), "section": pa.int32(), "counts": pa.list_(pa.int32()), "gain": pa.float64(), "kinds": pa.int64()})
-
-
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column, and the length of each list."""
-    one = column.combine_chunks()
-    one = pa.concat_arrays(one.chunks) if isinstance(one, pa.ChunkedArray) else one
-    ends = one.offsets.to_numpy()
-    return one.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], np.diff(ends)
+_QUESTION = "chunk long, key long, section int, n long, symbols binary, counts binary, parents binary"
+_ANSWER = "chunk long, key long, section int, counts binary, gain double, kinds long"
+_ANSWERED = pa.schema({"chunk": pa.int64(), "key": pa.int64(), "section": pa.int32(), "counts": pa.binary(), "gain": pa.float64(), "kinds": pa.int64()})
 
 
 def _answers(tree: Tree, rows: pa.Table) -> pa.Table:
@@ -152,8 +218,8 @@ def _answers(tree: Tree, rows: pa.Table) -> pa.Table:
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (section[1:] != section[:-1])
     group = np.cumsum(new) - 1
-    symbols, sizes = _flat(rows.column("symbols"))
-    counts, parents = _flat(rows.column("counts"))[0], _flat(rows.column("parents"))[0]
+    symbols, sizes = _flat(rows.column("symbols"), np.int64)
+    counts, parents = _flat(rows.column("counts"), np.int32)[0], _flat(rows.column("parents"), np.float32)[0]
     of_row = np.repeat(np.arange(len(key)), sizes)
     g = group[of_row]
     order = np.lexsort((symbols, g))
@@ -174,40 +240,26 @@ def _answers(tree: Tree, rows: pa.Table) -> pa.Table:
     back = np.empty(len(order), np.int64)
     back[order] = shown[np.cumsum(first) - 1]
     answered = (retained | leads)[group]
-    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.minimum(back, 2**31 - 1).astype(np.int32)))
+    lists = _packed(np.minimum(back, 2**31 - 1).astype(np.int32), _starts(sizes))
     out = pa.table({"chunk": rows.column("chunk"), "key": rows.column("key"), "section": rows.column("section"), "counts": lists, "gain": gain[group], "kinds": kinds[group].astype(np.int64)})
     return out.cast(_ANSWERED).filter(pa.array(answered))
 
 
-def _serve(tree: Tree, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers for rows sorted by context and section; a group that a batch may cut in two waits for the next."""
-    waiting: pa.Table | None = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        rows = rows if waiting is None else pa.concat_tables([waiting, rows])
-        key, section = rows.column("key").to_numpy(), rows.column("section").to_numpy()
-        changes = np.nonzero((key[1:] != key[:-1]) | (section[1:] != section[:-1]))[0]
-        whole = changes[-1] + 1 if len(changes) else 0
-        if whole:
-            yield from _answers(tree, rows.slice(0, whole)).to_batches()
-        waiting = rows.slice(whole)
-    if waiting is not None and len(waiting):
-        yield from _answers(tree, waiting).to_batches()
-
-
-def _levels(chunk: int, documents: pa.Table, words: pa.Table, answers: pa.Table, level_asked: int, tree: Tree, n: int, v: int, discount: float) -> pa.Table:
+def _levels(chunk: int, documents: pa.Table, words: pa.Table, totals: pa.Table, parts: int, answers: pa.Table, level_asked: int, tree: Tree, n: int, v: int, discount: float) -> pa.Table:
     """Questions of a level, or, asked for level 0, the documents' scores once every level is answered.
 
     All positions of a chunk are worked on at once: the log probability of a
     token under the longest retained suffix so far, the hash of its context of
     the level, and the number of times that this context was learned from.
     """
-    place = words.column("at").to_numpy()
-    hashes, learned = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
-    hashes[place], learned[place] = words.column("h").to_numpy(), words.column("c").to_numpy()
-    ids, sizes = _flat(documents.column("ids"))
+    hashes = np.frombuffer(words.column("hashes")[0].as_py(), np.int64)
+    part = _part(hashes, parts)
+    totals = totals.sort_by("part")
+    learned = np.empty(len(hashes), np.int64)
+    learned[np.argsort(part, kind="stable")] = _flat(totals.column("totals"), np.int64)[0]
+    ids, sizes = _flat(documents.column("ids"), np.int32)
     h, c = hashes[ids], learned[ids]
-    starts = np.append(0, np.cumsum(sizes))[:-1]
+    starts = _starts(sizes)[:-1]
     train = np.repeat(~documents.column("held_out").to_numpy(zero_copy_only=False).astype(bool), sizes)
     place_in = np.arange(len(ids)) - np.repeat(starts, sizes)
     texts = c[starts[0] + sizes[0] - 1]  # how often the end was learned from: the number of texts
@@ -237,8 +289,8 @@ def _levels(chunk: int, documents: pa.Table, words: pa.Table, answers: pa.Table,
         if len(mine):
             owner = np.searchsorted(pairs.keys, mine.column("key").to_numpy())
             group = pairs.group_of[owner] + mine.column("section").to_numpy()
-            got, many = _flat(mine.column("counts"))
-            total[np.repeat(pairs.starts[group] - np.append(0, np.cumsum(many))[:-1], many) + np.arange(len(got))] = got
+            got, many = _flat(mine.column("counts"), np.int32)
+            total[np.repeat(pairs.starts[group] - _starts(many)[:-1], many) + np.arange(len(got))] = got
             np.add.at(sum_of[0], owner, mine.column("gain").to_numpy())
             np.add.at(sum_of[1], owner, mine.column("kinds").to_numpy())
         seen[at] = total[pairs.at]
@@ -253,7 +305,7 @@ def _levels(chunk: int, documents: pa.Table, words: pa.Table, answers: pa.Table,
     })
 
 
-def suffix_tree_scores(docs: DataFrame, parts: int = 7, held: int = 2, doc_id: str = "doc_id", text: str = "text", tree: Tree = Tree()) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, folds: int = 7, held: int = 2, doc_id: str = "doc_id", text: str = "text", tree: Tree = Tree()) -> DataFrame:
     """log10 probabilities of whole texts under a probabilistic suffix tree learned from all texts but those of one fold.
 
     Symbols are the words of the lower-cased text and one end.  The root's
@@ -284,28 +336,29 @@ def suffix_tree_scores(docs: DataFrame, parts: int = 7, held: int = 2, doc_id: s
     kind = docs.schema[doc_id].dataType.simpleString()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"tidemark_{uuid.uuid4().hex}", shared_dir(spark)
-    columns = {"chunk": "long", "doc_id": kind, "held_out": "boolean", "ids": "array<int>", "at": "int", "word": "binary", "n": "long", "h": "long", "c": "long"}
+    columns = _ENCODED.format(kind) + ", part long, totals binary"
 
     def put(df: DataFrame) -> DataFrame:
         """Rows added to a table in the shared folder that is dealt by chunk, so that every round reads it without a shuffle."""
-        rows = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+        rows = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in columns.split(", "))])
         rows.write.bucketBy(buckets, "chunk").option("path", path).option("compression", "zstd").mode("append").saveAsTable(name)
         return spark.table(name)
 
-    texts = docs.select(F.col(doc_id).alias("doc_id"), (fold(doc_id, parts) == held).alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
-    encoded = put(texts.mapInArrow(partial(_encode, tree.chunk_tokens), ", ".join(f"{c} {t}" for c, t in list(columns.items())[:7])))
-    local = encoded.where("word is not null").select("chunk", "at", "word", "n")
-    counts = cut(local.groupBy("word").agg(F.sum("n").alias("c")))
-    n, v, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    texts = docs.select(F.col(doc_id).alias("doc_id"), (fold(doc_id, folds) == held).alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
+    encoded = put(texts.mapInArrow(partial(_encode, tree.chunk_tokens), _ENCODED.format(kind)))
+    local = encoded.where("hashes is not null").select("chunk", "hashes", "learned")
+    parts = max(1, (local.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // (8 * PART_WORDS))
+    asked = local.mapInArrow(partial(_by_part, parts), "chunk long, part long, hashes binary, learned binary").repartition(buckets, "part").sortWithinPartitions("part")
+    counted = cut(asked.mapInArrow(partial(_whole_groups, _totals, ("part",)), "chunk long, part long, totals binary, n long, v long, once long, twice long"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once", "twice")]
+    n, v, once, twice = counted.where("chunk is null").agg(*sums).first()
     discount = min(max(once / max(once + 2 * twice, 1), 0.01), 0.99)
-    both = put(local.join(counts, "word").select("chunk", "at", F.xxhash64("word").alias("h"), "c").repartition(buckets, "chunk"))
-    left = both.where("ids is not null or c is not null").select("chunk", "doc_id", "held_out", "ids", "at", "h", "c")
+    left = put(counted.where("chunk is not null").repartition(buckets, "chunk")).drop("learned")
 
     def round_(level: int):
         def run(key, mine: pa.Table, answers: pa.Table) -> pa.Table:
-            is_word = mine.column("at").is_valid()
-            documents, own = mine.filter(pc.invert(is_word)), mine.filter(is_word)
-            return _levels(key[0].as_py(), documents, own, answers, level, tree, n, v, discount)
+            of = lambda c: mine.filter(mine.column(c).is_valid())
+            return _levels(key[0].as_py(), of("ids"), of("hashes"), of("totals"), parts, answers, level, tree, n, v, discount)
 
         return run
 
@@ -313,12 +366,12 @@ def suffix_tree_scores(docs: DataFrame, parts: int = 7, held: int = 2, doc_id: s
     done = []
     for level in range(1, tree.depth + 1):
         asked = left.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(round_(level), _QUESTION)
-        given = cut(asked.repartition(buckets, "key", "section").sortWithinPartitions("key", "section").mapInArrow(partial(_serve, tree), _ANSWER).withColumn("level", F.lit(level)))
+        given = cut(asked.repartition(buckets, "key", "section").sortWithinPartitions("key", "section").mapInArrow(partial(_whole_groups, partial(_answers, tree), ("key", "section")), _ANSWER).withColumn("level", F.lit(level)))
         done.append(given)
         answers = answers.union(given)
     out = left.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(round_(0), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     out = cut(out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"))
-    for df in (counts, *done):
+    for df in (counted, *done):
         drop_cut(df)
     spark.sql(f"DROP TABLE {name}")
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
