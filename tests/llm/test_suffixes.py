@@ -73,7 +73,10 @@ def corpus(seed=2, n=160):
 
 
 @pytest.mark.parametrize("chunk,hot,depth", [(10**6, 10**6, 3), (700, 10**6, 2), (700, 50, 2)])
-def test_equals_plain_model(spark, chunk, hot, depth):
+def test_equals_plain_model(spark, monkeypatch, chunk, hot, depth):
+    if chunk < 1000:  # many parts
+        monkeypatch.setattr(P, "PART_TOKENS", 500)
+        monkeypatch.setattr(P, "PART_WORDS", 10)
     docs = corpus()
     part = lambda i: zlib.crc32(str(i).encode()) % 7 if i is not None else 0
     tree = Tree([t for i, t in docs if part(i) != 2], depth, 8, 3.0)

@@ -34,8 +34,8 @@ class Tree:
         return np.maximum(1, -(-n // self.hot))
 
 
-#: About so many words of all chunks are counted at once.
-PART_WORDS = 250_000
+#: About so many words of all chunks, and contexts of so many tokens, are counted at once.
+PART_WORDS, PART_TOKENS = 250_000, 2_000_000
 #: The context in front of a text.
 _BEGIN = np.int64(-7046029254386353131)
 
@@ -138,21 +138,17 @@ def _totals(rows: pa.Table) -> pa.Table:
     })
 
 
-def _whole_groups(work, keys: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``work`` on rows sorted by ``keys``; a group that a batch may cut in two waits for the next.
-
-    The groups of a batch are worked on together.
-    """
+def _by_groups(work, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``work`` on the rows of each part, of rows sorted by part; one that a batch may cut in two waits for the next."""
     waiting: pa.Table | None = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         rows = rows if waiting is None else pa.concat_tables([waiting, rows])
-        values = [rows.column(k).to_numpy() for k in keys]
-        changes = np.nonzero(np.any([v[1:] != v[:-1] for v in values], axis=0))[0]
-        whole = changes[-1] + 1 if len(changes) else 0
-        if whole:
-            yield from work(rows.slice(0, whole)).to_batches()
-        waiting = rows.slice(whole)
+        part = rows.column("part").to_numpy()
+        ends = np.nonzero(part[1:] != part[:-1])[0] + 1
+        for start, end in zip(np.append(0, ends)[:-1], ends, strict=True):
+            yield from work(rows.slice(start, end - start)).to_batches()
+        waiting = rows.slice(ends[-1] if len(ends) else 0)
     if waiting is not None and len(waiting):
         yield from work(waiting).to_batches()
 
@@ -170,7 +166,8 @@ class Pairs:
 
     def __init__(self, key: np.ndarray, symbol: np.ndarray, n: np.ndarray, tree: Tree):
         many = tree.sections(n)
-        section = np.where(many > 1, symbol.view(np.uint64) % many.astype(np.uint64), np.uint64(0)).astype(np.int64)
+        symbol = symbol.astype(np.uint32)  # the low half of its hash
+        section = np.where(many > 1, symbol % many, 0)
         order = np.lexsort((symbol, section, key))
         k, s, x = key[order], section[order], symbol[order]
         new_key, new_group, new = (np.ones(len(k), bool) for _ in range(3))
@@ -190,62 +187,80 @@ class Pairs:
         self.starts = np.append(0, np.cumsum(np.bincount(self.group_of[self.of_key] + self.section, minlength=self.group_of[-1])))
 
 
-def _questions(chunk: int, pairs: Pairs, learned: np.ndarray, parent: np.ndarray) -> pa.Table:
-    """A row for each context and section: its symbols here, their training counts and their probabilities under the suffix."""
-    groups = pairs.group_of[-1]
+_QUESTION = "chunk long, part long, keys binary, sections binary, ns binary, sizes binary, symbols binary, counts binary, parents binary"
+_ANSWER = "chunk long, part long, keys binary, sections binary, gains binary, kinds binary, sizes binary, counts binary"
+
+
+def _questions(chunk: int, pairs: Pairs, learned: np.ndarray, parent: np.ndarray, parts: int) -> pa.Table:
+    """A row for each part of the contexts: their symbols here, the training counts and the probabilities under the suffix."""
     owner = np.repeat(np.arange(len(pairs.keys)), np.diff(pairs.group_of))
+    section = np.arange(pairs.group_of[-1]) - pairs.group_of[owner]
+    key, sizes = pairs.keys[owner], np.diff(pairs.starts)
+    part = _part(key + 0x9E3779B9 * section, parts)
+    groups = np.argsort(part, kind="stable")
+    order = _runs(pairs.starts[groups], sizes[groups])  # of pairs
+    by_part = _starts(np.bincount(part, minlength=parts))
+    of_pairs = _starts(sizes[groups])[by_part]
     counts = np.bincount(pairs.at, weights=learned, minlength=len(pairs.key)).astype(np.int32)
-    return pa.table({
-        "chunk": np.full(groups, chunk), "key": pairs.keys[owner], "section": (np.arange(groups) - pairs.group_of[owner]).astype(np.int32), "n": pairs.key_n[owner],
-        "symbols": _packed(pairs.symbol, pairs.starts), "counts": _packed(counts, pairs.starts), "parents": _packed(parent[pairs.first].astype(np.float32), pairs.starts),
+    out = pa.table({
+        "chunk": np.full(parts, chunk), "part": np.arange(parts), "keys": _packed(key[groups], by_part), "sections": _packed(section[groups].astype(np.int32), by_part),
+        "ns": _packed(pairs.key_n[owner][groups], by_part), "sizes": _packed(sizes[groups].astype(np.int32), by_part), "symbols": _packed(pairs.symbol[order], of_pairs),
+        "counts": _packed(counts[order], of_pairs), "parents": _packed(parent[pairs.first].astype(np.float32)[order], of_pairs),
     })
+    return out.filter(pa.array(np.diff(by_part) > 0))
 
 
-_QUESTION = "chunk long, key long, section int, n long, symbols binary, counts binary, parents binary"
-_ANSWER = "chunk long, key long, section int, counts binary, gain double, kinds long"
-_ANSWERED = pa.schema({"chunk": pa.int64(), "key": pa.int64(), "section": pa.int32(), "counts": pa.binary(), "gain": pa.float64(), "kinds": pa.int64()})
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after the other."""
+    return np.repeat(starts - _starts(sizes)[:-1], sizes) + np.arange(sizes.sum())
 
 
 def _answers(tree: Tree, rows: pa.Table) -> pa.Table:
-    """Counts over all chunks for the questions of whole groups, with the sums that decide whether a context is retained.
+    """Counts over all chunks for the questions of a part, with the sums that decide whether a context is retained.
 
     The gain of a context is the sum, over its training occurrences, of the
     log of the smoothed probability of the next symbol with that occurrence
     left out, over that under the suffix.  Contexts that are not retained and
     lead to no longer candidate are not answered.
     """
-    key, section, n = (rows.column(c).to_numpy() for c in ("key", "section", "n"))
+    key, many = _flat(rows.column("keys"), np.int64)
+    section, n, sizes = (_flat(rows.column(c), k)[0] for c, k in (("sections", np.int32), ("ns", np.int64), ("sizes", np.int32)))
+    symbols, counts, parents = (_flat(rows.column(c), k)[0] for c, k in (("symbols", np.uint32), ("counts", np.int32), ("parents", np.float32)))
+    same = np.lexsort((section, key))
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (section[1:] != section[:-1])
-    group = np.cumsum(new) - 1
-    symbols, sizes = _flat(rows.column("symbols"), np.int64)
-    counts, parents = _flat(rows.column("counts"), np.int32)[0], _flat(rows.column("parents"), np.float32)[0]
-    of_row = np.repeat(np.arange(len(key)), sizes)
-    g = group[of_row]
+    new[1:] = (key[same][1:] != key[same][:-1]) | (section[same][1:] != section[same][:-1])
+    group = np.empty(len(key), np.int64)
+    group[same] = np.cumsum(new) - 1
+    group_n = n[same][new]
+    g = group[np.repeat(np.arange(len(key)), sizes)]
     order = np.lexsort((symbols, g))
     first = np.ones(len(order), bool)
     first[1:] = (symbols[order][1:] != symbols[order][:-1]) | (g[order][1:] != g[order][:-1])
     at = np.nonzero(first)[0]
     total = np.add.reduceat(counts[order].astype(np.int64), at) if len(at) else np.empty(0, np.int64)
     own, q = g[order][at], np.exp(parents[order][at].astype(np.float64))
-    group_n, groups = n[new].astype(np.float64), new.sum()
+    groups, sections = len(group_n), tree.sections(group_n)
     kinds = np.bincount(own, weights=total > 0, minlength=groups)
-    spare = np.minimum(1.0, tree.discount * kinds * tree.sections(n[new]) / group_n)
+    spare = np.minimum(1.0, tree.discount * kinds * sections / group_n)
     p = np.maximum(total - 1 - tree.discount, 0) / np.maximum(group_n[own] - 1, 1) + spare[own] * q
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.bincount(own, weights=np.where(total > 0, total * (np.log(p) - np.log(q)), 0.0), minlength=groups)
-    retained = (gain >= tree.gain) | (tree.sections(n[new]) > 1)
+    retained = (gain >= tree.gain) | (sections > 1)
     leads = np.bincount(own, weights=total >= tree.least, minlength=groups) > 0
     shown = np.where(retained[own] | (total >= tree.least), total, 0)
-    back = np.empty(len(order), np.int64)
-    back[order] = shown[np.cumsum(first) - 1]
-    answered = (retained | leads)[group]
-    lists = _packed(np.minimum(back, 2**31 - 1).astype(np.int32), _starts(sizes))
-    out = pa.table({"chunk": rows.column("chunk"), "key": rows.column("key"), "section": rows.column("section"), "counts": lists, "gain": gain[group], "kinds": kinds[group].astype(np.int64)})
-    return out.cast(_ANSWERED).filter(pa.array(answered))
+    back = np.empty(len(order), np.int32)
+    back[order] = np.minimum(shown, 2**31 - 1)[np.cumsum(first) - 1]
+    asked = (retained | leads)[group]
+    by_row = _starts(np.bincount(np.repeat(np.arange(len(rows)), many)[asked], minlength=len(rows)))
+    places = _runs(_starts(sizes)[:-1][asked], sizes[asked])
+    return pa.table({
+        "chunk": rows.column("chunk"), "part": rows.column("part"), "keys": _packed(key[asked], by_row), "sections": _packed(section[asked], by_row),
+        "gains": _packed(gain[group][asked], by_row), "kinds": _packed(kinds[group][asked].astype(np.int64), by_row), "sizes": _packed(sizes[asked], by_row),
+        "counts": _packed(back[places], _starts(sizes[asked])[by_row]),
+    })
 
 
-def _levels(chunk: int, documents: pa.Table, words: pa.Table, totals: pa.Table, parts: int, answers: pa.Table, level_asked: int, tree: Tree, n: int, v: int, discount: float) -> pa.Table:
+def _levels(chunk: int, documents: pa.Table, words: pa.Table, totals: pa.Table, parts: int, context_parts: int, answers: pa.Table, level_asked: int, tree: Tree, n: int, v: int, discount: float) -> pa.Table:
     """Questions of a level, or, asked for level 0, the documents' scores once every level is answered.
 
     All positions of a chunk are worked on at once: the log probability of a
@@ -282,17 +297,16 @@ def _levels(chunk: int, documents: pa.Table, words: pa.Table, totals: pa.Table,
         at = np.nonzero(count >= tree.least)[0]
         pairs = Pairs(key[at], h[at], count[at], tree)
         if level == level_asked:
-            return _questions(chunk, pairs, train[at], score[at])
+            return _questions(chunk, pairs, train[at], score[at], context_parts)
         mine = answers.filter(pa.array(answers.column("level").to_numpy() == level))
         total, sum_of = np.zeros(len(pairs.key), np.int64), np.zeros((2, len(pairs.keys)))
         seen = np.zeros(len(ids), np.int64)
         if len(mine):
-            owner = np.searchsorted(pairs.keys, mine.column("key").to_numpy())
-            group = pairs.group_of[owner] + mine.column("section").to_numpy()
-            got, many = _flat(mine.column("counts"), np.int32)
-            total[np.repeat(pairs.starts[group] - _starts(many)[:-1], many) + np.arange(len(got))] = got
-            np.add.at(sum_of[0], owner, mine.column("gain").to_numpy())
-            np.add.at(sum_of[1], owner, mine.column("kinds").to_numpy())
+            owner = np.searchsorted(pairs.keys, _flat(mine.column("keys"), np.int64)[0])
+            group = pairs.group_of[owner] + _flat(mine.column("sections"), np.int32)[0]
+            total[_runs(pairs.starts[group], _flat(mine.column("sizes"), np.int32)[0])] = _flat(mine.column("counts"), np.int32)[0]
+            np.add.at(sum_of[0], owner, _flat(mine.column("gains"), np.float64)[0])
+            np.add.at(sum_of[1], owner, _flat(mine.column("kinds"), np.int64)[0])
         seen[at] = total[pairs.at]
         spare = tree.discount * sum_of[1] / np.maximum(pairs.key_n, 1)
         use = ((sum_of[0] >= tree.gain) & (sum_of[1] > 0))[pairs.of_key][pairs.at]
@@ -323,8 +337,8 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held: int = 2, doc_id: s
     sums the counts of a context over all chunks, tests it and answers.  Rows
     are partial counts of a chunk, never tokens, and a context of more than
     ``tree.hot`` occurrences is split by the next word (its test then estimates the
-    discount from the section at hand).  Contexts are told apart by 64-bit
-    hashes.
+    discount from the section at hand).  Contexts and words are told apart
+    by 64-bit hashes, words that follow the same context by 32 bits of theirs.
 
     Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score), one per row of ``docs``.  A null text counts as empty and is
@@ -349,16 +363,17 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held: int = 2, doc_id: s
     local = encoded.where("hashes is not null").select("chunk", "hashes", "learned")
     parts = max(1, (local.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // (8 * PART_WORDS))
     asked = local.mapInArrow(partial(_by_part, parts), "chunk long, part long, hashes binary, learned binary").repartition(buckets, "part").sortWithinPartitions("part")
-    counted = cut(asked.mapInArrow(partial(_whole_groups, _totals, ("part",)), "chunk long, part long, totals binary, n long, v long, once long, twice long"))
+    counted = cut(asked.mapInArrow(partial(_by_groups, _totals), "chunk long, part long, totals binary, n long, v long, once long, twice long"))
     sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once", "twice")]
     n, v, once, twice = counted.where("chunk is null").agg(*sums).first()
     discount = min(max(once / max(once + 2 * twice, 1), 0.01), 0.99)
+    context_parts = max(1, n // PART_TOKENS)
     left = put(counted.where("chunk is not null").repartition(buckets, "chunk")).drop("learned")
 
     def round_(level: int):
         def run(key, mine: pa.Table, answers: pa.Table) -> pa.Table:
             of = lambda c: mine.filter(mine.column(c).is_valid())
-            return _levels(key[0].as_py(), of("ids"), of("hashes"), of("totals"), parts, answers, level, tree, n, v, discount)
+            return _levels(key[0].as_py(), of("ids"), of("hashes"), of("totals"), parts, context_parts, answers, level, tree, n, v, discount)
 
         return run
 
@@ -366,7 +381,7 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held: int = 2, doc_id: s
     done = []
     for level in range(1, tree.depth + 1):
         asked = left.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(round_(level), _QUESTION)
-        given = cut(asked.repartition(buckets, "key", "section").sortWithinPartitions("key", "section").mapInArrow(partial(_whole_groups, partial(_answers, tree), ("key", "section")), _ANSWER).withColumn("level", F.lit(level)))
+        given = cut(asked.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(partial(_by_groups, partial(_answers, tree)), _ANSWER).withColumn("level", F.lit(level)))
         done.append(given)
         answers = answers.union(given)
     out = left.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(round_(0), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
