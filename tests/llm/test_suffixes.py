@@ -39,7 +39,7 @@ class Tree:
             spare = 0.75 * len(follow[s]) / seen[s]
             total = 0.0
             for w, x in follow[s].items():
-                q = self.p(s[1:], w)
+                q = math.exp(round(math.log(self.p(s[1:], w)) * P.STEPS) / P.STEPS)
                 total += x * math.log((max(x - 1 - 0.75, 0) / max(seen[s] - 1, 1) + min(1, spare) * q) / q)
             if total >= gain:
                 self.states[s] = (follow[s], seen[s], spare)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -48,6 +49,12 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done; it does so when the driver's JVM collects what stands for them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Let the Python workers import this package, wherever the driver found it."""
     sc = spark.sparkContext

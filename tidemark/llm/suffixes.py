@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import cut, drop_cut, fold, shared_dir, ship
+from tidemark.llm.common import cut, drop_cut, fold, release, shared_dir, ship
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,8 @@ class Tree:
 
 #: About so many words of all chunks, and contexts of so many tokens, are counted at once.
 PART_WORDS, PART_TOKENS = 250_000, 2_000_000
+#: A test takes log probabilities under the suffix in so many steps a nat.
+STEPS = 1024
 #: The context in front of a text.
 _BEGIN = np.int64(-7046029254386353131)
 
@@ -205,7 +207,7 @@ def _questions(chunk: int, pairs: Pairs, learned: np.ndarray, parent: np.ndarray
     out = pa.table({
         "chunk": np.full(parts, chunk), "part": np.arange(parts), "keys": _packed(key[groups], by_part), "sections": _packed(section[groups].astype(np.int32), by_part),
         "ns": _packed(pairs.key_n[owner][groups], by_part), "sizes": _packed(sizes[groups].astype(np.int32), by_part), "symbols": _packed(pairs.symbol[order], of_pairs),
-        "counts": _packed(counts[order], of_pairs), "parents": _packed(parent[pairs.first].astype(np.float32)[order], of_pairs),
+        "counts": _packed(counts[order], of_pairs), "parents": _packed(np.maximum(np.round(parent[pairs.first] * STEPS), -32768).astype(np.int16)[order], of_pairs),
     })
     return out.filter(pa.array(np.diff(by_part) > 0))
 
@@ -225,7 +227,7 @@ def _answers(tree: Tree, rows: pa.Table) -> pa.Table:
     """
     key, many = _flat(rows.column("keys"), np.int64)
     section, n, sizes = (_flat(rows.column(c), k)[0] for c, k in (("sections", np.int32), ("ns", np.int64), ("sizes", np.int32)))
-    symbols, counts, parents = (_flat(rows.column(c), k)[0] for c, k in (("symbols", np.uint32), ("counts", np.int32), ("parents", np.float32)))
+    symbols, counts, parents = (_flat(rows.column(c), k)[0] for c, k in (("symbols", np.uint32), ("counts", np.int32), ("parents", np.int16)))
     same = np.lexsort((section, key))
     new = np.ones(len(key), bool)
     new[1:] = (key[same][1:] != key[same][:-1]) | (section[same][1:] != section[same][:-1])
@@ -238,7 +240,7 @@ def _answers(tree: Tree, rows: pa.Table) -> pa.Table:
     first[1:] = (symbols[order][1:] != symbols[order][:-1]) | (g[order][1:] != g[order][:-1])
     at = np.nonzero(first)[0]
     total = np.add.reduceat(counts[order].astype(np.int64), at) if len(at) else np.empty(0, np.int64)
-    own, q = g[order][at], np.exp(parents[order][at].astype(np.float64))
+    own, q = g[order][at], np.exp(parents[order][at] / STEPS)
     groups, sections = len(group_n), tree.sections(group_n)
     kinds = np.bincount(own, weights=total > 0, minlength=groups)
     spare = np.minimum(1.0, tree.discount * kinds * sections / group_n)
@@ -365,6 +367,7 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held: int = 2, doc_id: s
     asked = local.mapInArrow(partial(_by_part, parts), "chunk long, part long, hashes binary, learned binary").repartition(buckets, "part").sortWithinPartitions("part")
     counted = cut(asked.mapInArrow(partial(_by_groups, _totals), "chunk long, part long, totals binary, n long, v long, once long, twice long"))
     sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once", "twice")]
+    release(spark)
     n, v, once, twice = counted.where("chunk is null").agg(*sums).first()
     discount = min(max(once / max(once + 2 * twice, 1), 0.01), 0.99)
     context_parts = max(1, n // PART_TOKENS)
@@ -383,6 +386,7 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held: int = 2, doc_id: s
         asked = left.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(round_(level), _QUESTION)
         given = cut(asked.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(partial(_by_groups, partial(_answers, tree)), _ANSWER).withColumn("level", F.lit(level)))
         done.append(given)
+        release(spark)
         answers = answers.union(given)
     out = left.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(round_(0), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     out = cut(out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"))
