@@ -152,10 +152,69 @@ def normalize_transfers(raw: DataFrame, min_btc: float = 1.0, min_eth: float = 1
     return raw.withColumns({"amount": amount, "direction": way, "ts_ms": F.col("ts_s") * 1000}).where(F.col("amount") >= low).drop("raw_amount", "unit", "ts_s")
 
 
-def fanout_tables(events: DataFrame) -> dict[str, DataFrame]:
-    """The unified event log (type, exchange, market, symbol, ts_ms, payload) as one table per type, sorted for pruning."""
-    kinds = ("quote", "funding", "open_interest", "trade", "liquidation", "order_book", "signal")
-    return {k: events.where(F.col("type") == k).select("exchange", "market", "symbol", "ts_ms", F.col("payload").alias("raw_json")) for k in kinds}
+#: Columns of the typed tables (fixed values): name, type, and where in the payload it lies.
+_KEYED = "exchange string, market string, symbol string"
+TABLES = {
+    "quote": f"{_KEYED}, bid double, ask double, mark double, funding_rate double",
+    "trade": f"{_KEYED}, price double, qty double, side string, trade_id string",
+    "order_book": f"{_KEYED}, best_bid double, best_ask double, bids_json string, asks_json string, last_update_id long",
+    "funding": "exchange string, symbol string, funding_rate double, next_funding_time_ms long, mark_price double, index_price double",
+    "open_interest": "exchange string, symbol string, open_interest double, open_interest_value double",
+    "liquidation": "exchange string, symbol string, side string, price double, qty double",
+    "signal": "exchange string, symbol string, category string, metric string, value double, score double, title string, url string",
+}
+
+
+def parsed(events: DataFrame) -> DataFrame:
+    """Events whose payload is JSON, as a VARIANT beside the text."""
+    return events.withColumn("v", F.try_parse_json("payload")).where("v is not null")
+
+
+def typed_rows(events: DataFrame) -> DataFrame:
+    """The unified event log (type, exchange, market, symbol, ts_ms, payload) with the columns of all typed tables.
+
+    Each payload is parsed once.  Books give their best prices and their
+    levels as JSON; a side without levels is ``[]``.  Columns of other types
+    are null.
+    """
+    v = parsed(events)
+    at = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    own = {
+        "best_bid": at("bids[0].price", "double"), "best_ask": at("asks[0].price", "double"),
+        "bids_json": F.coalesce(F.to_json(F.try_variant_get("v", "$.bids", "variant")), F.lit("[]")), "asks_json": F.coalesce(F.to_json(F.try_variant_get("v", "$.asks", "variant")), F.lit("[]")),
+        "side": side_label(at("side", "string")),
+    }
+    known = ("exchange", "market", "symbol")
+    columns, kinds = {}, {}
+    for table, schema in TABLES.items():
+        for name, kind in (c.split() for c in schema.split(", ")):
+            if name not in known:
+                columns.setdefault(name, []).append(table)
+                kinds[name] = kind
+    values = [F.when(F.col("type").isin(tables), own.get(name, at(name, kinds[name]))).alias(name) for name, tables in columns.items()]
+    return v.where(F.col("type").isin(list(TABLES))).select("type", *known, "ts_ms", *values, F.col("payload").alias("raw_json"))
+
+
+def fanout_tables(typed: DataFrame) -> dict[str, DataFrame]:
+    """The typed tables of the rows of :func:`typed_rows`, each with its own columns."""
+    names = {t: [c.split()[0] for c in s.split(", ")] for t, s in TABLES.items()}
+    return {t: typed.where(F.col("type") == t).select("ts_ms", *cols, "raw_json") for t, cols in names.items()}
+
+
+def summary(table: DataFrame) -> DataFrame:
+    """A typed table without its texts of JSON; levels as their number and notional."""
+    out = table.drop("raw_json")
+    for side in ("bids", "asks"):
+        if f"{side}_json" in out.columns:
+            levels = F.from_json(f"{side}_json", "array<struct<price:double,qty:double>>")
+            out = out.withColumns({f"n_{side}": F.size(levels), f"{side}_notional": F.aggregate(levels, F.lit(0.0), lambda a, x: a + x.price * x.qty)}).drop(f"{side}_json")
+    return out
+
+
+def write_fanout(events: DataFrame, path: str) -> None:
+    """All typed tables in one pass: a folder per type, sorted for pruning."""
+    rows = typed_rows(events).repartition("type", F.col("symbol"))
+    rows.sortWithinPartitions("type", "symbol", "exchange", "market", "ts_ms").write.partitionBy("type").mode("overwrite").parquet(path)
 
 
 def event_log(events: DataFrame, prefix: str = "ticks") -> DataFrame:

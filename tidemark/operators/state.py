@@ -102,19 +102,58 @@ def transfers_view(df: DataFrame, source=None, chain=None, asset=None, min_amoun
     return df.orderBy(F.desc("ts_ms"), F.desc("event_id"), F.desc("tie")).limit(limit)
 
 
+#: Quotes that an instrument's name may end with (fixed values).
+ENVELOPE_QUOTES = ["USDT", "USDC", "USD", "BTC", "ETH"]
+
+
 def instrument_id(symbol: Column, market: Column) -> Column:
-    s = S.split_symbol(F.regexp_replace(F.trim(symbol), "^t+", ""), ["USDT", "USDC", "USD", "BTC", "ETH"])
+    s = S.split_symbol(F.regexp_replace(F.trim(symbol), "^t+", ""), ENVELOPE_QUOTES)
     return F.concat_ws("-", s.base, s.quote, F.upper(market))
 
 
+ENVELOPE = ("version", "domain", "source_ref", "instrument_ref", "freshness", "payload")
+
+
+def _envelope(df: DataFrame, domain: str, source: dict, instrument: dict, freshness: dict, payload: list[str]) -> DataFrame:
+    """Rows in their envelope: source and instrument references, freshness and payload as structs; what is unknown is null."""
+    pack = lambda names, given: F.struct(*[given.get(n, F.lit(None).cast("string")).alias(n) for n in names])
+    return df.select(
+        F.lit("v1").alias("version"), F.lit(domain).alias("domain"), pack(("source_type", "source", "venue", "chain", "protocol"), source).alias("source_ref"),
+        pack(("asset_class", "product_type", "instrument_id", "symbol", "base", "quote", "market_id"), instrument).alias("instrument_ref"),
+        F.struct(*[v.alias(n) for n, v in freshness.items()]).alias("freshness"), F.struct(*payload).alias("payload"),
+    )
+
+
 def envelopes(ticks: DataFrame) -> DataFrame:
-    """Quotes in their envelope: source and instrument references, freshness and payload as structs."""
-    return ticks.select(
-        F.lit("v1").alias("version"), F.lit("market_quote").alias("domain"),
-        F.struct(F.col("exchange").alias("source"), F.lit("cex").alias("source_type")).alias("source_ref"),
-        F.struct(instrument_id(F.col("symbol"), F.col("market")).alias("instrument_id"), F.col("market").alias("product_type")).alias("instrument_ref"),
-        F.struct(F.col("ts_ms").alias("ts_source"), "latency_ms", "stale").alias("freshness"),
-        F.struct("bid", "ask", "mark", "funding_rate").alias("payload"),
+    """Quotes in their envelope."""
+    parts = S.split_symbol(F.regexp_replace(F.trim("symbol"), "^t+", ""), ENVELOPE_QUOTES)
+    return _envelope(
+        ticks, "market_quote", {"source_type": F.lit("cex"), "source": F.col("exchange"), "venue": F.col("exchange")},
+        {"asset_class": F.lit("crypto"), "product_type": F.col("market"), "instrument_id": instrument_id(F.col("symbol"), F.col("market")), "symbol": F.col("symbol"), "base": parts.base, "quote": parts.quote},
+        {"ts_source": F.col("ts_ms"), "ts_received": F.col("ts_ms") + F.col("latency_ms"), "latency_ms": F.col("latency_ms"), "stale": F.col("stale")}, ["bid", "ask", "mark", "funding_rate"],
+    )
+
+
+def option_envelopes(options: DataFrame, now: int, ttl_ms: int) -> DataFrame:
+    """Option summaries (venue, instrument_name, currency, expiry_time, strike, option_type, received_at_ms) in their envelope."""
+    age = F.greatest(F.lit(now) - F.col("received_at_ms"), F.lit(0))
+    rows = options.withColumn("position", F.col("p_partkey") if "p_partkey" in options.columns else F.lit(0))
+    return _envelope(
+        rows, "option_chain", {"source_type": F.lit("exchange"), "source": F.col("venue"), "venue": F.col("venue")},
+        {"asset_class": F.lit("crypto"), "product_type": F.lit("option"), "instrument_id": F.col("instrument_name"), "symbol": F.col("instrument_name"), "base": F.col("currency")},
+        {"ts_source": F.col("received_at_ms"), "ts_received": F.col("received_at_ms"), "latency_ms": F.lit(0).cast("long"), "stale": age > ttl_ms},
+        ["expiry_time", "strike", "option_type", "position"],
+    )
+
+
+def prediction_envelopes(books: DataFrame, now: int, ttl_ms: int, source: str = "polymarket") -> DataFrame:
+    """Prediction-market books (asset_id, event_id, sides and depths, ts_ms) in their envelope."""
+    age = F.greatest(F.lit(now) - F.col("ts_ms"), F.lit(0))
+    return _envelope(
+        books.withColumn("position", F.col("event_id")), "prediction_book", {"source_type": F.lit("prediction_market"), "source": F.lit(source), "venue": F.lit(source)},
+        {"asset_class": F.lit("prediction"), "product_type": F.lit("binary"), "instrument_id": F.col("asset_id"), "market_id": F.col("asset_id")},
+        {"ts_source": F.col("ts_ms"), "ts_received": F.col("ts_ms"), "latency_ms": F.lit(0).cast("long"), "stale": age > ttl_ms},
+        ["best_bid", "best_ask", "bid_depth", "ask_depth", "position"],
     )
 
 
@@ -125,11 +164,6 @@ def finite_events(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(keep)
 
 
-def finite_books(books: DataFrame) -> DataFrame:
-    ok = lambda x: S.finite(x.price) & S.finite(x.qty)
-    return books.where(F.forall("bids", ok) & F.forall("asks", ok))
-
-
 def instruments(quotes: DataFrame, options: DataFrame, books: DataFrame) -> DataFrame:
     """One row per instrument; quotes win over options, options over prediction books."""
     every = (

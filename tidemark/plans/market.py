@@ -8,6 +8,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import bars, books, flow, signals, state
 from tidemark.plans.registry import D1, H1, H4, TTL, R, register, rounded
 from tidemark.sources import adapters as A
+from tidemark.sources.shared import shared_dir
 
 KEY = state.KEY
 K = "exchange, market, symbol"
@@ -91,8 +92,8 @@ register(
     "SELECT exchange AS source, 'market_quote' AS domain, stale, ts_ms FROM lt UNION ALL SELECT 'polymarket', 'prediction_book', t - ts_ms > 7200000, ts_ms FROM (SELECT * FROM pe QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY ts_ms DESC, event_id DESC)=1), now"
     " UNION ALL SELECT venue, 'option_chain', received_at_ms < 1700001200000, received_at_ms FROM options_raw) GROUP BY 1, 2",
 )
-_DOMAINS = ("quotes", "funding", "open_interest", "trades", "liquidations", "signals")
-register("event_counts", lambda s, d: state.event_counts(*[(n, getattr(A, n)(s, d)) for n in _DOMAINS]), " UNION ALL ".join(f"SELECT '{n}' AS type, count(*) AS events FROM {n}" for n in _DOMAINS))
+_DOMAINS = ("quotes", "funding", "open_interest", "trades", "liquidations", "signals", "order_books")
+register("event_counts", lambda s, d: state.event_counts(*[(n, getattr(A, n)(s, d)) for n in _DOMAINS]), " UNION ALL ".join(f"SELECT '{n}' AS type, count(*) AS events FROM {n}" for n in _DOMAINS[:-1]) + " UNION ALL SELECT 'order_books', count(DISTINCT event_id) FROM lv")
 register("asof_mid", lambda s, d: rounded(state.asof_mid(A.liquidations(s, d).withColumn("market", F.lit("spot")), A.quotes(s, d))), "SELECT l.exchange, 'spot' AS market, l.symbol, l.event_id, round(q.mid,4) AS asof_mid FROM liquidations l ASOF LEFT JOIN (SELECT exchange, symbol, (bid+ask)/2 AS mid, ts_ms*1000000::HUGEINT+event_id AS o FROM quotes WHERE market='spot' AND bid>0 AND ask>=bid) q ON l.exchange=q.exchange AND l.symbol=q.symbol AND l.ts_ms*1000000::HUGEINT+l.event_id >= q.o")
 
 
@@ -136,12 +137,8 @@ register("manifest_query", lambda s, d: rounded(bars.manifest_query(_manifest(s,
 
 
 def _lake(s, d, delete=False):
-    """Bars of the last hundred days written to the lake and counted per partition read back."""
-    import tempfile
-    import uuid
-
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
-    root = f"{base}/lake-{uuid.uuid4().hex}"
+    """All daily bars written to the lake by year and counted per partition read back."""
+    root = shared_dir(s, "lake")
     b = A.klines_daily(s, d)
     bars.lake_write(b.withColumn("open_time_ms", F.expr("open_time_ms div 31536000000 * 31536000000")), root, "spot")
     if delete:

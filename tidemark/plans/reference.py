@@ -9,6 +9,7 @@ from tidemark.operators import bars, books, contracts, coverage, flow, listings,
 from tidemark.plans.market import _OFI, K, last, now, ticks
 from tidemark.plans.registry import D1, R, register, rounded
 from tidemark.sources import adapters as A
+from tidemark.sources.shared import shared_dir
 
 ES = ("exchange", "symbol")
 
@@ -127,11 +128,7 @@ register("funding_runs", lambda s, d: rounded(listings.funding_runs(_curve(s, d)
 
 def _export(s, d):
     """Extremes written as CSV and read back."""
-    import tempfile
-    import uuid
-
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{base}/csv-{uuid.uuid4().hex}"
+    path = shared_dir(s, "csv")
     listings.funding_extremes(A.perp_funding(s, d), -2.05, -0.105).select("exchange", "symbol", R("funding_rate_pct", 4).alias("funding_rate_pct")).write.option("header", True).csv(path)
     return s.read.schema("exchange string, symbol string, funding_rate_pct double").option("header", True).csv(path)
 
@@ -207,14 +204,58 @@ register("product_text", lambda s, d: typed(s, d).withColumn("s", S.product_text
 register("pair_names", lambda s, d: typed(s, d).select("p_partkey", S.pair_name(F.when(F.col("p_partkey") % 2 == 0, F.col("base")), F.when(F.col("p_partkey") % 3 > 0, F.lit("usdt")), F.concat("base", "suffix")).alias("pair")), _TYPED + "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 > 0 THEN CASE WHEN base = 'xbt' THEN 'BTC' ELSE upper(base) END || 'USDT' ELSE upper(translate(regexp_replace(base || suffix, '[-_](SWAP|PERP)', '', 'g'), '-_/:', '')) END AS pair FROM tc")
 
 
-def unified(s, d):
-    q = A.quotes(s, d).select(F.lit("quote").alias("type"), "exchange", "market", "symbol", "ts_ms", F.to_json(F.struct("event_id")).alias("payload"))
-    g = A.signals(s, d).select(F.lit("signal").alias("type"), F.col("source").alias("exchange"), F.lit(None).cast("string").alias("market"), "symbol", "ts_ms", F.to_json(F.struct("event_id")).alias("payload"))
-    return q.unionByName(g)
+_UNIFIED = {
+    "quote": ("quotes", ["bid", "ask", "mark", "funding_rate"]), "trade": ("trades", ["price", "qty", "side", "trade_id"]), "order_book": ("order_books", ["bids", "asks"]),
+    "funding": ("funding", ["funding_rate", "next_funding_time_ms", "mark_price", "index_price"]), "open_interest": ("open_interest", ["open_interest", "open_interest_value"]),
+    "liquidation": ("liquidations", ["side", "price", "qty"]), "signal": ("signals", ["category", "metric", "value"]),
+}
+
+
+def unified(s, d, broken=0):
+    """The event log of all seven types with full payloads; ids that ``broken`` divides have a broken one."""
+    out = None
+    for kind, (name, fields) in _UNIFIED.items():
+        df = getattr(A, name)(s, d)
+        source = F.col("source" if kind == "signal" else "exchange")
+        market = F.col("market") if "market" in df.columns else F.lit(None).cast("string")
+        payload = F.to_json(F.struct("event_id", *fields))
+        payload = F.when(F.col("event_id") % broken == 0, "{bad").otherwise(payload) if broken else payload
+        part = df.select(F.lit(kind).alias("type"), source.alias("exchange"), market.alias("market"), "symbol", "ts_ms", payload.alias("payload"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_R4 = lambda *names: ", ".join(f"round({n},4) AS {n}" for n in names)
+#: The seven typed tables as one relation; {} takes a condition on event_id.
+TYPED_SQL = " UNION ALL BY NAME ".join([
+    f"SELECT 'quote' AS \"table\", {K}, ts_ms, {_R4('bid', 'ask', 'mark', 'funding_rate')} FROM quotes WHERE {{0}}", f"SELECT 'trade' AS \"table\", {K}, ts_ms, {_R4('price', 'qty')}, side, trade_id FROM trades WHERE {{0}}",
+    f"SELECT 'order_book' AS \"table\", {K}, ts_ms, round(max(price) FILTER (side='bid'),4) AS best_bid, round(min(price) FILTER (side='ask'),4) AS best_ask, NULL::BIGINT AS last_update_id, 10 AS n_bids, 10 AS n_asks, round(sum(price*qty) FILTER (side='bid'),4) AS bids_notional, round(sum(price*qty) FILTER (side='ask'),4) AS asks_notional FROM lv WHERE {{0}} GROUP BY {K}, ts_ms, event_id",
+    f"SELECT 'funding' AS \"table\", exchange, symbol, ts_ms, {_R4('funding_rate', 'mark_price', 'index_price')}, next_funding_time_ms FROM funding WHERE {{0}}", f"SELECT 'open_interest' AS \"table\", exchange, symbol, ts_ms, {_R4('open_interest', 'open_interest_value')} FROM open_interest WHERE {{0}}",
+    f"SELECT 'liquidation' AS \"table\", exchange, symbol, ts_ms, side, {_R4('price', 'qty')} FROM liquidations WHERE {{0}}", "SELECT 'signal' AS \"table\", source AS exchange, symbol, ts_ms, category, metric, round(value,4) AS value, NULL::DOUBLE AS score, NULL::VARCHAR AS title, NULL::VARCHAR AS url FROM signals WHERE {0}",
+])
+
+
+def _fanout(s, d):
+    """The seven tables written in one pass and read back by type."""
+    path = shared_dir(s, "tables")
+    normalize.write_fanout(unified(s, d), path)
+    out = None
+    for name, table in normalize.fanout_tables(s.read.parquet(path)).items():
+        part = normalize.summary(table.withColumn("table", F.lit(name)))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return rounded(out)
+
+
+register("fanout_tables", _fanout, TYPED_SQL.format("true"))
+
+
+def _log(s, d):
+    """The log of all types with the event's id as payload, so that its text can be counted in SQL."""
+    return unified(s, d).withColumn("payload", F.to_json(F.struct(F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"))))
 
 
-register("event_log", lambda s, d: normalize.event_log(unified(s, d)).groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars")), "WITH eg AS (SELECT 'ticks:quote_' || market || ':' || exchange || ':' || symbol AS key, length('{\"type\":\"quote\",\"exchange\":\"\",\"market\":\"\",\"symbol\":\"\",\"ts_ms\":,\"payload\":\"{\\\"event_id\\\":}\"}')+length(exchange)+length(market)+length(symbol)+length(ts_ms::VARCHAR)+length(event_id::VARCHAR) AS c FROM quotes UNION ALL SELECT 'ticks:signal:' || source || ':' || coalesce(symbol,'*'), length('{\"type\":\"signal\",\"exchange\":\"\",\"ts_ms\":,\"payload\":\"{\\\"event_id\\\":}\"}')+length(source)+CASE WHEN symbol IS NULL THEN 0 ELSE length(symbol)+length('\"symbol\":\"\",') END+length(ts_ms::VARCHAR)+length(event_id::VARCHAR) FROM signals) SELECT key, count(*) AS n, sum(c)::BIGINT AS chars FROM eg GROUP BY key")
-register("fanout_tables", lambda s, d: (lambda t: t["quote"].withColumn("table", F.lit("quote")).unionByName(t["signal"].withColumn("table", F.lit("signal"))).groupBy("table", "symbol").agg(F.count("*").alias("n"), F.max("ts_ms").alias("last_ts")))(normalize.fanout_tables(unified(s, d))), "SELECT 'quote' AS \"table\", symbol, count(*) AS n, max(ts_ms) AS last_ts FROM quotes GROUP BY symbol UNION ALL SELECT 'signal', symbol, count(*), max(ts_ms) FROM signals GROUP BY symbol")
+_LOGGED = " UNION ALL ".join(f"SELECT '{k}' AS type, {'source' if k == 'signal' else 'exchange'} AS exchange, {'market' if k in ('quote', 'trade', 'order_book') else 'NULL::VARCHAR'} AS market, symbol, ts_ms, event_id FROM {'lv' if k == 'order_book' else n}" + (" WHERE side='bid' AND lvl=0" if k == "order_book" else "") for k, (n, _) in _UNIFIED.items())
+register("event_log", lambda s, d: normalize.event_log(_log(s, d)).groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars")), f"WITH el AS ({_LOGGED}), eg AS (SELECT 'ticks:' || CASE type WHEN 'quote' THEN 'quote_' || market ELSE type END || ':' || exchange || ':' || coalesce(symbol, '*') AS key, length('{{\"type\":\"\",\"exchange\":\"\",\"ts_ms\":,\"payload\":\"{{\\\"event_id\\\":}}\"}}') + length(type) + length(exchange) + coalesce(length(market) + length('\"market\":\"\",'), 0) + coalesce(length(symbol) + length('\"symbol\":\"\",'), 0) + length(ts_ms::VARCHAR) + length(event_id::VARCHAR) AS c FROM el) SELECT key, count(*) AS n, sum(c)::BIGINT AS chars FROM eg GROUP BY key")
 
 # options and prediction markets
 _PO = "po AS (SELECT *, split_part(instrument_name,'-',1) AS currency, split_part(instrument_name,'-',3)::DOUBLE AS strike, CASE split_part(instrument_name,'-',4) WHEN 'C' THEN 'call' ELSE 'put' END AS option_type, CASE p_partkey%4 WHEN 0 THEN '2026-06-26T08:00:00Z' WHEN 1 THEN '2027-03-26T08:00:00Z' WHEN 2 THEN '2026-06-05T08:00:00Z' ELSE '2026-01-01T08:00:00Z' END AS expiry_time FROM options_raw)"

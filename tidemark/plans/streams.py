@@ -1,15 +1,26 @@
-"""Streaming queries, run over all that is there; each must equal its batch twin."""
+"""Streaming queries, run over all that is there; each must equal its batch twin.
+
+Streams with timers give what the watermark has passed: rows of the ticks that
+end at it or before (``_DUE``).
+"""
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
-from tidemark.plans.market import K
-from tidemark.plans.registry import R, register, rounded
+from tidemark.operators import contracts, normalize, state
+from tidemark.plans.market import _BARS, K
+from tidemark.plans.reference import _OFI, unified
+from tidemark.plans.registry import D1, H1, H4, TTL, R, register, rounded
 from tidemark.sources import adapters as A
+from tidemark.streaming import stateful as T
 from tidemark.streaming import streams as Z
 
 KEY = Z.KEY
+H6 = 6 * H1
+_DUE = f"(ts_ms//{H6}+1)*{H6} <= {{}}"
 
 
 def source(s, d):
@@ -17,61 +28,160 @@ def source(s, d):
 
 
 register(
-    "stream_klines", lambda s, d: rounded(Z.run(Z.stream_klines(A.quotes(s, source(s, d)), "4h", "60 days"), (*KEY, "open_time_ms"))),
-    f"SELECT {K}, '4h' AS interval, ts_ms//14400000*14400000 AS open_time_ms, ts_ms//14400000*14400000+14399999 AS close_time_ms, round(arg_min(mid,(ts_ms,event_id)),4) AS open, round(max(mid),4) AS high, round(min(mid),4) AS low, round(arg_max(mid,(ts_ms,event_id)),4) AS close FROM (SELECT *, (bid+ask)/2 AS mid FROM quotes) WHERE mid>0 GROUP BY ALL",
+    "stream_klines", lambda s, d: rounded(Z.run(Z.stream_klines(A.quotes(s, source(s, d)), ("1m", "5m", "15m", "1h"), "60 days"), (*KEY, "interval", "open_time_ms"))),
+    " UNION ALL ".join(_BARS.format(k, v) for k, v in (("1m", 60_000), ("5m", 300_000), ("15m", 900_000), ("1h", H1))),
 )
 _side = "coalesce(sum({1}) FILTER (side='{0}'),0)"
 register(
-    "stream_order_flow", lambda s, d: rounded(Z.run(Z.stream_order_flow(A.trades(s, source(s, d)), 3_600_000, "60 days"), (*KEY, "bucket_start_ms"))),
-    f"SELECT {K}, 3600000 AS window_ms, ts_ms//3600000*3600000 AS bucket_start_ms, round({_side.format('buy', 'qty')},4) AS buy_qty, round({_side.format('sell', 'qty')},4) AS sell_qty, round({_side.format('buy', 'price*qty')},4) AS buy_notional, round({_side.format('sell', 'price*qty')},4) AS sell_notional, count(*) AS trade_count FROM trades WHERE price*qty>0 GROUP BY ALL",
+    "stream_order_flow", lambda s, d: rounded(Z.run(Z.stream_order_flow(A.trades(s, source(s, d)), (60_000, 300_000, 900_000), "60 days"), (*KEY, "window_ms", "bucket_start_ms"))),
+    f"SELECT {K}, w AS window_ms, ts_ms//w*w AS bucket_start_ms, round({_side.format('buy', 'qty')},4) AS buy_qty, round({_side.format('sell', 'qty')},4) AS sell_qty, round({_side.format('buy', 'price*qty')},4) AS buy_notional, round({_side.format('sell', 'price*qty')},4) AS sell_notional, count(*) AS trade_count FROM trades, (VALUES (60000), (300000), (900000)) v(w) WHERE price*qty>0 GROUP BY ALL",
 )
 _SGN = "CASE side WHEN 'buy' THEN price*qty WHEN 'sell' THEN -price*qty ELSE 0 END"
-register(
-    "stream_imbalance", lambda s, d: rounded(Z.run(Z.stream_imbalance(A.trades(s, source(s, d)), "24 hours", "12 hours", "60 days"), (*KEY, "window_end_ms"))),
-    f"SELECT {K}, ts_ms//43200000*43200000 + x*43200000 AS window_end_ms, round(sum({_SGN}),4) AS signed_notional, round(sum(abs({_SGN})),4) AS absolute_notional, count(*) AS n, round(CASE WHEN sum(abs({_SGN}))=0 THEN 0 ELSE sum({_SGN})/sum(abs({_SGN})) END,4) AS imbalance FROM trades, (VALUES (1),(2)) v(x) GROUP BY ALL",
-)
-register("stream_latest", lambda s, d: Z.run(Z.stream_latest(A.quotes(s, source(s, d))), KEY).select(*KEY, "event_id", R("bid").alias("bid"), "ts_ms"), f"SELECT {K}, event_id, round(bid,4) AS bid, ts_ms FROM lt")
+_SLIDES = "SELECT * FROM (SELECT {0}, ts_ms//43200000*43200000 + x*43200000 AS window_end_ms, round(sum({1}),4) AS signed_notional, round(sum(abs({1})),4) AS absolute_notional, count(*) AS n, round(CASE WHEN sum(abs({1}))=0 THEN 0 ELSE sum({1})/sum(abs({1})) END,4) AS imbalance FROM {2}, (VALUES (1),(2)) v(x) GROUP BY ALL) WHERE window_end_ms <= (SELECT max(ts_ms) FROM {2}) - 43200000"
+register("stream_imbalance", lambda s, d: rounded(Z.run(Z.stream_imbalance(A.trades(s, source(s, d)), KEY, "24 hours", "12 hours", "0 seconds"), (*KEY, "window_end_ms"), "append")).where(F.col("window_end_ms") <= _last(s, d, "trades") - 43_200_000), _SLIDES.format(K, _SGN, "trades"))
+register("stream_liquidation_burst", lambda s, d: rounded(Z.run(Z.stream_imbalance(A.liquidations(s, source(s, d)), ("exchange", "symbol"), "24 hours", "12 hours", "0 seconds"), ("exchange", "symbol", "window_end_ms"), "append")).where(F.col("window_end_ms") <= _last(s, d, "liquidations") - 43_200_000), _SLIDES.format("exchange, symbol", _SGN, "liquidations"))
+
+
+def _last(s, d, name):
+    """The time of the last row, which the watermark of a stream without delay has reached."""
+    return state.as_of(getattr(A, name)(s, d))
+
+
+def _latest(s, d):
+    changes = T.stream_latest(A.quotes(s, source(s, d)), KEY, TTL, "0 seconds")
+    return Z.run(changes, KEY, "append", order=("gone", "ts_ms", "event_id"), gone="gone")
+
+
+register("stream_latest", lambda s, d: _latest(s, d).select(*KEY, "event_id", R("bid").alias("bid"), "ts_ms"), f"SELECT {K}, event_id, round(bid,4) AS bid, ts_ms FROM lt WHERE ts_ms + 3600000 >= t")
 register("stream_filter", lambda s, d: Z.run(Z.stream_filter(A.quotes(s, source(s, d)), symbols=["SOLUSDT"], exchanges=["okx"], market="perp"), ("event_id",), "append").select("event_id", R("bid").alias("bid")), "SELECT event_id, round(bid,4) AS bid FROM quotes WHERE symbol='SOLUSDT' AND exchange='okx' AND market='perp'")
 register(
-    "stream_cvd", lambda s, d: rounded(Z.run(Z.stream_cvd(A.trades(s, source(s, d)), "60 days", 8_640_000_000), ("event_id",), "append")),
-    f"SELECT {K}, event_id, ts_ms, round(sum(CASE side WHEN 'buy' THEN qty WHEN 'sell' THEN -qty ELSE 0 END) OVER w,4) AS cvd_qty, round(sum({_SGN}) OVER w,4) AS cvd_notional FROM trades WINDOW w AS (PARTITION BY {K} ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING)",
+    "stream_cvd", lambda s, d: rounded(Z.run(T.stream_cvd(A.trades(s, source(s, d)), "0 seconds", 60 * D1, H6), ("event_id",), "append")),
+    f"SELECT * FROM (SELECT {K}, event_id, ts_ms, round(sum(CASE side WHEN 'buy' THEN qty WHEN 'sell' THEN -qty ELSE 0 END) OVER w,4) AS cvd_qty, round(sum({_SGN}) OVER w,4) AS cvd_notional FROM trades WINDOW w AS (PARTITION BY {K} ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING)) WHERE " + _DUE.format("(SELECT max(ts_ms) FROM trades)"),
 )
 register(
     "stream_dedupe", lambda s, d: Z.run(Z.stream_dedupe(A.trades(s, source(s, d)).withColumn("trade_id", F.expr("concat('t', event_id % 50)")), (*KEY, "trade_id"), "60 days"), (*KEY, "trade_id"), "append").select(*KEY, "trade_id"),
     f"SELECT DISTINCT {K}, 't' || (event_id % 50) AS trade_id FROM trades",
 )
-register(
-    "stream_prediction_state", lambda s, d: rounded(Z.run(Z.stream_prediction_state(A.prediction_events(s, source(s, d))), ("event_id",), "append")),
-    "WITH pq AS (SELECT *, count(*) FILTER (event_type='book') OVER (PARTITION BY asset_id ORDER BY ts_ms, event_id) AS e FROM pe) SELECT asset_id, event_id, event_type, ts_ms, " + ", ".join(f"round(last_value({c} IGNORE NULLS) OVER w,4) AS {c}" for c in ("best_bid", "best_ask", "bid_depth", "ask_depth")) + " FROM pq WINDOW w AS (PARTITION BY asset_id, e ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING)",
-)
+_PATCHED = "WITH pq AS (SELECT *, count(*) FILTER (event_type='book') OVER (PARTITION BY asset_id ORDER BY ts_ms, event_id) AS e FROM pe), ps AS (SELECT asset_id, event_id, event_type, ts_ms, " + ", ".join(f"round(last_value({c} IGNORE NULLS) OVER w,4) AS {c}" for c in T.BookPatches.sides) + " FROM pq WINDOW w AS (PARTITION BY asset_id, e ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING)) "
+register("stream_prediction_state", lambda s, d: rounded(Z.run(T.stream_prediction_state(A.prediction_events(s, source(s, d)), "0 seconds", 60 * D1, H6), ("event_id",), "append")), _PATCHED + "SELECT * FROM ps WHERE " + _DUE.format("(SELECT max(ts_ms) FROM pe)"))
 
 
 def _eligible(s, d):
     return A.quotes(s, source(s, d)).selectExpr("market", "symbol", "event_id", "ts_ms", "bid % 3 < 2 as eligible")
 
 
-register("stream_signal_state", lambda s, d: Z.run(Z.stream_signal_state(_eligible(s, d), 600_000), ("event_id",), "append"), "WITH rq AS (SELECT market, symbol, event_id, ts_ms, bid % 3 < 2 AS eligible, count(*) FILTER (NOT bid % 3 < 2) OVER (PARTITION BY market, symbol ORDER BY ts_ms, event_id) AS g FROM quotes) SELECT market, symbol, event_id, ts_ms, CASE WHEN NOT eligible THEN 'FILTERED' WHEN ts_ms - min(CASE WHEN eligible THEN ts_ms END) OVER (PARTITION BY market, symbol, g) >= 600000 THEN 'TRIGGER' ELSE 'HOLDING' END AS state FROM rq")
-register("stream_option_merge", lambda s, d: rounded(Z.run(Z.stream_option_merge(A.quotes(s, source(s, d)).selectExpr("exchange as venue", "symbol as instrument_name", "mark", "funding_rate", "ts_ms * 100000 + event_id as received_at_ms"), ("mark", "funding_rate")), ("venue", "instrument_name")).drop("received_at_ms"), 6), "SELECT exchange AS venue, symbol AS instrument_name, round(arg_max(mark, (ts_ms, event_id)) FILTER (mark IS NOT NULL),6) AS mark, round(arg_max(funding_rate, (ts_ms, event_id)) FILTER (funding_rate IS NOT NULL),6) AS funding_rate FROM quotes GROUP BY ALL")
+_HOLD = 600_000
+register(
+    "stream_signal_state", lambda s, d: Z.run(T.stream_signal_state(_eligible(s, d), _HOLD, "0 seconds", H6), ("market", "symbol", "ts_ms", "event_id"), "append"),
+    "WITH rq AS (SELECT market, symbol, event_id, ts_ms, bid % 3 < 2 AS eligible, count(*) FILTER (NOT bid % 3 < 2) OVER (PARTITION BY market, symbol ORDER BY ts_ms, event_id) AS g FROM quotes),"
+    " rs AS (SELECT *, min(CASE WHEN eligible THEN ts_ms END) OVER (PARTITION BY market, symbol, g) AS s FROM rq),"
+    " rn AS (SELECT market, symbol, g, any_value(s) AS s, lead(min(ts_ms)) OVER (PARTITION BY market, symbol ORDER BY g) AS e FROM rs GROUP BY market, symbol, g),"
+    f" al AS (SELECT market, symbol, ts_ms, event_id, CASE WHEN NOT eligible THEN 'FILTERED' WHEN ts_ms - s >= {_HOLD} THEN 'TRIGGER' ELSE 'HOLDING' END AS state, false AS by_timer FROM rs"
+    f" UNION ALL SELECT market, symbol, s + {_HOLD}, NULL, 'TRIGGER', true FROM rn WHERE s IS NOT NULL AND (e IS NULL OR e > s + {_HOLD}))"
+    " SELECT * FROM al WHERE " + _DUE.format("(SELECT max(ts_ms) FROM quotes)"),
+)
+_FIELDS = ("mark", "funding_rate")
+
 
+def _options(s, d):
+    return A.quotes(s, source(s, d)).selectExpr("exchange as venue", "symbol as instrument_name", "mark", "funding_rate", "ts_ms", "ts_ms * 100000 + event_id as received_at_ms")
 
-def _symbol_events(s, d):
-    e = source(s, d)
-    null = lambda *n: [F.lit(None).cast("double").alias(x) for x in n]
-    t = A.trades(s, e).select("event_id", "exchange", "symbol", "ts_ms", F.lit("trade").alias("domain"), "market", "side", "price", "qty", *null("rate", "oi", "ofi"))
-    f = A.funding(s, e).select("event_id", "exchange", "symbol", "ts_ms", F.lit("funding").alias("domain"), F.lit("perp").alias("market"), F.lit(None).cast("string").alias("side"), *null("price", "qty"), F.col("funding_rate").alias("rate"), *null("oi", "ofi"))
-    return t.unionByName(f)
+
+register("stream_option_merge", lambda s, d: rounded(Z.merge_windows(Z.run(Z.stream_option_merge(_options(s, d), _FIELDS, delay="60 days"), ("venue", "instrument_name", "window_ms")), _FIELDS).drop("received_at_ms"), 6), "SELECT exchange AS venue, symbol AS instrument_name, round(arg_max(mark, (ts_ms, event_id)) FILTER (mark IS NOT NULL),6) AS mark, round(arg_max(funding_rate, (ts_ms, event_id)) FILTER (funding_rate IS NOT NULL),6) AS funding_rate FROM quotes GROUP BY ALL")
 
 
-register("stream_symbol_state", lambda s, d: rounded(Z.run(Z.stream_symbol_state(_symbol_events(s, d), 86_400_000), ("exchange", "symbol"), "append").select("exchange", "symbol", "ts_ms", "funding_rate", "perp_cvd"), 5), "WITH tm AS (SELECT exchange, symbol, max(ts_ms) AS m FROM trades GROUP BY ALL) SELECT exchange, symbol, any_value(m) AS ts_ms, any_value(r) AS funding_rate, round(sum(CASE side WHEN 'buy' THEN price*qty WHEN 'sell' THEN -price*qty END) FILTER (market='perp' AND side<>'unknown' AND m-ts_ms<=86400000),5) AS perp_cvd FROM trades JOIN tm USING (exchange, symbol) JOIN (SELECT exchange, symbol, round(arg_max(funding_rate,(ts_ms,event_id)),5) AS r FROM funding GROUP BY ALL) USING (exchange, symbol) GROUP BY ALL")
+def _symbols(s, d):
+    e = source(s, d)
+    events = T.symbol_events(A.quotes(s, e), A.funding(s, e), A.open_interest(s, e), A.trades(s, e), A.liquidations(s, e), A.order_books(s, e))
+    return Z.run(T.stream_symbol_state(events, D1, 2 * H6, "0 seconds", H6), ("exchange", "symbol", "tick_ms"), "append")
+
+
+_E = "exchange, symbol"
+_TICK = f"(ts_ms//{H6}+1)*{H6}"
+_FLOWED = {
+    "spot_cvd": ("trades", _SGN, "market='spot' AND side<>'unknown'", D1), "perp_cvd": ("trades", _SGN, "market='perp' AND side<>'unknown'", D1), "ofi": ("fo", "ofi", "true", D1),
+    "buy_liquidation": ("liquidations", "price*qty", "side='buy'", 2 * H6), "sell_liquidation": ("liquidations", "price*qty", "side='sell'", 2 * H6),
+}
+_HELD = {
+    "latest_price": ("pr", "price", "(y.ts_ms, y.event_id, y.r)"), "funding_rate": ("funding", "funding_rate", "(y.ts_ms, y.event_id)"), "open_interest": ("open_interest", "open_interest", "(y.ts_ms, y.event_id)"),
+    "oi_change_pct": ("oc", "pct", "(y.ts_ms, y.event_id)"), "bid_depth": ("dp", "bid_depth", "(y.ts_ms, y.event_id)"), "ask_depth": ("dp", "ask_depth", "(y.ts_ms, y.event_id)"),
+}
+register(
+    "stream_symbol_state", lambda s, d: rounded(_symbols(s, d), 3),
+    f"""WITH {_OFI}, oc AS (SELECT *, (open_interest-p)/p*100 AS pct FROM (SELECT *, lag(open_interest) OVER (PARTITION BY {_E} ORDER BY ts_ms, event_id) AS p FROM open_interest) WHERE p>0),
+ dp AS (SELECT {_E}, ts_ms, event_id, sum(price*qty) FILTER (side='bid') AS bid_depth, sum(price*qty) FILTER (side='ask') AS ask_depth FROM lv WHERE market='perp' GROUP BY ALL),
+ pr AS (SELECT {_E}, ts_ms, event_id, 0 AS r, coalesce(mark, (bid+ask)/2) AS price FROM quotes WHERE bid>0 AND ask>=bid UNION ALL SELECT {_E}, ts_ms, event_id, 1, mark_price FROM funding
+ UNION ALL SELECT {_E}, ts_ms, event_id, 3, price FROM trades WHERE side<>'unknown' UNION ALL SELECT {_E}, ts_ms, event_id, 4, price FROM liquidations UNION ALL SELECT {_E}, ts_ms, event_id, 5, (bp+ap)/2 FROM tp WHERE bp>0 AND ap>=bp),
+ tk0 AS (SELECT {_E}, {_TICK} AS tick_ms FROM trades UNION SELECT {_E}, {_TICK} FROM quotes WHERE bid>0 AND ask>=bid"""
+    + "".join(f" UNION SELECT {_E}, {_TICK} + {w} FROM {t} WHERE {c}" for t, _, c, w in _FLOWED.values())
+    + f"), tk AS (SELECT * FROM tk0 WHERE tick_ms <= (SELECT max(ts_ms) FROM trades)), "
+    + ", ".join(f"h_{c} AS (SELECT x.exchange, x.symbol, x.tick_ms, arg_max(y.{v}, {o}) AS {c} FROM tk x JOIN {t} y ON x.exchange=y.exchange AND x.symbol=y.symbol AND y.ts_ms < x.tick_ms GROUP BY ALL)" for c, (t, v, o) in _HELD.items())
+    + ", " + ", ".join(f"f_{c} AS (SELECT x.exchange, x.symbol, x.tick_ms, sum({v.replace('side', 'y.side')}) AS {c} FROM tk x JOIN {t} y ON x.exchange=y.exchange AND x.symbol=y.symbol AND y.ts_ms < x.tick_ms AND y.ts_ms >= x.tick_ms - {w} WHERE {q.replace('market', 'y.market').replace('side', 'y.side')} GROUP BY ALL)" for c, (t, v, q, w) in _FLOWED.items())
+    + f" SELECT {_E}, tick_ms, " + ", ".join(f"round({c},3) AS {c}" for c in (*_HELD, *_FLOWED)) + " FROM tk"
+    + "".join(f" LEFT JOIN {p}_{c} USING ({_E}, tick_ms)" for p, cs in (("h", _HELD), ("f", _FLOWED)) for c in cs),
+)
 
 
 def _fanout(s, d):
+    """All seven typed tables, as one relation, with the reasons of dead letters."""
     path = Z.sink_dir(s)
-    q = A.quotes(s, source(s, d)).select(F.lit("quote").alias("type"), "exchange", "market", "symbol", "ts_ms", F.when(F.col("event_id") % 41 == 0, "{bad").otherwise(F.to_json(F.struct("event_id"))).alias("payload"))
-    Z.stream_fanout(q, path).awaitTermination()
-    dead = s.read.schema("reason string").json(f"{path}/dead").agg(F.lit("dead").alias("kind"), F.count("*").alias("n"))
-    good = s.read.parquet(f"{path}/quote").agg(F.lit("quote").alias("kind"), F.count("*").alias("n"))
-    return dead.union(good)
+    Z.stream_fanout(unified(s, source(s, d), broken=41), path).awaitTermination()
+    tables = Z.read_fanout(s, path)
+    out = None
+    for name in normalize.TABLES:
+        part = normalize.summary(tables[name].withColumn("table", F.lit(name)))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    dead = tables["dead"].select(F.lit("dead").alias("table"), "exchange", "market", "symbol", "ts_ms")
+    log = tables["log"].groupBy("key").agg(F.count("*").alias("n")).select(F.lit("log").alias("table"), F.col("key").alias("exchange"), F.col("n").alias("ts_ms"))
+    return rounded(out.unionByName(dead, allowMissingColumns=True).unionByName(log, allowMissingColumns=True))
+
+
+def _unified_sql(where):
+    from tidemark.plans.reference import TYPED_SQL
 
+    return TYPED_SQL.format(where)
+
+
+register(
+    "stream_fanout", _fanout,
+    "WITH ty AS (" + _unified_sql("event_id % 41 <> 0") + "), dl AS (" + _unified_sql("event_id % 41 = 0") + ') SELECT * FROM ty UNION ALL BY NAME SELECT \'dead\' AS "table", exchange, market, symbol, ts_ms FROM dl'
+    " UNION ALL BY NAME SELECT 'log' AS \"table\", 'ticks:' || CASE \"table\" WHEN 'quote' THEN 'quote_' || market ELSE \"table\" END || ':' || exchange || ':' || coalesce(symbol, '*') AS exchange, count(*) AS ts_ms FROM ty GROUP BY ALL",
+)
 
-register("stream_fanout", _fanout, "SELECT 'dead' AS kind, count(*) AS n FROM quotes WHERE event_id % 41 = 0 UNION ALL SELECT 'quote', count(*) FROM quotes WHERE event_id % 41 <> 0")
+
+def _held(s, d):
+    """Options and full prediction books as envelopes."""
+    parts = s.readStream.schema(s.read.parquet(f"{d}/part.parquet").schema).parquet(f"{d}/part.parque[t]")
+    options = state.option_envelopes(contracts.parse_options(A.options_raw(s, parts)), 1_700_002_400_000, 1_200_000)
+    books = A.prediction_events(s, source(s, d)).where("event_type = 'book'")
+    held = lambda e, domain, key: e.select(F.lit(domain).alias("domain"), F.col(key).alias("id"), F.col("freshness.ts_source").alias("ts_ms"), F.col("position").alias("event_id"), F.to_json(F.struct(*state.ENVELOPE)).alias("envelope"))
+    return held(options.withColumn("position", F.col("payload.position")), "option_chain", "instrument_ref.instrument_id").union(held(state.prediction_envelopes(books, 1_710_000_000_000, TTL).withColumn("position", F.col("payload.position")), "prediction_book", "instrument_ref.instrument_id"))
+
+
+def _snapshots(s, d):
+    """The last whole set that the snapshot stream gives out; it is stopped after two."""
+    path = Z.sink_dir(s)
+    table = Z.Upserts(s, path, ())
+    query = table.feed(T.stream_snapshots(_held(s, d), 1_000), "append", {"processingTime": "1 second"})
+    sets, end = [], time.time() + 120
+    while time.time() < end and query.isActive and len(sets) < 3:
+        time.sleep(1)
+        if table._numbers("data", "_batch_id="):
+            sets = [r.snapshot_ms for r in table.read().groupBy("snapshot_ms").count().orderBy("snapshot_ms").collect()]
+    query.stop()
+    query.awaitTermination()
+    whole = table.read()
+    most = whole.groupBy("snapshot_ms").count().agg(F.max("count")).first()[0]  # a set may be cut by the stop
+    at = whole.groupBy("snapshot_ms").count().where(F.col("count") == most).agg(F.max("snapshot_ms")).first()[0]
+    at_path = lambda p: F.get_json_object("envelope", p)
+    return whole.where(F.col("snapshot_ms") == at).select(
+        "domain", "id", "ts_ms", "event_id", at_path("$.source_ref.source").alias("source"), at_path("$.freshness.stale").cast("boolean").alias("stale"),
+        R(at_path("$.payload.strike").cast("double")).alias("strike"), R(at_path("$.payload.best_bid").cast("double")).alias("best_bid"), R(at_path("$.payload.bid_depth").cast("double"), 2).alias("bid_depth"),
+    )
+
+
+register(
+    "stream_snapshots", _snapshots,
+    "SELECT 'option_chain' AS domain, instrument_name AS id, arg_max(received_at_ms, (received_at_ms, p_partkey)) AS ts_ms, arg_max(p_partkey, (received_at_ms, p_partkey)) AS event_id, arg_max(venue, (received_at_ms, p_partkey)) AS source, 1700002400000 - max(received_at_ms) > 1200000 AS stale, any_value(split_part(instrument_name,'-',3)::DOUBLE) AS strike, NULL::DOUBLE AS best_bid, NULL::DOUBLE AS bid_depth FROM options_raw GROUP BY instrument_name"
+    " UNION ALL SELECT 'prediction_book', asset_id, max(ts_ms), arg_max(event_id, (ts_ms, event_id)), 'polymarket', 1710000000000 - max(ts_ms) > 7200000, NULL, round(arg_max_null(best_bid, (ts_ms, event_id)),4), round(arg_max_null(bid_depth, (ts_ms, event_id)),2) FROM pe WHERE event_type='book' GROUP BY asset_id",
+)

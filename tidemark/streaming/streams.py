@@ -1,105 +1,179 @@
-"""Streaming twins of the batch operators.
+"""Streaming twins of the batch operators that aggregate, filter or fan out; :mod:`stateful` has those with timers.
 
-Aggregating streams run in update mode under an event-time watermark as long
-as the retention; every micro-batch is written under its own id, so a retried
-batch replaces itself, and :func:`read_upserts` gives the last version per key.
+Aggregating streams run under an event-time watermark as long as the
+retention, so their state is bounded.  :class:`Upserts` keeps the last version
+of every key.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import scalars as S
 from tidemark.operators import normalize, state
 from tidemark.operators.state import KEY
+from tidemark.sources.shared import shared_root
+from tidemark.streaming.stateful import timed
 
 
 def sink_dir(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder of the cluster."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
-        root = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
 
+class Upserts:
+    """A keyed table fed by micro-batches: deltas by batch id, folded now and then into a snapshot.
 
-def upsert_sink(stream: DataFrame, path: str, mode: str = "update", trigger: dict | None = None):
-    """Start a query that writes each micro-batch to ``path`` under its id."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/data/_batch_id={number}")
-
-    return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def read_upserts(spark: SparkSession, path: str, keys: tuple[str, ...]) -> DataFrame:
-    """The last written version of every key."""
-    rows = spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data").drop("_batch_id")
-    rest = [c for c in rows.columns if c not in (*keys, "_batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
-
+    ``data/_batch_id=N`` has the rows of a batch; a batch that is run again
+    replaces its own.  Every ``every`` batches the last version of each key is
+    written as ``snapshots/g_N``: all batches up to N.  Readers take the
+    snapshot of the highest N that Spark's writer has marked complete, and the
+    deltas after it, so the switch is the one file of that mark, and a
+    compaction that dies half way is never seen.  What no reader of the last
+    two snapshots needs is deleted, so the number of files stays bounded.
+    Without ``keys`` all rows stay.  ``order`` breaks ties within a batch;
+    ``gone`` names a boolean column of rows that delete their key.
+    """
 
-def run(stream: DataFrame, keys: tuple[str, ...], mode: str = "update") -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...], every: int = 10, order: tuple[str, ...] = (), gone: str | None = None):
+        self.spark, self.path, self.keys, self.every, self.order, self.gone = spark, path, keys, every, order, gone
+
+    def _files(self, folder: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _numbers(self, folder: str, prefix: str) -> list[int]:
+        """Numbers of the complete parts of a folder."""
+        path, fs = self._files(folder)
+        if not fs.exists(path):
+            return []
+        parts = [s.getPath() for s in fs.listStatus(path)]
+        done = [p.getName() for p in parts if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(n.removeprefix(prefix)) for n in done if n.startswith(prefix))
+
+    def _drop(self, folder: str) -> None:
+        path, fs = self._files(folder)
+        fs.delete(path, True)
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        snapshots = self._numbers("snapshots", "g_")
+        if snapshots and number <= snapshots[-1]:
+            return  # run again after a restart; the snapshot has it
+        batch.write.mode("overwrite").parquet(f"{self.path}/data/_batch_id={number}")
+        if number - (snapshots[-1] if snapshots else -1) >= self.every:
+            self.compact(number)
+
+    def compact(self, number: int) -> None:
+        self._merged(number).write.mode("overwrite").parquet(f"{self.path}/snapshots/g_{number}")
+        snapshots = self._numbers("snapshots", "g_")
+        for old in snapshots[:-2]:
+            self._drop(f"snapshots/g_{old}")
+        if len(snapshots) > 1:  # readers of the snapshot before still need the deltas after it
+            for n in self._numbers("data", "_batch_id="):
+                if n <= snapshots[-2]:
+                    self._drop(f"data/_batch_id={n}")
+
+    def _merged(self, upto: int | None = None) -> DataFrame:
+        snapshots = [n for n in self._numbers("snapshots", "g_") if upto is None or n < upto]
+        base = snapshots[-1] if snapshots else -1
+        deltas = [n for n in self._numbers("data", "_batch_id=") if n > base and (upto is None or n <= upto)]
+        read = lambda folder, n: self.spark.read.parquet(f"{self.path}/{folder}").withColumn("_batch", F.lit(n))
+        parts = [read(f"snapshots/g_{base}", -1) for _ in snapshots[-1:]] + [read(f"data/_batch_id={n}", n) for n in deltas]
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        if not self.keys:
+            return rows.drop("_batch")
+        rest = [c for c in rows.columns if c not in (*self.keys, "_batch")]
+        last = F.max_by(F.struct(F.lit(0).alias("_"), *rest), F.struct("_batch", *self.order)).alias("_r")
+        return rows.groupBy(*self.keys).agg(last).select(*self.keys, *[F.col("_r")[c].alias(c) for c in rest])
+
+    def read(self) -> DataFrame:
+        """The last version of every key that is not gone."""
+        out = self._merged()
+        return out.where(~F.col(self.gone)).drop(self.gone) if self.gone else out
+
+    def feed(self, stream: DataFrame, mode: str = "update", trigger: dict | None = None):
+        """Start a query that writes each micro-batch of a stream."""
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{self.path}/checkpoint").foreachBatch(self.write)
+        return query.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def run(stream: DataFrame, keys: tuple[str, ...], mode: str = "update", **kw) -> DataFrame:
     """Process what is there, then return the upserted result."""
-    spark = stream.sparkSession
-    path = sink_dir(spark)
-    upsert_sink(stream, path, mode).awaitTermination()
-    return read_upserts(spark, path, keys)
+    table = Upserts(stream.sparkSession, sink_dir(stream.sparkSession), keys, **kw)
+    table.feed(stream, mode).awaitTermination()
+    return table.read()
 
 
-def timed(df: DataFrame, delay: str) -> DataFrame:
-    return df.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", delay)
+def _by_widths(df: DataFrame, widths: dict, delay: str) -> tuple[DataFrame, list]:
+    """Rows once per width with the start of their bucket, and what to group by.
 
-
-def stream_klines(quotes: DataFrame, interval: str = "1m", delay: str = "24 hours") -> DataFrame:
-    """Tumbling bars of mids for one interval."""
-    width = S.INTERVALS[interval]
-    mid = (F.col("bid") + F.col("ask")) / 2
-    rows = timed(quotes, delay).withColumn("mid", mid).where("mid > 0 and mid < double('infinity')")
+    The widest tumbling window stands among the groups, so buckets of all
+    widths leave the state when it closes; partial sums are made before the
+    one shuffle.
+    """
+    most = max(widths.values())
+    if any(most % w for w in widths.values()):
+        raise ValueError("every width must divide the widest")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(w).cast("long").alias("ms")) for k, w in widths.items()])).alias("_w")
+    rows = timed(df, delay).select("*", each).withColumn("_start", S.bucket_start(F.col("ts_ms"), F.col("_w.ms")))
+    return rows, [F.window("event_time", f"{most} milliseconds").alias("_widest"), F.col("_w.name").alias("_name"), F.col("_w.ms").alias("_ms"), F.col("_start")]
+
+
+def stream_klines(quotes: DataFrame, intervals: tuple[str, ...] = ("1m", "5m", "15m", "1h"), delay: str = "24 hours") -> DataFrame:
+    """Tumbling bars of mids for several intervals; ticks are read and shuffled once."""
+    mid = quotes.withColumn("mid", (F.col("bid") + F.col("ask")) / 2).where("mid > 0 and mid < double('infinity')")
+    rows, groups = _by_widths(mid, {i: S.INTERVALS[i] for i in intervals}, delay)
     order = F.struct("ts_ms", "event_id")
-    out = rows.groupBy(*KEY, F.window("event_time", f"{width} milliseconds").alias("w")).agg(
-        F.min_by("mid", order).alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"), F.max_by("mid", order).alias("close")
-    )
-    start = F.unix_millis("w.start")
-    return out.select(*KEY, F.lit(interval).alias("interval"), start.alias("open_time_ms"), (start + width - 1).alias("close_time_ms"), "open", "high", "low", "close")
+    out = rows.groupBy(*KEY, *groups).agg(F.min_by("mid", order).alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"), F.max_by("mid", order).alias("close"))
+    return out.select(*KEY, F.col("_name").alias("interval"), F.col("_start").alias("open_time_ms"), (F.col("_start") + F.col("_ms") - 1).alias("close_time_ms"), "open", "high", "low", "close")
 
 
-def stream_order_flow(trades: DataFrame, window_ms: int = 60_000, delay: str = "24 hours") -> DataFrame:
-    """Tumbling order-flow buckets; the running delta is :func:`stream_cvd`."""
+def stream_order_flow(trades: DataFrame, windows_ms: tuple[int, ...] = (60_000, 300_000, 900_000), delay: str = "24 hours") -> DataFrame:
+    """Tumbling order-flow buckets for several windows; the running delta is :func:`stateful.stream_cvd`."""
     n = F.col("price") * F.col("qty")
     side = lambda s, v, name: F.sum(F.when(F.col("side") == s, v).otherwise(0.0)).alias(name)
-    rows = timed(trades, delay).where("price * qty > 0")
-    out = rows.groupBy(*KEY, F.window("event_time", f"{window_ms} milliseconds").alias("w")).agg(
+    rows, groups = _by_widths(trades.where("price * qty > 0"), {str(w): w for w in windows_ms}, delay)
+    out = rows.groupBy(*KEY, *groups).agg(
         side("buy", F.col("qty"), "buy_qty"), side("sell", F.col("qty"), "sell_qty"), side("buy", n, "buy_notional"), side("sell", n, "sell_notional"), F.count("*").alias("trade_count")
     )
-    return out.select(*KEY, F.lit(window_ms).cast("long").alias("window_ms"), F.unix_millis("w.start").alias("bucket_start_ms"), "buy_qty", "sell_qty", "buy_notional", "sell_notional", "trade_count")
+    return out.select(*KEY, F.col("_ms").alias("window_ms"), F.col("_start").alias("bucket_start_ms"), "buy_qty", "sell_qty", "buy_notional", "sell_notional", "trade_count")
 
 
-def stream_imbalance(trades: DataFrame, window: str = "60 seconds", slide: str = "1 second", delay: str = "5 minutes") -> DataFrame:
-    """Sliding signed and absolute flow."""
-    s = S.signed_notional(F.col("side"), F.col("price"), F.col("qty"))
-    out = timed(trades, delay).withColumn("s", s).groupBy(*KEY, F.window("event_time", window, slide).alias("w")).agg(F.sum("s").alias("signed_notional"), F.sum(F.abs("s")).alias("absolute_notional"), F.count("*").alias("n"))
-    return out.select(*KEY, F.unix_millis("w.end").alias("window_end_ms"), "signed_notional", "absolute_notional", "n", S.ratio(F.col("signed_notional"), F.col("absolute_notional")).alias("imbalance"))
+def stream_imbalance(flows: DataFrame, keys: tuple[str, ...] = KEY, window: str = "60 seconds", slide: str = "1 second", delay: str = "5 minutes") -> DataFrame:
+    """Sliding signed and absolute flow of trades or of liquidations, in append mode.
 
+    Sums of one slide are made first and the windows from these, so a trade is
+    one row and not one per window that holds it.
+    """
+    s = S.signed_notional(F.col("side"), F.col("price"), F.col("qty"))
+    sums = lambda n: [F.sum("signed_notional").alias("signed_notional"), F.sum("absolute_notional").alias("absolute_notional"), n.alias("n")]
+    rows = timed(flows, delay).withColumns({"signed_notional": s, "absolute_notional": F.abs(s)})
+    fine = rows.groupBy(*keys, F.window("event_time", slide).alias("f")).agg(*sums(F.count("*")))
+    out = fine.groupBy(*keys, F.window(F.window_time("f"), window, slide).alias("w")).agg(*sums(F.sum("n")))
+    return out.select(*keys, F.unix_millis("w.end").alias("window_end_ms"), "signed_notional", "absolute_notional", "n", S.ratio(F.col("signed_notional"), F.col("absolute_notional")).alias("imbalance"))
 
-def stream_latest(df: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
-    """The last row per key; state is one row per key."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("ts_ms", "event_id")).alias("_r")).select(*keys, "_r.*")
 
+def stream_option_merge(options: DataFrame, fields: tuple[str, ...], keys=("venue", "instrument_name"), every: str = "24 hours", delay: str = "24 hours") -> DataFrame:
+    """Per instrument and tumbling window the last value of each field that was not null; state ends with the window.
 
-def stream_option_merge(options: DataFrame, fields: tuple[str, ...], keys=("venue", "instrument_name")) -> DataFrame:
-    """Per instrument the last value of each field that was not null."""
+    The upserted table takes the latest window of an instrument; what a window
+    has not seen is filled from the ones before by :func:`merge_windows`.
+    """
     last = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("received_at_ms"))).alias(c)
-    return options.groupBy(*keys).agg(*[last(f) for f in fields], F.max("received_at_ms").alias("received_at_ms"))
+    rows = options.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", delay)
+    out = rows.groupBy(*keys, F.window("event_time", every).alias("w")).agg(*[last(f) for f in fields], F.max("received_at_ms").alias("received_at_ms"))
+    return out.select(*keys, F.unix_millis("w.start").alias("window_ms"), *fields, "received_at_ms")
+
+
+def merge_windows(parts: DataFrame, fields: tuple[str, ...], keys=("venue", "instrument_name")) -> DataFrame:
+    """The merged options of all windows."""
+    last = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("window_ms"))).alias(c)
+    return parts.groupBy(*keys).agg(*[last(f) for f in fields], F.max("received_at_ms").alias("received_at_ms"))
 
 
 def stream_dedupe(df: DataFrame, keys: tuple[str, ...], delay: str = "1 hour") -> DataFrame:
@@ -110,128 +184,26 @@ def stream_filter(df: DataFrame, **kw) -> DataFrame:
     return state.stream_filter(df, **kw)
 
 
-def _stateful(df: DataFrame, keys: tuple[str, ...], fold, out: str, ttl_ms: int | None = None) -> DataFrame:
-    """Fold the rows of each key in event order, with a JSON state that expires ``ttl_ms`` after the last event."""
-
-    def run_group(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        memory = json.loads(held.get[0]) if held.exists else {}
-        frames = list(batches)
-        rows = pd.concat(frames).sort_values(["ts_ms", "event_id"])
-        got = fold(dict(zip(keys, key, strict=True)), rows, memory)
-        held.update((json.dumps(memory),))
-        if ttl_ms:
-            held.setTimeoutTimestamp(max(int(rows.ts_ms.max()) + ttl_ms, held.getCurrentWatermarkMs() + 1))
-        yield got
+def stream_fanout(events: DataFrame, path: str, every: int = 10, trigger: dict | None = None):
+    """One pass over the event log that feeds a table per type, the keyed log, and dead letters.
 
-    timeout = GroupStateTimeout.EventTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return df.groupBy(*keys).applyInPandasWithState(run_group, out, "memory string", "append", timeout)
-
-
-def stream_cvd(trades: DataFrame, delay: str = "24 hours", ttl_ms: int = 86_400_000) -> DataFrame:
-    """Every trade with its key's running signed quantity and notional; a key that is silent for ``ttl_ms`` starts anew."""
-
-    def fold(key, rows, memory):
-        sign = rows.side.map({"buy": 1.0, "sell": -1.0}).fillna(0.0)
-        q, n = sign * rows.qty, sign * rows.qty * rows.price
-        out = pd.DataFrame({**key, "event_id": rows.event_id, "ts_ms": rows.ts_ms, "cvd_qty": q.cumsum() + memory.get("q", 0.0), "cvd_notional": n.cumsum() + memory.get("n", 0.0)})
-        memory["q"], memory["n"] = memory.get("q", 0.0) + float(q.sum()), memory.get("n", 0.0) + float(n.sum())
-        return out
-
-    return _stateful(timed(trades, delay), KEY, fold, "exchange string, market string, symbol string, event_id long, ts_ms long, cvd_qty double, cvd_notional double", ttl_ms)
-
-
-def stream_signal_state(signals: DataFrame, hold_ms: int = 500) -> DataFrame:
-    """FILTERED, HOLDING or TRIGGER per report (market, symbol, event_id, ts_ms, eligible)."""
-
-    def fold(key, rows, memory):
-        out = []
-        for r in rows.itertuples():
-            if not r.eligible:
-                memory.pop("since", None)
-                out.append("FILTERED")
-            else:
-                since = memory.setdefault("since", int(r.ts_ms))
-                out.append("TRIGGER" if r.ts_ms - since >= hold_ms else "HOLDING")
-        return pd.DataFrame({**key, "event_id": rows.event_id, "ts_ms": rows.ts_ms, "state": out})
-
-    return _stateful(signals, ("market", "symbol"), fold, "market string, symbol string, event_id long, ts_ms long, state string")
-
-
-def stream_prediction_state(events: DataFrame) -> DataFrame:
-    """Book state after every event: a ``book`` resets, patches overwrite what they carry."""
-    fields = ("best_bid", "best_ask", "bid_depth", "ask_depth")
-
-    def fold(key, rows, memory):
-        out = []
-        for r in rows.itertuples():
-            for f in fields:
-                v = getattr(r, f)
-                if not pd.isna(v):
-                    memory[f] = float(v)
-                elif r.event_type == "book":
-                    memory.pop(f, None)
-            out.append({**key, "event_id": r.event_id, "event_type": r.event_type, "ts_ms": r.ts_ms, **{f: memory.get(f) for f in fields}})
-        return pd.DataFrame(out).astype({f: "float64" for f in fields})
-
-    return _stateful(events, ("asset_id",), fold, "asset_id string, event_id long, event_type string, ts_ms long, best_bid double, best_ask double, bid_depth double, ask_depth double")
-
-
-def stream_symbol_state(events: DataFrame, window_ms: int = 60_000, liq_ms: int = 900_000) -> DataFrame:
-    """Metrics per (exchange, symbol) after every micro-batch, from one union of domains.
-
-    ``events`` has (event_id, exchange, symbol, ts_ms, domain, market, side,
-    price, qty, rate, oi, ofi); trailing sums keep the samples of their window
-    in the state and nothing older.
+    Payloads are parsed once; the typed rows of all types are one write per
+    batch, and each table is its rows and columns (:func:`read_fanout`).
     """
-
-    def fold(key, rows, memory):
-        flows, liqs = memory.setdefault("flows", []), memory.setdefault("liqs", [])
-        for r in rows.itertuples():
-            now = int(r.ts_ms)
-            if r.domain == "trade" and r.side in ("buy", "sell"):
-                flows.append([now, r.market, float(r.price * r.qty) * (1 if r.side == "buy" else -1)])
-                memory["price"] = float(r.price)
-            elif r.domain == "liquidation":
-                liqs.append([now, r.side, float(r.price * r.qty)])
-                memory["price"] = float(r.price)
-            elif r.domain == "funding":
-                memory["rate"] = float(r.rate)
-            elif r.domain == "open_interest":
-                if memory.get("oi", 0) > 0:
-                    memory["oi_change"] = (float(r.oi) - memory["oi"]) / memory["oi"] * 100
-                memory["oi"] = float(r.oi)
-            elif r.domain == "book":
-                flows.append([now, "ofi", float(r.ofi)])
-        flows[:] = [f for f in flows if now - f[0] <= window_ms]
-        liqs[:] = [f for f in liqs if now - f[0] <= liq_ms]
-        total = lambda rows, kind: sum(v for _, k, v in rows if k == kind) if any(k == kind for _, k, _ in rows) else None
-        return pd.DataFrame([{
-            **key, "ts_ms": now, "latest_price": memory.get("price"), "funding_rate": memory.get("rate"), "open_interest": memory.get("oi"), "oi_change_pct": memory.get("oi_change"),
-            "spot_cvd": total(flows, "spot"), "perp_cvd": total(flows, "perp"), "ofi": total(flows, "ofi"), "buy_liquidation": total(liqs, "buy"), "sell_liquidation": total(liqs, "sell"),
-        }]).astype({c: "float64" for c in ("latest_price", "funding_rate", "open_interest", "oi_change_pct", "spot_cvd", "perp_cvd", "ofi", "buy_liquidation", "sell_liquidation")})
-
-    names = "latest_price, funding_rate, open_interest, oi_change_pct, spot_cvd, perp_cvd, ofi, buy_liquidation, sell_liquidation".split(", ")
-    return _stateful(events, ("exchange", "symbol"), fold, "exchange string, symbol string, ts_ms long, " + ", ".join(f"{n} double" for n in names))
-
-
-def stream_fanout(events: DataFrame, path: str, trigger: dict | None = None):
-    """One pass over the event log that writes a table per type, the keyed log, and dead letters."""
+    spark = events.sparkSession
+    typed, log, dead = (Upserts(spark, f"{path}/{name}", (), every) for name in ("tables", "log", "dead"))
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        good = batch.where(F.get_json_object("payload", "$").isNotNull())
-        for name, table in normalize.fanout_tables(good).items():
-            table.sortWithinPartitions("symbol", "exchange", "market", "ts_ms").write.mode("overwrite").parquet(f"{path}/{name}/_batch_id={number}")
-        normalize.event_log(good).write.mode("overwrite").parquet(f"{path}/log/_batch_id={number}")
-        normalize.dead_letters(batch, []).write.mode("overwrite").json(f"{path}/dead/_batch_id={number}")
+        typed.write(normalize.typed_rows(batch), number)
+        log.write(normalize.event_log(normalize.parsed(batch)), number)
+        dead.write(normalize.dead_letters(batch, []), number)
         batch.unpersist()
 
     return events.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_snapshots(stream: DataFrame, path: str, every: str = "1 second"):
-    """The changed state, written once per interval."""
-    return upsert_sink(stream, path, "update", {"processingTime": every})
+def read_fanout(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The typed tables, the log and the dead letters that :func:`stream_fanout` has written."""
+    part = lambda name: Upserts(spark, f"{path}/{name}", ()).read()
+    return {**normalize.fanout_tables(part("tables")), "log": part("log"), "dead": part("dead")}
