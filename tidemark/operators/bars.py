@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators.books import book_stats
 from tidemark.operators.state import KEY
 
 BAR = (*KEY, "interval")
@@ -54,7 +53,7 @@ def kline_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def klines_query(bars, exchange=None, market=None, symbol=None, interval=None, start_ms=None, end_ms=None, limit: int = 500) -> DataFrame:
-    """The newest ``limit`` bars that match, by key."""
+    """The newest ``limit`` bars that match, in the order of time."""
     for c, v in (("exchange", exchange), ("market", market), ("symbol", symbol), ("interval", interval)):
         if v is not None:
             bars = bars.where(F.col(c) == v)
@@ -62,7 +61,8 @@ def klines_query(bars, exchange=None, market=None, symbol=None, interval=None, s
         bars = bars.where(F.col("open_time_ms") >= start_ms)
     if end_ms is not None:
         bars = bars.where(F.col("open_time_ms") <= end_ms)
-    return bars.orderBy(F.desc("open_time_ms"), *BAR).limit(limit)
+    newest = bars.orderBy(F.desc("open_time_ms"), *BAR).limit(limit)
+    return newest.orderBy("open_time_ms", *BAR)
 
 
 def lake_quality(bars: DataFrame) -> DataFrame:
@@ -232,30 +232,37 @@ def regimes(f: DataFrame) -> DataFrame:
     )
 
 
-def research_features(bars, ticks, funding, oi, books, basis, benchmark: str = "BTCUSDT", k: int = 10) -> DataFrame:
-    """One row of features and regimes per (exchange, market, symbol, interval).
+def bar_features(bars: DataFrame, benchmark: str = "BTCUSDT") -> DataFrame:
+    """Return, volume, realised volatility, z-score and benchmark correlation per key, from one pass over the bars.
 
-    Bars are aggregated once per statistic; the latest-state tables have a
-    row per key and are joined by equality.
+    A window per key gives each bar its return and its place from the end; a
+    window over the symbols of a place brings the benchmark's return; one
+    aggregate makes all statistics.
     """
-    ends = bars.groupBy(*BAR).agg(
-        F.count("*").alias("bars"), F.min_by("close", "open_time_ms").alias("a"), F.max_by("close", "open_time_ms").alias("z"), F.sum("volume").alias("volume")
-    )
-    ret = F.when(F.col("a") > 0, (F.col("z") - F.col("a")) / F.col("a") * 100).alias("return_pct")
-    mid = (F.col("bid") + F.col("ask")) / 2
-    spread = ticks.select(*KEY, ((F.col("ask") - F.col("bid")) / mid * 10_000).alias("spread_bps"))
-    depth = book_stats(books, k).select(*KEY, "depth_notional", "liquidity_score")
-    out = (
-        ends.select(*BAR, "bars", ret, "volume")
-        .join(realized_vol(bars).drop("n_returns"), list(BAR), "left").join(close_zscore(bars), list(BAR), "left")
-        .join(correlations(bars, benchmark).drop("pairs"), list(BAR), "left")
-        .join(funding.select("exchange", "symbol", "funding_rate"), ["exchange", "symbol"], "left")
-        .join(oi.select("exchange", "symbol", "open_interest"), ["exchange", "symbol"], "left")
-        .join(basis.select("exchange", "symbol", "basis_bps"), ["exchange", "symbol"], "left")
-        .join(spread, list(KEY), "left").join(depth, list(KEY), "left")
-        .join(exchange_disagreement(ticks).drop("venues"), ["market", "symbol"], "left")
+    by = W.partitionBy(*BAR).orderBy("open_time_ms")
+    back = W.partitionBy(*BAR).orderBy(F.desc("open_time_ms")).rowsBetween(W.unboundedPreceding, 0)
+    ret = F.when((F.col("close") > 0) & (F.col("prev") > 0), F.log(F.col("close") / F.col("prev")))
+    rows = bars.select(*BAR, "open_time_ms", "close", "volume", F.lag("close").over(by).alias("prev")).withColumn("ret", ret)
+    rows = rows.withColumn("i", F.when(F.col("ret").isNotNull(), F.count("ret").over(back)))
+    is_benchmark = F.col("symbol") == benchmark
+    rows = rows.withColumn("bench", F.when(F.col("i").isNotNull(), F.max(F.when(is_benchmark, F.col("ret"))).over(W.partitionBy("exchange", "market", "interval", "i"))))
+    paired = F.when(~is_benchmark & F.col("bench").isNotNull(), F.col("ret"))
+    other = F.when(paired.isNotNull(), F.col("bench"))
+    out = rows.groupBy(*BAR).agg(
+        F.count("*").alias("bars"), F.min_by("close", "open_time_ms").alias("a"), F.max_by("close", "open_time_ms").alias("z"), F.sum("volume").alias("volume"),
+        (F.stddev_pop("ret") * F.sqrt(F.count("ret"))).alias("realized_vol"), F.avg("close").alias("m"), F.stddev_pop("close").alias("sd"),
+        F.covar_pop(paired, other).alias("cv"), F.stddev_pop(paired).alias("s"), F.stddev_pop(other).alias("t"),
+    )
+    return out.select(
+        *BAR, "bars", F.when(F.col("a") > 0, (F.col("z") - F.col("a")) / F.col("a") * 100).alias("return_pct"), "volume", "realized_vol",
+        F.when((F.col("bars") >= 2) & (F.col("sd") > 0), (F.col("z") - F.col("m")) / F.col("sd")).alias("close_zscore"),
+        F.when((F.col("s") > 0) & (F.col("t") > 0), F.col("cv") / (F.col("s") * F.col("t"))).alias("correlation"),
     )
-    return regimes(out)
+
+
+def research_features(bars: DataFrame, states: DataFrame, benchmark: str = "BTCUSDT") -> DataFrame:
+    """One row of features and regimes per (exchange, market, symbol, interval), from bars and :func:`state.market_states`."""
+    return regimes(bar_features(bars, benchmark).join(states.drop("mid", "quoted"), list(KEY), "left"))
 
 
 def market_regime(features: DataFrame) -> DataFrame:

@@ -56,6 +56,13 @@ def weakest_ratio(latest_books: DataFrame) -> DataFrame:
     return out.groupBy("symbol").agg(F.min("r").alias("weakest_ratio"))
 
 
+def level_flow(bp0: Column, bq0: Column, ap0: Column, aq0: Column, bp: Column, bq: Column, ap: Column, aq: Column) -> Column:
+    """Change of the best bid's size less that of the best ask's, by the prices' moves, between two books."""
+    bid = F.when(bp > bp0, bq).when(bp < bp0, -bq0).otherwise(bq - bq0)
+    ask = F.when(ap < ap0, aq).when(ap > ap0, -aq0).otherwise(aq - aq0)
+    return bid - ask
+
+
 def ofi(books: DataFrame, width_ms: int = scans.WIDTH) -> DataFrame:
     """Best-level order-flow imbalance between consecutive perp books, in quote notional."""
     top = books.where("market = 'perp' and size(bids) > 0 and size(asks) > 0").select(
@@ -63,10 +70,9 @@ def ofi(books: DataFrame, width_ms: int = scans.WIDTH) -> DataFrame:
         F.col("asks")[0].price.alias("ap"), F.col("asks")[0].qty.alias("aq"),
     )
     prev = scans.neighbours(top, ("exchange", "symbol"), before={f"p_{c}": c for c in ("bp", "bq", "ap", "aq")}, width_ms=width_ms).where("p_bp is not null")
-    bid = F.when(F.col("bp") > F.col("p_bp"), F.col("bq")).when(F.col("bp") < F.col("p_bp"), -F.col("p_bq")).otherwise(F.col("bq") - F.col("p_bq"))
-    ask = F.when(F.col("ap") < F.col("p_ap"), F.col("aq")).when(F.col("ap") > F.col("p_ap"), -F.col("p_aq")).otherwise(F.col("aq") - F.col("p_aq"))
+    flow = level_flow(*[F.col(c) for c in ("p_bp", "p_bq", "p_ap", "p_aq", "bp", "bq", "ap", "aq")])
     mid = F.coalesce(S.mid_uncrossed(F.col("bp"), F.col("ap")), F.lit(1.0))
-    return prev.select("event_id", "exchange", "symbol", "ts_ms", ((bid - ask) * mid).alias("ofi"))
+    return prev.select("event_id", "exchange", "symbol", "ts_ms", (flow * mid).alias("ofi"))
 
 
 def option_depth(books: DataFrame, depth: int = 10) -> DataFrame:

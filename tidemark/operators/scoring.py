@@ -8,40 +8,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators import books, scans, state
 
 ES = ["exchange", "symbol"]
 
 
-def symbol_metrics(quotes, funding, oi, oi_changes, trades, liquidations, books, ofi, now: int, window_ms: int = 60_000, liq_ms: int = 900_000) -> DataFrame:
-    """Fifteen metrics per (exchange, symbol) at ``now``.
+def symbol_metrics(events: DataFrame, now: int | Column | None = None, window_ms: int = 60_000, liq_ms: int = 900_000, width_ms: int = scans.WIDTH) -> DataFrame:
+    """Fifteen metrics per (exchange, symbol) at ``now`` from the unified events (:data:`state.EVENT`).
 
-    Each domain is reduced to a row per symbol by a partial aggregate before
-    the rows meet in full joins, so joins see state, never history.  The
-    latest price is that of the last event among quotes (mark, else mid),
-    funding marks, trades, liquidations and perp book mids.
+    Changes of open interest and of the best book level are taken against the
+    row before in its domain by a two-level scan; one conditional aggregate
+    per symbol makes the rest.  The latest price is that of the last event
+    among quotes (mark, else mid), funding marks, trades, liquidations and
+    perp book mids.
     """
-    at = lambda v, rank: F.struct("ts_ms", "event_id", F.lit(rank).alias("rank"), v.alias("price"))
-    mid = S.mid_uncrossed(F.col("bid"), F.col("ask"))
-    top = books.where("market = 'perp'").withColumns({"bid": F.col("bids")[0].price, "ask": F.col("asks")[0].price})
-    priced = [
-        quotes.where(mid.isNotNull()).select(*ES, at(F.coalesce("mark", mid), 0).alias("p")), funding.where("mark_price is not null").select(*ES, at(F.col("mark_price"), 1).alias("p")),
-        trades.where("side <> 'unknown' and price * qty <> 0").select(*ES, at(F.col("price"), 2).alias("p")), liquidations.where("price * qty > 0").select(*ES, at(F.col("price"), 3).alias("p")),
-        top.where(S.mid_uncrossed(F.col("bid"), F.col("ask")).isNotNull()).select(*ES, at(S.mid_uncrossed(F.col("bid"), F.col("ask")), 4).alias("p")),
-    ]
-    price = reduce(DataFrame.union, [p.groupBy(*ES).agg(F.max("p").alias("p")) for p in priced]).groupBy(*ES).agg(F.max("p").price.alias("latest_price"))
-    last = lambda df, *cols: df.groupBy(*ES).agg(*[F.max_by(c, F.struct("ts_ms", "event_id")).alias(c) for c in cols])
-    recent = lambda df, w: df.where((F.lit(now) - F.col("ts_ms") <= w) & (F.col("ts_ms") <= now))
-    signed = S.signed_notional(F.col("side"), F.col("price"), F.col("qty"))
-    cvd = recent(trades, window_ms).withColumn("s", signed).where("s <> 0").groupBy(*ES).agg(
-        F.sum(F.when(F.col("market") == "spot", F.col("s"))).alias("spot_cvd"), F.sum(F.when(F.col("market") == "perp", F.col("s"))).alias("perp_cvd")
-    )
-    liq = recent(liquidations, liq_ms).where("price * qty > 0").groupBy(*ES).agg(
-        F.sum(F.when(F.col("side") == "buy", F.col("price") * F.col("qty"))).alias("buy_liquidation"), F.sum(F.when(F.col("side") == "sell", F.col("price") * F.col("qty"))).alias("sell_liquidation")
-    )
-    depth = last(top.withColumns({"bid_depth": S.book_sum(F.col("bids"), 10), "ask_depth": S.book_sum(F.col("asks"), 10)}), "bid_depth", "ask_depth")
-    flow = recent(ofi, window_ms).groupBy(*ES).agg(F.sum("ofi").alias("ofi"))
-    parts = [price, last(funding, "funding_rate"), last(oi, "open_interest"), last(oi_changes, "change_pct").withColumnRenamed("change_pct", "oi_change_pct"), cvd, liq, depth, flow]
-    out = reduce(lambda a, b: a.join(b, ES, "full"), parts)
+    now = state.as_of(events) if now is None else now
+    is_ = lambda d: F.col("domain") == d
+    notional = F.col("price") * F.col("qty")
+    quote_mid = S.mid_uncrossed(F.col("bid"), F.col("ask"))
+    top = {"bp": F.col("bids")[0].price, "bq": F.col("bids")[0].qty, "ap": F.col("asks")[0].price, "aq": F.col("asks")[0].qty}
+    book_mid = S.mid_uncrossed(top["bp"], top["ap"])
+    candidate = F.coalesce(
+        F.when(is_("quote") & quote_mid.isNotNull(), F.coalesce("mark", quote_mid)), F.when(is_("funding"), F.col("mark_price")), F.when(is_("trade") & (F.col("side") != "unknown") & (notional != 0), F.col("price")),
+        F.when(is_("liquidation") & (notional > 0), F.col("price")), F.when(is_("order_book"), book_mid),
+    )
+    rank = F.array_position(F.array(*map(F.lit, ["quote", "funding", "trade", "liquidation", "order_book"])), F.col("domain"))
+    kept = events.where(~is_("order_book") | ((F.col("market") == "perp") & (F.size("bids") > 0) & (F.size("asks") > 0)))
+    rows = kept.select(
+        *ES, "domain", "market", "ts_ms", "event_id", rank.alias("rank"), candidate.alias("candidate"), "side", notional.alias("notional"), S.signed_notional(F.col("side"), F.col("price"), F.col("qty")).alias("signed"),
+        "funding_rate", "open_interest", *[F.when(is_("order_book"), v).alias(c) for c, v in top.items()], F.coalesce(book_mid, F.lit(1.0)).alias("mid"),
+        S.book_sum(F.col("bids"), 10).alias("bid_depth"), S.book_sum(F.col("asks"), 10).alias("ask_depth"),
+    )
+    near = scans.neighbours(rows, (*ES, "domain"), before={f"p_{c}": c for c in ("open_interest", *top)}, width_ms=width_ms)
+    at, age = F.struct("ts_ms", "event_id"), F.lit(now) - F.col("ts_ms")
+    within = lambda w: (age <= w) & (age >= 0)
+    last = lambda c, cond: F.max_by(c, F.when(cond, at))
+    change = F.when(F.col("p_open_interest") > 0, (F.col("open_interest") - F.col("p_open_interest")) / F.col("p_open_interest") * 100)
+    flow = books.level_flow(*[F.col(c) for c in ("p_bp", "p_bq", "p_ap", "p_aq", "bp", "bq", "ap", "aq")]) * F.col("mid")
+    cvd = lambda m: F.sum(F.when(is_("trade") & (F.col("market") == m) & within(window_ms) & (F.col("signed") != 0), F.col("signed")))
+    liquidated = lambda s: F.sum(F.when(is_("liquidation") & (F.col("side") == s) & within(liq_ms) & (F.col("notional") > 0), F.col("notional")))
+    out = near.groupBy(*ES).agg(
+        F.max_by("candidate", F.when(F.col("candidate").isNotNull(), F.struct("ts_ms", "event_id", "rank"))).alias("latest_price"), last("funding_rate", is_("funding")).alias("funding_rate"),
+        last("open_interest", is_("open_interest")).alias("open_interest"), last(change, change.isNotNull()).alias("oi_change_pct"), cvd("spot").alias("spot_cvd"), cvd("perp").alias("perp_cvd"),
+        liquidated("buy").alias("buy_liquidation"), liquidated("sell").alias("sell_liquidation"), last("bid_depth", is_("order_book")).alias("bid_depth"), last("ask_depth", is_("order_book")).alias("ask_depth"),
+        F.sum(F.when(is_("order_book") & F.col("p_bp").isNotNull() & within(window_ms), flow)).alias("ofi"),
+    )
     s, p, b, a = (F.col(c) for c in ("spot_cvd", "perp_cvd", "bid_depth", "ask_depth"))
     split = F.when((s > 0) & (p < 0), "spot_up_perp_down").when((s < 0) & (p > 0), "spot_down_perp_up").when((s > 0) & (p > 0), "both_up").when((s < 0) & (p < 0), "both_down")
     return out.withColumns(
@@ -68,6 +79,11 @@ def _points(*rules) -> tuple[Column, Column]:
     return _sum(*score), F.array_compact(F.array(*names))
 
 
+def _texts(*rules: tuple[Column, Column]) -> Column:
+    """The texts whose condition holds, in order."""
+    return F.array_compact(F.array(*[F.when(cond, text) for cond, text in rules]))
+
+
 def squeeze_state(m: DataFrame) -> DataFrame:
     """Long-squeeze score (0 to 10), its progress, and the state that it reaches."""
     rate, oi, buy = F.col("funding_rate"), F.col("oi_change_pct"), F.col("buy_liquidation")
@@ -77,11 +93,16 @@ def squeeze_state(m: DataFrame) -> DataFrame:
     )
     out = m.withColumns({"squeeze_score": score, "squeeze_progress": progress})
     has = lambda *x: reduce(lambda a, b: a | b, [F.array_contains("squeeze_progress", n) for n in x])
-    state = (
+    label = (
         F.when(F.col("squeeze_score") >= 8, "triggered_long_squeeze").when(has("spot_absorption"), "spot_absorption").when(has("oi_stack", "oi_rising"), "chip_accumulation")
         .when(has("crowded_shorts", "short_bias"), "short_crowding").otherwise("neutral")
     )
-    return out.withColumns({"squeeze_state": state, "squeeze_invalidated": F.coalesce(F.col("depth_pressure") < -0.4, F.lit(False))})
+    reasons = _texts(
+        (rate <= -0.0005, F.format_string("funding deeply negative: %.4f%%", rate * 100)), (oi >= 15, F.format_string("OI expansion is extreme: +%.2f%%", oi)),
+        (F.col("cvd_divergence") == "spot_up_perp_down", F.lit("spot CVD up while perp CVD down")),
+    )
+    against = _texts((F.col("depth_pressure") < -0.4, F.lit("top-10 book is ask-heavy; squeeze needs aggressive buy confirmation")))
+    return out.withColumns({"squeeze_state": label, "squeeze_reasons": reasons, "squeeze_invalidation": against, "squeeze_invalidated": F.size(against) > 0})
 
 
 def exhaustion_state(m: DataFrame) -> DataFrame:
@@ -93,11 +114,16 @@ def exhaustion_state(m: DataFrame) -> DataFrame:
     )
     out = m.withColumns({"exhaustion_score": score, "exhaustion_progress": progress})
     has = lambda *x: reduce(lambda a, b: a | b, [F.array_contains("exhaustion_progress", n) for n in x])
-    state = (
+    label = (
         F.when(F.col("exhaustion_score") >= 8, "triggered_short_exhaustion").when(has("book_vacuum"), "book_vacuum").when(has("fuel_exhausted", "oi_slipping"), "fuel_exhaustion")
         .when(has("crowded_longs", "long_bias"), "long_crowding").otherwise("neutral")
     )
-    return out.withColumns({"exhaustion_state": state, "exhaustion_invalidated": F.coalesce(F.col("buy_liquidation") > 0, F.lit(False))})
+    reasons = _texts(
+        (rate >= 0.0005, F.format_string("funding extremely positive: %.4f%%", rate * 100)), (oi <= -10, F.format_string("OI dropped sharply: %.2f%%", oi)),
+        (r < 0.65, F.format_string("bid depth is thin versus asks: %.2f", r)),
+    )
+    against = _texts((F.col("buy_liquidation") > 0, F.lit("recent short liquidation fuel still exists; avoid early short without failed breakout confirmation")))
+    return out.withColumns({"exhaustion_state": label, "exhaustion_reasons": reasons, "exhaustion_invalidation": against, "exhaustion_invalidated": F.size(against) > 0})
 
 
 def risk_context(states: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -11,9 +12,9 @@ from tidemark.operators import scans
 KEY = ("exchange", "market", "symbol")
 
 
-def as_of(df: DataFrame) -> int:
-    """The default clock: the latest event of the input."""
-    return df.agg(F.max("ts_ms")).first()[0] or 0
+def as_of(df: DataFrame) -> Column:
+    """The default clock: the time of the latest event, as a scalar subquery of the plan that uses it."""
+    return df.agg(F.coalesce(F.max("ts_ms"), F.lit(0)).alias("now")).scalar()
 
 
 def latest(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -28,7 +29,7 @@ def with_freshness(df: DataFrame, now: int, ttl_ms: int) -> DataFrame:
     return df.withColumns({"latency_ms": latency, "stale": latency > ttl_ms})
 
 
-def latest_ticks(quotes: DataFrame, now: int | None = None, ttl_ms: int = 1500) -> DataFrame:
+def latest_ticks(quotes: DataFrame, now: int | Column | None = None, ttl_ms: int = 1500) -> DataFrame:
     now = as_of(quotes) if now is None else now
     return with_freshness(latest(quotes, KEY), now, ttl_ms)
 
@@ -202,6 +203,48 @@ def asof_mid(events: DataFrame, quotes: DataFrame, width_ms: int = scans.WIDTH)
     return both.where("kind = 1").select(*KEY, "event_id", "asof_mid")
 
 
+#: Columns of the unified events (:func:`market_states`, :func:`scoring.symbol_metrics`) and their types.
+EVENT = {
+    "domain": "string", "exchange": "string", "market": "string", "symbol": "string", "ts_ms": "long", "event_id": "long", "bid": "double", "ask": "double", "mark": "double", "funding_rate": "double",
+    "mark_price": "double", "open_interest": "double", "price": "double", "qty": "double", "side": "string", "bids": "array<struct<price:double,qty:double>>", "asks": "array<struct<price:double,qty:double>>",
+}
+
+
+def market_states(events: DataFrame, now: int | Column | None = None, ttl_ms: int = 1500, k: int = 10) -> DataFrame:
+    """The state of every (exchange, market, symbol) from one scan of the unified events.
+
+    One conditional aggregate per (exchange, symbol) keeps the last quote and
+    book of each market, the last funding rate and open interest; spreads,
+    depth and basis come from that row, the disagreement of venues from the
+    rows of a symbol.
+    """
+    quotes = events.where("domain = 'quote'")
+    now = as_of(quotes) if now is None else now
+    place = F.struct("ts_ms", "event_id")
+    bps = lambda lo, hi: (hi - lo) / ((lo + hi) / 2) * 10_000
+    b, a = F.col("bids")[0].price, F.col("asks")[0].price
+    depth = S.book_sum(F.col("bids"), k, False) + S.book_sum(F.col("asks"), k, False)
+    book = F.when((b > 0) & (a >= b), F.struct(depth.alias("depth"), (depth / (1 + F.greatest(bps(b, a), F.lit(0.0)))).alias("score")))
+    rows = events.select("domain", "exchange", "market", "symbol", "ts_ms", "event_id", "bid", "ask", "funding_rate", "open_interest", book.alias("book"))
+    of = lambda domain, market=None: F.when((F.col("domain") == domain) & (F.lit(True) if market is None else F.col("market") == market), place)
+    markets = ("spot", "perp")
+    aggs = [F.max_by("funding_rate", of("funding")).alias("funding_rate"), F.max_by("open_interest", of("open_interest")).alias("open_interest")]
+    for m in markets:
+        aggs += [F.max_by(F.struct("bid", "ask", "ts_ms"), of("quote", m)).alias(f"q_{m}"), F.max_by("book", of("order_book", m)).alias(f"b_{m}")]
+    one = rows.groupBy("exchange", "symbol").agg(*aggs)
+    fresh = {m: (F.col(f"q_{m}").bid > 0) & (F.col(f"q_{m}").ask > 0) & (F.greatest(F.lit(now) - F.col(f"q_{m}").ts_ms, F.lit(0)) <= ttl_ms) for m in markets}
+    mid = {m: (F.col(f"q_{m}").bid + F.col(f"q_{m}").ask) / 2 for m in markets}
+    basis = F.when(fresh["spot"] & fresh["perp"], (mid["perp"] - mid["spot"]) / mid["spot"] * 10_000)
+    each = F.explode(F.array(*[
+        F.struct(F.lit(m).alias("market"), F.col(f"q_{m}").isNotNull().alias("quoted"), mid[m].alias("mid"), bps(F.col(f"q_{m}").bid, F.col(f"q_{m}").ask).alias("spread_bps"), F.col(f"b_{m}").depth.alias("depth_notional"), F.col(f"b_{m}").score.alias("liquidity_score"))
+        for m in markets])).alias("m")
+    flat = one.select("exchange", "symbol", "funding_rate", "open_interest", basis.alias("basis_bps"), each).select("exchange", "symbol", "m.*", "funding_rate", "open_interest", "basis_bps")
+    venues = W.partitionBy("market", "symbol")
+    seen = F.when(F.col("mid") > 0, F.col("mid"))
+    apart = F.when(F.count(seen).over(venues) >= 2, (F.max(seen).over(venues) - F.min(seen).over(venues)) / F.avg(seen).over(venues) * 10_000)
+    return flat.withColumn("disagreement_bps", apart)
+
+
 def context_bundle(limit: int, **sections: DataFrame) -> DataFrame:
     """The first ``limit`` rows of each section by (symbol, source)."""
     out = None

@@ -172,8 +172,7 @@ register("exchange_disagreement", lambda s, d: rounded(bars.exchange_disagreemen
 
 
 def features(s, d):
-    t = ticks(s, d)
-    return bars.research_features(A.klines_daily(s, d), t, last("funding", ("exchange", "symbol"))(s, d), last("open_interest", ("exchange", "symbol"))(s, d), last("order_books", KEY)(s, d), state.basis(t))
+    return bars.research_features(A.klines_daily(s, d), state.market_states(A.unified_events(s, d), now(s, d), TTL))
 
 
 _BS = f"bk AS (SELECT {K}, min(price) FILTER (side='bid' AND lvl=0) AS bid, min(price) FILTER (side='ask' AND lvl=0) AS ask, sum(price*qty) AS depth_notional FROM lb GROUP BY ALL), bks AS (SELECT *, depth_notional/(1+greatest((ask-bid)/((bid+ask)/2)*10000,0)) AS liquidity_score FROM bk WHERE bid>0 AND ask>=bid)"

@@ -51,7 +51,7 @@ register("coverage_alerts", lambda s, d: coverage.coverage_alerts(_sym(s, d), _e
 
 
 def metrics(s, d):
-    return scoring.symbol_metrics(A.quotes(s, d), A.funding(s, d), A.open_interest(s, d), flow.oi_change(A.open_interest(s, d)), A.trades(s, d), A.liquidations(s, d), A.order_books(s, d), books.ofi(A.order_books(s, d)), now(s, d), D1, D1)
+    return scoring.symbol_metrics(A.unified_events(s, d), now(s, d), D1, D1)
 
 
 _SG = "CASE side WHEN 'buy' THEN price*qty WHEN 'sell' THEN -price*qty ELSE 0 END"
@@ -78,8 +78,8 @@ def states(s, d):
     return scoring.exhaustion_state(scoring.squeeze_state(metrics(s, d)))
 
 
-register("squeeze_state", lambda s, d: scoring.squeeze_state(metrics(s, d)).select(*ES, "squeeze_score", F.concat_ws(",", "squeeze_progress").alias("progress"), "squeeze_state", "squeeze_invalidated"), f"WITH {_SQ} SELECT exchange, symbol, squeeze_score, concat_ws(',', CASE WHEN funding_rate<=-0.0005::DOUBLE THEN 'crowded_shorts' WHEN funding_rate<0 THEN 'short_bias' END, CASE WHEN oi_change_pct>=15 THEN 'oi_stack' WHEN oi_change_pct>=3 THEN 'oi_rising' END, CASE WHEN cvd_divergence='spot_up_perp_down' THEN 'spot_absorption' END, CASE WHEN ofi>0 THEN 'book_confirming' END, CASE WHEN buy_liquidation>0 THEN 'liquidation_fuel' END) AS progress, squeeze_state, coalesce(depth_pressure<-0.4::DOUBLE, false) AS squeeze_invalidated FROM sq")
-register("exhaustion_state", lambda s, d: states(s, d).select(*ES, "exhaustion_score", F.concat_ws(",", "exhaustion_progress").alias("progress"), "exhaustion_state", "exhaustion_invalidated"), f"WITH {_SQ} SELECT exchange, symbol, exhaustion_score, concat_ws(',', CASE WHEN funding_rate>=0.0005::DOUBLE THEN 'crowded_longs' WHEN funding_rate>0 THEN 'long_bias' END, CASE WHEN oi_change_pct<=-10 THEN 'fuel_exhausted' WHEN oi_change_pct<0 THEN 'oi_slipping' END, CASE WHEN perp_cvd<0 THEN 'sell_flow_confirming' END, CASE WHEN depth_ratio<0.65::DOUBLE THEN 'book_vacuum' WHEN depth_ratio<1 THEN 'bids_weaker_than_asks' END, CASE WHEN ofi<0 THEN 'ofi_negative' END) AS progress, exhaustion_state, coalesce(buy_liquidation>0, false) AS exhaustion_invalidated FROM sq")
+register("squeeze_state", lambda s, d: scoring.squeeze_state(metrics(s, d)).select(*ES, "squeeze_score", F.concat_ws(",", "squeeze_progress").alias("progress"), "squeeze_state", "squeeze_invalidated", F.concat_ws("; ", "squeeze_reasons").alias("reasons"), F.concat_ws("; ", "squeeze_invalidation").alias("invalidation")), f"WITH {_SQ} SELECT exchange, symbol, squeeze_score, concat_ws(',', CASE WHEN funding_rate<=-0.0005::DOUBLE THEN 'crowded_shorts' WHEN funding_rate<0 THEN 'short_bias' END, CASE WHEN oi_change_pct>=15 THEN 'oi_stack' WHEN oi_change_pct>=3 THEN 'oi_rising' END, CASE WHEN cvd_divergence='spot_up_perp_down' THEN 'spot_absorption' END, CASE WHEN ofi>0 THEN 'book_confirming' END, CASE WHEN buy_liquidation>0 THEN 'liquidation_fuel' END) AS progress, squeeze_state, coalesce(depth_pressure<-0.4::DOUBLE, false) AS squeeze_invalidated, concat_ws('; ', CASE WHEN funding_rate<=-0.0005::DOUBLE THEN 'funding deeply negative: ' || printf('%.4f', funding_rate*100) || '%' END, CASE WHEN oi_change_pct>=15 THEN 'OI expansion is extreme: +' || printf('%.2f', oi_change_pct) || '%' END, CASE WHEN cvd_divergence='spot_up_perp_down' THEN 'spot CVD up while perp CVD down' END) AS reasons, CASE WHEN depth_pressure<-0.4::DOUBLE THEN 'top-10 book is ask-heavy; squeeze needs aggressive buy confirmation' ELSE '' END AS invalidation FROM sq")
+register("exhaustion_state", lambda s, d: states(s, d).select(*ES, "exhaustion_score", F.concat_ws(",", "exhaustion_progress").alias("progress"), "exhaustion_state", "exhaustion_invalidated", F.concat_ws("; ", "exhaustion_reasons").alias("reasons"), F.concat_ws("; ", "exhaustion_invalidation").alias("invalidation")), f"WITH {_SQ} SELECT exchange, symbol, exhaustion_score, concat_ws(',', CASE WHEN funding_rate>=0.0005::DOUBLE THEN 'crowded_longs' WHEN funding_rate>0 THEN 'long_bias' END, CASE WHEN oi_change_pct<=-10 THEN 'fuel_exhausted' WHEN oi_change_pct<0 THEN 'oi_slipping' END, CASE WHEN perp_cvd<0 THEN 'sell_flow_confirming' END, CASE WHEN depth_ratio<0.65::DOUBLE THEN 'book_vacuum' WHEN depth_ratio<1 THEN 'bids_weaker_than_asks' END, CASE WHEN ofi<0 THEN 'ofi_negative' END) AS progress, exhaustion_state, coalesce(buy_liquidation>0, false) AS exhaustion_invalidated, concat_ws('; ', CASE WHEN funding_rate>=0.0005::DOUBLE THEN 'funding extremely positive: ' || printf('%.4f', funding_rate*100) || '%' END, CASE WHEN oi_change_pct<=-10 THEN 'OI dropped sharply: ' || printf('%.2f', oi_change_pct) || '%' END, CASE WHEN depth_ratio<0.65::DOUBLE THEN 'bid depth is thin versus asks: ' || printf('%.2f', depth_ratio) END) AS reasons, CASE WHEN buy_liquidation>0 THEN 'recent short liquidation fuel still exists; avoid early short without failed breakout confirmation' ELSE '' END AS invalidation FROM sq")
 register("risk_context", lambda s, d: rounded(scoring.risk_context(states(s, d))), f"WITH {_SQ} SELECT exchange, symbol, round(CASE WHEN squeeze_state='triggered_long_squeeze' THEN latest_price*0.985::DOUBLE WHEN exhaustion_state='triggered_short_exhaustion' THEN latest_price*1.015::DOUBLE END,4) AS suggested_hard_stop, CASE WHEN squeeze_state='triggered_long_squeeze' OR exhaustion_state='triggered_short_exhaustion' THEN 150 END AS suggested_trailing_stop_bps FROM sq")
 _MON = _MET + ", mo AS (SELECT symbol, min(funding_rate) AS min_funding, max(funding_rate) AS max_funding, max(oi_change_pct) AS max_oi_change, min(oi_change_pct) AS min_oi_change, sum(spot_cvd) AS spot_cvd, sum(perp_cvd) AS perp_cvd, sum(buy_liquidation) AS buy_liquidation, min(depth_ratio) AS weakest_ratio FROM mt GROUP BY symbol)"
 

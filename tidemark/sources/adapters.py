@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.state import EVENT
+
 
 def read(spark: SparkSession, d: str | DataFrame, name: str) -> DataFrame:
     """A table of the folder ``d``; a stream of that table may be given in its place."""
@@ -160,6 +162,25 @@ def perp_funding(spark, d) -> DataFrame:
     ).withColumn("funding_rate_pct", F.expr("funding_rate * 100D"))
 
 
+def unified_events(spark, d) -> DataFrame:
+    """All six market domains as rows of one schema (:data:`state.EVENT`), from one scan."""
+    level = "transform(sequence(0, 9), l -> struct({} as price, cast((7 * event_id + 13 * l + {}) % 11 as double) as qty))"
+    perp = F.col("market") == "perp"
+    price, ask = F.expr("100D + value"), F.expr("case when event_id % 97 = 0 then 99D + value else (100D + value) * (1D + (k + 1) / 10000D) end")
+    side = F.when(F.col("event_type").isin("click", "view"), "buy").when(F.col("event_type").isin("purchase", "error"), "sell").otherwise("unknown")
+    own = [
+        ("quote", F.lit(True), {"bid": price, "ask": ask, "mark": F.when(F.col("k") % 10 != 0, (price + ask) / 2)}),
+        ("funding", perp, {"funding_rate": F.expr("(k - 50) / 100000D"), "mark_price": price}), ("open_interest", perp, {"open_interest": F.expr("1000D * value")}),
+        ("trade", F.lit(True), {"price": price, "qty": F.expr("cast(k + 1 as double)"), "side": side}),
+        ("liquidation", perp & F.col("event_type").isin("error", "purchase"), {"price": price, "qty": F.expr("(k + 1) / 10D"), "side": F.when(F.col("event_type") == "error", "sell").otherwise("buy")}),
+        ("order_book", F.col("event_type") == "view", {"bids": F.expr(level.format("100D + value - 0.5D * l", 0)), "asks": F.expr(level.format("100.1D + value + 0.5D * l", 5))}),
+    ]
+    shared = ("exchange", "market", "symbol", "ts_ms", "event_id")
+    fields = {c: k for c, k in EVENT.items() if c not in (*shared, "domain")}
+    kinds = [F.when(cond, F.struct(F.lit(name).alias("domain"), *[given.get(c, F.lit(None)).cast(k).alias(c) for c, k in fields.items()])) for name, cond, given in own]
+    return ev(spark, d).select(*shared, F.explode(F.array_compact(F.array(*kinds))).alias("e")).select("e.domain", *shared, *[f"e.{c}" for c in fields])
+
+
 PREFIX = """
 WITH ev AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS ts_ms, CAST(json_extract_string(props, '$.k') AS INT) AS k,
   ['binance','okx','bybit'][user_id % 3 + 1] AS exchange, ['BTCUSDT','ETHUSDT','SOLUSDT','XRPUSDT','DOGEUSDT'][(user_id // 3) % 5 + 1] AS symbol,
