@@ -190,24 +190,33 @@ class Pairs:
 
 
 _QUESTION = "chunk long, part long, keys binary, sections binary, ns binary, sizes binary, symbols binary, counts binary, parents binary"
-_ANSWER = "chunk long, part long, keys binary, sections binary, gains binary, kinds binary, sizes binary, counts binary"
+_ANSWER = "chunk long, part long, kinds binary, gains binary, counts binary, large binary"
+
+
+class Layout:
+    """How a chunk's groups and pairs are dealt to the parts of the contexts; answers come back in the same order."""
+
+    def __init__(self, pairs: Pairs, parts: int):
+        self.owner = np.repeat(np.arange(len(pairs.keys)), np.diff(pairs.group_of))
+        self.section = np.arange(pairs.group_of[-1]) - pairs.group_of[self.owner]
+        self.sizes = np.diff(pairs.starts)
+        part = _part(pairs.keys[self.owner] + 0x9E3779B9 * self.section, parts)
+        self.groups = np.argsort(part, kind="stable")
+        self.pairs = _runs(pairs.starts[self.groups], self.sizes[self.groups])
+        self.by_part = _starts(np.bincount(part, minlength=parts))
 
 
 def _questions(chunk: int, pairs: Pairs, learned: np.ndarray, parent: np.ndarray, parts: int) -> pa.Table:
     """A row for each part of the contexts: their symbols here, the training counts and the probabilities under the suffix."""
-    owner = np.repeat(np.arange(len(pairs.keys)), np.diff(pairs.group_of))
-    section = np.arange(pairs.group_of[-1]) - pairs.group_of[owner]
-    key, sizes = pairs.keys[owner], np.diff(pairs.starts)
-    part = _part(key + 0x9E3779B9 * section, parts)
-    groups = np.argsort(part, kind="stable")
-    order = _runs(pairs.starts[groups], sizes[groups])  # of pairs
-    by_part = _starts(np.bincount(part, minlength=parts))
-    of_pairs = _starts(sizes[groups])[by_part]
+    at = Layout(pairs, parts)
+    owner, by_part = at.owner[at.groups], at.by_part
+    of_pairs = _starts(at.sizes[at.groups])[by_part]
     counts = np.bincount(pairs.at, weights=learned, minlength=len(pairs.key)).astype(np.int32)
+    steps = np.maximum(np.round(parent[pairs.first] * STEPS), -32768).astype(np.int16)
     out = pa.table({
-        "chunk": np.full(parts, chunk), "part": np.arange(parts), "keys": _packed(key[groups], by_part), "sections": _packed(section[groups].astype(np.int32), by_part),
-        "ns": _packed(pairs.key_n[owner][groups], by_part), "sizes": _packed(sizes[groups].astype(np.int32), by_part), "symbols": _packed(pairs.symbol[order], of_pairs),
-        "counts": _packed(counts[order], of_pairs), "parents": _packed(np.maximum(np.round(parent[pairs.first] * STEPS), -32768).astype(np.int16)[order], of_pairs),
+        "chunk": np.full(parts, chunk), "part": np.arange(parts), "keys": _packed(pairs.keys[owner], by_part), "sections": _packed(at.section[at.groups].astype(np.int32), by_part),
+        "ns": _packed(pairs.key_n[owner].astype(np.float32), by_part), "sizes": _packed(at.sizes[at.groups].astype(np.int32), by_part), "symbols": _packed(pairs.symbol[at.pairs], of_pairs),
+        "counts": _packed(counts[at.pairs], of_pairs), "parents": _packed(steps[at.pairs], of_pairs),
     })
     return out.filter(pa.array(np.diff(by_part) > 0))
 
@@ -222,11 +231,14 @@ def _answers(tree: Tree, rows: pa.Table) -> pa.Table:
 
     The gain of a context is the sum, over its training occurrences, of the
     log of the smoothed probability of the next symbol with that occurrence
-    left out, over that under the suffix.  Contexts that are not retained and
-    lead to no longer candidate are not answered.
+    left out, over that under the suffix.  An answer has, in the order of the
+    questions, the number of different symbols of each context (0 if it is not
+    retained), the gains of the sections of split ones, and the counts of the
+    pairs; a count that neither a retained context nor a longer candidate
+    needs is 0, and those of 255 or more are told apart.
     """
     key, many = _flat(rows.column("keys"), np.int64)
-    section, n, sizes = (_flat(rows.column(c), k)[0] for c, k in (("sections", np.int32), ("ns", np.int64), ("sizes", np.int32)))
+    section, n, sizes = (_flat(rows.column(c), k)[0] for c, k in (("sections", np.int32), ("ns", np.float32), ("sizes", np.int32)))
     symbols, counts, parents = (_flat(rows.column(c), k)[0] for c, k in (("symbols", np.uint32), ("counts", np.int32), ("parents", np.int16)))
     same = np.lexsort((section, key))
     new = np.ones(len(key), bool)
@@ -248,17 +260,18 @@ def _answers(tree: Tree, rows: pa.Table) -> pa.Table:
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.bincount(own, weights=np.where(total > 0, total * (np.log(p) - np.log(q)), 0.0), minlength=groups)
     retained = (gain >= tree.gain) | (sections > 1)
-    leads = np.bincount(own, weights=total >= tree.least, minlength=groups) > 0
     shown = np.where(retained[own] | (total >= tree.least), total, 0)
-    back = np.empty(len(order), np.int32)
-    back[order] = np.minimum(shown, 2**31 - 1)[np.cumsum(first) - 1]
-    asked = (retained | leads)[group]
-    by_row = _starts(np.bincount(np.repeat(np.arange(len(rows)), many)[asked], minlength=len(rows)))
-    places = _runs(_starts(sizes)[:-1][asked], sizes[asked])
+    back = np.empty(len(order), np.int64)
+    back[order] = shown[np.cumsum(first) - 1]
+    row_of = np.repeat(np.arange(len(rows)), many)
+    by_row, split = _starts(many), (sections > 1)[group]
+    pairs_by_row = _starts(sizes)[by_row]
+    per_row = lambda hit, of: _starts(np.bincount(of[hit], minlength=len(rows)))
+    large = back >= 255
     return pa.table({
-        "chunk": rows.column("chunk"), "part": rows.column("part"), "keys": _packed(key[asked], by_row), "sections": _packed(section[asked], by_row),
-        "gains": _packed(gain[group][asked], by_row), "kinds": _packed(kinds[group][asked].astype(np.int64), by_row), "sizes": _packed(sizes[asked], by_row),
-        "counts": _packed(back[places], _starts(sizes[asked])[by_row]),
+        "chunk": rows.column("chunk"), "part": rows.column("part"), "kinds": _packed(np.where(retained, kinds, 0).astype(np.int32)[group], by_row),
+        "gains": _packed(gain[group][split], per_row(split, row_of)), "counts": _packed(np.minimum(back, 255).astype(np.uint8), pairs_by_row),
+        "large": _packed(back[large], per_row(large, np.repeat(np.arange(len(rows)), np.diff(pairs_by_row)))),
     })
 
 
@@ -301,17 +314,21 @@ def _levels(chunk: int, documents: pa.Table, words: pa.Table, totals: pa.Table,
         if level == level_asked:
             return _questions(chunk, pairs, train[at], score[at], context_parts)
         mine = answers.filter(pa.array(answers.column("level").to_numpy() == level))
-        total, sum_of = np.zeros(len(pairs.key), np.int64), np.zeros((2, len(pairs.keys)))
+        total, kinds, gain = np.zeros(len(pairs.key), np.int64), np.zeros(len(pairs.keys)), np.full(len(pairs.keys), np.inf)
         seen = np.zeros(len(ids), np.int64)
         if len(mine):
-            owner = np.searchsorted(pairs.keys, _flat(mine.column("keys"), np.int64)[0])
-            group = pairs.group_of[owner] + _flat(mine.column("sections"), np.int32)[0]
-            total[_runs(pairs.starts[group], _flat(mine.column("sizes"), np.int32)[0])] = _flat(mine.column("counts"), np.int32)[0]
-            np.add.at(sum_of[0], owner, _flat(mine.column("gains"), np.float64)[0])
-            np.add.at(sum_of[1], owner, _flat(mine.column("kinds"), np.int64)[0])
+            mine, dealt = mine.sort_by("part"), Layout(pairs, context_parts)
+            got = _flat(mine.column("counts"), np.uint8)[0].astype(np.int64)
+            got[got == 255] = _flat(mine.column("large"), np.int64)[0]
+            total[dealt.pairs] = got
+            owner = dealt.owner[dealt.groups]
+            np.add.at(kinds, owner, _flat(mine.column("kinds"), np.int32)[0])
+            split = tree.sections(pairs.key_n)[owner] > 1
+            gain[owner[split]] = 0
+            np.add.at(gain, owner[split], _flat(mine.column("gains"), np.float64)[0])
         seen[at] = total[pairs.at]
-        spare = tree.discount * sum_of[1] / np.maximum(pairs.key_n, 1)
-        use = ((sum_of[0] >= tree.gain) & (sum_of[1] > 0))[pairs.of_key][pairs.at]
+        spare = tree.discount * kinds / np.maximum(pairs.key_n, 1)
+        use = ((gain >= tree.gain) & (kinds > 0))[pairs.of_key][pairs.at]
         own = np.maximum(total - tree.discount, 0)[pairs.at] / count[at] + spare[pairs.of_key][pairs.at] * np.exp(score[at])
         score[at[use]] = np.log(own[use])
     add = lambda x: np.add.reduceat(x, starts)
@@ -367,6 +384,7 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held: int = 2, doc_id: s
     asked = local.mapInArrow(partial(_by_part, parts), "chunk long, part long, hashes binary, learned binary").repartition(buckets, "part").sortWithinPartitions("part")
     counted = cut(asked.mapInArrow(partial(_by_groups, _totals), "chunk long, part long, totals binary, n long, v long, once long, twice long"))
     sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once", "twice")]
+    del asked
     release(spark)
     n, v, once, twice = counted.where("chunk is null").agg(*sums).first()
     discount = min(max(once / max(once + 2 * twice, 1), 0.01), 0.99)
@@ -386,6 +404,7 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held: int = 2, doc_id: s
         asked = left.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(round_(level), _QUESTION)
         given = cut(asked.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(partial(_by_groups, partial(_answers, tree)), _ANSWER).withColumn("level", F.lit(level)))
         done.append(given)
+        del asked
         release(spark)
         answers = answers.union(given)
     out = left.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(round_(0), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
