@@ -117,27 +117,64 @@ def lake_write(bars: DataFrame, root: str, candle_type: str = "spot") -> None:
     out.repartition(*LAKE_PARTS).sortWithinPartitions("open_time_ms").write.mode("append").partitionBy(*LAKE_PARTS).parquet(root)
 
 
-def lake_delete(spark, root: str, **filters) -> DataFrame:
-    """Delete the lake partitions that match; refuses to run without a filter; returns what went.
+def lake_files(spark, root: str) -> DataFrame:
+    """A manifest row per lake partition: files, bytes, rows and bounds, read off the files."""
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")]
+    bars = spark.read.parquet(root).select(*[F.col(c).cast("string").alias(c) for c in LAKE_PARTS], "open_time_ms", *meta)
+    files = bars.groupBy(*LAKE_PARTS, "file", "size").agg(F.count("*").alias("rows"), F.min("open_time_ms").alias("first_ts"), F.max("open_time_ms").alias("last_ts"))
+    return files.groupBy(*LAKE_PARTS).agg(
+        F.min(F.regexp_replace("file", "/[^/]+$", "")).alias("path"), F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum("rows").alias("rows"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")
+    )
+
+
+def _versions(spark, manifest: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    done = [s.getPath() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("v_")) for p in done if p.getName().startswith("v_"))
+
+
+def commit_manifest(spark, manifest: str, rows: DataFrame) -> int:
+    """A new version of the manifest; readers see it once Spark's writer has marked it complete."""
+    number = max(_versions(spark, manifest), default=0) + 1
+    rows.write.mode("overwrite").parquet(f"{manifest}/v_{number}")
+    return number
+
+
+def read_manifest(spark, manifest: str, version: int | None = None) -> DataFrame:
+    """The manifest as of a version, by default the last."""
+    return spark.read.parquet(f"{manifest}/v_{version or _versions(spark, manifest)[-1]}")
+
+
+def lake_delete(spark, root: str, manifest: str | None = None, **filters) -> DataFrame:
+    """Delete the lake partitions that match; refuses to run without a filter; returns (path, files, rows, bytes) of what went.
 
-    Filters name partition columns, so only matching folders are listed and
-    read, and of those only the file names.  A folder outside ``root`` is an error.
+    With a manifest, the rows that match are those of its last version, and a
+    version without them (an anti-join) is committed before any file goes, so
+    no reader of the manifest is sent to a partition that is gone; a delete
+    that dies half way can be run again on the version before.  Without one
+    the lake's own folders are listed, by the filters alone.  A folder outside
+    ``root`` is an error.
     """
     filters = {k: v for k, v in filters.items() if v not in (None, "")}
     if not filters or not set(filters) <= set(LAKE_PARTS):
         raise ValueError(f"a filter on some of {', '.join(LAKE_PARTS)} is required")
-    hit = spark.read.parquet(root)
+    known = read_manifest(spark, manifest) if manifest else lake_files(spark, root)
+    hit = known
     for k, v in filters.items():
-        hit = hit.where(F.col(k).cast("string") == F.lit(str(v)))
-    found = hit.groupBy(F.regexp_replace(F.input_file_name(), "/[^/]+$", "").alias("path")).agg(F.countDistinct(F.input_file_name()).alias("files"), F.count("*").alias("rows"))
-    gone = found.collect()  # one row per partition folder that goes
+        hit = hit.where(F.col(k) == F.lit(str(v)))
+    gone = hit.select("path", "files", "rows", "bytes").collect()  # one row per partition folder that goes
     where = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).toUri().getPath().rstrip("/") + "/"
     if any(not where(r.path).startswith(where(root)) for r in gone):
         raise ValueError(f"a partition lies outside {root}")
+    if manifest and gone:
+        commit_manifest(spark, manifest, known.join(hit.select(*LAKE_PARTS), LAKE_PARTS, "left_anti"))
     for r in gone:
         path = spark._jvm.org.apache.hadoop.fs.Path(r.path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return spark.createDataFrame(gone, "path string, files long, rows long")
+    return spark.createDataFrame(gone, "path string, files long, rows long, bytes long")
 
 
 def screen(df: DataFrame, value: str, low=None, high=None, order: str = "desc", limit: int = 100, ties=BAR) -> DataFrame:

@@ -82,6 +82,17 @@ def prediction_markets(m: DataFrame) -> DataFrame:
     )
 
 
+def texts(payload: Column, path: str) -> Column:
+    """The array of texts at a path of a JSON payload, also where it is written as a text; null if it is neither."""
+    at = F.get_json_object(payload, path)
+    return F.when(at.startswith("["), F.from_json(at, "array<string>"))
+
+
+def token_points(history: DataFrame) -> DataFrame:
+    """The points (t, p) of each token in order; a token has as many as its buckets."""
+    return history.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("t", "p"))).alias("points"))
+
+
 def token_ids(m: DataFrame) -> DataFrame:
     return m.select(F.explode(F.from_json("clob_token_ids", "array<string>")).alias("token_id")).distinct()
 

@@ -14,16 +14,29 @@ def number(payload: str, *paths: str) -> Column:
     return F.coalesce(*[F.when(S.finite(c), c) for c in out])
 
 
-def normalize_quotes(raw: DataFrame, bid=("$.bid", "$.b", "$.bestBid"), ask=("$.ask", "$.a", "$.bestAsk"), mark=("$.mark", "$.markPrice"), rate=("$.fundingRate",)) -> DataFrame:
-    """Quotes from (event_id, exchange, market, symbol, payload, received_at_ms) by ordered key candidates.
+#: Where a venue's quotes have their fields, in the order in which they are tried; ``*`` holds for any other venue.
+QUOTE_PATHS = [
+    ("*", ["$.bid", "$.b", "$.bestBid"], ["$.ask", "$.a", "$.bestAsk"], ["$.mark", "$.markPrice"], ["$.fundingRate"], ["$.ts", "$.T"]),
+]
+_QUOTE_RULE = "exchange string, bid array<string>, ask array<string>, mark array<string>, rate array<string>, ts array<string>"
 
-    Only rows with both sides positive stay; the time falls back to that of receipt.
+
+def normalize_quotes(raw: DataFrame, rules: list[tuple] = QUOTE_PATHS) -> DataFrame:
+    """Quotes from (event_id, exchange, market, symbol, payload, received_at_ms) by a table of paths per venue.
+
+    The table is joined as data (it is a few rows, and broadcast as such);
+    only rows with both sides positive stay; the time falls back to that of
+    receipt.
     """
-    ts = F.coalesce(number("payload", "$.ts", "$.T").cast("long"), F.col("received_at_ms"))
-    out = raw.select(
-        "event_id", "exchange", "market", "symbol", number("payload", *bid).alias("bid"), number("payload", *ask).alias("ask"), number("payload", *mark).alias("mark"),
-        number("payload", *rate).alias("funding_rate"), ts.alias("ts_ms"),
-    )
+    table = raw.sparkSession.createDataFrame(rules, _QUOTE_RULE)
+    own, other = table.where("exchange <> '*'"), table.where("exchange = '*'")
+    named = own.select(F.col("exchange").alias("_venue"), F.struct("bid", "ask", "mark", "rate", "ts").alias("_own"))
+    rest = other.select(F.struct("bid", "ask", "mark", "rate", "ts")).scalar()
+    rows = raw.join(F.broadcast(named), raw["exchange"] == named["_venue"], "left").withColumn("_p", F.coalesce("_own", rest))
+    def first(field: str) -> Column:
+        values = F.expr(f"transform(_p.{field}, p -> try_cast(get_json_object(payload, p) as double))")
+        return F.get(F.filter(values, lambda x: x.isNotNull() & S.finite(x)), 0)
+    out = rows.select("event_id", "exchange", "market", "symbol", first("bid").alias("bid"), first("ask").alias("ask"), first("mark").alias("mark"), first("rate").alias("funding_rate"), F.coalesce(first("ts").cast("long"), "received_at_ms").alias("ts_ms"))
     return out.where("bid > 0 and ask > 0")
 
 
@@ -101,15 +114,43 @@ def dex_metrics(pairs: DataFrame, chain: str, dex: str) -> DataFrame:
     return flat.unpivot("pair", [c for c in flat.columns if c != "pair"], "metric", "value").where("value is not null")
 
 
+#: Keys whose own number comes before anything nested, in this order (fixed values).
+LEAF_KEYS = ["value", "rate", "fundingRate", "openInterest", "sumOpenInterest", "longShortRatio", "basis", "total", "volUsd"]
+
+
+def numeric_leaf(raw: DataFrame, key: str = "event_id", payload: str = "payload") -> DataFrame:
+    """(key, value): the first number of each JSON payload, however deep; rows without one are left out.
+
+    Objects and arrays are gone through in document order (keys of an object
+    in sorted order), depth first; a number, also one written as text, under
+    one of ``LEAF_KEYS`` comes before the rest of its object.  A recursive
+    query opens one level of all payloads at a time; a node's place is the
+    list of its positions, and the smallest list is the first node.
+    """
+    number = "CASE WHEN schema_of_variant({0}) <> 'BOOLEAN' THEN try_variant_get({0}, '$', 'double') END"
+    keys = ", ".join(f"'{k}'" for k in LEAF_KEYS)
+    ranked = f"coalesce(CASE WHEN {number.format('c.value')} IS NOT NULL THEN nullif(array_position(array({keys}), c.key), 0) END, {len(LEAF_KEYS)} + 1 + c.pos)"
+    opened = raw.sparkSession.sql(
+        f"""WITH RECURSIVE node(k, v, place) MAX RECURSION LEVEL 1000 AS (
+        SELECT {key}, try_parse_json({payload}), CAST(array() AS ARRAY<BIGINT>) FROM {{raw}}
+        UNION ALL SELECT node.k, c.value, CAST(array_append(node.place, CAST({ranked} AS BIGINT)) AS ARRAY<BIGINT>) FROM node, LATERAL variant_explode(node.v) c)
+        SELECT k, place, {number.format('v')} AS x FROM node LIMIT ALL""",
+        raw=raw,
+    )
+    found = opened.where(F.col("x").isNotNull() & S.finite(F.col("x")))
+    return found.groupBy(F.col("k").alias(key)).agg(F.min_by("x", "place").alias("value"))
+
+
 def signal_values(raw: DataFrame, paths: dict[str, str]) -> DataFrame:
-    """The number at each source's configured path, else its first numeric leaf by key priority, else the last of its series."""
+    """The number at each source's configured path, else the last of its series, else its first numeric leaf."""
     at = F.lit(None).cast("double")
     for source, path in paths.items():
         at = F.when(F.col("source") == source, number("payload", path)).otherwise(at)
-    leaf = number("payload", "$.value", "$.data[0].value", "$.data[0].fundingRate", "$.fundingRate", "$.data.value")
     series = F.from_json(F.get_json_object("payload", "$.series"), "array<string>")
     numbers = F.filter(F.transform(series, lambda x: x.try_cast("double")), lambda x: x.isNotNull())
-    return raw.select("event_id", "source", F.coalesce(at, leaf, F.try_element_at(numbers, F.lit(-1))).alias("value"))
+    known = raw.select("event_id", "source", "payload", F.coalesce(at, F.try_element_at(numbers, F.lit(-1))).alias("value"))
+    leaves = numeric_leaf(known.where("value is null")).withColumnRenamed("value", "leaf")
+    return known.join(leaves, "event_id", "left").select("event_id", "source", F.coalesce("value", "leaf").alias("value"))
 
 
 def news_score(posts: DataFrame) -> DataFrame:
@@ -232,15 +273,63 @@ def dead_letters(raw: DataFrame, needed: list[str]) -> DataFrame:
     return raw.withColumn("reason", bad).where("reason is not null")
 
 
-def venue_symbols(symbols: DataFrame) -> DataFrame:
-    """The canonical symbol in each venue's own form."""
-    out = symbols.withColumn("s", S.venue_split(F.col("symbol"))).select("symbol", F.col("s.base").alias("b"), F.col("s.quote").alias("q"))
-    b, q = F.col("b"), F.col("q")
-    xb = F.when(b == "BTC", "XBT").otherwise(b)
-    forms = {
-        "binance": F.col("symbol"), "okx": F.concat_ws("-", b, q), "okx_swap": F.concat(b, F.lit("-"), q, F.lit("-SWAP")), "kraken": F.concat_ws("/", b, q), "gate": F.concat_ws("_", b, q),
-        "bitfinex": F.concat(F.lit("t"), b, q), "bitfinex_perp": F.concat(F.lit("t"), b, F.lit("F0:"), F.when(q == "USDT", "UST").otherwise(q), F.lit("F0")),
-        "kucoin_perp": F.concat(xb, q, F.lit("M")), "kraken_perp": F.concat(F.lit("PF_"), xb, F.when(q == "USDT", "USD").otherwise(q)), "hyperliquid": b,
-    }
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("venue"), v.alias("venue_symbol")) for k, v in forms.items()])).alias("f")
-    return out.select("symbol", rows).select("symbol", "f.*")
+#: How each kind of venue writes a symbol (fixed values).  A text that matches ``keep`` stays, in capitals unless
+#: ``raw``, with ``keep_from`` replaced by ``keep_to``; of others ``drop`` is taken out, then ``pattern`` is filled with
+#: base and quote ({b}, {q}), the base with XBT for BTC ({x}), the quote as ``quotes`` renames it ({r}) or the text ({s}).
+#: With ``perp`` a last PERP ends the base (``whole``), or is taken off before the symbol is split (``split``).
+VENUE_FORMS = [
+    # form, keep, raw, keep_from, keep_to, drop, perp, pattern, quotes
+    ("plain", "", False, "", "", "", "", "{s}", {}),
+    ("dash", "", False, "", "", "", "", "{b}-{q}", {}),
+    ("slash", "", False, "", "", "", "", "{b}/{q}", {}),
+    ("underscore", "", False, "", "", "", "", "{b}_{q}", {}),
+    ("okx_swap", "", False, "", "", "", "", "{b}-{q}-SWAP", {}),
+    ("bitfinex", "", False, "", "", "", "", "t{b}{q}", {}),
+    ("bitfinex_perp", "", False, "", "", "", "", "t{b}F0:{r}F0", {"USDT": "UST"}),
+    ("kucoin_perp", "", False, "", "", "", "", "{x}{q}M", {}),
+    ("kraken_perp", "^P[FI]_", True, "", "", "", "", "PF_{x}{r}", {"USDT": "USD"}),
+    ("hyperliquid", "", False, "", "", "", "", "{b}", {}),
+    ("dydx", "", False, "", "", "", "", "{b}-{q}", {}),
+    ("derive_perp", "-", False, "", "", "", "whole", "{b}-PERP", {}),
+    ("cryptocom_spot", "_", False, "", "", "", "", "{b}_{q}", {}),
+    ("cryptocom_perp", "-", False, "", "", "", "split", "{b}USD-PERP", {}),
+    ("coinex", "", False, "", "", "[-_]PERP|PERP|[-_/]", "", "{s}", {}),
+    ("phemex_perp", "", False, "", "", "[-_]PERP|PERP|[-_/]", "", "{s}", {}),
+    ("upbit", "-", False, "", "", "[_/]", "", "{q}-{b}", {}),
+    ("woo_spot", "", False, "", "", "", "", "SPOT_{b}_{q}", {}),
+    ("woo_perp", "", False, "", "", "[-_]PERP|PERP|[-_/]", "", "PERP_{b}_{q}", {}),
+    ("bitmex_perp", "^XBT|USD$", False, "", "", "", "whole", "{x}USD", {}),
+    ("aevo_perp", "-", False, "", "", "", "whole", "{b}-PERP", {}),
+    ("pacifica_perp", "-", False, "-.*$", "", "", "whole", "{b}", {}),
+    ("grvt_perp", "_", True, "", "", "-PERP$|-", "", "{b}_{q}_Perp", {}),
+    ("injective_perp", "", False, "", "", "", "", "{b}/{q}-PERP", {}),
+    ("architect_perp", "-", False, "", "", "", "whole", "{b}-PERP", {}),
+    ("decibel_perp", "[-/]", False, "/", "-", "", "", "{b}-USD", {}),
+    ("deribit_perp", "-PERPETUAL", False, "", "", "", "", "{b}-PERPETUAL", {}),
+    ("evedex_perp", "^[^-]*USD$|[-/]", False, "[-/]", "", "", "whole", "{b}USD", {}),
+]
+_FORM = "form string, keep string, raw boolean, keep_from string, keep_to string, drop string, perp string, pattern string, quotes map<string,string>"
+
+
+def venue_symbols(symbols: DataFrame, forms: list[tuple] = VENUE_FORMS) -> DataFrame:
+    """(symbol, venue, venue_symbol): a symbol, as typed in capitals, in each venue's own form.
+
+    The forms are rows of a table; every rule is applied as data by the same
+    expressions, so a new venue is a new row.
+    """
+    rules = symbols.sparkSession.createDataFrame(forms, _FORM).agg(F.collect_list(F.struct("*"))).scalar()  # as many as there are forms
+    each = symbols.select("symbol", F.explode(rules).alias("f")).select("symbol", "f.*")
+    sub = lambda text, pattern, by: F.when(pattern == "", text).otherwise(F.regexp_replace(text, F.when(pattern == "", "$^").otherwise(pattern), by))
+    upper = F.upper("symbol")
+    kept = (F.col("keep") != "") & F.rlike("symbol", F.when(F.col("keep") == "", "$^").otherwise(F.col("keep")))
+    own = F.when(F.col("raw"), F.col("symbol")).otherwise(sub(upper, F.col("keep_from"), F.col("keep_to")))
+    bare = each.withColumns({"kept": F.when(kept, own), "bare": sub(upper, F.col("drop"), F.lit(""))})
+    is_perp = (F.col("perp") != "") & F.col("bare").endswith("PERP")
+    stem = bare.withColumn("stem", F.when(is_perp, F.regexp_replace("bare", "PERP$", "")).otherwise(F.col("bare")))
+    split = stem.withColumn("parts", S.venue_split(F.col("stem"))).withColumn("b", F.when(is_perp & (F.col("perp") == "whole"), F.col("stem")).otherwise(F.col("parts.base")))
+    filled = F.col("pattern")
+    for hole, value in {
+        "{s}": F.col("bare"), "{x}": F.when(F.col("b") == "BTC", "XBT").otherwise(F.col("b")), "{b}": F.col("b"), "{r}": F.coalesce(F.try_element_at("quotes", F.col("parts.quote")), F.col("parts.quote")), "{q}": F.col("parts.quote"),
+    }.items():
+        filled = F.replace(filled, F.lit(hole), value)
+    return split.select("symbol", F.col("form").alias("venue"), F.coalesce("kept", filled).alias("venue_symbol"))

@@ -149,6 +149,20 @@ def _lake(s, d, delete=False):
 _YEAR = "strftime(make_timestamp(open_time_ms // 31536000000 * 31536000000 * 1000), '%Y-%m-%d')"
 register("lake_write", _lake, f"SELECT exchange, market, symbol, {_YEAR} AS day, count(*) AS rows FROM kl GROUP BY ALL")
 register("lake_delete", lambda s, d: _lake(s, d, True), f"SELECT 'exchange=okx/market=perp/symbol=' || symbol || '/interval=1d/candle_type=spot/day=' || {_YEAR} AS partition, count(*) AS rows FROM kl WHERE exchange='okx' AND market='perp' GROUP BY ALL")
+
+
+def _versions(s, d):
+    """The manifest and the lake after a delete, partition by partition: they must agree."""
+    root, manifest = shared_dir(s, "lake"), shared_dir(s, "manifest")
+    bars.lake_write(A.klines_daily(s, d).withColumn("open_time_ms", F.expr("open_time_ms div 31536000000 * 31536000000")), root, "spot")
+    bars.commit_manifest(s, manifest, bars.lake_files(s, root))
+    bars.lake_delete(s, root, manifest, exchange="okx", market="perp")
+    listed = bars.read_manifest(s, manifest).select("exchange", "market", "symbol", "day", F.col("rows").alias("manifest_rows"))
+    there = bars.lake_files(s, root).select("exchange", "market", "symbol", "day", F.col("rows").alias("lake_rows"))
+    return listed.join(there, ["exchange", "market", "symbol", "day"], "full")
+
+
+register("lake_versions", _versions, f"SELECT exchange, market, symbol, {_YEAR} AS day, count(*) AS manifest_rows, count(*) AS lake_rows FROM kl WHERE NOT (exchange='okx' AND market='perp') GROUP BY ALL")
 _B = "exchange, market, symbol, interval"
 register("top_volume", lambda s, d: rounded(bars.top_volume(A.klines_daily(s, d), limit=20), 2), f"SELECT {_B}, round(sum(volume),2) AS base_volume, round(sum((open+high+low)/3*volume),2) AS quote_volume, count(*) AS bars FROM kl GROUP BY ALL ORDER BY sum((open+high+low)/3*volume) DESC, {_B} LIMIT 20")
 _PC = f"pc AS (SELECT {_B}, arg_min(close, open_time_ms) AS first_close, arg_max(close, open_time_ms) AS last_close, count(*) AS bars FROM kl GROUP BY ALL)"

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import bars, books, contracts, coverage, flow, listings, normalize, scoring, state
+from tidemark.operators import bars, contracts, coverage, listings, normalize, scoring, state
 from tidemark.plans.market import _OFI, K, last, now, ticks
 from tidemark.plans.registry import D1, R, register, rounded
 from tidemark.sources import adapters as A
+from tidemark.sources import exports, schemas
 from tidemark.sources.shared import shared_dir
 
 ES = ("exchange", "symbol")
@@ -136,6 +137,30 @@ def _export(s, d):
 register("export_csv", _export, "SELECT exchange, symbol, round(funding_rate_pct,4) AS funding_rate_pct FROM pf WHERE funding_rate_pct BETWEEN -2.05::DOUBLE AND -0.105::DOUBLE")
 
 
+def _written(s, df, kind, name):
+    """Rows written in a format and read back."""
+    path = shared_dir(s, name)
+    exports.write(df, path, kind)
+    return exports.read(s, path, kind, df.schema)
+
+
+register("export_json", lambda s, d: rounded(_written(s, listings.funding_runs(_curve(s, d), -0.2005, 0.5), "json", "runs"), 6), "WITH cu AS (SELECT *, funding_rate*1000 AS pct FROM funding), c2 AS (SELECT *, lead(ts_ms) OVER w AS nxt, lag(ts_ms) OVER w AS prv, count(*) FILTER (pct>-0.2005::DOUBLE) OVER (PARTITION BY exchange, symbol ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING) AS run FROM cu WINDOW w AS (PARTITION BY exchange, symbol ORDER BY ts_ms, event_id)), rr AS (SELECT exchange, symbol, run, min(ts_ms) AS start_ms, arg_max(coalesce(nxt, ts_ms+greatest(ts_ms-prv,0), ts_ms), (ts_ms, event_id)) AS end_ms, count(*) AS points, min(pct) AS min_pct, max(pct) AS max_pct FROM c2 WHERE pct<=-0.2005::DOUBLE GROUP BY ALL) SELECT exchange, symbol, start_ms, end_ms, points, round(min_pct,6) AS min_pct, round(max_pct,6) AS max_pct, round((end_ms-start_ms)/3600000,6) AS duration_hours FROM rr WHERE (end_ms-start_ms)/3600000>=0.5::DOUBLE")
+register("export_curves", lambda s, d: rounded(_written(s, _curve(s, d).select("exchange", "symbol", "ts_ms", "event_id", R("pct", 6).alias("pct")), "csv", "curves"), 6), "SELECT exchange, symbol, ts_ms, event_id, round(funding_rate*1000,6) AS pct FROM funding")
+register("export_text", lambda s, d: _written(s, listings.watchlist(listings.funding_extremes(A.perp_funding(s, d), -2.05, -0.505)), "text", "watchlist"), "SELECT DISTINCT symbol FROM pf WHERE funding_rate_pct BETWEEN -2.05::DOUBLE AND -0.505::DOUBLE")
+register("funding_history", lambda s, d: rounded(normalize.funding_history_candles(A.funding(s, d)), 8), "SELECT exchange, symbol, ts_ms AS open_time_ms, ts_ms+28799999 AS close_time_ms, round(funding_rate,8) AS open, round(funding_rate,8) AS high, round(funding_rate,8) AS low, round(funding_rate,8) AS close FROM funding")
+register("aggregator_keys", lambda s, d: ticks(s, d).select("exchange", "market", "symbol", S.aggregator_key(F.concat(F.lower(F.left("symbol", F.lit(3))), F.lit("-/"), F.substring("symbol", 4, 9)), F.col("market")).alias("key")), f"SELECT {K}, symbol || CASE WHEN market='perp' THEN '_PERP' ELSE '' END AS key FROM lt")
+
+
+def _loaded(s, d):
+    """The quotes landed as JSON and loaded with their declared schema."""
+    path = shared_dir(s, "landed")
+    A.quotes(s, d).write.json(path)
+    return schemas.load(s, path, "quotes", "json")
+
+
+register("load_quotes", lambda s, d: rounded(_loaded(s, d), 8), f"SELECT event_id, {K}, round(bid,8) AS bid, round(ask,8) AS ask, round(mark,8) AS mark, round(funding_rate,8) AS funding_rate, ts_ms FROM quotes")
+
+
 # normalisers
 def raw(s, d):
     """Payloads as venues send them: numbers as text for even k, some fields missing, some rows broken."""
@@ -176,15 +201,78 @@ def _dex(s, d):
 
 
 register("dex_metrics", lambda s, d: rounded(_dex(s, d)), "WITH dx AS (SELECT 'pair' || (event_id % 500) AS pair, value, k FROM ev WHERE event_id % 2 = 0 AND k % 2 = 0 QUALIFY row_number() OVER (PARTITION BY event_id % 500 ORDER BY event_id)=1) SELECT pair, metric, round(v,4) AS value FROM (SELECT pair, 'liquidity_usd' AS metric, value*100 AS v FROM dx UNION ALL SELECT pair, 'swap_volume_m5', CASE WHEN k%4<>0 THEN value END FROM dx UNION ALL SELECT pair, 'swap_volume_h1', value*2 FROM dx UNION ALL SELECT pair, 'swap_volume_h24', value*24 FROM dx UNION ALL SELECT pair, 'swap_buys_h1', k FROM dx UNION ALL SELECT pair, 'swap_sells_h1', k+1 FROM dx) WHERE v IS NOT NULL")
-register("signal_values", lambda s, d: rounded(normalize.signal_values(A.ev(s, d).select("event_id", F.col("exchange").alias("source"), F.expr("case k % 4 when 0 then concat('{\"a\":{\"b\":[', value, ']}}') when 1 then concat('{\"data\":[{\"fundingRate\":\"', value, '\"}]}') when 2 then concat('{\"series\":[1,', value, ',\"x\"]}') else '{}' end").alias("payload")), {"binance": "$.a.b[0]", "okx": "$.nothing"})), "SELECT event_id, exchange AS source, CASE k % 4 WHEN 0 THEN CASE WHEN exchange='binance' THEN round(value,4) END WHEN 1 THEN round(value,4) WHEN 2 THEN round(value,4) END AS value FROM ev")
+register("signal_values", lambda s, d: rounded(normalize.signal_values(A.ev(s, d).select("event_id", F.col("exchange").alias("source"), F.expr("case k % 4 when 0 then concat('{\"a\":{\"b\":[', value, ']}}') when 1 then concat('{\"data\":[{\"fundingRate\":\"', value, '\"}]}') when 2 then concat('{\"series\":[1,', value, ',\"x\"]}') else '{}' end").alias("payload")), {"binance": "$.a.b[0]", "okx": "$.nothing"})), "SELECT event_id, exchange AS source, CASE k % 4 WHEN 0 THEN round(value,4) WHEN 1 THEN round(value,4) WHEN 2 THEN round(value,4) END AS value FROM ev")
 register("news_score", lambda s, d: normalize.news_score(A.ev(s, d).select("event_id", F.expr("case when k % 3 <> 0 then k end as positive"), F.expr("k % 7 as negative"), F.expr("case when k % 2 = 0 then 5 end as important"))).select("event_id", "score"), "SELECT event_id, (CASE WHEN k%3<>0 THEN k ELSE 0 END - k%7 + CASE WHEN k%2=0 THEN 5 ELSE 0 END)::DOUBLE AS score FROM ev")
 register("epoch_norm", lambda s, d: A.ev(s, d).withColumn("raw", F.expr("case k % 4 when 0 then cast(ts_ms as string) when 1 then cast(ts_ms div 1000 as string) when 2 then '5000' else date_format(timestamp_millis(ts_ms), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\") end")).select("event_id", normalize.epoch_norm(F.col("raw"), 1_700_000_000_000).alias("ms")), "SELECT event_id, CASE k % 4 WHEN 0 THEN ts_ms WHEN 1 THEN ts_ms//1000*1000 WHEN 2 THEN 1700000005000 ELSE ts_ms END AS ms FROM ev")
 register("history_candles", lambda s, d: rounded(normalize.history_candles(A.klines_daily(s, d).selectExpr("exchange", "market", "lower(symbol) as symbol", "case when open_time_ms % 172800000 = 0 then concat('[', open_time_ms, ',\"', open, '\",', high, ',', low, ',\"', close, '\",', volume, ',', open_time_ms + 99, ']') when open_time_ms % 5 = 1 then '[1,2]' else concat('[', open_time_ms, ',', open, ',', high, ',', low, ',', close, ',\"', volume, '\"]') end as payload"), "1d")), "SELECT exchange, market, symbol, interval, open_time_ms, CASE WHEN open_time_ms % 172800000 = 0 THEN open_time_ms+99 ELSE close_time_ms END AS close_time_ms, round(open,4) AS open, round(high,4) AS high, round(low,4) AS low, round(close,4) AS close, round(volume,4) AS volume FROM kl")
 register("norm_transfers", lambda s, d: rounded(normalize.normalize_transfers(A.read(s, d, "orders").select("o_orderkey", F.expr("case o_custkey % 3 when 0 then 'sat' when 1 then 'wei' else 'coin' end as unit"), F.expr("case o_custkey % 3 when 0 then o_totalprice * 1e4 when 1 then o_totalprice * 1e15 else o_totalprice end as raw_amount"), F.expr("concat('A', o_custkey % 9) as to_address"), F.expr("concat('A', o_custkey % 7) as from_address"), F.expr("unix_millis(cast(o_orderdate as timestamp)) div 1000 as ts_s")), 10.0, 150.0, ["a3", "a5"]), 6), "SELECT o_orderkey, 'A' || (o_custkey%9) AS to_address, 'A' || (o_custkey%7) AS from_address, round(a,6) AS amount, CASE WHEN o_custkey%9 IN (3,5) THEN 'inbound' WHEN o_custkey%7 IN (3,5) THEN 'outbound' END AS direction, epoch_us(o_orderdate)//1000000*1000 AS ts_ms FROM (SELECT *, CASE o_custkey%3 WHEN 0 THEN o_totalprice*1e4::DOUBLE/1e8::DOUBLE WHEN 1 THEN o_totalprice*1e15::DOUBLE/1e18::DOUBLE ELSE o_totalprice END AS a FROM orders) WHERE a >= CASE o_custkey%3 WHEN 0 THEN 10 WHEN 1 THEN 150 ELSE 0 END")
-register("venue_symbols", lambda s, d: normalize.venue_symbols(ticks(s, d).select("symbol").distinct()), "WITH vs AS (SELECT DISTINCT symbol, substr(symbol,1,length(symbol)-4) AS b FROM lt), vx AS (SELECT *, CASE WHEN b='BTC' THEN 'XBT' ELSE b END AS x FROM vs) SELECT symbol, 'binance' AS venue, symbol AS venue_symbol FROM vx UNION ALL SELECT symbol, 'okx', b || '-USDT' FROM vx UNION ALL SELECT symbol, 'okx_swap', b || '-USDT-SWAP' FROM vx UNION ALL SELECT symbol, 'kraken', b || '/USDT' FROM vx UNION ALL SELECT symbol, 'gate', b || '_USDT' FROM vx UNION ALL SELECT symbol, 'bitfinex', 't' || b || 'USDT' FROM vx UNION ALL SELECT symbol, 'bitfinex_perp', 't' || b || 'F0:USTF0' FROM vx UNION ALL SELECT symbol, 'kucoin_perp', x || 'USDTM' FROM vx UNION ALL SELECT symbol, 'kraken_perp', 'PF_' || x || 'USD' FROM vx UNION ALL SELECT symbol, 'hyperliquid', b FROM vx")
+_SHAPES = ["{b}{q}", "{b}-{q}", "{b}_{q}", "{b}/{q}", "{b}PERP", "{b}-PERP", "XBTUSD", "PF_XBTUSD", "{b}-PERPETUAL", "BTCUSDT", "0X{b}", "{b}_{q}_Perp", "BTCPERP"]
+
+
+def shaped(s, d):
+    """Symbols in the shapes that people and venues use."""
+    key = F.col("p_partkey")
+    base = F.upper(F.substring(F.md5(key.cast("string").cast("binary")), 1, 4))
+    quote = F.get(F.array(*map(F.lit, ["USDT", "USDC", "EUR"])), (key % 3).cast("int"))
+    shape = F.get(F.array(*map(F.lit, _SHAPES)), (key % len(_SHAPES)).cast("int"))
+    return A.read(s, d, "part").select(F.replace(F.replace(shape, F.lit("{b}"), base), F.lit("{q}"), quote).alias("symbol")).distinct()
+
+
+def _split(x):
+    known = "coalesce(" + ", ".join(f"CASE WHEN {x} LIKE '%{q}' THEN '{q}' END" for q in S.VENUE_QUOTES) + ")"
+    base = f"CASE WHEN {known} IS NOT NULL THEN left({x}, length({x})-length({known})) WHEN length({x}) >= 6 THEN left({x}, length({x})-4) ELSE {x} END"
+    return f"({base})", f"coalesce({known}, CASE WHEN length({x}) >= 6 THEN right({x}, 4) END, 'USDT')"
+
+
+_B, _Q = _split("u")
+_X = f"CASE WHEN {_B}='BTC' THEN 'XBT' ELSE {_B} END"
+_SB, _SQ1 = _split("z")
+_ub, _uq = _split("y")
+_pb, _ = _split("p")
+_gb, _gq = _split("g")
+_WHOLE = "CASE WHEN u LIKE '%PERP' THEN left(u, length(u)-4) ELSE " + _B + " END"
+_FORM_SQL = {
+    "plain": "u", "dash": f"{_B} || '-' || {_Q}", "slash": f"{_B} || '/' || {_Q}", "underscore": f"{_B} || '_' || {_Q}", "okx_swap": f"{_B} || '-' || {_Q} || '-SWAP'", "bitfinex": f"'t' || {_B} || {_Q}",
+    "bitfinex_perp": f"'t' || {_B} || 'F0:' || CASE WHEN {_Q}='USDT' THEN 'UST' ELSE {_Q} END || 'F0'", "kucoin_perp": f"{_X} || {_Q} || 'M'",
+    "kraken_perp": f"CASE WHEN symbol LIKE 'PF\\_%' ESCAPE '\\' OR symbol LIKE 'PI\\_%' ESCAPE '\\' THEN symbol ELSE 'PF_' || {_X} || CASE WHEN {_Q}='USDT' THEN 'USD' ELSE {_Q} END END", "hyperliquid": _B, "dydx": f"{_B} || '-' || {_Q}",
+    "derive_perp": f"CASE WHEN contains(u, '-') THEN u ELSE {_WHOLE} || '-PERP' END", "cryptocom_spot": f"CASE WHEN contains(u, '_') THEN u ELSE {_B} || '_' || {_Q} END", "cryptocom_perp": f"CASE WHEN contains(u, '-') THEN u WHEN u LIKE '%PERP' THEN {_pb} || 'USD-PERP' ELSE {_B} || 'USD-PERP' END",
+    "coinex": "z", "phemex_perp": "z", "upbit": f"CASE WHEN contains(u, '-') THEN u ELSE {_uq} || '-' || {_ub} END", "woo_spot": f"'SPOT_' || {_B} || '_' || {_Q}", "woo_perp": f"'PERP_' || {_SB} || '_' || {_SQ1}",
+    "bitmex_perp": f"CASE WHEN u LIKE 'XBT%' OR u LIKE '%USD' THEN u ELSE CASE WHEN {_WHOLE}='BTC' THEN 'XBT' ELSE {_WHOLE} END || 'USD' END", "aevo_perp": f"CASE WHEN contains(u, '-') THEN u ELSE {_WHOLE} || '-PERP' END",
+    "pacifica_perp": f"CASE WHEN contains(u, '-') THEN split_part(u, '-', 1) ELSE {_WHOLE} END", "grvt_perp": f"CASE WHEN contains(symbol, '_') THEN symbol ELSE {_gb} || '_' || {_gq} || '_Perp' END", "injective_perp": f"{_B} || '/' || {_Q} || '-PERP'",
+    "architect_perp": f"CASE WHEN contains(u, '-') THEN u ELSE {_WHOLE} || '-PERP' END", "decibel_perp": f"CASE WHEN contains(u, '/') OR contains(u, '-') THEN replace(u, '/', '-') ELSE {_B} || '-USD' END", "deribit_perp": f"CASE WHEN contains(u, '-PERPETUAL') THEN u ELSE {_B} || '-PERPETUAL' END",
+    "evedex_perp": f"CASE WHEN u LIKE '%USD' AND NOT contains(u, '-') OR contains(u, '-') OR contains(u, '/') THEN translate(u, '-/', '') ELSE {_WHOLE} || 'USD' END",
+}
+_SHAPED = "WITH sh AS (SELECT DISTINCT replace(replace(" + str(_SHAPES) + f"[p_partkey % {len(_SHAPES)} + 1], '{{b}}', upper(substr(md5(p_partkey::VARCHAR),1,4))), '{{q}}', ['USDT','USDC','EUR'][p_partkey % 3 + 1]) AS symbol FROM part), su AS (SELECT symbol, upper(symbol) AS u FROM sh), sv AS (SELECT *, regexp_replace(regexp_replace(u, '[-_]PERP|PERP', '', 'g'), '[-_/]', '', 'g') AS z, translate(u, '_/', '') AS y, CASE WHEN u LIKE '%PERP' THEN left(u, length(u)-4) ELSE u END AS p, replace(regexp_replace(u, '-PERP$', ''), '-', '') AS g FROM su) "
+register("venue_symbols", lambda s, d: normalize.venue_symbols(shaped(s, d)), _SHAPED + " UNION ALL ".join(f"SELECT symbol, '{k}' AS venue, {v} AS venue_symbol FROM sv" for k, v in _FORM_SQL.items()))
 
 
-_SUFFIXES = ["FDUSD", "USDT", "-USDC", "BUSD", "TUSD", "USDP", "/USDS", "_USD", "EUR", "GBP", ":TRY", "KRW", "JPY", "AUD", "CAD", "BTC", "-ETH-SWAP", "BNB", "SOL", "XRP", "BRL", "ABCD", "", "_PERP"]
+def nested(s, d):
+    """Payloads that hide their number up to seven levels down, behind texts, empty lists and later numbers."""
+    value, k = F.col("value").cast("string"), F.col("k")
+    inner = F.when(k % 3 == 0, F.format_string('{"fundingRate":"%s","aaa":5,"zz":[1,2]}', value)).when(k % 3 == 1, F.format_string('{"b":["x",null,{"rate":true,"total":%s}],"c":7}', value)).otherwise(F.format_string('[[],{},"text",[%s,3]]', value))
+    for level in range(4):
+        wrapped = [F.format_string('{"m":{"q":"none"},"n":%s,"zzz":9}', inner), F.format_string('[false,[],%s]', inner)][level % 2]
+        inner = F.when(k % 5 > level, wrapped).otherwise(inner)
+    return A.ev(s, d).select("event_id", F.when(F.col("event_id") % 29 == 0, "{bad").when(F.col("event_id") % 31 == 0, '{"only":"text"}').otherwise(inner).alias("payload"))
+
+
+register("numeric_leaf", lambda s, d: rounded(normalize.numeric_leaf(nested(s, d))), "SELECT event_id, round(value,4) AS value FROM ev WHERE event_id % 29 <> 0 AND event_id % 31 <> 0")
+_OWN_PATHS = [("binance", ["$.b"], ["$.a"], ["$.p"], [], ["$.E"]), ("okx", ["$.bidPx"], ["$.askPx"], ["$.markPx"], ["$.r"], ["$.ts"]), ("*", ["$.bid", "$.bestBid"], ["$.ask"], ["$.mark"], ["$.fundingRate"], ["$.T"])]
+
+
+def raw_by_venue(s, d):
+    """Payloads of three venues with keys of their own; a wrong venue's keys stand beside them."""
+    payload = F.when(F.col("exchange") == "binance", F.to_json(F.struct(F.expr("cast(100D + value as string) as b"), F.expr("101D + value as a"), F.lit(1.0).alias("bid"), F.expr("ts_ms + 7 as E")))).when(
+        F.col("exchange") == "okx", F.to_json(F.struct(F.expr("100D + value as bidPx"), F.expr("cast(101D + value as string) as askPx"), F.expr("100.5D + value as markPx"), F.expr("'0.0001' as r"), F.lit(5.0).alias("b")))
+    ).otherwise(F.to_json(F.struct(F.expr("case when k % 2 = 0 then 'n/a' else '50' end as bid"), F.expr("100D + value as bestBid"), F.expr("101D + value as ask"))))
+    return A.ev(s, d).select("event_id", "exchange", "market", "symbol", F.col("ts_ms").alias("received_at_ms"), payload.alias("payload"))
+
+
+register("norm_quotes_by_venue", lambda s, d: rounded(normalize.normalize_quotes(raw_by_venue(s, d), _OWN_PATHS), 6), "SELECT event_id, exchange, market, symbol, CASE WHEN exchange='bybit' AND k % 2 = 1 THEN 50::DOUBLE ELSE round(100+value,6) END AS bid, round(101+value,6) AS ask, CASE WHEN exchange='okx' THEN round(100.5::DOUBLE+value,6) END AS mark, CASE WHEN exchange='okx' THEN 0.0001::DOUBLE END AS funding_rate, CASE WHEN exchange='binance' THEN ts_ms+7 ELSE ts_ms END AS ts_ms FROM ev")
+
+
+#: Every quote with one of the separators before it, and texts without a known quote.
+_SUFFIXES = [sep + q for q, sep in zip([*S.VENUE_QUOTES, "BRL"], ["", "-", "/", "_", ":"] * 5, strict=False)] + ["-ETH-SWAP", "ABCD", "", "_PERP"]
 
 
 def typed(s, d):
@@ -272,6 +360,20 @@ register("option_replace", lambda s, d: contracts.option_replace(opts(s, d)).sel
 register("option_merge", lambda s, d: rounded(contracts.option_merge(A.options_raw(s, d).select("p_partkey", "venue", F.expr("concat(instrument_name, '#', p_partkey) as instrument_name"), F.col("p_retailprice").alias("mark_price"), F.lit(None).cast("double").alias("delta")), A.options_raw(s, d).where("p_partkey % 3 = 0").select("venue", F.expr("concat(instrument_name, '#', p_partkey) as instrument_name"), F.expr("case when p_partkey % 2 = 0 then p_size * 1D end as mark_price"), F.lit(0.5).alias("delta")), ["mark_price", "delta"])), "SELECT p_partkey, venue, instrument_name || '#' || p_partkey AS instrument_name, round(CASE WHEN p_partkey%6=0 THEN p_size ELSE p_retailprice END,4) AS mark_price, CASE WHEN p_partkey%3=0 THEN 0.5::DOUBLE END AS delta FROM options_raw")
 register("parse_prediction", lambda s, d: rounded(contracts.parse_prediction(A.prediction_markets_raw(s, d)).select("p_partkey", "base_asset", "strike", "direction", "rule_type", "yes_token_id", "no_token_id", "parser_confidence")), "SELECT p_partkey, CASE WHEN p_partkey%3=0 THEN 'BTC' ELSE 'ETH' END AS base_asset, (regexp_extract(question, '\\$([0-9]+)k', 1)::DOUBLE)*1000 AS strike, CASE WHEN question LIKE '%below%' THEN 'below' ELSE 'above' END AS direction, CASE WHEN question LIKE '%reach%' THEN 'touch' ELSE 'terminal' END AS rule_type, p_partkey || CASE WHEN swapped THEN 'n' ELSE 'y' END AS yes_token_id, p_partkey || CASE WHEN swapped THEN 'y' ELSE 'n' END AS no_token_id, CASE WHEN question LIKE '%reach%' THEN 0.7 ELSE 0.85 END::DOUBLE AS parser_confidence FROM pm_raw WHERE active AND p_partkey%3<2")
 register("prediction_markets", lambda s, d: rounded(contracts.prediction_markets(A.prediction_markets_raw(s, d)).withColumn("token_ids", F.array_join("token_ids", ","))), "SELECT condition_id AS market_id, question, round(coalesce(volume_clob, volume_num, volume),4) AS volume, p_partkey || 'y,' || p_partkey || 'n' AS token_ids FROM pm_raw WHERE active")
+
+
+def _listed(s, d):
+    """Token ids that come as an array or as a text that holds one, or as neither."""
+    m = A.prediction_markets_raw(s, d)
+    ids = F.concat(F.lit('["'), F.col("p_partkey"), F.lit('y","'), F.col("p_partkey"), F.lit('n"]'))
+    asis = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('{"ids":'), ids, F.lit("}"))).when(F.col("p_partkey") % 3 == 1, F.to_json(F.struct(ids.alias("ids")))).otherwise('{"ids":7}')
+    return m.select("p_partkey", F.array_join(contracts.texts(asis, "$.ids"), ",").alias("ids"))
+
+
+register("string_or_array", _listed, "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_partkey || 'y,' || p_partkey || 'n' END AS ids FROM part")
+register("prediction_points", lambda s, d: contracts.token_points(contracts.prediction_history(A.prediction_events(s, d).where("best_bid is not null").withColumn("price", F.col("best_bid")), 720, 1_704_500_000_000)).select("asset_id", F.size("points").alias("n"), F.col("points")[0].t.alias("first_t"), R(F.element_at("points", -1).p, 6).alias("last_p")), "WITH ph AS (SELECT asset_id, ts_ms//43200000*43200000 AS t, arg_max(best_bid,(ts_ms,event_id)) AS p FROM pe WHERE best_bid IS NOT NULL AND ts_ms>=1704500000000 GROUP BY 1, 2) SELECT asset_id, count(*) AS n, min(t) AS first_t, round(arg_max(p, t),6) AS last_p FROM ph GROUP BY 1")
+register("option_envelopes", lambda s, d: state.option_envelopes(opts(s, d), 1_700_002_400_000, 1_200_000).select("domain", F.col("source_ref.venue").alias("venue"), "instrument_ref.instrument_id", "instrument_ref.product_type", "instrument_ref.base", "freshness.ts_source", "freshness.stale", R("payload.strike").alias("strike"), "payload.option_type", "payload.position"), f"WITH {_PO} SELECT 'option_chain' AS domain, venue, instrument_name AS instrument_id, 'option' AS product_type, currency AS base, received_at_ms AS ts_source, 1700002400000-received_at_ms>1200000 AS stale, round(strike,4) AS strike, option_type, p_partkey AS position FROM po")
+register("prediction_envelopes", lambda s, d: state.prediction_envelopes(A.prediction_events(s, d), 1_706_000_000_000, 7_200_000).select("domain", F.col("source_ref.source").alias("source"), "instrument_ref.market_id", "freshness.ts_source", "freshness.stale", R("payload.best_bid").alias("best_bid"), R("payload.ask_depth", 2).alias("ask_depth"), "payload.position"), "SELECT 'prediction_book' AS domain, 'polymarket' AS source, asset_id AS market_id, ts_ms AS ts_source, greatest(1706000000000-ts_ms,0)>7200000 AS stale, round(best_bid,4) AS best_bid, round(ask_depth,2) AS ask_depth, event_id AS position FROM pe")
 register("token_ids", lambda s, d: contracts.token_ids(A.prediction_markets_raw(s, d).where("active")), "SELECT p_partkey || x AS token_id FROM pm_raw, (VALUES ('y'), ('n')) v(x) WHERE active")
 _PS = "pq AS (SELECT *, count(*) FILTER (event_type='book') OVER (PARTITION BY asset_id ORDER BY ts_ms, event_id) AS e FROM pe), ps AS (SELECT asset_id, event_id, event_type, ts_ms, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in ("best_bid", "best_ask", "bid_depth", "ask_depth")) + " FROM pq WINDOW w AS (PARTITION BY asset_id, e ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING)), pl AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY ts_ms DESC, event_id DESC)=1)"
 _PC = ", ".join(f"round({c},4) AS {c}" for c in ("best_bid", "best_ask", "bid_depth", "ask_depth"))
