@@ -131,7 +131,7 @@ def test_state_edges(spark):
     assert state.dedupe_transfers(same).count() == 1
     bad = spark.createDataFrame([quote(1, "a", float("nan"), 1), quote(2, "a", 1, float("inf")), quote(3, "a", 1, 2)], Q)
     assert [r.event_id for r in state.finite_events(bad, ["bid", "ask", "mark"]).collect()] == [3]
-    assert state.as_of(spark.createDataFrame([], Q)) == 0 and state.latest_ticks(spark.createDataFrame([], Q)).count() == 0
+    assert spark.range(1).select(state.as_of(spark.createDataFrame([], Q))).first()[0] == 0 and state.latest_ticks(spark.createDataFrame([], Q)).count() == 0
     dup = spark.createDataFrame([quote(1, "a", 1, 2), quote(2, "a", 3, 4)], Q)
     assert state.latest_ticks(dup).first().bid == 3
 

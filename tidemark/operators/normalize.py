@@ -279,10 +279,10 @@ def dead_letters(raw: DataFrame, needed: list[str]) -> DataFrame:
 #: With ``perp`` a last PERP ends the base (``whole``), or is taken off before the symbol is split (``split``).
 VENUE_FORMS = [
     # form, keep, raw, keep_from, keep_to, drop, perp, pattern, quotes
-    ("plain", "", False, "", "", "", "", "{s}", {}),
-    ("dash", "", False, "", "", "", "", "{b}-{q}", {}),
-    ("slash", "", False, "", "", "", "", "{b}/{q}", {}),
-    ("underscore", "", False, "", "", "", "", "{b}_{q}", {}),
+    ("binance", "", False, "", "", "", "", "{s}", {}),
+    ("okx", "", False, "", "", "", "", "{b}-{q}", {}),
+    ("kraken", "", False, "", "", "", "", "{b}/{q}", {}),
+    ("gate", "", False, "", "", "", "", "{b}_{q}", {}),
     ("okx_swap", "", False, "", "", "", "", "{b}-{q}-SWAP", {}),
     ("bitfinex", "", False, "", "", "", "", "t{b}{q}", {}),
     ("bitfinex_perp", "", False, "", "", "", "", "t{b}F0:{r}F0", {"USDT": "UST"}),

@@ -232,7 +232,7 @@ _pb, _ = _split("p")
 _gb, _gq = _split("g")
 _WHOLE = "CASE WHEN u LIKE '%PERP' THEN left(u, length(u)-4) ELSE " + _B + " END"
 _FORM_SQL = {
-    "plain": "u", "dash": f"{_B} || '-' || {_Q}", "slash": f"{_B} || '/' || {_Q}", "underscore": f"{_B} || '_' || {_Q}", "okx_swap": f"{_B} || '-' || {_Q} || '-SWAP'", "bitfinex": f"'t' || {_B} || {_Q}",
+    "binance": "u", "okx": f"{_B} || '-' || {_Q}", "kraken": f"{_B} || '/' || {_Q}", "gate": f"{_B} || '_' || {_Q}", "okx_swap": f"{_B} || '-' || {_Q} || '-SWAP'", "bitfinex": f"'t' || {_B} || {_Q}",
     "bitfinex_perp": f"'t' || {_B} || 'F0:' || CASE WHEN {_Q}='USDT' THEN 'UST' ELSE {_Q} END || 'F0'", "kucoin_perp": f"{_X} || {_Q} || 'M'",
     "kraken_perp": f"CASE WHEN symbol LIKE 'PF\\_%' ESCAPE '\\' OR symbol LIKE 'PI\\_%' ESCAPE '\\' THEN symbol ELSE 'PF_' || {_X} || CASE WHEN {_Q}='USDT' THEN 'USD' ELSE {_Q} END END", "hyperliquid": _B, "dydx": f"{_B} || '-' || {_Q}",
     "derive_perp": f"CASE WHEN contains(u, '-') THEN u ELSE {_WHOLE} || '-PERP' END", "cryptocom_spot": f"CASE WHEN contains(u, '_') THEN u ELSE {_B} || '_' || {_Q} END", "cryptocom_perp": f"CASE WHEN contains(u, '-') THEN u WHEN u LIKE '%PERP' THEN {_pb} || 'USD-PERP' ELSE {_B} || 'USD-PERP' END",
