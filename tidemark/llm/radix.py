@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, drop_cut
 
 
 def radix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head: int = 32, growth: int = 4) -> DataFrame:
@@ -40,15 +40,15 @@ def radix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hea
             F.when(F.col("n").isNotNull(), F.col("bytes")).alias("bytes"),
         )
     )
-    bytes_of = rows.where("bytes is not null").select("row", "bytes")
-    state = rows.where("bytes is not null").select("row", "size", F.col("size").cast("long").alias("grp"))
+    longer = rows.where("bytes is not null").select("row", "size", "bytes")
+    state = longer.select("row", "size", F.col("size").cast("long").alias("grp"))
     done, at, width = [], 0, head
     while True:
-        digits = state.join(bytes_of, "row").select(
-            "row", "size", "grp", F.expr(f"substring(bytes, {at + 1}, {width})").alias("digit")
-        )
+        run = longer.where(F.col("size") >= at).select("row", F.expr(f"substring(bytes, {at + 1}, {width})").alias("digit"))
+        digits = cut(state.join(run, "row"))
         cells = digits.groupBy("grp", "digit").agg(F.min("row").alias("next"), F.count("*").alias("n")).where("n > 1")
         level = cut(digits.join(cells, ["grp", "digit"]).select("row", "size", F.col("next").alias("grp")))
+        drop_cut(digits)
         at, width = at + width, width * growth
         done.append(level.where(F.col("size") <= at).select("row", "grp"))
         state = level.where(F.col("size") > at)
