@@ -66,22 +66,22 @@ def klines_query(bars, exchange=None, market=None, symbol=None, interval=None, s
 
 
 def lake_quality(bars: DataFrame) -> DataFrame:
-    """Per partition: rows, duplicates, gaps, coverage, latency percentiles and stale rows."""
+    """Per partition: rows, duplicates, gaps, coverage, latency percentiles and stale rows, from one pass over the bars.
+
+    Bars of a key and time are counted first, so gaps are steps between these rows.
+    """
     width = S.interval_ms(F.col("interval"))
     keys = [*BAR, "day"]
     part = bars.withColumns({"day": S.utc_day(F.col("open_time_ms")), "w": width, "lat": F.greatest(F.col("updated_at_ms") - F.col("close_time_ms"), F.lit(0))})
-    times = part.select(*keys, "w", "open_time_ms").distinct()
     step = F.col("open_time_ms") - F.lag("open_time_ms").over(W.partitionBy(*keys).orderBy("open_time_ms"))
-    gaps = times.withColumn("d", step).groupBy(*keys).agg(
-        F.sum(F.when(F.col("d") > F.col("w"), F.floor(F.col("d") / F.col("w")) - 1).otherwise(0)).cast("long").alias("gaps"),
+    times = part.groupBy(*keys, "w", "open_time_ms").agg(F.count("*").alias("n"), F.max("updated_at_ms").alias("updated"), F.collect_list("lat").alias("lats"), F.count_if(F.col("lat") > F.col("w")).alias("stale"))
+    stats = times.withColumn("d", step).groupBy(*keys).agg(
+        F.sum("n").alias("row_count"), F.min("open_time_ms").alias("first_ts"), F.max("open_time_ms").alias("last_ts"), F.max("updated").alias("watermark_ms"), F.flatten(F.collect_list("lats")).alias("lats"),
+        F.sum("stale").alias("stale_count"), F.sum(F.when(F.col("d") > F.col("w"), F.floor(F.col("d") / F.col("w")) - 1).otherwise(0)).cast("long").alias("gaps"),
         F.count("*").alias("distinct_rows"), F.first("w").alias("w"),
     )
-    stats = part.groupBy(*keys).agg(
-        F.count("*").alias("row_count"), F.min("open_time_ms").alias("first_ts"), F.max("open_time_ms").alias("last_ts"),
-        F.max("updated_at_ms").alias("watermark_ms"), F.collect_list("lat").alias("lats"), F.count_if(F.col("lat") > F.col("w")).alias("stale_count"),
-    )
     expected = F.floor((F.col("last_ts") - F.col("first_ts")) / F.col("w")) + 1
-    return stats.join(gaps, keys).select(
+    return stats.select(
         *keys, "row_count", "first_ts", "last_ts", "watermark_ms", (F.col("row_count") - F.col("distinct_rows")).alias("duplicates"), "gaps",
         F.least(F.col("distinct_rows") / expected, F.lit(1.0)).alias("coverage"), S.pct_floored(F.col("lats"), 50).alias("latency_p50"),
         S.pct_floored(F.col("lats"), 95).alias("latency_p95"), "stale_count",

@@ -389,6 +389,6 @@ register("prediction_books", lambda s, d: rounded(contracts.prediction_books(boo
 register("prediction_midpoints", lambda s, d: books_now(s, d).where("spread is not null").select("asset_id", R((F.col("best_bid") + F.col("best_ask")) / 2, 6).alias("midpoint")), f"WITH {_PS} SELECT asset_id, round((best_bid+best_ask)/2,6) AS midpoint FROM pl WHERE best_bid IS NOT NULL AND best_ask IS NOT NULL")
 register("prediction_spreads", lambda s, d: rounded(books_now(s, d).where("spread is not null").select("asset_id", "spread"), 6), f"WITH {_PS} SELECT asset_id, round(best_ask-best_bid,6) AS spread FROM pl WHERE best_ask-best_bid IS NOT NULL")
 register("prediction_prices", lambda s, d: rounded(contracts.prediction_prices(books_now(s, d)), 6), f"WITH {_PS} SELECT asset_id, side, round(CASE WHEN side='BUY' THEN best_ask ELSE best_bid END,6) AS price FROM pl, (VALUES ('BUY'),('SELL')) v(side)")
-register("prediction_last_trade", lambda s, d: rounded(A.trades(s, d).where("event_id % 2 = 0").withColumn("asset_id", F.expr("concat('tok', event_id % 20)")).groupBy("asset_id").agg(F.max_by("price", F.struct("ts_ms", "event_id")).alias("price"), F.max_by("side", F.struct("ts_ms", "event_id")).alias("side")), 4), "SELECT 'tok' || (event_id % 20) AS asset_id, round(arg_max(price,(ts_ms,event_id)),4) AS price, arg_max(side,(ts_ms,event_id)) AS side FROM trades WHERE event_id % 2 = 0 GROUP BY 1")
+register("prediction_last_trade", lambda s, d: rounded(A.trades(s, d).withColumn("asset_id", F.expr("concat('tok', event_id % 20)")).groupBy("asset_id").agg(F.max_by("price", F.struct("ts_ms", "event_id")).alias("price"), F.max_by("side", F.struct("ts_ms", "event_id")).alias("side")), 4), "SELECT 'tok' || (event_id % 20) AS asset_id, round(arg_max(price,(ts_ms,event_id)),4) AS price, arg_max(side,(ts_ms,event_id)) AS side FROM trades GROUP BY 1")
 register("prediction_summary", lambda s, d: rounded(contracts.prediction_summary(A.order_books(s, d).select(F.expr("cast(event_id as string) as asset_id"), F.expr("transform(reverse(bids), x -> struct(cast(x.price as string) as price, cast(x.qty as string) as size)) as bids"), F.expr("transform(asks, x -> struct(cast(x.price as string) as price, cast(x.qty as string) as size)) as asks")))), "SELECT event_id::VARCHAR AS asset_id, round(max(price) FILTER (side='bid'),4) AS best_bid, round(min(price) FILTER (side='ask'),4) AS best_ask, sum(qty) FILTER (side='bid') AS bid_depth, sum(qty) FILTER (side='ask') AS ask_depth, 10 AS bid_levels, 10 AS ask_levels, round(min(price) FILTER (side='ask')-max(price) FILTER (side='bid'),4) AS spread FROM lv GROUP BY event_id")
 register("prediction_history", lambda s, d: rounded(contracts.prediction_history(A.prediction_events(s, d).where("best_bid is not null").withColumn("price", F.col("best_bid")), 720, 1_704_500_000_000), 6), "SELECT asset_id, ts_ms//43200000*43200000 AS t, round(arg_max(best_bid,(ts_ms,event_id)),6) AS p FROM pe WHERE best_bid IS NOT NULL AND ts_ms>=1704500000000 GROUP BY 1, 2")
