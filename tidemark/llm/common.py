@@ -72,10 +72,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_or_empty(col: str = "text"):
-    return F.coalesce(F.col(col), F.lit(""))
-
-
 def fold(doc_id: str, parts: int):
     """crc32 of the id's text modulo ``parts``; a null id counts as fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts, F.lit(0)).cast("int")

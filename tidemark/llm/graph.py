@@ -216,36 +216,6 @@ def _smallest(found: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     return out
 
 
-def audit(classes: DataFrame, told: DataFrame, least: float, most: int = AUDITED) -> tuple[int, int]:
-    """Links of a query set that were found, and all that there are by brute force.
-
-    The queries are classes whose node is divisible by 20, at most ``most`` of
-    them (those with the smallest hashes), against every class of their label:
-    one pass over all rows, with the bounded query set in every task.
-    ``told`` has (node, links), members of other classes that the search found.
-    """
-    drawn = classes.where(F.col("node") % 20 == 0).orderBy(F.xxhash64("node", F.lit(5)), "node").limit(most)
-    queries: dict[str, tuple] = {}
-    for r in drawn.collect():  # ``most`` rows
-        queries.setdefault(r.label, ([], []))
-        queries[r.label][0].append(r.node)
-        queries[r.label][1].append(np.array(r.vec, np.float64))
-    units = {k: (np.array(nodes), _unit(vecs)) for k, (nodes, vecs) in queries.items()}
-
-    def count(batches):
-        for batch in batches:
-            for label, own in batch.groupby("label"):
-                if label in units:
-                    nodes, u = units[label]
-                    hit = u @ _unit(own.vec).T >= least
-                    hit &= nodes[:, None] != own.node.to_numpy()[None]
-                    yield pd.DataFrame({"node": nodes, "all": hit @ own["size"].to_numpy()})
-
-    want = classes.select("node", "size", "label", "vec").mapInPandas(count, "node long, all long").groupBy("node").agg(F.sum("all").alias("all"))
-    row = want.join(told.groupBy("node").agg(F.sum("links").alias("links")), "node").agg(F.sum("links"), F.sum("all")).first()
-    return int(row[0] or 0), int(row[1] or 0)
-
-
 def _told(classes: DataFrame, overlap: int, least: float) -> DataFrame:
     """(node, links, low) of every member of every shard: its links that count there, and the smallest node it reaches there."""
     dealt = shards(classes, overlap)
