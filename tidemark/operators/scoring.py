@@ -37,10 +37,10 @@ def symbol_metrics(events: DataFrame, now: int | Column | None = None, window_ms
     rows = kept.select(
         *ES, "domain", "market", "ts_ms", "event_id", rank.alias("rank"), candidate.alias("candidate"), "side", notional.alias("notional"), S.signed_notional(F.col("side"), F.col("price"), F.col("qty")).alias("signed"),
         "funding_rate", "open_interest", *[F.when(is_("order_book"), v).alias(c) for c, v in top.items()], F.coalesce(book_mid, F.lit(1.0)).alias("mid"),
-        S.book_sum(F.col("bids"), 10).alias("bid_depth"), S.book_sum(F.col("asks"), 10).alias("ask_depth"),
+        S.book_sum(F.col("bids"), 10).alias("bid_depth"), S.book_sum(F.col("asks"), 10).alias("ask_depth"), (F.lit(now) - F.col("ts_ms")).alias("age"),
     )
     near = scans.neighbours(rows, (*ES, "domain"), before={f"p_{c}": c for c in ("open_interest", *top)}, width_ms=width_ms)
-    at, age = F.struct("ts_ms", "event_id"), F.lit(now) - F.col("ts_ms")
+    at, age = F.struct("ts_ms", "event_id"), F.col("age")
     within = lambda w: (age <= w) & (age >= 0)
     last = lambda c, cond: F.max_by(c, F.when(cond, at))
     change = F.when(F.col("p_open_interest") > 0, (F.col("open_interest") - F.col("p_open_interest")) / F.col("p_open_interest") * 100)

@@ -232,9 +232,10 @@ def market_states(events: DataFrame, now: int | Column | None = None, ttl_ms: in
     for m in markets:
         aggs += [F.max_by(F.struct("bid", "ask", "ts_ms"), of("quote", m)).alias(f"q_{m}"), F.max_by("book", of("order_book", m)).alias(f"b_{m}")]
     one = rows.groupBy("exchange", "symbol").agg(*aggs)
-    fresh = {m: (F.col(f"q_{m}").bid > 0) & (F.col(f"q_{m}").ask > 0) & (F.greatest(F.lit(now) - F.col(f"q_{m}").ts_ms, F.lit(0)) <= ttl_ms) for m in markets}
+    priced = {m: (F.col(f"q_{m}").bid > 0) & (F.col(f"q_{m}").ask > 0) for m in markets}
+    oldest = F.least(F.col("q_spot").ts_ms, F.col("q_perp").ts_ms)
     mid = {m: (F.col(f"q_{m}").bid + F.col(f"q_{m}").ask) / 2 for m in markets}
-    basis = F.when(fresh["spot"] & fresh["perp"], (mid["perp"] - mid["spot"]) / mid["spot"] * 10_000)
+    basis = F.when(priced["spot"] & priced["perp"] & (F.greatest(F.lit(now) - oldest, F.lit(0)) <= ttl_ms), (mid["perp"] - mid["spot"]) / mid["spot"] * 10_000)
     each = F.explode(F.array(*[
         F.struct(F.lit(m).alias("market"), F.col(f"q_{m}").isNotNull().alias("quoted"), mid[m].alias("mid"), bps(F.col(f"q_{m}").bid, F.col(f"q_{m}").ask).alias("spread_bps"), F.col(f"b_{m}").depth.alias("depth_notional"), F.col(f"b_{m}").score.alias("liquidity_score"))
         for m in markets])).alias("m")
