@@ -8,6 +8,7 @@ of every key.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import normalize, state
 from tidemark.operators.state import KEY
 from tidemark.sources.shared import shared_root
-from tidemark.streaming.stateful import timed
+from tidemark.streaming.stateful import END_MS, timed
 
 
 def sink_dir(spark: SparkSession) -> str:
@@ -109,6 +110,24 @@ def run(stream: DataFrame, keys: tuple[str, ...], mode: str = "update", **kw) ->
     return table.read()
 
 
+def run_whole(make: Callable[[DataFrame], DataFrame], feed: DataFrame, keys: tuple[str, ...], mode: str = "append", **kw) -> DataFrame:
+    """Process what is there, then close the feed, so that nothing waits for a watermark that never comes.
+
+    ``make`` gives the stream over ``feed``, which has a ts_ms.  A second feed,
+    empty at first, joins it; when the first is done it brings one row at the
+    end of time, and the query goes on from its checkpoint.
+    """
+    spark, path = feed.sparkSession, sink_dir(feed.sparkSession)
+    last = spark.range(1).select(*[(F.lit(END_MS) if c == "ts_ms" else F.lit(None)).cast(t).alias(c) for c, t in feed.dtypes])
+    last.where("false").write.parquet(f"{path}/end")
+    stream = make(feed.unionByName(spark.readStream.schema(last.schema).parquet(f"{path}/end")))
+    table = Upserts(spark, path, keys, **kw)
+    table.feed(stream, mode).awaitTermination()
+    last.write.mode("append").parquet(f"{path}/end")
+    table.feed(stream, mode).awaitTermination()
+    return table.read()
+
+
 def _by_widths(df: DataFrame, widths: dict, delay: str) -> tuple[DataFrame, list]:
     """Rows once per width with the start of their bucket, and what to group by.
 
