@@ -202,3 +202,33 @@ def test_swap_that_gives_nothing_has_price_zero(spark):
     rows = [(1e9, 0.0, 9, 6), (0.0, 2e8, 9, 6), (1e9, -1.0, 9, 6), (1e9, None, 9, 6)]
     df = spark.createDataFrame(rows, "in_amount double, out_amount double, in_decimals int, out_decimals int")
     assert [r.price for r in normalize.swap_price(df).collect()] == [0.0, None, None, None]
+
+
+def test_quote_paths_are_each_read_once(spark):
+    raw = spark.createDataFrame(
+        [(1, "x", "spot", "A", '{"bid": "NaN", "b": "2", "ask": 3, "T": 7}', 5), (2, "y", "spot", "A", '{"bestBid": 1, "a": true, "bestAsk": 2}', 5), (3, "x", "spot", "A", '{"b": 1, "a": -1}', 5), (4, None, "spot", "A", "{bad", 5)],
+        "event_id long, exchange string, market string, symbol string, payload string, received_at_ms long",
+    )
+    out = normalize.normalize_quotes(raw)
+    assert sorted((r.event_id, r.bid, r.ask, r.mark, r.ts_ms) for r in out.collect()) == [(1, 2.0, 3.0, None, 7), (2, 1.0, 2.0, None, 5)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("get_json_object(") == 11  # as many as there are paths
+
+
+def test_fanout_parses_a_payload_once(spark):
+    df = spark.createDataFrame([("trade", "x", "spot", "A", 1, '{"price": 1}')], "type string, exchange string, market string, symbol string, ts_ms long, payload string")
+    given = df.withColumn("v", F.try_parse_json(F.lit('{"price": 2}')))
+    assert normalize.typed_rows(given).first().price == 2.0 and normalize.typed_rows(df).first().price == 1.0
+
+
+def test_fanout_deals_a_symbol_out(spark, tmp_path):
+    rows = [("trade", "x", "spot", "A", n * 3_600_000, f'{{"price": {n}}}') for n in range(24 * 40)]
+    df = spark.createDataFrame(rows, "type string, exchange string, market string, symbol string, ts_ms long, payload string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        normalize.write_fanout(df, f"file://{tmp_path}/t")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    back = spark.read.parquet(f"file://{tmp_path}/t")
+    files = back.groupBy(F.input_file_name()).count().collect()
+    assert back.count() == len(rows) and len(files) == 4 and max(r["count"] for r in files) < 0.7 * len(rows)

@@ -213,10 +213,10 @@ def stream_fanout(events: DataFrame, path: str, every: int = 10, trigger: dict |
     typed, log, dead = (Upserts(spark, f"{path}/{name}", (), every) for name in ("tables", "log", "dead"))
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        batch = batch.withColumn("v", F.try_parse_json("payload")).persist()
         typed.write(normalize.typed_rows(batch), number)
         log.write(normalize.event_log(normalize.parsed(batch)), number)
-        dead.write(normalize.dead_letters(batch, []), number)
+        dead.write(normalize.dead_letters(batch.drop("v"), []), number)
         batch.unpersist()
 
     return events.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start()
