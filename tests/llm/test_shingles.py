@@ -56,3 +56,30 @@ def test_stage_finds_near_copies(spark, group):
     assert {r.doc_id for r in cp.simhash_stage(spark, df, "").collect()} == want | {None}
     assert {r.doc_id for r in keep_one(df).collect()} != want | {None}
     assert cp.simhash_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_stage_takes_candidates_by_simhash(spark, monkeypatch):
+    """Without the completion most near copies still go, by links of SimHash that are close; the completion gets those links."""
+    import corpus_pipeline as cp
+    from tidemark.llm import shingles as own
+
+    rnd = random.Random(5)
+    rows = []
+    for base in range(40):
+        words = [f"u{rnd.randrange(5000)}" for _ in range(200)]
+        for k in range(3):
+            t = list(words)
+            for _ in range(2 * k):
+                t[rnd.randrange(200)] = f"z{rnd.random()}"
+            rows.append((10 * base + k, " ".join(t), "en", "s", 1))
+    texts = {r[0]: shingles(r[1]) for r in rows}
+    far = lambda a, b: 5 * len(texts[a] & texts[b]) < 4 * len(texts[a] | texts[b])
+    df = spark.createDataFrame(rows, DOCS)
+    seen = []
+    monkeypatch.setattr(own, "completed", lambda links, *_: seen.append([tuple(r) for r in links.collect()]) or links)
+    some = {r.doc_id for r in cp.simhash_stage(spark, df, "").collect()}
+    assert seen and seen[0] and not any(far(a, b) for a, b in seen[0])
+    want = kept_ids(rows)
+    assert want <= some and len(rows) - len(some) >= 0.8 * (len(rows) - len(want))
+    monkeypatch.undo()
+    assert {r.doc_id for r in cp.simhash_stage(spark, df, "").collect()} == want

@@ -32,7 +32,11 @@ def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     """The 64-bit SimHash of the text's word shingles, repeats counted; 0 without words."""
-    h = shingle_hashes(text, words, seed)
+    return simhash(shingle_hashes(text, words, seed))
+
+
+def simhash(h: np.ndarray) -> int:
+    """The 64 bits that are set in over half the hashes; 0 without hashes."""
     if not len(h):
         return 0
     by_byte = h.view(np.uint8).reshape(-1, 8)
@@ -63,7 +67,7 @@ def block_masks(distance: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def close_links(prints: DataFrame, distance: int = 4, direct: int = 32, tile: int = 2048) -> DataFrame:
+def close_links(prints: DataFrame, distance: int = 4, direct: int = 32, tile: int = 2048, blocks: int | None = None, reach: int | None = None) -> DataFrame:
     """Links (a, b) that connect what fingerprints within ``distance`` bits connect.
 
     ``prints`` holds (fp, node), each fp once.  Every fp goes to one bucket per
@@ -72,10 +76,14 @@ def close_links(prints: DataFrame, distance: int = 4, direct: int = 32, tile: in
     verified pair by pair.  A larger bucket is dealt into tiles of about
     ``tile`` members; every pair of tiles is searched in one task, which
     returns a spanning forest of the verified links, so rows grow with the
-    members and no link is lost.
+    members and no link is lost.  ``blocks`` replaces that number.  With
+    ``reach``, fingerprints that meet in a bucket are linked up to so many bits,
+    so many links beyond ``distance`` come too, but not all.
     """
-    n = prints.count()
-    blocks = distance + (2 if n < 1 << 22 else 3 if n < 1 << 27 else 4)
+    reach = distance if reach is None else reach
+    if blocks is None:
+        n = prints.count()
+        blocks = distance + (2 if n < 1 << 22 else 3 if n < 1 << 27 else 4)
     masks = block_masks(distance, blocks)
     keyed = prints.select(
         "fp", "node",
@@ -85,7 +93,7 @@ def close_links(prints: DataFrame, distance: int = 4, direct: int = 32, tile: in
     shared = cut(keyed.join(sizes, ["m", "k"]))
     small = shared.where(F.col("n") <= direct)
     other = small.select("m", "k", F.col("fp").alias("fp2"), F.col("node").alias("node2"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= reach
     pairs = small.join(other, (small.m == other.m) & (small.k == other.k) & (small.fp < other.fp2) & near).select(
         F.col("node").alias("a"), F.col("node2").alias("b")
     )
@@ -105,7 +113,7 @@ def close_links(prints: DataFrame, distance: int = 4, direct: int = 32, tile: in
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 at = queue.pop()
-                hit = np.bitwise_count(fp[left] ^ fp[at]) <= distance
+                hit = np.bitwise_count(fp[left] ^ fp[at]) <= reach
                 links += [(node[at], node[x]) for x in left[hit]]
                 queue += list(left[hit])
                 left = left[~hit]
