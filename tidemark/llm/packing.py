@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, ship
 
-#: Distinct words that a Python worker remembers with their ids, as written and in lower case.
-WORD_CACHE = 150_000
+#: Distinct words that a Python worker remembers with their ids, as written and in lower case; one more, and it begins anew.
+WORD_CACHE, CORE_CACHE = 250_000, 300_000
+#: Signs after a word that the vocabulary's splitter leaves together; an apostrophe may begin a contraction.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Rounds of multiplicative weights and their step; how close to the best a pattern's worth is; how often the LP of the
 #: rest is solved, with half the rounds each time; patterns that leave more of the room free are not rounded to.
 ROUNDS, STEP, NEAR, PASSES, WASTE = 30, 0.2, 0.05, 3, 0.002
@@ -51,34 +54,30 @@ def _tokenizer(path: str):
 
 
 def _pack_ids(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _merge(tokenizer, low: str) -> bytes:
     """Ids of one lower-case run, straight from the vocabulary's merges."""
-    ids = _cores.get(low)
-    if ids is None:
-        spelled = low if low.isascii() else "".join(_LETTER[b] for b in low.encode())
-        ids = _pack_ids([t.id for t in tokenizer.model.tokenize(spelled)])
-        if len(_cores) < WORD_CACHE:
-            _cores[low] = ids
+    spelled = low if low.isascii() else "".join([_LETTER[b] for b in low.encode()])
+    ids = _cores[low] = _pack_ids([t.id for t in tokenizer.model.tokenize(spelled)])
     return ids
 
 
-def _encode_word(tokenizer, word: str) -> bytes:
-    """Ids of a word between white space: letters with full stops or commas
-    after them need no more than the merges; all else takes the whole way."""
-    core = word.rstrip(".,")
-    low = core.lower()
-    if low.isalpha() and core.isalpha() and len(low) == len(core) and max(low) < "\u0250":
-        out = _merge(tokenizer, low)
-        if len(core) < len(word):
-            out += _merge(tokenizer, word[len(core) :])
-    else:
-        out = _pack_ids(tokenizer.encode(word, add_special_tokens=False).ids)
-    if len(_words) < WORD_CACHE:
+def _encode_words(tokenizer, words: set[str]) -> None:
+    """Remember the ids of words between white space: letters with signs after
+    them need no more than the merges; all else takes the whole way."""
+    for word in words:
+        core = word.rstrip(SIGNS)
+        low = core.lower()
+        if core.isalpha() and low.isalpha() and len(low) == len(core) and (low.isascii() or max(low) < "\u0250"):
+            out = _cores.get(low) or _merge(tokenizer, low)
+            if len(core) < len(word):
+                signs = word[len(core) :]
+                out += _cores.get(signs) or _merge(tokenizer, signs)
+        else:
+            out = _pack_ids(tokenizer.encode(word, add_special_tokens=False).ids)
         _words[word] = out
-    return out
 
 
 def encode_texts(texts: list[str], path: str, by_word: bool = True) -> list[bytes]:
@@ -98,10 +97,12 @@ def encode_texts(texts: list[str], path: str, by_word: bool = True) -> list[byte
             out.append(_pack_ids(tokenizer.encode(text, add_special_tokens=False).ids))
             continue
         words = text.split()
-        parts = list(map(_words.get, words))
-        if None in parts:
-            parts = [_encode_word(tokenizer, w) if p is None else p for w, p in zip(words, parts, strict=True)]
-        out.append(b"".join(parts))
+        if len(_words) >= WORD_CACHE:
+            _words.clear()
+        if len(_cores) >= CORE_CACHE:
+            _cores.clear()
+        _encode_words(tokenizer, set(words).difference(_words))
+        out.append(b"".join(map(_words.__getitem__, words)))
     return out
 
 
