@@ -34,6 +34,9 @@ SHORT = 3
 CACHED, WHOLE = 64, 32
 _EDGE = re.compile(r"^(?:([^\w\s])\1+|[^\w\s@$])+|(?:([^\w\s])\2+|[^\w\s@$])+$")
 _ODD = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]|(.)\1\1", re.S)
+_THRICE = re.compile(r"([^\W\d_])\1\1")
+#: Signs that say nothing behind a word.
+_ENDS = frozenset(".,;:!?)\"'")
 
 
 def _class_table() -> np.ndarray:
@@ -149,9 +152,17 @@ def short_runs(words: list[str]) -> Iterator[str]:
 def restore(text: str | None, model: np.ndarray, cache: dict | None = None) -> set[str]:
     """The restored words of a whole text: of each word, and of each run of short words decoded with its spaces."""
     cache = {} if cache is None else cache
-    words = (text or "").lower().split()
+    low = (text or "").lower()
+    words = low.split()
+    own_words = set(words)
     out: set[str] = set()
-    for w in [*set(words), *set(short_runs(words))]:
+    if not _THRICE.search(low):  # letters with one sign behind them, if any, are what restore_word makes of them
+        plain = set(filter(str.isalpha, own_words))
+        own_words -= plain
+        ended = {w for w in own_words if w[-1] in _ENDS and w[:-1].isalpha()}
+        own_words -= ended
+        out = plain.union([w[:-1] for w in ended])
+    for w in [*own_words, *set(short_runs(words))]:
         own = cache.get(w)
         if own is None:
             own = tuple((decode(w, model) if " " in w else restore_word(w, model)).split())
