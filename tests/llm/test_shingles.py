@@ -83,3 +83,26 @@ def test_stage_takes_candidates_by_simhash(spark, monkeypatch):
     assert want <= some and len(rows) - len(some) >= 0.8 * (len(rows) - len(want))
     monkeypatch.undo()
     assert {r.doc_id for r in cp.simhash_stage(spark, df, "").collect()} == want
+
+
+def test_larger_tables_take_fewer_rows_a_fingerprint(spark, monkeypatch):
+    """Above FEW fingerprints the candidates meet by the narrower distance, with no more than 15 rows each, and the result is the same."""
+    import corpus_pipeline as cp
+    from tidemark.llm import shingles as own
+    from tidemark.llm import simhash
+
+    rnd = random.Random(11)
+    rows = []
+    for base in range(12):
+        words = [f"u{rnd.randrange(5000)}" for _ in range(150)]
+        for k in range(3):
+            t = list(words)
+            for _ in range(2 * k):
+                t[rnd.randrange(150)] = f"z{rnd.random()}"
+            rows.append((10 * base + k, " ".join(t), "en", "s", 1))
+    masks, real = [], simhash.block_masks
+    monkeypatch.setattr(simhash, "block_masks", lambda *a: masks.append(real(*a)) or masks[-1])
+    monkeypatch.setattr(own, "FEW", 10, raising=False)
+    got = {r.doc_id for r in cp.simhash_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert got == kept_ids(rows)
+    assert masks and all(len(m) <= 15 and min(x.bit_count() if x >= 0 else (x + (1 << 64)).bit_count() for x in m) >= 20 for m in masks)
