@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 
@@ -23,8 +22,7 @@ SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 ROUNDS, STEP, NEAR, PASSES, WASTE = 30, 0.2, 0.05, 3, 0.002
 #: Counts of up to this many (task, length) pairs are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-_ODD = re.compile("[\x1c-\x1f\x85]")
-_words: dict[str, bytes] = {}
+_ODD = "\x1c\x1d\x1e\x1f\x85"
 _cores: dict[str, bytes] = {}
 _loaded: dict[str, object] = {}
 
@@ -64,10 +62,13 @@ def _merge(tokenizer, low: str) -> bytes:
     return ids
 
 
-def _encode_words(tokenizer, words: set[str]) -> None:
-    """Remember the ids of words between white space: letters with signs after
-    them need no more than the merges; all else takes the whole way."""
-    for word in words:
+class _Words(dict):
+    """The ids of words between white space, made when one is first looked up:
+    letters with signs after them need no more than the merges; all else takes
+    the whole way."""
+
+    def __missing__(self, word: str) -> bytes:
+        (tokenizer,) = _loaded.values()
         core = word.rstrip(SIGNS)
         low = core.lower()
         if core.isalpha() and low.isalpha() and len(low) == len(core) and (low.isascii() or max(low) < "\u0250"):
@@ -77,7 +78,11 @@ def _encode_words(tokenizer, words: set[str]) -> None:
                 out += _cores.get(signs) or _merge(tokenizer, signs)
         else:
             out = _pack_ids(tokenizer.encode(word, add_special_tokens=False).ids)
-        _words[word] = out
+        self[word] = out
+        return out
+
+
+_words = _Words()
 
 
 def encode_texts(texts: list[str], path: str, by_word: bool = True) -> list[bytes]:
@@ -93,7 +98,7 @@ def encode_texts(texts: list[str], path: str, by_word: bool = True) -> list[byte
         return [_pack_ids(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     out = []
     for text in texts:
-        if _ODD.search(text):
+        if any(c in text for c in _ODD):
             out.append(_pack_ids(tokenizer.encode(text, add_special_tokens=False).ids))
             continue
         words = text.split()
@@ -101,7 +106,6 @@ def encode_texts(texts: list[str], path: str, by_word: bool = True) -> list[byte
             _words.clear()
         if len(_cores) >= CORE_CACHE:
             _cores.clear()
-        _encode_words(tokenizer, set(words).difference(_words))
         out.append(b"".join(map(_words.__getitem__, words)))
     return out
 
@@ -300,17 +304,14 @@ def pack(
     plan, *_ = plan_sequences(counts, length, rounds)
     order = np.lexsort((plan[:, 1], plan[:, 0]))
     lengths, firsts, sequence, offset = plan[order].T
-    ends = np.searchsorted(lengths, np.arange(length + 2))
+    starts = (lengths << 48) + firsts  # sorted; every length's first row begins at rank 0
     before = F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")
     base = sizes.select("part", "length", before.alias("before"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length_: pd.Series, rank_: pd.Series) -> pd.DataFrame:
         n, rank = length_.to_numpy(), rank_.to_numpy()
-        at = np.empty(len(n), np.int64)
-        for own in np.unique(n):
-            mine, a, b = n == own, ends[own], ends[own + 1]
-            at[mine] = a + np.searchsorted(firsts[a:b], rank[mine], side="right") - 1
+        at = np.searchsorted(starts, (n << 48) + rank, side="right") - 1
         return pd.DataFrame({"sequence_id": sequence[at] + rank - firsts[at], "offset": offset[at]})
 
     few = F.broadcast(base) if sizes.count() <= BROADCAST_ROWS else base
