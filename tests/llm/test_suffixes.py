@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import suffixes as P
@@ -112,3 +114,30 @@ def test_nothing(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = P.suffix_tree_scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert tuple(row) == (held, True, 3, 0, 0, 0.0, 0.0)
+
+
+def test_short_numbers_come_back():
+    rng = np.random.default_rng(3)
+    values = np.concatenate([np.arange(300), rng.integers(0, 2**62, 50), [127, 128, 16383, 16384, 2**63 - 1, 0]])
+    starts = np.array([0, 0, 5, 5, 200, len(values)])
+    got, sizes = P._numbers(P._plain(pa.chunked_array([P._zipped(P._short(values, starts))])))
+    assert (got == values).all() and (sizes == np.diff(starts)).all()
+    small = rng.integers(-32768, 32767, 40).astype(np.int16)
+    assert (P._from_planes(pa.chunked_array([P._planes(small, np.array([0, 7, 7, 40]))])) == small).all()
+    assert len(P._numbers(pa.chunked_array([P._short(values[:0], np.array([0, 0]))]))[0]) == 0
+
+
+@pytest.mark.parametrize("level,most", [(1, 4.0), (2, 6.0)])
+def test_bytes_of_a_question(level, most):
+    """A pair took 10 bytes and its share of 20 for a context; symbols of 32 bits could fall together."""
+    rng = np.random.default_rng(5)
+    symbol = rng.zipf(1.3, 200_000) % 3_000_000
+    key = rng.zipf(1.5, len(symbol)) % 2000
+    n, tree = np.full(len(symbol), 100), P.Tree()
+    pairs = P.Pairs(P._mixed(key, key), symbol, symbol, n, tree)
+    parent = -np.log(symbol + 2.0) if level == 1 else -rng.random(len(symbol)) * 12
+    asked = P._questions(level, 1, pairs, np.ones(len(symbol), bool), parent, 7, tree)
+    told = sum(asked.column(c).nbytes for c in asked.column_names)
+    assert told < most * len(pairs.key)
+    answer = P._answers(tree, level, asked)
+    assert P._numbers(P._plain(answer.column("counts")))[1].sum() == len(pairs.key)

@@ -61,6 +61,61 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.append(0, np.cumsum(sizes))
 
 
+def _short(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Runs of numbers from 0 on as binary values, seven bits a byte; the eighth says that the number goes on."""
+    x = values.astype(np.uint64)
+    size = np.ones(len(x), np.int64)
+    for k in range(1, -(-int(x.max(initial=0)).bit_length() // 7)):
+        size += x >= np.uint64(1 << 7 * k)
+    ends = _starts(size)
+    out = np.empty(ends[-1], np.uint8)
+    for k in range(size.max(initial=0)):
+        mine = np.nonzero(size > k)[0]
+        out[ends[mine] + k] = (x[mine] >> np.uint64(7 * k) & np.uint64(127)) | np.where(size[mine] > k + 1, 128, 0).astype(np.uint64)
+    return _packed(out, ends[starts])
+
+
+def _numbers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of :func:`_short`, and how many each value holds."""
+    data, sizes = _flat(column, np.uint8)
+    last = data < 128
+    ends = np.nonzero(last)[0] + 1
+    first = np.append(0, ends[:-1]) if len(ends) else ends
+    length = ends - first
+    out = (data[first] & 127).astype(np.int64)
+    for k in range(1, length.max(initial=0)):
+        mine = np.nonzero(length > k)[0]
+        out[mine] |= (data[first[mine] + k] & 127).astype(np.int64) << 7 * k
+    of = _starts(last)[_starts(sizes)]
+    return out, np.diff(of)
+
+
+def _zipped(column: pa.Array) -> pa.Array:
+    """Binary values, each compressed by itself."""
+    codec = pa.Codec("zstd", 3)
+    return pa.array([None if x is None else len(x).to_bytes(4, "little") + codec.compress(x, asbytes=True) if x else b"" for x in column.to_pylist()], pa.binary())
+
+
+def _plain(column: pa.ChunkedArray) -> pa.ChunkedArray:
+    """What :func:`_zipped` was given."""
+    codec = pa.Codec("zstd")
+    return pa.chunked_array([pa.array([codec.decompress(x[4:], int.from_bytes(x[:4], "little"), asbytes=True) if x else x for x in column.to_pylist()], pa.binary())])
+
+
+def _steps(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """What each number adds to the one before it; where ``new``, the number itself."""
+    out = values.copy()
+    out[1:] -= np.where(new[1:], 0, values[:-1])
+    return out
+
+
+def _sums(steps: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The numbers whose :func:`_steps` these are, in runs that start anew."""
+    total = np.cumsum(steps)
+    sizes = np.diff(starts)
+    return total - np.repeat(_starts(steps)[starts[:-1]], sizes)
+
+
 _ENCODED = "chunk long, doc_id {}, held_out boolean, ids binary, hashes binary, learned binary"
 
 
@@ -82,8 +137,8 @@ def _encode(chunk_tokens: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(n + 1, (part << 24) + number)), pa.concat_arrays([ids, pa.nulls(1, ids.type)]), pa.concat_arrays([pa.array(out), pa.nulls(1, pa.bool_())]),
-                pa.concat_arrays([_packed(flat, _starts(sizes)), pa.nulls(1, pa.binary())]), pa.concat_arrays([pa.nulls(n, pa.binary()), _packed(hashes, whole)]),
-                pa.concat_arrays([pa.nulls(n, pa.binary()), _packed(seen, whole)]),
+                pa.concat_arrays([_short(flat, _starts(sizes)), pa.nulls(1, pa.binary())]), pa.concat_arrays([pa.nulls(n, pa.binary()), _packed(hashes, whole)]),
+                pa.concat_arrays([pa.nulls(n, pa.binary()), _short(seen, whole)]),
             ],
             names=["chunk", "doc_id", "held_out", "ids", "hashes", "learned"],
         )
@@ -116,26 +171,31 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
 def _by_part(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A chunk's vocabulary cut by hash."""
     for batch in batches:
-        for chunk, hashes, learned in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            h, n = np.frombuffer(hashes, np.int64), np.frombuffer(learned, np.int64)
+        for row, (chunk, hashes) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            h, n = np.frombuffer(hashes, np.int64), _numbers(pa.chunked_array([batch.column(2).slice(row, 1)]))[0]
             part = _part(h, parts)
             order = np.argsort(part, kind="stable")
             sizes = np.bincount(part, minlength=parts)
             starts = _starts(sizes)
-            out = pa.RecordBatch.from_arrays([pa.array(np.full(parts, chunk)), pa.array(np.arange(parts)), _packed(h[order], starts), _packed(n[order], starts)], names=["chunk", "part", "hashes", "learned"])
+            out = pa.RecordBatch.from_arrays([pa.array(np.full(parts, chunk)), pa.array(np.arange(parts)), _packed(h[order], starts), _zipped(_short(n[order], starts))], names=["chunk", "part", "hashes", "learned"])
             yield out.filter(pa.array(sizes > 0))
 
 
-def _totals(rows: pa.Table) -> pa.Table:
-    """Training counts over all chunks, in each chunk's order, and a row of sums of the part."""
+def _totals(parts: int, rows: pa.Table) -> pa.Table:
+    """Training counts over all chunks and numbers of the words, in each chunk's order, and a row of sums of the part.
+
+    Frequent words have small numbers; no two words share one.
+    """
     h, sizes = _flat(rows.column("hashes"), np.int64)
     words, at = np.unique(h, return_inverse=True)
-    c = np.bincount(at, weights=_flat(rows.column("learned"), np.int64)[0], minlength=len(words)).astype(np.int64)
+    c = np.bincount(at, weights=_numbers(_plain(rows.column("learned")))[0], minlength=len(words)).astype(np.int64)
     n = len(rows)
+    number = np.empty(len(words), np.int64)
+    number[np.argsort(-c, kind="stable")] = np.arange(len(words)) * parts + rows.column("part")[0].as_py()
     sums = [c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()]
     return pa.table({
         "chunk": pa.array([*rows.column("chunk").to_pylist(), None], pa.int64()), "part": pa.array([*rows.column("part").to_pylist(), None], pa.int64()),
-        "totals": pa.concat_arrays([_packed(c[at], _starts(sizes)), pa.nulls(1, pa.binary())]),
+        **{k: pa.concat_arrays([_zipped(_short(x[at], _starts(sizes))), pa.nulls(1, pa.binary())]) for k, x in (("totals", c), ("numbers", number))},
         **{k: pa.array([None] * n + [int(v)], pa.int64()) for k, v in zip(("n", "v", "once", "twice"), sums, strict=True)},
     })
 
@@ -166,10 +226,9 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Pairs:
     """Distinct (context, next symbol) pairs among positions, in groups by context and section."""
 
-    def __init__(self, key: np.ndarray, symbol: np.ndarray, n: np.ndarray, tree: Tree):
+    def __init__(self, key: np.ndarray, symbol: np.ndarray, hashes: np.ndarray, n: np.ndarray, tree: Tree):
         many = tree.sections(n)
-        symbol = symbol.astype(np.uint32)  # the low half of its hash
-        section = np.where(many > 1, symbol % many, 0)
+        section = np.where(many > 1, hashes.astype(np.uint32) % many, 0)
         order = np.lexsort((symbol, section, key))
         k, s, x = key[order], section[order], symbol[order]
         new_key, new_group, new = (np.ones(len(k), bool) for _ in range(3))
@@ -190,7 +249,7 @@ class Pairs:
 
 
 _QUESTION = "chunk long, part long, keys binary, sections binary, ns binary, sizes binary, symbols binary, counts binary, parents binary"
-_ANSWER = "chunk long, part long, kinds binary, gains binary, counts binary, large binary"
+_ANSWER = "chunk long, part long, kinds binary, gains binary, counts binary"
 
 
 class Layout:
@@ -206,27 +265,78 @@ class Layout:
         self.by_part = _starts(np.bincount(part, minlength=parts))
 
 
-def _questions(chunk: int, pairs: Pairs, learned: np.ndarray, parent: np.ndarray, parts: int) -> pa.Table:
-    """A row for each part of the contexts: their symbols here, the training counts and the probabilities under the suffix."""
+def _questions(level: int, chunk: int, pairs: Pairs, learned: np.ndarray, parent: np.ndarray, parts: int, tree: Tree) -> pa.Table:
+    """A row for each part of the contexts: their symbols here, the training counts and the probabilities under the suffix.
+
+    Symbols are in order, so their steps are sent.  On the first level a
+    probability belongs to the symbol alone and is sent once a row.  What a
+    context has been seen is the sum of its counts; it is sent only of those split.
+    """
     at = Layout(pairs, parts)
     owner, by_part = at.owner[at.groups], at.by_part
-    of_pairs = _starts(at.sizes[at.groups])[by_part]
-    counts = np.bincount(pairs.at, weights=learned, minlength=len(pairs.key)).astype(np.int32)
-    steps = np.maximum(np.round(parent[pairs.first] * STEPS), -32768).astype(np.int16)
+    of_groups = _starts(at.sizes[at.groups])
+    of_pairs = of_groups[by_part]
+    counts = np.bincount(pairs.at, weights=learned, minlength=len(pairs.key)).astype(np.int64)[at.pairs]
+    steps = np.maximum(np.round(parent[pairs.first] * STEPS), -32768).astype(np.int16)[at.pairs]
+    symbols = pairs.symbol[at.pairs]
+    new = np.zeros(len(symbols), bool)
+    new[of_groups[:-1][at.sizes[at.groups] > 0]] = True
+    split = tree.sections(pairs.key_n[owner]) > 1
+    if level == 1:
+        first, _ = _per_row(symbols, of_pairs)
+        steps = steps[first]
+        of_steps = np.searchsorted(first_row := np.repeat(np.arange(parts), np.diff(of_pairs))[first], np.arange(parts + 1))
+        new_row = np.ones(len(first), bool)
+        new_row[1:] = first_row[1:] != first_row[:-1]
+        change = _steps(-steps.astype(np.int64), new_row)
+        parents = _short(np.where(change < 0, -2 * change - 1, 2 * change), of_steps)
+    else:
+        parents = _planes(steps, of_pairs)
     out = pa.table({
-        "chunk": np.full(parts, chunk), "part": np.arange(parts), "keys": _packed(pairs.keys[owner], by_part), "sections": _packed(at.section[at.groups].astype(np.int32), by_part),
-        "ns": _packed(pairs.key_n[owner].astype(np.float32), by_part), "sizes": _packed(at.sizes[at.groups].astype(np.int32), by_part), "symbols": _packed(pairs.symbol[at.pairs], of_pairs),
-        "counts": _packed(counts[at.pairs], of_pairs), "parents": _packed(steps[at.pairs], of_pairs),
+        "chunk": np.full(parts, chunk), "part": np.arange(parts), "keys": _packed(pairs.keys[owner], by_part), "sections": _zipped(_short(at.section[at.groups], by_part)),
+        "ns": _zipped(_short(np.where(split, pairs.key_n[owner], 0), by_part)), "sizes": _zipped(_short(at.sizes[at.groups], by_part)), "symbols": _zipped(_short(_steps(symbols, new), of_pairs)),
+        "counts": _zipped(_short(counts, of_pairs)), "parents": _zipped(parents),
     })
     return out.filter(pa.array(np.diff(by_part) > 0))
 
 
+def _per_row(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the different symbols of each row, in order, a place of each; and of each place, which of them it has."""
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    order = np.lexsort((symbols, row))
+    new = np.ones(len(order), bool)
+    new[1:] = (symbols[order][1:] != symbols[order][:-1]) | (row[order][1:] != row[order][:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def _planes(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Runs of 16-bit numbers as binary values, all low bytes before the high ones."""
+    low, high = (values.view(np.uint8)[i::2] for i in (0, 1))
+    sizes = np.diff(starts)
+    out = np.empty(2 * len(values), np.uint8)
+    at = np.arange(len(values)) + np.repeat(starts[:-1], sizes)
+    out[at], out[at + np.repeat(sizes, sizes)] = low, high
+    return _packed(out, 2 * starts)
+
+
+def _from_planes(column: pa.ChunkedArray) -> np.ndarray:
+    """The numbers of a column of :func:`_planes`."""
+    data, twice = _flat(column, np.uint8)
+    sizes = twice // 2
+    at = np.arange(sizes.sum()) + np.repeat(_starts(sizes)[:-1], sizes)
+    out = np.empty((len(at), 2), np.uint8)
+    out[:, 0], out[:, 1] = data[at], data[at + np.repeat(sizes, sizes)]
+    return out.reshape(-1).view(np.int16)
+
+
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of runs, one run after the other."""
     return np.repeat(starts - _starts(sizes)[:-1], sizes) + np.arange(sizes.sum())
 
 
-def _answers(tree: Tree, rows: pa.Table) -> pa.Table:
+def _answers(tree: Tree, level: int, rows: pa.Table) -> pa.Table:
     """Counts over all chunks for the questions of a part, with the sums that decide whether a context is retained.
 
     The gain of a context is the sum, over its training occurrences, of the
@@ -235,11 +345,19 @@ def _answers(tree: Tree, rows: pa.Table) -> pa.Table:
     questions, the number of different symbols of each context (0 if it is not
     retained), the gains of the sections of split ones, and the counts of the
     pairs; a count that neither a retained context nor a longer candidate
-    needs is 0, and those of 255 or more are told apart.
+    needs is 0.
     """
     key, many = _flat(rows.column("keys"), np.int64)
-    section, n, sizes = (_flat(rows.column(c), k)[0] for c, k in (("sections", np.int32), ("ns", np.float32), ("sizes", np.int32)))
-    symbols, counts, parents = (_flat(rows.column(c), k)[0] for c, k in (("symbols", np.uint32), ("counts", np.int32), ("parents", np.int16)))
+    section, n, sizes, counts = (_numbers(_plain(rows.column(c)))[0] for c in ("sections", "ns", "sizes", "counts"))
+    by_row = _starts(many)
+    pairs_by_row = _starts(sizes)[by_row]
+    symbols = _sums(_numbers(_plain(rows.column("symbols")))[0], _starts(sizes))
+    if level == 1:
+        change, told = _numbers(_plain(rows.column("parents")))
+        change = np.where(change & 1, -(change + 1) // 2, change // 2)
+        parents = -_sums(change, _starts(told))[_per_row(symbols, pairs_by_row)[1]]
+    else:
+        parents = _from_planes(_plain(rows.column("parents")))
     same = np.lexsort((section, key))
     new = np.ones(len(key), bool)
     new[1:] = (key[same][1:] != key[same][:-1]) | (section[same][1:] != section[same][:-1])
@@ -253,7 +371,9 @@ def _answers(tree: Tree, rows: pa.Table) -> pa.Table:
     at = np.nonzero(first)[0]
     total = np.add.reduceat(counts[order].astype(np.int64), at) if len(at) else np.empty(0, np.int64)
     own, q = g[order][at], np.exp(parents[order][at] / STEPS)
-    groups, sections = len(group_n), tree.sections(group_n)
+    groups = len(group_n)
+    group_n = np.where(group_n > 0, group_n, np.bincount(own, weights=total, minlength=groups))
+    sections = tree.sections(group_n)
     kinds = np.bincount(own, weights=total > 0, minlength=groups)
     spare = np.minimum(1.0, tree.discount * kinds * sections / group_n)
     p = np.maximum(total - 1 - tree.discount, 0) / np.maximum(group_n[own] - 1, 1) + spare[own] * q
@@ -264,14 +384,10 @@ def _answers(tree: Tree, rows: pa.Table) -> pa.Table:
     back = np.empty(len(order), np.int64)
     back[order] = shown[np.cumsum(first) - 1]
     row_of = np.repeat(np.arange(len(rows)), many)
-    by_row, split = _starts(many), (sections > 1)[group]
-    pairs_by_row = _starts(sizes)[by_row]
-    per_row = lambda hit, of: _starts(np.bincount(of[hit], minlength=len(rows)))
-    large = back >= 255
+    split = (sections > 1)[group]
     return pa.table({
-        "chunk": rows.column("chunk"), "part": rows.column("part"), "kinds": _packed(np.where(retained, kinds, 0).astype(np.int32)[group], by_row),
-        "gains": _packed(gain[group][split], per_row(split, row_of)), "counts": _packed(np.minimum(back, 255).astype(np.uint8), pairs_by_row),
-        "large": _packed(back[large], per_row(large, np.repeat(np.arange(len(rows)), np.diff(pairs_by_row)))),
+        "chunk": rows.column("chunk"), "part": rows.column("part"), "kinds": _zipped(_short(np.where(retained, kinds, 0)[group], by_row)),
+        "gains": _packed(gain[group][split], _starts(np.bincount(row_of[split], minlength=len(rows)))), "counts": _zipped(_short(back, pairs_by_row)),
     })
 
 
@@ -285,10 +401,11 @@ def _levels(chunk: int, documents: pa.Table, words: pa.Table, totals: pa.Table,
     hashes = np.frombuffer(words.column("hashes")[0].as_py(), np.int64)
     part = _part(hashes, parts)
     totals = totals.sort_by("part")
-    learned = np.empty(len(hashes), np.int64)
-    learned[np.argsort(part, kind="stable")] = _flat(totals.column("totals"), np.int64)[0]
-    ids, sizes = _flat(documents.column("ids"), np.int32)
-    h, c = hashes[ids], learned[ids]
+    learned, number = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+    dealt = np.argsort(part, kind="stable")
+    learned[dealt], number[dealt] = (_numbers(_plain(totals.column(c)))[0] for c in ("totals", "numbers"))
+    ids, sizes = _numbers(documents.column("ids"))
+    h, c, symbol = hashes[ids], learned[ids], number[ids]
     starts = _starts(sizes)[:-1]
     train = np.repeat(~documents.column("held_out").to_numpy(zero_copy_only=False).astype(bool), sizes)
     place_in = np.arange(len(ids)) - np.repeat(starts, sizes)
@@ -310,19 +427,17 @@ def _levels(chunk: int, documents: pa.Table, words: pa.Table, totals: pa.Table,
             count[1:] = seen[:-1]
             count[place_in < level - 1] = 0
         at = np.nonzero(count >= tree.least)[0]
-        pairs = Pairs(key[at], h[at], count[at], tree)
+        pairs = Pairs(key[at], symbol[at], h[at], count[at], tree)
         if level == level_asked:
-            return _questions(chunk, pairs, train[at], score[at], context_parts)
+            return _questions(level, chunk, pairs, train[at], score[at], context_parts, tree)
         mine = answers.filter(pa.array(answers.column("level").to_numpy() == level))
         total, kinds, gain = np.zeros(len(pairs.key), np.int64), np.zeros(len(pairs.keys)), np.full(len(pairs.keys), np.inf)
         seen = np.zeros(len(ids), np.int64)
         if len(mine):
             mine, dealt = mine.sort_by("part"), Layout(pairs, context_parts)
-            got = _flat(mine.column("counts"), np.uint8)[0].astype(np.int64)
-            got[got == 255] = _flat(mine.column("large"), np.int64)[0]
-            total[dealt.pairs] = got
+            total[dealt.pairs] = _numbers(_plain(mine.column("counts")))[0]
             owner = dealt.owner[dealt.groups]
-            np.add.at(kinds, owner, _flat(mine.column("kinds"), np.int32)[0])
+            np.add.at(kinds, owner, _numbers(_plain(mine.column("kinds")))[0])
             split = tree.sections(pairs.key_n)[owner] > 1
             gain[owner[split]] = 0
             np.add.at(gain, owner[split], _flat(mine.column("gains"), np.float64)[0])
@@ -357,7 +472,7 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held: int = 2, doc_id: s
     are partial counts of a chunk, never tokens, and a context of more than
     ``tree.hot`` occurrences is split by the next word (its test then estimates the
     discount from the section at hand).  Contexts and words are told apart
-    by 64-bit hashes, words that follow the same context by 32 bits of theirs.
+    by 64-bit hashes, words that follow the same context by their numbers.
 
     Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score), one per row of ``docs``.  A null text counts as empty and is
@@ -369,7 +484,7 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held: int = 2, doc_id: s
     kind = docs.schema[doc_id].dataType.simpleString()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"tidemark_{uuid.uuid4().hex}", shared_dir(spark)
-    columns = _ENCODED.format(kind) + ", part long, totals binary"
+    columns = _ENCODED.format(kind) + ", part long, totals binary, numbers binary, kinds binary, gains binary, counts binary, level int"
 
     def put(df: DataFrame) -> DataFrame:
         """Rows added to a table in the shared folder that is dealt by chunk, so that every round reads it without a shuffle."""
@@ -382,35 +497,32 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held: int = 2, doc_id: s
     local = encoded.where("hashes is not null").select("chunk", "hashes", "learned")
     parts = max(1, (local.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // (8 * PART_WORDS))
     asked = local.mapInArrow(partial(_by_part, parts), "chunk long, part long, hashes binary, learned binary").repartition(buckets, "part").sortWithinPartitions("part")
-    counted = cut(asked.mapInArrow(partial(_by_groups, _totals), "chunk long, part long, totals binary, n long, v long, once long, twice long"))
+    counted = cut(asked.mapInArrow(partial(_by_groups, partial(_totals, parts)), "chunk long, part long, totals binary, numbers binary, n long, v long, once long, twice long"))
     sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once", "twice")]
     del asked
     release(spark)
     n, v, once, twice = counted.where("chunk is null").agg(*sums).first()
     discount = min(max(once / max(once + 2 * twice, 1), 0.01), 0.99)
     context_parts = max(1, n // PART_TOKENS)
-    left = put(counted.where("chunk is not null").repartition(buckets, "chunk")).drop("learned")
+    left = put(counted.where("chunk is not null").repartition(buckets, "chunk"))
+    drop_cut(counted)
+    release(spark)
 
     def round_(level: int):
-        def run(key, mine: pa.Table, answers: pa.Table) -> pa.Table:
+        def run(key: tuple[pa.Scalar, ...], mine: pa.Table) -> pa.Table:
             of = lambda c: mine.filter(mine.column(c).is_valid())
-            return _levels(key[0].as_py(), of("ids"), of("hashes"), of("totals"), parts, context_parts, answers, level, tree, n, v, discount)
+            return _levels(key[0].as_py(), of("ids"), of("hashes"), of("totals"), parts, context_parts, of("level"), level, tree, n, v, discount)
 
         return run
 
-    answers = spark.createDataFrame([], _ANSWER + ", level int")
-    done = []
     for level in range(1, tree.depth + 1):
-        asked = left.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(round_(level), _QUESTION)
-        given = cut(asked.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(partial(_by_groups, partial(_answers, tree)), _ANSWER).withColumn("level", F.lit(level)))
-        done.append(given)
-        del asked
+        asked = left.drop("learned").groupBy("chunk").applyInArrow(round_(level), _QUESTION)
+        given = asked.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(partial(_by_groups, partial(_answers, tree, level)), _ANSWER).withColumn("level", F.lit(level))
+        left = put(given.repartition(buckets, "chunk"))
+        del asked, given
         release(spark)
-        answers = answers.union(given)
-    out = left.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(round_(0), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = left.drop("learned").groupBy("chunk").applyInArrow(round_(0), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     out = cut(out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"))
-    for df in (counted, *done):
-        drop_cut(df)
     spark.sql(f"DROP TABLE {name}")
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
