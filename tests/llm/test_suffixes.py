@@ -127,17 +127,19 @@ def test_short_numbers_come_back():
     assert len(P._numbers(pa.chunked_array([P._short(values[:0], np.array([0, 0]))]))[0]) == 0
 
 
-@pytest.mark.parametrize("level,most", [(1, 4.0), (2, 6.0)])
-def test_bytes_of_a_question(level, most):
+@pytest.mark.parametrize("level,exact,most", [(1, True, 3.5), (2, True, 5.0), (2, False, 6.0)])
+def test_bytes_of_a_question(level, exact, most):
     """A pair took 10 bytes and its share of 20 for a context; symbols of 32 bits could fall together."""
     rng = np.random.default_rng(5)
     symbol = rng.zipf(1.3, 200_000) % 3_000_000
     key = rng.zipf(1.5, len(symbol)) % 2000
+    key = key if level == 1 else key << 32 | key * 7 % 5000 if exact else P._mixed(key, key)
     n, tree = np.full(len(symbol), 100), P.Tree()
-    pairs = P.Pairs(P._mixed(key, key), symbol, symbol, n, tree)
+    pairs = P.Pairs(key, symbol, n, tree)
     parent = -np.log(symbol + 2.0) if level == 1 else -rng.random(len(symbol)) * 12
-    asked = P._questions(level, 1, pairs, np.ones(len(symbol), bool), parent, 7, tree)
+    asked = P._questions(level, exact, 1, pairs, np.ones(len(symbol), bool), parent, 7, tree)
     told = sum(asked.column(c).nbytes for c in asked.column_names)
     assert told < most * len(pairs.key)
-    answer = P._answers(tree, level, asked)
+    assert set(P._got_keys(level, exact, asked.column("keys"))[0]) == set(key)
+    answer = P._answers(tree, level, exact, asked)
     assert P._numbers(P._plain(answer.column("counts")))[1].sum() == len(pairs.key)

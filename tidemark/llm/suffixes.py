@@ -38,8 +38,8 @@ class Tree:
 PART_WORDS, PART_TOKENS = 250_000, 2_000_000
 #: A test takes log probabilities under the suffix in so many steps a nat.
 STEPS = 1024
-#: The context in front of a text.
-_BEGIN = np.int64(-7046029254386353131)
+#: Parts of the words that 16 bits of a hash can tell apart.
+MOST_PARTS = 1 << 16
 
 
 def _packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
@@ -116,11 +116,11 @@ def _sums(steps: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total - np.repeat(_starts(steps)[starts[:-1]], sizes)
 
 
-_ENCODED = "chunk long, doc_id {}, held_out boolean, ids binary, hashes binary, learned binary"
+_ENCODED = "chunk long, doc_id {}, held_out boolean, ids binary, places binary, hashes binary, learned binary"
 
 
 def _encode(chunk_tokens: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as numbers of a vocabulary of their chunk, a row each, and a row with the words' hashes and training counts."""
+    """Texts as numbers of a vocabulary of their chunk, a row each, and two rows of its words: the first 16 bits of their hashes; hashes and training counts."""
     part, number = TaskContext.get().partitionId(), 0
     held: list[tuple[pa.Array, np.ndarray]] = []  # ids and folds
     codes: list[np.ndarray] = []
@@ -134,13 +134,14 @@ def _encode(chunk_tokens: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         hashes = np.fromiter(map(xxh64_intdigest, known), np.uint64, len(known))
         n = len(ids)
         whole = np.array([0, len(known)])
+        fill = lambda before, value, after: pa.concat_arrays([pa.nulls(before, value.type), value, pa.nulls(after, value.type)])
+        places = (hashes >> np.uint64(48)).astype(np.uint16)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.full(n + 1, (part << 24) + number)), pa.concat_arrays([ids, pa.nulls(1, ids.type)]), pa.concat_arrays([pa.array(out), pa.nulls(1, pa.bool_())]),
-                pa.concat_arrays([_short(flat, _starts(sizes)), pa.nulls(1, pa.binary())]), pa.concat_arrays([pa.nulls(n, pa.binary()), _packed(hashes, whole)]),
-                pa.concat_arrays([pa.nulls(n, pa.binary()), _short(seen, whole)]),
+                pa.array(np.full(n + 2, (part << 24) + number)), fill(0, ids, 2), fill(0, pa.array(out), 2), fill(0, _short(flat, _starts(sizes)), 2),
+                fill(n, _packed(places, whole), 1), fill(n + 1, _packed(hashes, whole), 0), fill(n + 1, _short(seen, whole), 0),
             ],
-            names=["chunk", "doc_id", "held_out", "ids", "hashes", "learned"],
+            names=["chunk", "doc_id", "held_out", "ids", "places", "hashes", "learned"],
         )
 
     total = 0
@@ -168,12 +169,17 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (hashes.view(np.uint64) % np.uint64(parts)).astype(np.int64)
 
 
+def _word_part(places: np.ndarray, parts: int) -> np.ndarray:
+    """Parts of words by the first 16 bits of their hashes."""
+    return places.astype(np.int64) * parts // MOST_PARTS
+
+
 def _by_part(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A chunk's vocabulary cut by hash."""
     for batch in batches:
         for row, (chunk, hashes) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             h, n = np.frombuffer(hashes, np.int64), _numbers(pa.chunked_array([batch.column(2).slice(row, 1)]))[0]
-            part = _part(h, parts)
+            part = _word_part(h.view(np.uint64) >> np.uint64(48), parts)
             order = np.argsort(part, kind="stable")
             sizes = np.bincount(part, minlength=parts)
             starts = _starts(sizes)
@@ -192,11 +198,11 @@ def _totals(parts: int, rows: pa.Table) -> pa.Table:
     n = len(rows)
     number = np.empty(len(words), np.int64)
     number[np.argsort(-c, kind="stable")] = np.arange(len(words)) * parts + rows.column("part")[0].as_py()
-    sums = [c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()]
+    sums = [c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum(), number.max(initial=0)]
     return pa.table({
         "chunk": pa.array([*rows.column("chunk").to_pylist(), None], pa.int64()), "part": pa.array([*rows.column("part").to_pylist(), None], pa.int64()),
         **{k: pa.concat_arrays([_zipped(_short(x[at], _starts(sizes))), pa.nulls(1, pa.binary())]) for k, x in (("totals", c), ("numbers", number))},
-        **{k: pa.array([None] * n + [int(v)], pa.int64()) for k, v in zip(("n", "v", "once", "twice"), sums, strict=True)},
+        **{k: pa.array([None] * n + [int(v)], pa.int64()) for k, v in zip(("n", "v", "once", "twice", "most"), sums, strict=True)},
     })
 
 
@@ -226,9 +232,9 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Pairs:
     """Distinct (context, next symbol) pairs among positions, in groups by context and section."""
 
-    def __init__(self, key: np.ndarray, symbol: np.ndarray, hashes: np.ndarray, n: np.ndarray, tree: Tree):
+    def __init__(self, key: np.ndarray, symbol: np.ndarray, n: np.ndarray, tree: Tree):
         many = tree.sections(n)
-        section = np.where(many > 1, hashes.astype(np.uint32) % many, 0)
+        section = np.where(many > 1, symbol % many, 0)
         order = np.lexsort((symbol, section, key))
         k, s, x = key[order], section[order], symbol[order]
         new_key, new_group, new = (np.ones(len(k), bool) for _ in range(3))
@@ -259,13 +265,35 @@ class Layout:
         self.owner = np.repeat(np.arange(len(pairs.keys)), np.diff(pairs.group_of))
         self.section = np.arange(pairs.group_of[-1]) - pairs.group_of[self.owner]
         self.sizes = np.diff(pairs.starts)
-        part = _part(pairs.keys[self.owner] + 0x9E3779B9 * self.section, parts)
+        part = _part(_mixed(pairs.keys[self.owner], self.section), parts)
         self.groups = np.argsort(part, kind="stable")
         self.pairs = _runs(pairs.starts[self.groups], self.sizes[self.groups])
         self.by_part = _starts(np.bincount(part, minlength=parts))
 
 
-def _questions(level: int, chunk: int, pairs: Pairs, learned: np.ndarray, parent: np.ndarray, parts: int, tree: Tree) -> pa.Table:
+def _sent_keys(level: int, exact: bool, keys: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Runs of contexts in order: of two words as steps of the later one, each followed by the earlier one; hashes as they are."""
+    new = np.zeros(len(keys), bool)
+    new[starts[:-1][np.diff(starts) > 0]] = True
+    if level == 1:
+        return _zipped(_short(_steps(keys, new), starts))
+    if level == 2 and exact:
+        return _zipped(_short(np.stack([_steps(keys >> 32, new), keys & 0xFFFFFFFF], axis=1).reshape(-1), 2 * starts))
+    return _packed(keys, starts)
+
+
+def _got_keys(level: int, exact: bool, column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of a column of :func:`_sent_keys`, and how many each value holds."""
+    if level == 1:
+        steps, many = _numbers(_plain(column))
+        return _sums(steps, _starts(many)), many
+    if level == 2 and exact:
+        both, many = _numbers(_plain(column))
+        return _sums(both[::2], _starts(many // 2)) << 32 | both[1::2], many // 2
+    return _flat(column, np.int64)
+
+
+def _questions(level: int, exact: bool, chunk: int, pairs: Pairs, learned: np.ndarray, parent: np.ndarray, parts: int, tree: Tree) -> pa.Table:
     """A row for each part of the contexts: their symbols here, the training counts and the probabilities under the suffix.
 
     Symbols are in order, so their steps are sent.  On the first level a
@@ -293,7 +321,7 @@ def _questions(level: int, chunk: int, pairs: Pairs, learned: np.ndarray, parent
     else:
         parents = _planes(steps, of_pairs)
     out = pa.table({
-        "chunk": np.full(parts, chunk), "part": np.arange(parts), "keys": _packed(pairs.keys[owner], by_part), "sections": _zipped(_short(at.section[at.groups], by_part)),
+        "chunk": np.full(parts, chunk), "part": np.arange(parts), "keys": _sent_keys(level, exact, pairs.keys[owner], by_part), "sections": _zipped(_short(at.section[at.groups], by_part)),
         "ns": _zipped(_short(np.where(split, pairs.key_n[owner], 0), by_part)), "sizes": _zipped(_short(at.sizes[at.groups], by_part)), "symbols": _zipped(_short(_steps(symbols, new), of_pairs)),
         "counts": _zipped(_short(counts, of_pairs)), "parents": _zipped(parents),
     })
@@ -336,7 +364,7 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - _starts(sizes)[:-1], sizes) + np.arange(sizes.sum())
 
 
-def _answers(tree: Tree, level: int, rows: pa.Table) -> pa.Table:
+def _answers(tree: Tree, level: int, exact: bool, rows: pa.Table) -> pa.Table:
     """Counts over all chunks for the questions of a part, with the sums that decide whether a context is retained.
 
     The gain of a context is the sum, over its training occurrences, of the
@@ -347,7 +375,7 @@ def _answers(tree: Tree, level: int, rows: pa.Table) -> pa.Table:
     pairs; a count that neither a retained context nor a longer candidate
     needs is 0.
     """
-    key, many = _flat(rows.column("keys"), np.int64)
+    key, many = _got_keys(level, exact, rows.column("keys"))
     section, n, sizes, counts = (_numbers(_plain(rows.column(c)))[0] for c in ("sections", "ns", "sizes", "counts"))
     by_row = _starts(many)
     pairs_by_row = _starts(sizes)[by_row]
@@ -391,21 +419,22 @@ def _answers(tree: Tree, level: int, rows: pa.Table) -> pa.Table:
     })
 
 
-def _levels(chunk: int, documents: pa.Table, words: pa.Table, totals: pa.Table, parts: int, context_parts: int, answers: pa.Table, level_asked: int, tree: Tree, n: int, v: int, discount: float) -> pa.Table:
+def _levels(chunk: int, documents: pa.Table, words: pa.Table, totals: pa.Table, parts: int, context_parts: int, answers: pa.Table, level_asked: int, exact: bool, tree: Tree, n: int, v: int, discount: float) -> pa.Table:
     """Questions of a level, or, asked for level 0, the documents' scores once every level is answered.
 
     All positions of a chunk are worked on at once: the log probability of a
-    token under the longest retained suffix so far, the hash of its context of
-    the level, and the number of times that this context was learned from.
+    token under the longest retained suffix so far, its context of the level,
+    and the number of times that this context was learned from.  A context is
+    the number of a word plus 1 (0 before the text), or two of them if they are
+    ``exact``, side by side in 64 bits; longer ones are hashes.
     """
-    hashes = np.frombuffer(words.column("hashes")[0].as_py(), np.int64)
-    part = _part(hashes, parts)
+    part = _word_part(_flat(words.column("places"), np.uint16)[0], parts)
     totals = totals.sort_by("part")
-    learned, number = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+    learned, number = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
     dealt = np.argsort(part, kind="stable")
     learned[dealt], number[dealt] = (_numbers(_plain(totals.column(c)))[0] for c in ("totals", "numbers"))
     ids, sizes = _numbers(documents.column("ids"))
-    h, c, symbol = hashes[ids], learned[ids], number[ids]
+    c, symbol = learned[ids], number[ids]
     starts = _starts(sizes)[:-1]
     train = np.repeat(~documents.column("held_out").to_numpy(zero_copy_only=False).astype(bool), sizes)
     place_in = np.arange(len(ids)) - np.repeat(starts, sizes)
@@ -415,21 +444,21 @@ def _levels(chunk: int, documents: pa.Table, words: pa.Table, totals: pa.Table,
     key, seen = np.zeros(len(ids), np.int64), c
     for level in range(1, (level_asked or tree.depth) + 1):
         far = np.empty(len(ids), np.int64)  # the word ``level`` places before
-        far[level:], far[:level] = h[: len(ids) - level], 0
-        far[place_in == level - 1] = _BEGIN
+        far[level:], far[:level] = symbol[: len(ids) - level] + 1, 0
+        far[place_in == level - 1] = 0
         count = np.zeros(len(ids), np.int64)
         if level == 1:
             key = far
             count[1:] = c[:-1]
             count[starts] = texts
         else:
-            key = _mixed(key, far)
+            key = key << 32 | far if level == 2 and exact else _mixed(key, far)
             count[1:] = seen[:-1]
             count[place_in < level - 1] = 0
         at = np.nonzero(count >= tree.least)[0]
-        pairs = Pairs(key[at], symbol[at], h[at], count[at], tree)
+        pairs = Pairs(key[at], symbol[at], count[at], tree)
         if level == level_asked:
-            return _questions(level, chunk, pairs, train[at], score[at], context_parts, tree)
+            return _questions(level, exact, chunk, pairs, train[at], score[at], context_parts, tree)
         mine = answers.filter(pa.array(answers.column("level").to_numpy() == level))
         total, kinds, gain = np.zeros(len(pairs.key), np.int64), np.zeros(len(pairs.keys)), np.full(len(pairs.keys), np.inf)
         seen = np.zeros(len(ids), np.int64)
@@ -471,8 +500,9 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held: int = 2, doc_id: s
     sums the counts of a context over all chunks, tests it and answers.  Rows
     are partial counts of a chunk, never tokens, and a context of more than
     ``tree.hot`` occurrences is split by the next word (its test then estimates the
-    discount from the section at hand).  Contexts and words are told apart
-    by 64-bit hashes, words that follow the same context by their numbers.
+    discount from the section at hand).  Words are told apart by 64-bit hashes,
+    then by numbers, as are contexts of up to two words (up to 2^31 numbers); longer
+    contexts by 64-bit hashes.
 
     Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score), one per row of ``docs``.  A null text counts as empty and is
@@ -484,26 +514,31 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held: int = 2, doc_id: s
     kind = docs.schema[doc_id].dataType.simpleString()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"tidemark_{uuid.uuid4().hex}", shared_dir(spark)
-    columns = _ENCODED.format(kind) + ", part long, totals binary, numbers binary, kinds binary, gains binary, counts binary, level int"
+    columns = _ENCODED.format(kind) + ", part long, totals binary, numbers binary, kinds binary, gains binary, counts binary, level int, asks boolean"
 
     def put(df: DataFrame) -> DataFrame:
-        """Rows added to a table in the shared folder that is dealt by chunk, so that every round reads it without a shuffle."""
+        """Rows added to a table in the shared folder that is dealt by chunk, so that every round reads it without a shuffle; words that ask lie apart."""
+        df = df.withColumn("asks", F.col("hashes").isNotNull() if "hashes" in df.columns else F.lit(False))
         rows = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in columns.split(", "))])
-        rows.write.bucketBy(buckets, "chunk").option("path", path).option("compression", "zstd").mode("append").saveAsTable(name)
+        rows.write.partitionBy("asks").bucketBy(buckets, "chunk").option("path", path).option("compression", "zstd").mode("append").saveAsTable(name)
         return spark.table(name)
 
     texts = docs.select(F.col(doc_id).alias("doc_id"), (fold(doc_id, folds) == held).alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     encoded = put(texts.mapInArrow(partial(_encode, tree.chunk_tokens), _ENCODED.format(kind)))
-    local = encoded.where("hashes is not null").select("chunk", "hashes", "learned")
-    parts = max(1, (local.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // (8 * PART_WORDS))
+    local = encoded.where("asks").select("chunk", "hashes", "learned")
+    parts = min(MOST_PARTS, max(1, (local.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // (8 * PART_WORDS)))
     asked = local.mapInArrow(partial(_by_part, parts), "chunk long, part long, hashes binary, learned binary").repartition(buckets, "part").sortWithinPartitions("part")
-    counted = cut(asked.mapInArrow(partial(_by_groups, partial(_totals, parts)), "chunk long, part long, totals binary, numbers binary, n long, v long, once long, twice long"))
-    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once", "twice")]
+    counted = cut(asked.mapInArrow(partial(_by_groups, partial(_totals, parts)), "chunk long, part long, totals binary, numbers binary, n long, v long, once long, twice long, most long"))
+    sums = [F.coalesce(f(c), F.lit(0)) for f, c in ((F.sum, "n"), (F.sum, "v"), (F.sum, "once"), (F.sum, "twice"), (F.max, "most"))]
     del asked
     release(spark)
-    n, v, once, twice = counted.where("chunk is null").agg(*sums).first()
+    n, v, once, twice, most = counted.where("chunk is null").agg(*sums).first()
     discount = min(max(once / max(once + 2 * twice, 1), 0.01), 0.99)
-    context_parts = max(1, n // PART_TOKENS)
+    context_parts, exact = max(1, n // PART_TOKENS), most < (1 << 31) - 1
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(spark._jvm.org.apache.hadoop.fs.Path(where, "asks=true"), True)
+    spark.catalog.refreshTable(name)
     left = put(counted.where("chunk is not null").repartition(buckets, "chunk"))
     drop_cut(counted)
     release(spark)
@@ -511,19 +546,18 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held: int = 2, doc_id: s
     def round_(level: int):
         def run(key: tuple[pa.Scalar, ...], mine: pa.Table) -> pa.Table:
             of = lambda c: mine.filter(mine.column(c).is_valid())
-            return _levels(key[0].as_py(), of("ids"), of("hashes"), of("totals"), parts, context_parts, of("level"), level, tree, n, v, discount)
+            return _levels(key[0].as_py(), of("ids"), of("places"), of("totals"), parts, context_parts, of("level"), level, exact, tree, n, v, discount)
 
         return run
 
     for level in range(1, tree.depth + 1):
-        asked = left.drop("learned").groupBy("chunk").applyInArrow(round_(level), _QUESTION)
-        given = asked.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(partial(_by_groups, partial(_answers, tree, level)), _ANSWER).withColumn("level", F.lit(level))
+        asked = left.drop("hashes", "learned", "asks").groupBy("chunk").applyInArrow(round_(level), _QUESTION)
+        given = asked.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(partial(_by_groups, partial(_answers, tree, level, exact)), _ANSWER).withColumn("level", F.lit(level))
         left = put(given.repartition(buckets, "chunk"))
         del asked, given
         release(spark)
-    out = left.drop("learned").groupBy("chunk").applyInArrow(round_(0), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = left.drop("hashes", "learned", "asks").groupBy("chunk").applyInArrow(round_(0), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     out = cut(out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"))
     spark.sql(f"DROP TABLE {name}")
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    files.delete(where, True)
     return out
