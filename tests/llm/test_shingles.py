@@ -106,3 +106,39 @@ def test_larger_tables_take_fewer_rows_a_fingerprint(spark, monkeypatch):
     got = {r.doc_id for r in cp.simhash_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     assert got == kept_ids(rows)
     assert masks and all(len(m) <= 15 and min(x.bit_count() if x >= 0 else (x + (1 << 64)).bit_count() for x in m) >= 20 for m in masks)
+
+
+def test_sketches_never_part_close_sets():
+    """Sets differ in as many hashes as their sketches in bits, or more, whatever their sizes are."""
+    import numpy as np
+    from tidemark.llm.shingles import differing, sketch
+
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 2, 31, 33, 250, 4000):
+        for m in (0, 1, n // 5, n):
+            x = np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64))
+            y = np.unique(np.concatenate((x[m // 2 :], rnd.integers(0, 1 << 64, m, dtype=np.uint64))))
+            apart = len(np.setxor1d(x, y))
+            assert differing(sketch(x), sketch(y)) == differing(sketch(y), sketch(x)) <= apart
+            assert n < 250 or not 0 < m < n or differing(sketch(x), sketch(y)) >= 0.7 * apart
+
+
+def test_sets_that_are_less_than_close_are_not_fetched(spark, monkeypatch):
+    """Texts that have two thirds of their shingles in common meet in every pair, but take neither their sets nor their prefixes with them."""
+    import corpus_pipeline as cp
+    from tidemark.llm import shingles as own
+
+    rnd = random.Random(2)
+    words = [f"u{rnd.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for k in range(45):
+        t = list(words)
+        for at in rnd.sample(range(10, 190), 4):
+            t[at] = f"z{rnd.random()}"
+        rows.append((k, " ".join(t), "en", "s", 1))
+    rows += [(100 + k, " ".join(f"v{rnd.randrange(9)}" for _ in range(300)), "en", "s", 1) for k in range(5)]
+    fetched, real = [], own._sets
+    monkeypatch.setattr(own, "_sets", lambda docs, words: fetched.append(docs.count()) or real(docs, words))
+    got = {r.doc_id for r in cp.simhash_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert got == kept_ids(rows) and len(got) >= 45
+    assert sum(fetched) <= 10, fetched
