@@ -142,3 +142,23 @@ def test_sets_that_are_less_than_close_are_not_fetched(spark, monkeypatch):
     got = {r.doc_id for r in cp.simhash_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     assert got == kept_ids(rows) and len(got) >= 45
     assert sum(fetched) <= 10, fetched
+
+
+@pytest.mark.parametrize("kind", ["long", "int"])
+def test_rows_without_id_take_part(spark, kind):
+    """A row without an id goes if its text is close to one with an id, or to another such row that stays."""
+    import corpus_pipeline as cp
+
+    rnd = random.Random(4)
+    new = lambda: [f"u{rnd.randrange(5000)}" for _ in range(120)]
+    near = lambda w: " ".join([*w[:60], f"z{rnd.random()}", *w[61:]])
+    a, b, c = new(), new(), new()
+    rows = [(i, t, "en", "s", 1) for i, t in [(-4, " ".join(a)), (7, near(a)), (2**31 - 1, " ".join(new())), (9, "")]]
+    rows += [(None, t, "en", s, 1) for s, t in [("copy", " ".join(a)), ("near", near(a)), ("empty", None), ("first", " ".join(b)), ("first", " ".join(b)), ("alone", " ".join(c))]]
+    df = spark.createDataFrame(rows, DOCS)
+    df = df.withColumn("doc_id", df.doc_id.cast(kind))
+    got = cp.simhash_stage(spark, df, "")
+    assert got.schema == df.schema
+    assert sorted((str(r.doc_id), r.source) for r in got.collect()) == sorted([("-4", "s"), (str(2**31 - 1), "s"), ("9", "s"), ("None", "first"), ("None", "alone")])
+    alone = cp.simhash_stage(spark, spark.createDataFrame([(None, near(b), "en", "s", 1), (None, near(b), "en", "s", 1), (None, None, None, None, None)], DOCS), "").collect()
+    assert len(alone) == 2 and sum(r.text is None for r in alone) == 1
